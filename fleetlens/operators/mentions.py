@@ -28,10 +28,9 @@ GRAM = 3
 
 
 def _grams(text_col: str, n: int):
-    """Distinct substrings of length n of a text column (array)."""
-    t = F.col(text_col)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))),
-                                        lambda i: F.substring(t, i, n)))
+    """Distinct substrings of length n of a text column (array), found in one
+    linear regex pass (a zero-width lookahead yields every overlapping gram)."""
+    return F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
 def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_col: str,
@@ -60,9 +59,9 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_co
 
     nz = nd.where(F.length("_needle") > 0).withColumn(
         "_glen", F.least(F.length("_needle"), F.lit(n)))
+    short = F.col("_glen") < n
     ngrams = nz.select(*group, *nk, "_glen", F.explode(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_needle") - F.col("_glen") + 1),
-                                     lambda i: F.substring(F.col("_needle"), i, F.col("_glen"))))).alias("_g"))
+        F.when(short, F.array(F.col("_needle"))).otherwise(_grams("_needle", n))).alias("_g"))
     wanted = ngrams.select(*group, "_g").distinct()
 
     # distinct grams of each text of every length a needle uses, kept only if wanted

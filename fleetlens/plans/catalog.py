@@ -326,3 +326,184 @@ def guarded_overwrite(spark: SparkSession, sf: str) -> DataFrame:
              .unionByName(sym.select("project", F.concat(F.lit("module-"), "module", F.lit(".md")).alias("name")))
              .distinct())
     return imp.guarded_overwrite(cands, I.spec_docs(spark, sf), marker=MARKER).select("project", "name", "action")
+
+
+# --------------------------------------------------------------------------- A1 J3 G4 J4 F6 F5 F7
+
+from ..operators import graph as G  # noqa: E402
+from ..operators import structure as S  # noqa: E402
+
+SQL_GRAPH = I.SQL_EDGES + "," + I.SQL_MODULES + """,
+bnd AS (SELECT project, name, path,
+          CASE WHEN split_part(path, '/', 1) IN ('src', 'lib', 'app', 'source', 'sources') THEN
+                 CASE WHEN len(string_split(path, '/')) >= 3 THEN split_part(path, '/', 2)
+                      WHEN len(string_split(path, '/')) = 2 AND regexp_matches(split_part(path, '/', 2), '\\.[^.]+$') THEN 'root'
+                      WHEN len(string_split(path, '/')) = 2 THEN split_part(path, '/', 2) ELSE 'root' END
+               WHEN len(string_split(path, '/')) >= 2 THEN split_part(path, '/', 1) ELSE 'root' END AS boundary
+        FROM modules),
+nb AS (SELECT project, name, max(boundary) AS boundary FROM bnd GROUP BY project, name),
+core AS (
+  SELECT e.project, e.target AS name, CAST(e.source AS VARCHAR) || ' → ' || CAST(e.target AS VARCHAR) AS route,
+         'export' AS method, t.boundary AS module, s.boundary AS source_boundary
+  FROM edges e JOIN nb s ON s.project = e.project AND s.name = e.source
+  JOIN nb t ON t.project = e.project AND t.name = e.target
+  WHERE s.boundary <> t.boundary)
+"""
+
+
+def _modules(spark, sf):
+    return I.supplier_modules(spark, sf)
+
+
+def _edges(spark, sf):
+    return I.handoff_edges(spark, sf)
+
+
+@query("boundaries", "WITH " + SQL_GRAPH + """
+SELECT project, boundary, count(*) AS n_modules, string_agg(CAST(name AS VARCHAR), ', ' ORDER BY name) AS modules
+FROM bnd GROUP BY project, boundary""")
+def boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    m = _modules(spark, sf)
+    mb = S.module_boundaries(m)
+    return (mb.groupBy("project", "boundary")
+            .agg(F.count(F.lit(1)).alias("n_modules"),
+                 F.array_join(F.transform(F.array_sort(F.collect_list("name")), lambda x: x.cast("string")), ", ")
+                 .alias("modules")))
+
+
+@query("core_edges", "WITH " + SQL_GRAPH + " SELECT * FROM core")
+def core_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return S.core_apis(_modules(spark, sf), _edges(spark, sf))
+
+
+@query("boundary_matrix", "WITH " + SQL_GRAPH + """
+SELECT project, source_boundary, module AS target_boundary, count(*) AS n_edges
+FROM core GROUP BY project, source_boundary, module""")
+def boundary_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return S.boundary_matrix(S.core_apis(_modules(spark, sf), _edges(spark, sf)))
+
+
+@query("module_dependencies", "WITH " + SQL_GRAPH + """,
+deps AS (SELECT project, source AS name, count(DISTINCT target) AS n,
+                string_agg(DISTINCT CAST(target AS VARCHAR), ', ' ORDER BY CAST(target AS VARCHAR)) AS d
+         FROM edges GROUP BY project, source)
+SELECT m.project, m.name, coalesce(d.n, 0) AS n_dependencies, coalesce(d.d, '') AS dependencies
+FROM modules m LEFT JOIN deps d ON d.project = m.project AND d.name = m.name""")
+def module_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    r = S.module_dependencies(_modules(spark, sf), _edges(spark, sf))
+    return r.withColumn("n_dependencies", F.col("n_dependencies").cast("long"))
+
+
+@query("orphans", "WITH " + SQL_GRAPH + """
+SELECT m.project, m.name FROM modules m
+WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.project = m.project AND (e.source = m.name OR e.target = m.name))""")
+def orphans(spark: SparkSession, sf: str) -> DataFrame:
+    return S.orphans(_modules(spark, sf), _edges(spark, sf))
+
+
+@query("oversized", "WITH " + SQL_GRAPH + f"""
+SELECT project, name, n_exports FROM modules WHERE n_exports > {I.GOD_THRESHOLD}""")
+def oversized(spark: SparkSession, sf: str) -> DataFrame:
+    m = _modules(spark, sf)
+    return m.where(F.col("n_exports") > I.GOD_THRESHOLD).select("project", "name", "n_exports")
+
+
+SQL_DEPTH = ("(len(string_split(file, '/')) - CASE WHEN split_part(file, '/', 1) IN "
+             "('src', 'lib', 'app', 'source', 'sources') THEN 2 ELSE 1 END)")
+
+
+@query("deep_paths", "WITH " + I.SQL_PAGE_FILES + f"""
+SELECT project, file, {SQL_DEPTH} AS depth FROM page_files WHERE {SQL_DEPTH} > 4""")
+def deep_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return S.deep_files(I.page_files(spark, sf)).select("project", "file", F.col("depth").cast("long"))
+
+
+@query("entry_points", "WITH " + I.SQL_PAGE_FILES + f"""
+SELECT project, file FROM page_files
+WHERE regexp_matches(string_split(file, '/')[-1], '^(index|main|app|server|cli|bin)\\.') AND {SQL_DEPTH} <= 1""")
+def entry_points(spark: SparkSession, sf: str) -> DataFrame:
+    return S.entry_points(I.page_files(spark, sf)).select("project", "file")
+
+
+# --------------------------------------------------------------------------- G1 G2 A5
+
+SQL_SCC = "WITH RECURSIVE " + I.SQL_EDGES + """,
+e AS (SELECT DISTINCT project, source AS src, target AS dst FROM edges WHERE source <> target),
+reach(project, a, b) AS (
+  SELECT project, src, dst FROM e
+  UNION
+  SELECT r.project, r.a, e.dst FROM reach r JOIN e ON e.project = r.project AND e.src = r.b),
+mutual AS (SELECT r1.project, r1.a AS node, r1.b AS other FROM reach r1
+           JOIN reach r2 ON r1.project = r2.project AND r1.a = r2.b AND r1.b = r2.a WHERE r1.a <> r1.b),
+scc AS (SELECT project, node, least(node, min(other)) AS component, count(DISTINCT other) + 1 AS component_size
+        FROM mutual GROUP BY project, node)
+"""
+
+
+@query("cyclic_components", SQL_SCC + " SELECT project, node, component, component_size FROM scc")
+def cyclic_components(spark: SparkSession, sf: str) -> DataFrame:
+    return G.cyclic_components(_edges(spark, sf))
+
+
+@query("bounded_cycles", "WITH " + I.SQL_EDGES + """,
+e AS (SELECT DISTINCT project, source AS src, target AS dst FROM edges WHERE source <> target)
+SELECT e1.project, 2 AS length,
+       CAST(e1.src AS VARCHAR) || ' → ' || CAST(e1.dst AS VARCHAR) || ' → ' || CAST(e1.src AS VARCHAR) AS cycle
+FROM e e1 JOIN e e2 ON e2.project = e1.project AND e2.src = e1.dst AND e2.dst = e1.src
+WHERE e1.src < e1.dst
+UNION ALL
+SELECT e1.project, 3 AS length,
+       CAST(e1.src AS VARCHAR) || ' → ' || CAST(e1.dst AS VARCHAR) || ' → ' || CAST(e2.dst AS VARCHAR)
+         || ' → ' || CAST(e1.src AS VARCHAR) AS cycle
+FROM e e1 JOIN e e2 ON e2.project = e1.project AND e2.src = e1.dst
+JOIN e e3 ON e3.project = e1.project AND e3.src = e2.dst AND e3.dst = e1.src
+WHERE e1.src < e1.dst AND e2.dst > e1.src AND e2.dst <> e1.dst""")
+def bounded_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    return G.bounded_cycles(_edges(spark, sf), max_len=3)
+
+
+@query("health", SQL_SCC + "," + I.SQL_MODULES + f""",
+n_cyc AS (SELECT project, count(DISTINCT component) AS n FROM scc GROUP BY project),
+n_god AS (SELECT project, count(*) AS n FROM modules WHERE n_exports > {I.GOD_THRESHOLD} GROUP BY project),
+n_orph AS (SELECT m.project, count(*) AS n FROM modules m
+           WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.project = m.project AND (x.source = m.name OR x.target = m.name))
+           GROUP BY m.project),
+projects AS (SELECT DISTINCT project FROM modules)
+SELECT p.project,
+       CAST(greatest(0, 100 - 20 * coalesce(c.n, 0) - 15 * coalesce(g.n, 0) - 10 * coalesce(o.n, 0)) AS INTEGER) AS score,
+       coalesce(c.n, 0) AS n_cycle, coalesce(g.n, 0) AS n_god_module, coalesce(o.n, 0) AS n_orphan,
+       CAST(0 AS BIGINT) AS n_deep_file
+FROM projects p LEFT JOIN n_cyc c ON c.project = p.project LEFT JOIN n_god g ON g.project = p.project
+LEFT JOIN n_orph o ON o.project = p.project""")
+def health(spark: SparkSession, sf: str) -> DataFrame:
+    m = _modules(spark, sf)
+    e = _edges(spark, sf)
+    comps = G.component_summary(G.cyclic_components(e)).select(
+        "project", F.format_string("component of %d modules including %s", F.col("component_size"),
+                                   F.col("component").cast("string")).alias("cycle"))
+    gods = m.where(F.col("n_exports") > I.GOD_THRESHOLD)
+    issues = S.issue_rows(cycles=comps, gods=gods, orphan_mods=S.orphans(m, e), god_threshold=I.GOD_THRESHOLD)
+    return S.health(issues, m)
+
+
+@query("impact_levels", "WITH " + I.SQL_EDGES + "," + I.SQL_MODULES + """,
+aff AS (SELECT project, source AS name, count(DISTINCT target) AS n FROM edges WHERE source <> target
+        GROUP BY project, source),
+sym AS (SELECT m.project, m.name, lower(s.s_name) AS symbol, coalesce(a.n, 0) AS n_affected
+        FROM modules m JOIN supplier s ON s.s_suppkey = m.name
+        LEFT JOIN aff a ON a.project = m.project AND a.name = m.name)
+SELECT project, name, symbol, n_affected,
+       CASE WHEN (length(symbol) > 0 AND substr(symbol, 1, 1) = upper(substr(symbol, 1, 1))) OR n_affected > 3 THEN 'high'
+            WHEN n_affected >= 1 THEN 'medium' ELSE 'low' END AS impact_level
+FROM sym""")
+def impact_levels(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import impact_level
+    m = _modules(spark, sf)
+    e = _edges(spark, sf).where(F.col("source") != F.col("target"))
+    aff = (e.groupBy("project", F.col("source").alias("name"))
+           .agg(F.collect_set(F.col("target").cast("string")).alias("affected_modules")))
+    s = I.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("name"), F.lower("s_name").alias("symbol"))
+    j = m.join(s, "name").join(aff, ["project", "name"], "left")
+    am = F.coalesce("affected_modules", F.array().cast("array<string>"))
+    return j.select("project", "name", "symbol", F.size(am).cast("long").alias("n_affected"),
+                    impact_level("symbol", am).alias("impact_level"))

@@ -145,3 +145,59 @@ edges AS (
   FROM handoffs h JOIN order_project p ON p.l_orderkey = h.l_orderkey
   WHERE h.target IS NOT NULL)
 """
+
+
+# --------------------------------------------------------------------------- modules
+
+GOD_THRESHOLD = 40  # exports above which a supplier module counts as oversized here
+
+
+def supplier_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, name, path, n_exports): one module per supplier seen in a
+    project's lines; exports = distinct parts it shipped there."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+    per = (li.join(order_project(spark, sf_dir), "l_orderkey")
+           .groupBy("project", F.col("l_suppkey").alias("name"))
+           .agg(F.countDistinct("l_partkey").alias("n_exports")))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), "s_name", "s_nationkey")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    sn = s.join(F.broadcast(n), "s_nationkey")
+    return (per.join(sn, "name")
+            .select("project", "name", F.concat_ws("/", F.lit("src"), "n_name", "s_name").alias("path"),
+                    "n_exports"))
+
+
+SQL_MODULES = """
+modules AS (
+  SELECT p.project, l.l_suppkey AS name, 'src/' || n.n_name || '/' || s.s_name AS path,
+         count(DISTINCT l.l_partkey) AS n_exports
+  FROM lineitem l JOIN order_project p ON p.l_orderkey = l.l_orderkey
+  JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN nation n ON n.n_nationkey = s.s_nationkey
+  GROUP BY p.project, l.l_suppkey, n.n_name, s.s_name)
+"""
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as a file tree: (project = host, file = reversed host labels
+    + URL path, 'index.html' for a path ending in '/'), query and fragment
+    dropped."""
+    p = table(spark, sf_dir, "pages").select("url")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)?", 1)
+    path = F.when(path.endswith("/") | (path == ""), F.concat(path, F.lit("index.html"))).otherwise(path)
+    rev = F.array_join(F.reverse(F.split(host, r"\.")), "/")
+    return p.select(host.alias("project"), F.concat(rev, F.regexp_replace(
+        F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), "^/+", "/")).alias("file")).distinct()
+
+
+SQL_PAGE_FILES = """
+page_parts AS (
+  SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
+         regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)?', 1) AS p0 FROM pages),
+page_files AS (
+  SELECT DISTINCT host AS project,
+         array_to_string(list_reverse(string_split(host, '.')), '/')
+           || regexp_replace(CASE WHEN starts_with(p1, '/') THEN p1 ELSE '/' || p1 END, '^/+', '/') AS file
+  FROM (SELECT host, CASE WHEN ends_with(p0, '/') OR p0 = '' THEN p0 || 'index.html' ELSE p0 END AS p1
+        FROM page_parts))
+"""

@@ -39,7 +39,8 @@ def boundaries(modules: DataFrame, sep: str = ", ") -> DataFrame:
     module names sorted."""
     return (module_boundaries(modules).groupBy("project", "boundary")
             .agg(F.count(F.lit(1)).alias("n_modules"),
-                 F.array_join(F.array_sort(F.collect_list("name")), sep).alias("modules")))
+                 F.array_join(F.transform(F.array_sort(F.collect_list("name")), lambda x: x.cast("string")), sep)
+                 .alias("modules")))
 
 
 def _name_boundary(modules: DataFrame) -> DataFrame:
@@ -124,8 +125,9 @@ def issue_rows(cycles: DataFrame | None = None, gods: DataFrame | None = None,
                god_threshold: int = GOD_MODULE_EXPORTS, deep_threshold: int = DEEP_NEST_DEPTH) -> DataFrame:
     """Union of rule findings: (project, rule, rule_order, subject, issue, penalty).
 
-    ``cycles(project, cycle)`` holds one row per reported cycle (its text),
-    ``gods``/``orphan_mods(project, name)``, ``deep(project, file)``."""
+    ``cycles(project, component, component_size)`` holds one row per cyclic
+    component (see ``graph.component_summary``), ``gods``/``orphan_mods(project,
+    name)``, ``deep(project, file)``."""
     parts = []
 
     def add(df, rule, subject, text):
@@ -134,7 +136,10 @@ def issue_rows(cycles: DataFrame | None = None, gods: DataFrame | None = None,
                                subject.alias("subject"), text.alias("issue"),
                                F.lit(PENALTY[rule]).alias("penalty")))
     if cycles is not None:
-        add(cycles, "cycle", F.col("cycle"), F.format_string(ISSUE_TEXT["cycle"], F.col("cycle")))
+        add(cycles, "cycle", F.col("component").cast("string"),
+            F.format_string(ISSUE_TEXT["cycle"], F.format_string("component of %d modules including %s",
+                                                                   F.col("component_size"),
+                                                                   F.col("component").cast("string"))))
     if gods is not None:
         add(gods, "god_module", F.col("name").cast("string"),
             F.format_string(ISSUE_TEXT["god_module"], F.col("name").cast("string"), F.lit(god_threshold)))

@@ -22,7 +22,7 @@ def _edges(spark, pairs):
 
 def _score(spark, mods, pairs):
     m, e = _modules(spark, mods), _edges(spark, pairs)
-    comps = G.component_summary(G.cyclic_components(e)).select("project", F.col("component").alias("cycle"))
+    comps = G.component_summary(G.cyclic_components(e))
     files = S.module_files(m).withColumnRenamed("file", "file")
     issues = S.issue_rows(cycles=comps, gods=S.god_modules(m), orphan_mods=S.orphans(m, e), deep=S.deep_files(files))
     h = S.health(issues, m).first()

@@ -677,3 +677,178 @@ SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n_items, min(o_order
 FROM orders GROUP BY 1""")
 def month_index(spark: SparkSession, sf: str) -> DataFrame:
     return C.month_index(I.table(spark, sf, "orders"), "o_orderdate", "o_orderkey")
+
+
+# --------------------------------------------------------------------------- A6 A7 A8 A9 A10 P12
+
+from ..operators import inventory as INV  # noqa: E402
+from ..operators import quality as Q  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+SQL_STATUS = SQL_RENAMED + """,
+spec_docs AS (SELECT lang AS project, 'doc-' || CAST(doc_id AS VARCHAR) || '.md' AS name, text FROM documents),
+st AS (SELECT project, count(*) AS n_specs, sum(length(text)) AS index_size FROM spec_docs GROUP BY project),
+ch AS (SELECT project, count(*) AS active_changes FROM renamed GROUP BY project),
+tr AS (SELECT project, count(DISTINCT """ + I.SQL_MODULE + """) AS tracked_entries FROM old_f GROUP BY project),
+stale AS (SELECT o.project, count(*) AS n_stale FROM old_f o
+          WHERE NOT EXISTS (SELECT 1 FROM new_f n WHERE n.project = o.project AND n.path = o.path) GROUP BY o.project),
+conf AS (SELECT c.project, count(*) AS n_conflicts
+         FROM (SELECT DISTINCT project, 'doc-' || regexp_extract(path, '-(\\d+)\\.ts$', 1) || '.md' AS spec
+               FROM renamed WHERE status <> 'removed') c
+         JOIN spec_docs d ON d.project = c.project AND d.name = c.spec
+         WHERE NOT contains(d.text, '""" + MARKER + """') GROUP BY c.project),
+status AS (
+  SELECT st.project, st.n_specs, coalesce(ch.active_changes, 0) AS active_changes,
+         coalesce(tr.tracked_entries, 0) AS tracked_entries, st.index_size,
+         '(never)' AS last_ref,
+         CASE WHEN tr.tracked_entries IS NULL THEN '(never)' ELSE '""" + I.T_OLD.replace(" ", "T") + """.000Z' END AS last_at,
+         coalesce(stale.n_stale, 0) AS n_stale, coalesce(conf.n_conflicts, 0) AS n_conflicts
+  FROM st LEFT JOIN ch ON ch.project = st.project LEFT JOIN tr ON tr.project = st.project
+  LEFT JOIN stale ON stale.project = st.project LEFT JOIN conf ON conf.project = st.project)
+"""
+
+
+def _status(spark, sf):
+    docs = I.spec_docs(spark, sf)
+    old, new = I.old_files(spark, sf), I.new_files(spark, sf)
+    state = I.module_state(old, I.T_OLD)
+    changes = _renamed(spark, sf)
+    stale = snap.stale_entries(old.select("project", F.col("path").alias("key")), new, present_key="path")
+    conf = imp.detect_conflicts(_changed_specs(spark, sf), docs, marker=MARKER)
+    parts = [
+        docs.groupBy("project").agg(F.count(F.lit(1)).alias("n_specs"), F.sum(F.length("text")).alias("index_size")),
+        Q.count_by(changes, "active_changes"),
+        Q.count_by(state, "tracked_entries"),
+        Q.last_sync(state),
+        Q.count_by(stale, "n_stale"),
+        Q.count_by(conf, "n_conflicts"),
+    ]
+    out = Q.status_rollup(docs, parts, ["active_changes", "tracked_entries", "n_stale", "n_conflicts"])
+    return out.withColumn("last_ref", F.coalesce("last_ref", F.lit("(never)"))) \
+        .withColumn("last_at", F.coalesce("last_at", F.lit("(never)")))
+
+
+@query("status_rollup", "WITH " + SQL_STATUS + """
+SELECT project, n_specs, active_changes, tracked_entries, index_size, last_ref, last_at FROM status""")
+def status_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return _status(spark, sf).select("project", "n_specs", "active_changes", "tracked_entries",
+                                     F.col("index_size").cast("long"), "last_ref", "last_at")
+
+
+@query("check_tally", "WITH " + SQL_STATUS + """,
+checks AS (
+  SELECT project, CASE WHEN n_specs > 0 THEN 'pass' ELSE 'warn' END AS level FROM status
+  UNION ALL SELECT project, CASE WHEN tracked_entries > 0 THEN 'pass' ELSE 'warn' END FROM status
+  UNION ALL SELECT project, CASE WHEN n_stale = 0 THEN 'pass' ELSE 'warn' END FROM status
+  UNION ALL SELECT project, CASE WHEN n_conflicts = 0 THEN 'pass' ELSE 'fail' END FROM status)
+SELECT project, count(*) FILTER (WHERE level = 'pass') AS passed, count(*) FILTER (WHERE level = 'warn') AS warnings,
+       count(*) FILTER (WHERE level = 'fail') AS failures
+FROM checks GROUP BY project""")
+def check_tally(spark: SparkSession, sf: str) -> DataFrame:
+    s = _status(spark, sf)
+    checks = (Q.check_rows(s, "specs_present", F.when(F.col("n_specs") > 0, "pass").otherwise("warn"))
+              .unionByName(Q.check_rows(s, "state_present",
+                                        F.when(F.col("tracked_entries") > 0, "pass").otherwise("warn")))
+              .unionByName(Q.check_rows(s, "state_consistent", F.when(F.col("n_stale") == 0, "pass").otherwise("warn"),
+                                        F.format_string("%d stale sync entries", F.col("n_stale"))))
+              .unionByName(Q.check_rows(s, "no_conflicts", F.when(F.col("n_conflicts") == 0, "pass").otherwise("fail"))))
+    return Q.check_tally(checks)
+
+
+ORDER_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+ORDER_STATUSES = ["F", "O", "P"]
+
+
+@query("row_validation", """
+WITH v AS (SELECT o_orderkey,
+  CASE WHEN o_orderpriority IS NULL OR o_orderpriority NOT IN ('""" + "', '".join(ORDER_PRIORITIES) + """') THEN 1 ELSE 0 END AS bad_priority,
+  CASE WHEN o_orderstatus IS NULL OR o_orderstatus NOT IN ('""" + "', '".join(ORDER_STATUSES) + """') THEN 1 ELSE 0 END AS bad_status,
+  CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END AS no_customer FROM orders)
+SELECT 'o_orderpriority' AS field, sum(bad_priority) AS n_issues FROM v
+UNION ALL SELECT 'o_orderstatus', sum(bad_status) FROM v
+UNION ALL SELECT 'o_custkey', sum(no_customer) FROM v""")
+def row_validation(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [Q.one_of("o_orderpriority", ORDER_PRIORITIES, "o_orderpriority"),
+             Q.one_of("o_orderstatus", ORDER_STATUSES, "o_orderstatus"),
+             F.when(F.col("o_custkey").isNull(), F.lit("o_custkey"))]
+    v = Q.validate_rows(I.table(spark, sf, "orders"), rules)
+    agg = v.agg(*[F.count(F.when(F.array_contains("issues", f), 1)).alias(f) for f in
+                  ("o_orderpriority", "o_orderstatus", "o_custkey")])
+    return agg.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("n_issues"))
+                                          for f in ("o_orderpriority", "o_orderstatus", "o_custkey")])).alias("r")) \
+        .select("r.field", "r.n_issues")
+
+
+PROPS_TYPE = T.StructType([T.StructField("k", T.LongType()), T.StructField("channel", T.StringType()),
+                           T.StructField("flags", T.StructType([T.StructField("beta", T.BooleanType())]))])
+PROPS_DEFAULTS = {"k": -1, "channel": "web", "flags": {"beta": False}}
+
+
+@query("event_defaults", """
+SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k,
+       coalesce(json_extract_string(props, '$.channel'), 'web') AS channel,
+       coalesce(TRY_CAST(json_extract_string(props, '$.flags.beta') AS BOOLEAN), false) AS beta
+FROM events""")
+def event_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    ev = I.table(spark, sf, "events").select("event_id", F.from_json("props", PROPS_TYPE).alias("cfg"))
+    r = Q.with_defaults(ev, "cfg", PROPS_DEFAULTS, PROPS_TYPE)
+    return r.select("event_id", "cfg.k", "cfg.channel", F.col("cfg.flags.beta").alias("beta"))
+
+
+# --------------------------------------------------------------------------- S2 J12
+
+@query("inventory_modules", "WITH " + I.SQL_SNAPSHOTS + """
+SELECT project, split_part(path, '/', 2) AS name, 'src/' || split_part(path, '/', 2) AS path, count(*) AS n_files
+FROM new_f WHERE len(string_split(path, '/')) >= 3 GROUP BY 1, 2, 3""")
+def inventory_modules(spark: SparkSession, sf: str) -> DataFrame:
+    return INV.modules_from_files(I.new_files(spark, sf).select("project", "path"))
+
+
+@query("source_dir", "WITH " + I.SQL_SNAPSHOTS + "," + I.SQL_PAGE_FILES + """,
+files AS (SELECT project, path FROM new_f UNION ALL SELECT project, file FROM page_files),
+dirs AS (SELECT DISTINCT project, split_part(path, '/', 1) AS d FROM files WHERE len(string_split(path, '/')) >= 2),
+ranked AS (SELECT project, arg_min(d, list_position(['src', 'lib', 'app', 'main'], d)) AS src_dir
+           FROM dirs WHERE d IN ('src', 'lib', 'app', 'main') GROUP BY project)
+SELECT p.project, coalesce(r.src_dir, '.') AS src_dir
+FROM (SELECT DISTINCT project FROM files) p LEFT JOIN ranked r ON r.project = p.project""")
+def source_dir(spark: SparkSession, sf: str) -> DataFrame:
+    files = (I.new_files(spark, sf).select("project", "path")
+             .unionByName(I.page_files(spark, sf).select("project", F.col("file").alias("path"))))
+    return INV.source_dir(spark, files)
+
+
+# --------------------------------------------------------------------------- T1-T5
+
+from ..streaming import debounce as D  # noqa: E402
+
+SESSION_GAP_S = 7200
+TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+SQL_SESSIONS = f"""
+WITH ev AS (SELECT user_id, ts, event_type,
+                   CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL {SESSION_GAP_S} SECOND
+                        THEN 0 ELSE 1 END AS new_s, event_id FROM events),
+g AS (SELECT *, sum(new_s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM ev)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n_events
+FROM g GROUP BY user_id, sid"""
+
+
+@query("sessions", SQL_SESSIONS)
+def sessions(spark: SparkSession, sf: str) -> DataFrame:
+    ev = I.table(spark, sf, "events").select("user_id", "ts")
+    s = D.sessionize(ev, ["user_id"], "ts", SESSION_GAP_S)
+    return s.select("user_id", F.date_format("session_start", TS_FMT).alias("session_start"),
+                    F.date_format("session_end", TS_FMT).alias("session_end"), "n_events")
+
+
+@query("sessions_stream", SQL_SESSIONS)
+def sessions_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = I.table(spark, sf, "events").schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{sf}/events*.parquet"))
+    batches = D.debounced_batches(stream.withColumn("user_id", F.col("user_id")), gap=f"{SESSION_GAP_S} seconds",
+                                  watermark="1 hour", keys=["user_id"], item_col="event_type")
+    path = D.stream_to_table(spark, batches, "sessions", output_mode="complete")
+    out = spark.read.parquet(path)
+    return out.select("user_id", F.date_format("first_ts", TS_FMT).alias("session_start"),
+                      F.date_format("last_ts", TS_FMT).alias("session_end"), "n_events")

@@ -180,7 +180,7 @@ def checklist_completion(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     items = lines.where(F.col("line").rlike(CHECKLIST)).withColumn(
         "_done", F.lower(F.regexp_extract("line", CHECKLIST, 1)) == "x")
     return (items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tasks"),
-                                    F.count(F.when("_done", 1)).alias("n_done"))
+                                    F.count(F.when(F.col("_done"), 1)).alias("n_done"))
             .withColumn("complete", F.col("n_tasks") == F.col("n_done")))
 
 

@@ -1,20 +1,26 @@
 """Exact case-insensitive substring containment join without all pairs.
 
-``needle`` is contained in ``text`` only if every character n-gram of the
-needle occurs in the text. Each needle therefore picks its rarest n-gram
-(fewest texts holding it, counted on the data), the texts are joined to the
-needles on that one n-gram (an equi join, so a hash or sort-merge join), and
-only those candidate pairs are checked with ``contains``. No group is ever
-paired with all of another group, and the result is exact:
-
-* needles of length >= n use n-grams of length n,
-* shorter needles use themselves as the gram (texts emit their 1- and
-  2-grams too, restricted to grams some needle asks for),
-* the empty needle is contained in every text (as ``contains(x, '')``), so it
-  is paired with every text of its group - that is the result, not a shortcut.
-
-Texts only emit grams that some needle uses (semi join), and distinct grams
-per text, so a long text costs one row per distinct useful gram.
+A needle can only be inside a text if the text holds every *key* the needle
+implies. Two kinds of keys are used:
+
+* word keys - an interior word of the needle (a run of letters, digits or
+  '_' with a non-word character on both sides inside the needle) is a whole
+  word of any text that contains the needle;
+* gram keys - every character n-gram of the needle is in the text (needles
+  shorter than n use themselves as the gram).
+
+Needles with an interior word use word keys (rarer, and far fewer per text),
+the others gram keys. Each needle picks its rarest key (fewest texts holding
+it, counted on the data), texts are equi-joined to needles on that key, and
+only those candidate pairs are checked with ``contains``. The empty needle is
+in every text of its group (as ``contains(x, '')``); those pairs are the
+answer, not a shortcut. No group is paired with all of another.
+
+The needle side is written once (it is the small side) and the number of
+distinct wanted keys is counted: up to ``literal_limit`` keys they are
+shipped to the tasks as one literal array and intersected inside each text's
+key array (no explode of unwanted keys); above it the keys are exploded and
+semi-joined.
 """
 
 from __future__ import annotations
@@ -24,7 +30,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 GRAM = 3
+LITERAL_LIMIT = 20_000
+W = r"\p{L}\p{N}_"
+WORD = f"[{W}]+"
+INTERIOR = f"(?<=[^{W}])[{W}]+(?=[^{W}])"
 
 
 def _grams(text_col: str, n: int):
@@ -33,17 +45,17 @@ def _grams(text_col: str, n: int):
     return F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
+def _words(text_col: str):
+    return F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0))
+
+
 def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_col: str,
                   group: Sequence[str] = (), text_keys: Sequence[str] = (), needle_keys: Sequence[str] = (),
-                  case_insensitive: bool = True, n: int = GRAM,
-                  short_needles: bool | None = None) -> DataFrame:
+                  case_insensitive: bool = True, n: int = GRAM, literal_limit: int = LITERAL_LIMIT) -> DataFrame:
     """Pairs (group, text_keys, needle_keys) where the needle is a substring
     of the text (after lower-casing both when ``case_insensitive``).
-
     ``texts`` must be unique on ``group + text_keys`` and ``needles`` on
-    ``group + needle_keys``. ``short_needles`` says whether needles shorter
-    than ``n`` exist (texts then also emit shorter grams); ``None`` checks.
-    """
+    ``group + needle_keys``."""
     out_group = list(group)
     tk, nk = list(text_keys), list(needle_keys)
     low = F.lower if case_insensitive else (lambda c: c)
@@ -53,34 +65,62 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_co
     if not group:  # one fleet-wide group
         t, nd, group = t.withColumn("_grp", F.lit(0)), nd.withColumn("_grp", F.lit(0)), ["_grp"]
 
-    # the empty needle is in every text of its group: that is the answer
-    empty = nd.where(F.length("_needle") == 0).drop("_needle")
+    nd = materialize(nd.withColumn("_words", F.array_distinct(
+        F.regexp_extract_all("_needle", F.lit(INTERIOR), 0))))
+
+    empty = nd.where(F.length("_needle") == 0).select(*group, *nk)
     pairs_empty = empty.join(t.select(*group, *tk), group)
 
-    nz = nd.where(F.length("_needle") > 0).withColumn(
-        "_glen", F.least(F.length("_needle"), F.lit(n)))
-    short = F.col("_glen") < n
-    ngrams = nz.select(*group, *nk, "_glen", F.explode(
-        F.when(short, F.array(F.col("_needle"))).otherwise(_grams("_needle", n))).alias("_g"))
-    wanted = ngrams.select(*group, "_g").distinct()
-
-    # distinct grams of each text of every length a needle uses, kept only if wanted
-    lens = [n]
-    if short_needles is None:  # one boolean for the plan, not data
-        short_needles = nz.where(F.col("_glen") < n).limit(1).count() > 0
-    if short_needles:
-        lens = list(range(1, n + 1))
-    grams = F.array_distinct(F.concat(*[_grams("_text", k) for k in lens])) if len(lens) > 1 \
-        else _grams("_text", n)
-    tg = t.select(*group, *tk, F.explode(grams).alias("_g"))
-    tg = tg.join(wanted, group + ["_g"], "left_semi")
-
-    freq = tg.groupBy(*group, "_g").agg(F.count(F.lit(1)).alias("_df"))
-    chosen = (ngrams.join(freq, group + ["_g"])
+    nz = nd.where(F.length("_needle") > 0)
+    by_word = nz.where(F.size("_words") > 0).select(*group, *nk, F.lit("w").alias("_kind"),
+                                                     F.explode("_words").alias("_k"))
+    gram_needles = nz.where(F.size("_words") == 0)
+    glen = F.least(F.length("_needle"), F.lit(n))
+    by_gram = gram_needles.select(*group, *nk, F.lit("g").alias("_kind"), F.explode(
+        F.when(F.length("_needle") < n, F.array("_needle")).otherwise(_grams("_needle", n))).alias("_k"))
+    nkeys = by_word.unionByName(by_gram)
+
+    # plan choices from the small, already written needle side
+    stats = nz.agg(F.count(F.when(F.size("_words") > 0, 1)).alias("w"),
+                   F.count(F.when(F.size("_words") == 0, 1)).alias("g"),
+                   F.count(F.when((F.size("_words") == 0) & (glen < n), 1)).alias("s")).first()
+    use_words, use_grams, short = stats["w"] > 0, stats["g"] > 0, stats["s"] > 0
+    wanted = nkeys.select("_kind", "_k").distinct()
+    n_wanted = wanted.count()
+
+    parts = []
+    lit_keys = None
+    if n_wanted <= literal_limit:  # size-checked: the key set goes to the tasks as one literal
+        rows = wanted.collect()
+        lit_keys = {kind: [r["_k"] for r in rows if r["_kind"] == kind] for kind in ("w", "g")}
+    if use_words:
+        arr = _words("_text")
+        if lit_keys is not None:
+            arr = F.array_intersect(arr, F.array(*[F.lit(x) for x in lit_keys["w"]]).cast("array<string>"))
+        parts.append(t.select(*group, *tk, F.lit("w").alias("_kind"), F.explode(arr).alias("_k")))
+    if use_grams:
+        lens = list(range(1, n + 1)) if short else [n]
+        arr = F.array_distinct(F.concat(*[_grams("_text", k) for k in lens])) if len(lens) > 1 else _grams("_text", n)
+        if lit_keys is not None:
+            arr = F.array_intersect(arr, F.array(*[F.lit(x) for x in lit_keys["g"]]).cast("array<string>"))
+        parts.append(t.select(*group, *tk, F.lit("g").alias("_kind"), F.explode(arr).alias("_k")))
+    if not parts:
+        return pairs_empty.select(*out_group, *tk, *nk)
+    tkeys = parts[0]
+    for p in parts[1:]:
+        tkeys = tkeys.unionByName(p)
+    if lit_keys is None:
+        tkeys = tkeys.join(wanted, ["_kind", "_k"], "left_semi")
+    else:
+        tkeys = materialize(tkeys)  # small once filtered; read by both branches below
+
+    freq = tkeys.groupBy(*group, "_kind", "_k").agg(F.count(F.lit(1)).alias("_df"))
+    chosen = (nkeys.join(freq, group + ["_kind", "_k"])
               .groupBy(*group, *nk)
-              .agg(F.min(F.struct("_df", "_g")).getField("_g").alias("_g")))
-    cand = chosen.join(tg, group + ["_g"]).drop("_g")
+              .agg(F.min(F.struct("_df", "_kind", "_k")).alias("_c"))
+              .select(*group, *nk, F.col("_c._kind").alias("_kind"), F.col("_c._k").alias("_k")))
+    cand = chosen.join(tkeys, group + ["_kind", "_k"]).select(*group, *tk, *nk)
     checked = (cand.join(t, group + tk).join(nz.select(*group, *nk, "_needle"), group + nk)
                .where(F.col("_text").contains(F.col("_needle")))
-               .select(*group, *tk, *nk))
-    return checked.select(*out_group, *tk, *nk).unionByName(pairs_empty.select(*out_group, *tk, *nk))
+               .select(*out_group, *tk, *nk))
+    return checked.unionByName(pairs_empty.select(*out_group, *tk, *nk))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import module_of
+from ..session import materialize
 from ..operators import impact as imp
 from ..operators import snapshot as snap
 from ..operators.mentions import contains_join
@@ -35,7 +35,8 @@ def query(name: str, sql: str | None = None):
 # --------------------------------------------------------------------------- shared pieces
 
 def _changes(spark, sf):
-    return snap.diff_snapshots(I.old_files(spark, sf), I.new_files(spark, sf))
+    # the change set feeds several branches (renames, symbols, specs): written once
+    return materialize(snap.diff_snapshots(I.old_files(spark, sf), I.new_files(spark, sf)))
 
 
 def _renamed(spark, sf):

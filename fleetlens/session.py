@@ -58,3 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Write ``df`` to the reliable checkpoint folder and return the
+    re-read DataFrame. Used where one intermediate result feeds several
+    branches of a plan (Catalyst rewrites each branch differently, so the
+    shuffle of a shared sub-plan is not reused) and to cut lineage in
+    iterative jobs. Reliable checkpoints survive the loss of an executor."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -16,11 +16,11 @@ only those candidate pairs are checked with ``contains``. The empty needle is
 in every text of its group (as ``contains(x, '')``); those pairs are the
 answer, not a shortcut. No group is paired with all of another.
 
-The needle side is written once (it is the small side) and the number of
-distinct wanted keys is counted: up to ``literal_limit`` keys they are
-shipped to the tasks as one literal array and intersected inside each text's
-key array (no explode of unwanted keys); above it the keys are exploded and
-semi-joined.
+The needle side is written once (it is the small side). At most
+``literal_limit`` + 1 distinct wanted keys are fetched: when they fit, that
+proven-small key set is broadcast and the texts' keys are semi-joined to it
+in the scan stage (a broadcast hash probe, no shuffle of text keys); above
+the limit the semi join is left to the planner (shuffle or AQE broadcast).
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def _grams(text_col: str, n: int):
 
 
 def _words(text_col: str):
-    return F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0))
+    return F.array_distinct(F.split(F.col(text_col), f"[^{W}]+"))
 
 
 def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_col: str,
@@ -80,38 +80,35 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_co
         F.when(F.length("_needle") < n, F.array("_needle")).otherwise(_grams("_needle", n))).alias("_k"))
     nkeys = by_word.unionByName(by_gram)
 
-    # plan choices from the small, already written needle side
-    stats = nz.agg(F.count(F.when(F.size("_words") > 0, 1)).alias("w"),
-                   F.count(F.when(F.size("_words") == 0, 1)).alias("g"),
-                   F.count(F.when((F.size("_words") == 0) & (glen < n), 1)).alias("s")).first()
-    use_words, use_grams, short = stats["w"] > 0, stats["g"] > 0, stats["s"] > 0
+    # plan choices from the small, already written needle side: at most
+    # literal_limit + 1 distinct keys are fetched, so the driver never holds more
     wanted = nkeys.select("_kind", "_k").distinct()
-    n_wanted = wanted.count()
-
+    rows = wanted.limit(literal_limit + 1).collect()
     parts = []
-    lit_keys = None
-    if n_wanted <= literal_limit:  # size-checked: the key set goes to the tasks as one literal
-        rows = wanted.collect()
-        lit_keys = {kind: [r["_k"] for r in rows if r["_kind"] == kind] for kind in ("w", "g")}
+    small = len(rows) <= literal_limit
+    if small:  # size-checked: this key set is broadcast
+        kinds = {r["_kind"] for r in rows}
+        use_words, use_grams = "w" in kinds, "g" in kinds
+        short = any(len(r["_k"]) < n for r in rows if r["_kind"] == "g")
+        wanted = F.broadcast(texts.sparkSession.createDataFrame(rows, "_kind string, _k string"))
+    else:
+        stats = nz.agg(F.count(F.when(F.size("_words") > 0, 1)).alias("w"),
+                       F.count(F.when(F.size("_words") == 0, 1)).alias("g"),
+                       F.count(F.when((F.size("_words") == 0) & (glen < n), 1)).alias("s")).first()
+        use_words, use_grams, short = stats["w"] > 0, stats["g"] > 0, stats["s"] > 0
     if use_words:
-        arr = _words("_text")
-        if lit_keys is not None:
-            arr = F.array_intersect(arr, F.array(*[F.lit(x) for x in lit_keys["w"]]).cast("array<string>"))
-        parts.append(t.select(*group, *tk, F.lit("w").alias("_kind"), F.explode(arr).alias("_k")))
+        parts.append(t.select(*group, *tk, F.lit("w").alias("_kind"), F.explode(_words("_text")).alias("_k")))
     if use_grams:
         lens = list(range(1, n + 1)) if short else [n]
         arr = F.array_distinct(F.concat(*[_grams("_text", k) for k in lens])) if len(lens) > 1 else _grams("_text", n)
-        if lit_keys is not None:
-            arr = F.array_intersect(arr, F.array(*[F.lit(x) for x in lit_keys["g"]]).cast("array<string>"))
         parts.append(t.select(*group, *tk, F.lit("g").alias("_kind"), F.explode(arr).alias("_k")))
     if not parts:
         return pairs_empty.select(*out_group, *tk, *nk)
     tkeys = parts[0]
     for p in parts[1:]:
         tkeys = tkeys.unionByName(p)
-    if lit_keys is None:
-        tkeys = tkeys.join(wanted, ["_kind", "_k"], "left_semi")
-    else:
+    tkeys = tkeys.join(wanted, ["_kind", "_k"], "left_semi")
+    if small:
         tkeys = materialize(tkeys)  # small once filtered; read by both branches below
 
     freq = tkeys.groupBy(*group, "_kind", "_k").agg(F.count(F.lit(1)).alias("_df"))

@@ -353,11 +353,12 @@ core AS (
 
 
 def _modules(spark, sf):
-    return I.supplier_modules(spark, sf)
+    # read by several rules of one query (boundaries, oversized, orphans, projects): written once
+    return materialize(I.supplier_modules(spark, sf))
 
 
 def _edges(spark, sf):
-    return I.handoff_edges(spark, sf)
+    return materialize(I.handoff_edges(spark, sf))
 
 
 @query("boundaries", "WITH " + SQL_GRAPH + """

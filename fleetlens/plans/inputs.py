@@ -32,8 +32,25 @@ T_OLD = "2024-01-01 00:00:00"
 T_NEW = "2024-06-01 12:00:00"
 
 
+# Tables whose rows carry long texts: per-row work on them (hashing, regex
+# scans) is heavy, so their scan must not run as a handful of tasks.
+TEXT_TABLES = {"documents", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over all cores when it yields fewer splits than
+    there are cores (one large row group, as in the driver's files). A
+    cluster reading thousands of files already has more splits than cores,
+    and then nothing changes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 # --------------------------------------------------------------------------- snapshots

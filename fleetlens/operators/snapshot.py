@@ -61,25 +61,28 @@ def pair_renames(changes: DataFrame, group: Sequence[str] = ("project",), key: s
     ``renamed`` row (``key`` = new key, ``previous_<key>`` = old key).
 
     A hash must occur exactly once among the removed and exactly once among
-    the added entries of its group; other rows are left as they are. The
-    uniqueness filter is a partial aggregation, so a hot hash (an empty file
-    repeated a million times) is dropped before any join.
+    the added entries of its group; other rows are left as they are. One
+    aggregation on (group, hash) with map-side combine finds the pairs, so a
+    hot hash (an empty file repeated a million times) collapses before the
+    shuffle and is dropped; the paired rows are then removed with an anti
+    join on (group, key, status), which is uniformly distributed.
     """
     group = list(group)
     prev = f"previous_{key}"
-    removed = (changes.where(F.col("status") == "removed")
-               .groupBy(*group, F.col("old_hash").alias("_h"))
-               .agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias(prev))
-               .where(F.col("_n") == 1).drop("_n"))
-    added = (changes.where(F.col("status") == "added")
-             .groupBy(*group, F.col("new_hash").alias("_h"))
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias(key))
-             .where(F.col("_n") == 1).drop("_n"))
-    pairs = removed.join(added, group + ["_h"])
+    is_rem, is_add = F.col("status") == "removed", F.col("status") == "added"
+    cand = changes.where(is_rem | is_add).select(
+        *group, F.when(is_rem, F.col("old_hash")).otherwise(F.col("new_hash")).alias("_h"),
+        F.when(is_rem, F.col(key)).alias("_old"), F.when(is_add, F.col(key)).alias("_new"))
+    pairs = (cand.groupBy(*group, "_h")
+             .agg(F.count("_old").alias("_nr"), F.count("_new").alias("_na"),
+                  F.min("_old").alias(prev), F.min("_new").alias(key))
+             .where((F.col("_nr") == 1) & (F.col("_na") == 1)))
     renamed = pairs.select(*group, key, F.lit("renamed").alias("status"), prev,
                            F.col("_h").alias("old_hash"), F.col("_h").alias("new_hash"))
-    gone = (pairs.select(*group, F.col(key), F.lit("added").alias("status"))
-            .unionByName(pairs.select(*group, F.col(prev).alias(key), F.lit("removed").alias("status"))))
+    gone = pairs.select(*group, F.explode(F.array(
+        F.struct(F.col(key).alias(key), F.lit("added").alias("status")),
+        F.struct(F.col(prev).alias(key), F.lit("removed").alias("status")))).alias("_g")) \
+        .select(*group, F.col(f"_g.{key}").alias(key), F.col("_g.status").alias("status"))
     rest = (changes.join(gone, group + [key, "status"], "left_anti")
             .withColumn(prev, F.lit(None).cast("string")))
     return rest.unionByName(renamed.select(*rest.columns))

@@ -40,7 +40,8 @@ def _changes(spark, sf):
 
 
 def _renamed(spark, sf):
-    return snap.pair_renames(_changes(spark, sf))
+    # the reconciled change set feeds symbols, specs and reports: written once
+    return materialize(snap.pair_renames(_changes(spark, sf)))
 
 
 def _symbols(spark, sf):
@@ -854,3 +855,46 @@ def sessions_stream(spark: SparkSession, sf: str) -> DataFrame:
     out = spark.read.parquet(path)
     return out.select("user_id", F.date_format("first_ts", TS_FMT).alias("session_start"),
                       F.date_format("last_ts", TS_FMT).alias("session_end"), "n_events")
+
+
+# --------------------------------------------------------------------------- S11 G6 F3 A14
+
+from ..sources import sinks as SK  # noqa: E402
+
+
+@query("status_json", "WITH " + SQL_STATUS + """
+SELECT project, to_json({'project': project, 'n_specs': n_specs, 'active_changes': active_changes,
+                         'tracked_entries': tracked_entries, 'last_ref': last_ref, 'last_at': last_at}) AS json
+FROM status""")
+def status_json(spark: SparkSession, sf: str) -> DataFrame:
+    s = _status(spark, sf).select("project", "n_specs", "active_changes", "tracked_entries", "last_ref", "last_at")
+    return SK.status_json(s)
+
+
+@query("call_edges", "WITH " + I.SQL_EDGES + "," + I.SQL_MODULES + f""",
+god AS (SELECT project, name FROM modules WHERE n_exports > {I.GOD_THRESHOLD})
+SELECT e.project, e.source, e.target, g.name AS symbol FROM edges e JOIN god g ON g.project = e.project AND e.source = g.name
+UNION
+SELECT e.project, e.source, e.target, g.name FROM edges e JOIN god g ON g.project = e.project AND e.target = g.name""")
+def call_edges(spark: SparkSession, sf: str) -> DataFrame:
+    m = _modules(spark, sf)
+    gods = m.where(F.col("n_exports") > I.GOD_THRESHOLD).select("project", "name")
+    return S.call_edges(_edges(spark, sf), gods).select("project", "source", "target", "symbol")
+
+
+SQL_WATCH_INCLUDE = r"^src/(.+/)?[^/]+\.(" + "|".join(D.SOURCE_EXTENSIONS) + r")$"
+SQL_WATCH_EXCLUDE = r"(^|/)(" + "|".join(d.replace(".", r"\.") for d in D.IGNORED_DIRS) + r")(/|$)"
+
+
+@query("watched_files", "WITH " + I.SQL_SNAPSHOTS + f"""
+SELECT project, path, status FROM changes
+WHERE regexp_matches(path, '{SQL_WATCH_INCLUDE}') AND NOT regexp_matches(path, '{SQL_WATCH_EXCLUDE}')""")
+def watched_files(spark: SparkSession, sf: str) -> DataFrame:
+    return D.file_events(_changes(spark, sf)).select("project", "path", "status")
+
+
+@query("note_counts", """
+SELECT lang AS project, source AS kind, count(*) AS n_notes FROM documents GROUP BY 1, 2""")
+def note_counts(spark: SparkSession, sf: str) -> DataFrame:
+    d = I.table(spark, sf, "documents").select(F.col("lang").alias("project"), F.col("source").alias("kind"))
+    return d.groupBy("project", "kind").agg(F.count(F.lit(1)).alias("n_notes"))

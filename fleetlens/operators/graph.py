@@ -28,7 +28,7 @@ recomputed from the last checkpoint.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -45,10 +45,6 @@ def _ckpt(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _empty(df: DataFrame) -> bool:
-    return len(df.take(1)) == 0
-
-
 def simple_edges(edges: DataFrame) -> DataFrame:
     """Distinct (project, src, dst) without self-loops."""
     return (edges.select(P, F.col("source").alias("src"), F.col("target").alias("dst"))
@@ -57,7 +53,8 @@ def simple_edges(edges: DataFrame) -> DataFrame:
 
 class _Budget:
     """Step counter with the iteration limit, plus the persist / checkpoint
-    policy of the loop."""
+    policy of the loop. ``keep`` writes a step and returns the loop-control
+    number observed while writing it (``Observation``), so a step is one job."""
 
     def __init__(self, max_iter: int, checkpoint_every: int = 1):
         self.left = max_iter
@@ -72,17 +69,22 @@ class _Budget:
         if self.left < 0:
             raise IterationLimitExceeded(f"cyclic_components needed more than {self.steps - 1} steps")
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Persist a step result; every ``every`` calls write it to the
-        reliable checkpoint folder instead and release the cached steps."""
+    def keep(self, df: DataFrame, metric=None):
+        """Persist a step result (reliable checkpoint every ``every`` calls,
+        releasing the cached steps). Returns (df, value of ``metric``)."""
+        obs = None
+        if metric is not None:
+            obs = Observation()
+            df = df.observe(obs, metric.alias("m"))
         self.since += 1
         if self.since >= self.every:
             out = _ckpt(df)
             self.release()
-            return out
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.held.append(df)
-        return df
+        else:
+            out = df.persist(StorageLevel.MEMORY_AND_DISK)
+            out.count()
+            self.held.append(out)
+        return out, (obs.get["m"] if obs is not None else None)
 
     def release(self):
         for d in self.held:
@@ -91,8 +93,12 @@ class _Budget:
         self.since = 0
 
 
-def _trim(e: DataFrame, budget: _Budget) -> DataFrame:
-    n = e.count()
+def _rows():
+    return F.count(F.lit(1))
+
+
+def _trim(e: DataFrame, n: int, budget: _Budget) -> tuple[DataFrame, int]:
+    """Drop edges of nodes without an in- or an out-edge until stable."""
     while n:
         budget.tick()
         # nodes with both an in- and an out-edge, from one degree aggregation
@@ -102,18 +108,17 @@ def _trim(e: DataFrame, budget: _Budget) -> DataFrame:
                 .where((F.col("_o") == 1) & (F.col("_i") == 1)).select(P, "_n"))
         t = (e.join(keep.withColumnRenamed("_n", "src"), [P, "src"], "left_semi")
              .join(keep.withColumnRenamed("_n", "dst"), [P, "dst"], "left_semi"))
-        t = budget.keep(t)
-        m = t.count()
+        t, m = budget.keep(t, _rows())
         e = t
         if m == n:
             break
         n = m
-    return e
+    return e, n
 
 
 def _colour(e: DataFrame, budget: _Budget) -> DataFrame:
     nodes = e.select(P, F.col("src").alias("node")).union(e.select(P, F.col("dst").alias("node"))).distinct()
-    col = budget.keep(nodes.withColumn("c", F.col("node")))
+    col, _ = budget.keep(nodes.withColumn("c", F.col("node")))
     while True:
         budget.tick()
         # own colour and incoming colours meet in one aggregation (one shuffle)
@@ -122,8 +127,7 @@ def _colour(e: DataFrame, budget: _Budget) -> DataFrame:
         nxt = (col.select(P, "node", "c", F.col("c").alias("_own")).unionByName(msg)
                .groupBy(P, "node").agg(F.max("c").alias("c"), F.max("_own").alias("_own"))
                .select(P, "node", "c", (F.col("c") > F.col("_own")).alias("_chg")))
-        nxt = budget.keep(nxt)
-        changed = nxt.where("_chg").count()
+        nxt, changed = budget.keep(nxt, F.count(F.when(F.col("_chg"), 1)))
         col = nxt.drop("_chg")
         if changed == 0:
             return col
@@ -136,17 +140,17 @@ def _backward(e: DataFrame, col: DataFrame, budget: _Budget) -> DataFrame:
           .where(F.col("_cs") == F.col("_cd"))
           .select(P, "src", "dst", F.col("_cs").alias("c")))
     ec = _ckpt(ec)
-    reach = budget.keep(col.where(F.col("node") == F.col("c")))
+    reach, _ = budget.keep(col.where(F.col("node") == F.col("c")))
     frontier = reach
     while True:
         budget.tick()
         step = (ec.join(frontier.select(P, F.col("node").alias("dst"), "c"), [P, "dst", "c"])
                 .select(P, F.col("src").alias("node"), "c").distinct()
                 .join(reach, [P, "node", "c"], "left_anti"))
-        step = budget.keep(step)
-        if _empty(step):
+        step, found = budget.keep(step, _rows())
+        if found == 0:
             return reach
-        reach = budget.keep(reach.unionByName(step))
+        reach, _ = budget.keep(reach.unionByName(step))
         frontier = step
 
 
@@ -158,11 +162,13 @@ def cyclic_components(edges: DataFrame, max_iter: int = 10_000, checkpoint_every
     is the smallest node of the component.
     """
     budget = _Budget(max_iter, checkpoint_every)
-    e = _ckpt(simple_edges(edges))
+    obs = Observation()
+    e = _ckpt(simple_edges(edges).observe(obs, _rows().alias("m")))
+    n = obs.get["m"]
     found: list[DataFrame] = []
     while True:
-        e = _trim(e, budget)
-        if _empty(e):
+        e, n = _trim(e, n, budget)
+        if n == 0:
             break
         col = _colour(e, budget)
         scc = _backward(e, col, budget)
@@ -171,7 +177,9 @@ def cyclic_components(edges: DataFrame, max_iter: int = 10_000, checkpoint_every
         gone = scc.select(P, "node")
         e = (e.join(gone.withColumnRenamed("node", "src"), [P, "src"], "left_anti")
              .join(gone.withColumnRenamed("node", "dst"), [P, "dst"], "left_anti"))
-        e = _ckpt(e)
+        obs = Observation()
+        e = _ckpt(e.observe(obs, _rows().alias("m")))
+        n = obs.get["m"]
         budget.release()
     if not found:
         spark = edges.sparkSession

@@ -62,50 +62,59 @@ def map_documents(symbols: DataFrame, docs: DataFrame | None = None, state: Data
     return out.distinct()
 
 
-def impact_report(symbols: DataFrame, specs: DataFrame | None = None, projects: DataFrame | None = None,
-                  sep: str = ", ") -> DataFrame:
+def impact_modules(symbols: DataFrame) -> DataFrame:
+    """Affected modules as a table: distinct non-empty (project, module)."""
+    return symbols.where(F.col("module") != "").select("project", "module").distinct()
+
+
+def impact_report(symbols: DataFrame, specs: DataFrame | None = None, projects: DataFrame | None = None) -> DataFrame:
     """One row per project: overall level (max over symbols, ``low`` when
-    none), number of changes, distinct non-empty modules, distinct specs and
-    the summary sentence. ``projects`` adds projects without changes."""
+    none), numbers of changes, distinct non-empty modules and distinct specs,
+    and the summary sentence. ``projects`` adds projects without changes.
+    The module and spec lists stay tables (``impact_modules``, ``specs``)."""
     per = (symbols.groupBy("project")
            .agg(F.max(level_rank(impact_level("name", "affected_modules"))).alias("_rank"),
-                F.count(F.lit(1)).alias("n_changes"),
-                F.array_sort(F.collect_set(F.when(F.col("module") != "", F.col("module")))).alias("_mods")))
+                F.count(F.lit(1)).alias("n_changes")))
+    mods = impact_modules(symbols).groupBy("project").agg(F.count(F.lit(1)).alias("n_modules"))
+    per = per.join(mods, "project", "left")
     if specs is not None:
-        sp = (specs.groupBy("project").agg(F.array_sort(F.collect_set("spec")).alias("_specs")))
+        sp = specs.select("project", "spec").distinct().groupBy("project").agg(F.count(F.lit(1)).alias("n_specs"))
         per = per.join(sp, "project", "left")
     else:
-        per = per.withColumn("_specs", F.array().cast("array<string>"))
+        per = per.withColumn("n_specs", F.lit(0).cast("long"))
     if projects is not None:
         per = projects.select("project").distinct().join(per, "project", "left")
-    empty = F.array().cast("array<string>")
-    mods = F.coalesce(F.col("_mods"), empty)
-    spc = F.coalesce(F.col("_specs"), empty)
     n_changes = F.coalesce(F.col("n_changes"), F.lit(0))
+    n_modules = F.coalesce(F.col("n_modules"), F.lit(0))
+    n_specs = F.coalesce(F.col("n_specs"), F.lit(0))
     level = level_from_rank("_rank")
-    return per.select(
-        "project",
-        level.alias("impact_level"),
-        n_changes.alias("n_changes"),
-        F.size(mods).cast("long").alias("n_modules"),
-        F.size(spc).cast("long").alias("n_specs"),
-        F.array_join(mods, sep).alias("affected_modules"),
-        F.array_join(spc, sep).alias("affected_specs"),
-        summary_text(level, n_changes, F.size(mods), F.size(spc)).alias("summary"),
-    )
-
-
-def change_report(report: DataFrame) -> DataFrame:
-    """Report header per project from ``impact_report``: '(none)' replaces
-    an empty module or spec list. The change lines stay a table
-    (``change_lines``), so a project with millions of changes never
-    becomes one row."""
+    return per.select("project", level.alias("impact_level"), n_changes.alias("n_changes"),
+                      n_modules.alias("n_modules"), n_specs.alias("n_specs"),
+                      summary_text(level, n_changes, n_modules, n_specs).alias("summary"))
+
+
+def change_report(report: DataFrame, symbols: DataFrame, specs: DataFrame | None = None) -> DataFrame:
+    """The change report as rows (project, section, item): a 'summary' and a
+    'level' row, then one row per affected module, spec and change, and a
+    '(none)' row for an empty section. Every project's report is a set of
+    rows, never one gathered value."""
     none = F.lit("(none)")
-    return report.select(
-        "project", "impact_level", "n_changes", "summary",
-        F.when(F.col("n_modules") == 0, none).otherwise(F.col("affected_modules")).alias("modules_section"),
-        F.when(F.col("n_specs") == 0, none).otherwise(F.col("affected_specs")).alias("specs_section"),
-    )
+    head = (report.select("project", F.lit("summary").alias("section"), F.col("summary").alias("item"))
+            .unionByName(report.select("project", F.lit("level").alias("section"),
+                                       F.col("impact_level").alias("item"))))
+    mods = impact_modules(symbols).select("project", F.lit("modules").alias("section"), F.col("module").alias("item"))
+    empty_mods = report.where(F.col("n_modules") == 0).select("project", F.lit("modules").alias("section"),
+                                                               none.alias("item"))
+    lines = change_lines(symbols).select("project", F.lit("changes").alias("section"), F.col("line").alias("item"))
+    empty_changes = report.where(F.col("n_changes") == 0).select("project", F.lit("changes").alias("section"),
+                                                                  none.alias("item"))
+    out = head.unionByName(mods).unionByName(empty_mods).unionByName(lines).unionByName(empty_changes)
+    empty_specs = report.where(F.col("n_specs") == 0).select("project", F.lit("specs").alias("section"),
+                                                              none.alias("item"))
+    if specs is not None:
+        out = out.unionByName(specs.select("project", F.lit("specs").alias("section"),
+                                           F.col("spec").alias("item")).distinct())
+    return out.unionByName(empty_specs)
 
 
 def change_lines(symbols: DataFrame) -> DataFrame:

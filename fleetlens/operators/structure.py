@@ -34,13 +34,13 @@ def module_boundaries(modules: DataFrame) -> DataFrame:
     return modules.select("project", "name", "path", boundary_of("path").alias("boundary"))
 
 
-def boundaries(modules: DataFrame, sep: str = ", ") -> DataFrame:
-    """Modules per boundary: (project, boundary, n_modules, modules) with the
-    module names sorted."""
+def boundaries(modules: DataFrame) -> DataFrame:
+    """One row per boundary: (project, boundary, n_modules, first_module,
+    last_module). The member list stays a table (``module_boundaries``), so a
+    boundary with millions of modules never becomes one row."""
     return (module_boundaries(modules).groupBy("project", "boundary")
-            .agg(F.count(F.lit(1)).alias("n_modules"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list("name")), lambda x: x.cast("string")), sep)
-                 .alias("modules")))
+            .agg(F.count(F.lit(1)).alias("n_modules"), F.min("name").alias("first_module"),
+                 F.max("name").alias("last_module")))
 
 
 def _name_boundary(modules: DataFrame) -> DataFrame:
@@ -70,14 +70,12 @@ def boundary_matrix(core: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_edges")))
 
 
-def module_dependencies(modules: DataFrame, edges: DataFrame, sep: str = ", ") -> DataFrame:
-    """Distinct direct dependencies of every module, sorted ('' if none)."""
-    deps = (edges.groupBy("project", F.col("source").alias("name"))
-            .agg(F.array_sort(F.collect_set(F.col("target").cast("string"))).alias("_deps")))
-    j = modules.select("project", "name").join(deps, ["project", "name"], "left")
-    d = F.coalesce("_deps", F.array().cast("array<string>"))
-    return j.select("project", "name", F.size(d).alias("n_dependencies"),
-                    F.array_join(d, sep).alias("dependencies"))
+def module_dependencies(modules: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct direct dependencies of every module as rows (project, name,
+    dependency); a module without any gets one row with a null dependency.
+    Callers sort; no module's list is gathered into one row."""
+    deps = edges.select("project", F.col("source").alias("name"), F.col("target").alias("dependency")).distinct()
+    return modules.select("project", "name").join(deps, ["project", "name"], "left")
 
 
 def call_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -148,16 +148,11 @@ report AS (
          CASE max(CASE WHEN length(s.name) > 0 AND substr(s.name, 1, 1) = upper(substr(s.name, 1, 1)) THEN 2 ELSE 0 END)
            WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS impact_level,
          count(*) AS n_changes,
-         count(DISTINCT CASE WHEN s.module <> '' THEN s.module END) AS n_modules,
-         coalesce(string_agg(DISTINCT CASE WHEN s.module <> '' THEN s.module END, ', '
-                             ORDER BY CASE WHEN s.module <> '' THEN s.module END), '') AS affected_modules
+         count(DISTINCT CASE WHEN s.module <> '' THEN s.module END) AS n_modules
   FROM symbols s GROUP BY s.project),
-spec_agg AS (
-  SELECT project, count(DISTINCT spec) AS n_specs, string_agg(DISTINCT spec, ', ' ORDER BY spec) AS affected_specs
-  FROM specs GROUP BY project),
+spec_agg AS (SELECT project, count(DISTINCT spec) AS n_specs FROM specs GROUP BY project),
 full_report AS (
   SELECT r.project, r.impact_level, r.n_changes, r.n_modules, coalesce(a.n_specs, 0) AS n_specs,
-         r.affected_modules, coalesce(a.affected_specs, '') AS affected_specs,
          upper(substr(r.impact_level, 1, 1)) || substr(r.impact_level, 2) || ' impact: ' || r.n_changes
            || ' symbol change(s) across ' || r.n_modules || ' module(s). ' || coalesce(a.n_specs, 0)
            || ' spec(s) potentially affected.' AS summary
@@ -165,25 +160,35 @@ full_report AS (
 """
 
 
-def _report(spark, sf):
+def _report_parts(spark, sf):
     sym = _symbols(spark, sf)
     old_state = I.module_state(I.old_files(spark, sf), I.T_OLD)
-    specs = imp.map_documents(sym, docs=I.spec_docs(spark, sf), state=old_state)
-    return imp.impact_report(sym, specs)
+    specs = materialize(imp.map_documents(sym, docs=I.spec_docs(spark, sf), state=old_state))
+    return sym, specs, imp.impact_report(sym, specs)
 
 
 @query("impact_report", "WITH " + SQL_SPECS + " SELECT * FROM full_report")
 def impact_report(spark: SparkSession, sf: str) -> DataFrame:
-    return _report(spark, sf)
+    return _report_parts(spark, sf)[2]
+
+
+@query("impact_modules", "WITH " + SQL_RENAMED + " SELECT DISTINCT project, module FROM symbols WHERE module <> ''")
+def impact_modules(spark: SparkSession, sf: str) -> DataFrame:
+    return imp.impact_modules(_symbols(spark, sf))
 
 
 @query("change_report", "WITH " + SQL_SPECS + """
-SELECT project, impact_level, n_changes, summary,
-       CASE WHEN n_modules = 0 THEN '(none)' ELSE affected_modules END AS modules_section,
-       CASE WHEN n_specs = 0 THEN '(none)' ELSE affected_specs END AS specs_section
-FROM full_report""")
+SELECT project, 'summary' AS section, summary AS item FROM full_report
+UNION ALL SELECT project, 'level', impact_level FROM full_report
+UNION ALL SELECT DISTINCT project, 'modules', module FROM symbols WHERE module <> ''
+UNION ALL SELECT project, 'modules', '(none)' FROM full_report WHERE n_modules = 0
+UNION ALL SELECT project, 'changes', '- **' || name || '** (' || type || '): ' || type || ' file ' || path FROM symbols
+UNION ALL SELECT project, 'changes', '(none)' FROM full_report WHERE n_changes = 0
+UNION ALL SELECT DISTINCT project, 'specs', spec FROM specs
+UNION ALL SELECT project, 'specs', '(none)' FROM full_report WHERE n_specs = 0""")
 def change_report(spark: SparkSession, sf: str) -> DataFrame:
-    return imp.change_report(_report(spark, sf))
+    sym, specs, report = _report_parts(spark, sf)
+    return imp.change_report(report, sym, specs)
 
 
 @query("change_lines", "WITH " + SQL_RENAMED + """
@@ -363,12 +368,17 @@ def _edges(spark, sf):
 
 
 @query("boundaries", "WITH " + SQL_GRAPH + """
-SELECT project, boundary, count(*) AS n_modules, string_agg(CAST(name AS VARCHAR), ', ' ORDER BY name) AS modules
+SELECT project, boundary, count(*) AS n_modules, min(name) AS first_module, max(name) AS last_module
 FROM bnd GROUP BY project, boundary""")
 def boundaries(spark: SparkSession, sf: str) -> DataFrame:
     return S.boundaries(_modules(spark, sf))
 
 
+@query("boundary_members", "WITH " + SQL_GRAPH + " SELECT project, name, path, boundary FROM bnd")
+def boundary_members(spark: SparkSession, sf: str) -> DataFrame:
+    return S.module_boundaries(_modules(spark, sf))
+
+
 @query("core_edges", "WITH " + SQL_GRAPH + " SELECT * FROM core")
 def core_edges(spark: SparkSession, sf: str) -> DataFrame:
     return S.core_apis(_modules(spark, sf), _edges(spark, sf))
@@ -382,14 +392,11 @@ def boundary_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("module_dependencies", "WITH " + SQL_GRAPH + """,
-deps AS (SELECT project, source AS name, count(DISTINCT target) AS n,
-                string_agg(DISTINCT CAST(target AS VARCHAR), ', ' ORDER BY CAST(target AS VARCHAR)) AS d
-         FROM edges GROUP BY project, source)
-SELECT m.project, m.name, coalesce(d.n, 0) AS n_dependencies, coalesce(d.d, '') AS dependencies
+deps AS (SELECT DISTINCT project, source AS name, target AS dependency FROM edges)
+SELECT m.project, m.name, d.dependency
 FROM modules m LEFT JOIN deps d ON d.project = m.project AND d.name = m.name""")
 def module_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    r = S.module_dependencies(_modules(spark, sf), _edges(spark, sf))
-    return r.withColumn("n_dependencies", F.col("n_dependencies").cast("long"))
+    return S.module_dependencies(_modules(spark, sf), _edges(spark, sf))
 
 
 @query("orphans", "WITH " + SQL_GRAPH + """

@@ -21,8 +21,13 @@ def test_report_levels(spark):
     assert r["hi"].impact_level == "high" and r["mix"].impact_level == "medium" and r["lo"].impact_level == "low"
     assert r["none"].impact_level == "low" and r["none"].summary == "No changes detected."
     assert r["lo"].n_modules == 0  # empty module names are left out
-    assert r["mix"].affected_modules == "a, b"
+    assert sorted(x.module for x in imp.impact_modules(s).where("project = 'mix'").collect()) == ["a", "b"]
     assert r["hi"].summary == "High impact: 1 symbol change(s) across 1 module(s). 0 spec(s) potentially affected."
+    rep = imp.change_report(imp.impact_report(s, projects=projects), s)
+    got = {(x.section, x.item) for x in rep.where("project = 'lo'").collect()}
+    assert ("modules", "(none)") in got and ("specs", "(none)") in got and ("level", "low") in got
+    none = {(x.section, x.item) for x in rep.where("project = 'none'").collect()}
+    assert ("changes", "(none)") in none and ("summary", "No changes detected.") in none
 
 
 def test_map_documents_union_dedupe(spark):

@@ -54,8 +54,10 @@ def test_core_apis_and_boundaries(spark):
     e = _edges(spark, [("login", "query"), ("login", "nonexistent"), ("unknown", "login")])
     c = S.core_apis(m, e).collect()
     assert [(r.name, r.route, r.method, r.module) for r in c] == [("query", "login → query", "export", "db")]
-    b = {r.boundary: r.modules for r in S.boundaries(m).collect()}
-    assert b == {"auth": "login", "db": "query", "root": "config, main"}
+    b = {r.boundary: (r.n_modules, r.first_module, r.last_module) for r in S.boundaries(m).collect()}
+    assert b == {"auth": (1, "login", "login"), "db": (1, "query", "query"), "root": (2, "config", "main")}
+    deps = S.module_dependencies(m, e).collect()
+    assert sorted((r.name, r.dependency) for r in deps if r.dependency) == [("login", "nonexistent"), ("login", "query")]
 
 
 def test_entry_points(spark):

@@ -60,3 +60,13 @@ def read_docs(spark: SparkSession, folder: str, kind: str, project: str | None =
         name = F.regexp_replace(name, r"\.md$", "")
     return df.select(F.lit(project).cast("string").alias("project"), F.lit(kind).alias("kind"),
                      name.alias("name"), F.col("value").alias("text"))
+
+
+def write_snapshot(df: DataFrame, table_name: str, buckets: int, keys: Sequence[str] = ("project", "path"),
+                   mode: str = "overwrite") -> None:
+    """Save a snapshot (project, path, content_hash, ...) as a table bucketed
+    and sorted on ``keys``. Two snapshots saved with the same bucket count
+    are diffed by a sort-merge join without any shuffle: every later diff
+    reads the buckets side by side."""
+    keys = list(keys)
+    (df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table_name))

@@ -8,8 +8,8 @@ run one after the other, so two sync runs never overlap.
 
 ``sessionize`` is the batch twin. It does not put a key's whole timeline in
 one task: events are first sessionized per (key, time bucket) in parallel,
-then only the resulting partial sessions (far fewer rows) are merged across
-bucket borders.
+then only the partial sessions that touch a bucket border (at most two per
+bucket) are merged.
 """
 
 from __future__ import annotations
@@ -103,8 +103,10 @@ def sessionize(events: DataFrame, keys: Sequence[str], ts_col: str, gap_seconds:
     start, session end (last event), number of events.
 
     Pass 1 sessionizes inside (key, time bucket) windows, in parallel even
-    for one hot key; pass 2 merges partial sessions whose distance across a
-    bucket border is within the gap.
+    for one hot key. Only the first and the last partial session of a bucket
+    can touch a bucket border; every other partial session is already final.
+    Pass 2 therefore merges at most two rows per (key, bucket) across
+    borders, so no task ever holds a key's whole timeline.
     """
     keys = list(keys)
     t = F.col(ts_col).cast("timestamp")
@@ -116,10 +118,16 @@ def sessionize(events: DataFrame, keys: Sequence[str], ts_col: str, gap_seconds:
             .groupBy(*keys, "_b", "_sid")
             .agg(F.min("_ts").alias("_start"), F.max("_ts").alias("_end"), F.min("_s").alias("_ss"),
                  F.max("_s").alias("_se"), F.count(F.lit(1)).alias("_n")))
+    wb = Window.partitionBy(*keys, "_b")
+    part = part.withColumn("_edge", (F.col("_sid") == 1) | (F.col("_sid") == F.max("_sid").over(wb)))
+    final = part.where(~F.col("_edge")).select(*keys, F.col("_start").alias("session_start"),
+                                                 F.col("_end").alias("session_end"), F.col("_n").alias("n_events"))
+    edges = part.where("_edge")
     w2 = Window.partitionBy(*keys).orderBy("_ss")
     new2 = F.coalesce((F.col("_ss") - F.lag("_se").over(w2)) > gap_seconds, F.lit(True)).cast("int")
-    merged = part.withColumn("_gid", F.sum(new2).over(w2.rowsBetween(Window.unboundedPreceding, 0)))
-    return (merged.groupBy(*keys, "_gid")
-            .agg(F.min("_start").alias("session_start"), F.max("_end").alias("session_end"),
-                 F.sum("_n").alias("n_events"))
-            .drop("_gid"))
+    merged = (edges.withColumn("_gid", F.sum(new2).over(w2.rowsBetween(Window.unboundedPreceding, 0)))
+              .groupBy(*keys, "_gid")
+              .agg(F.min("_start").alias("session_start"), F.max("_end").alias("session_end"),
+                   F.sum("_n").alias("n_events"))
+              .drop("_gid"))
+    return final.unionByName(merged)

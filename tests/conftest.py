@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
     ckpt = tempfile.mkdtemp(prefix="fleetlens-test-ckpt-")
+    warehouse = tempfile.mkdtemp(prefix="fleetlens-test-wh-")
     s = (SparkSession.builder.master("local[4]")
          .config("spark.sql.shuffle.partitions", "4")
          .config("spark.sql.adaptive.enabled", "true")
@@ -18,6 +19,7 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.checkpoint.dir", ckpt)
+         .config("spark.sql.warehouse.dir", warehouse)
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(ckpt)

@@ -110,3 +110,15 @@ def test_symbols_and_classes(spark):
     assert (r.name, r.type, r.module, r.summary) == ("C", "removed", "c", "removed file src/c.ts")
     c = imp.classify_changes(sym).first()
     assert (c.n_added, c.n_modified, c.n_removed, c.n_renamed) == (2, 0, 1, 0)
+
+
+def test_bucketed_snapshots_diff_without_shuffle(spark):
+    from fleetlens.sources.files import write_snapshot
+    old = _files(spark, OLD).select("project", "path", "content_hash")
+    new = _files(spark, OLD[1:] + [("p", "src/new.ts", "x")]).select("project", "path", "content_hash")
+    write_snapshot(old, "snap_old_t", 4)
+    write_snapshot(new, "snap_new_t", 4)
+    d = snap.diff_snapshots(spark.table("snap_old_t"), spark.table("snap_new_t"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan, plan
+    assert sorted((r.path, r.status) for r in d.collect()) == [("src/index.ts", "removed"), ("src/new.ts", "added")]

@@ -85,6 +85,20 @@ def verdict(findings: DataFrame, projects: DataFrame, severity_col: str = "sever
                     .alias("verdict"))
 
 
+def forbidden_crossings(core: DataFrame, zone_of: DataFrame, zone_col: str = "zone") -> DataFrame:
+    """Cross-boundary dependencies whose two boundaries lie in different
+    zones (``zone_of(boundary, zone)``): (project, route, source_boundary,
+    target_boundary, rule='forbidden_boundary', severity). Two equi joins to
+    the zone table, no pairing of boundaries."""
+    z = zone_of.select("boundary", F.col(zone_col).alias("_z"))
+    j = (core.join(z.withColumnRenamed("boundary", "source_boundary").withColumnRenamed("_z", "_sz"), "source_boundary")
+         .join(z.withColumnRenamed("boundary", "module").withColumnRenamed("_z", "_tz"), "module"))
+    return (j.where(F.col("_sz") != F.col("_tz"))
+            .select("project", "route", "source_boundary", F.col("module").alias("target_boundary"),
+                    F.lit("forbidden_boundary").alias("rule"),
+                    F.lit(RULE_SEVERITY["forbidden_boundary"]).alias("severity")))
+
+
 # --------------------------------------------------------------------------- C3
 
 def removed_without_deprecation(old: DataFrame, new: DataFrame, deprecated: DataFrame,

@@ -905,3 +905,17 @@ SELECT lang AS project, source AS kind, count(*) AS n_notes FROM documents GROUP
 def note_counts(spark: SparkSession, sf: str) -> DataFrame:
     d = I.table(spark, sf, "documents").select(F.col("lang").alias("project"), F.col("source").alias("kind"))
     return d.groupBy("project", "kind").agg(F.count(F.lit(1)).alias("n_notes"))
+
+
+@query("forbidden_crossings", "WITH " + SQL_GRAPH + """,
+zone AS (SELECT n.n_name AS boundary, r.r_name AS zone FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey)
+SELECT c.project, c.route, c.source_boundary, c.module AS target_boundary, 'forbidden_boundary' AS rule,
+       'BLOCK' AS severity
+FROM core c JOIN zone s ON s.boundary = c.source_boundary JOIN zone t ON t.boundary = c.module
+WHERE s.zone <> t.zone""")
+def forbidden_crossings(spark: SparkSession, sf: str) -> DataFrame:
+    core = S.core_apis(_modules(spark, sf), _edges(spark, sf))
+    n = I.table(spark, sf, "nation").select(F.col("n_name").alias("boundary"), "n_regionkey")
+    r = I.table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("zone"))
+    zones = F.broadcast(n.join(F.broadcast(r), "n_regionkey").select("boundary", "zone"))  # fixed 25-row dimension
+    return C.forbidden_crossings(core, zones)

@@ -78,3 +78,11 @@ def test_checklist_and_month_index(spark):
         .withColumn("ts", F.to_timestamp("d"))
     m = {r.month: (r.n_items, r.first_item, r.last_item) for r in C.month_index(items, "ts", "name").collect()}
     assert m == {"2026-05": (2, "a", "b"), "2026-06": (1, "c", "c")}
+
+
+def test_forbidden_crossings(spark):
+    core = spark.createDataFrame([("p", "a → b", "auth", "db"), ("p", "a → c", "auth", "ui")],
+                                 "project string, route string, source_boundary string, module string")
+    zones = spark.createDataFrame([("auth", "core"), ("db", "core"), ("ui", "edge")], "boundary string, zone string")
+    got = [(r.route, r.target_boundary, r.severity) for r in C.forbidden_crossings(core, zones).collect()]
+    assert got == [("a → c", "ui", "BLOCK")]

@@ -125,6 +125,17 @@ def broken_links(links: DataFrame, notes: DataFrame, group: Sequence[str] = ("pr
     return links.join(n, list(group) + ["target"], "left_anti")
 
 
+def modules_without_note(modules: DataFrame, notes: DataFrame, group: Sequence[str] = ("project",),
+                         module_col: str = "name", note_col: str = "name") -> DataFrame:
+    """Modules that have no note of the same name: (group..., subject,
+    rule='module_without_spec', severity)."""
+    n = notes.select(*group, F.col(note_col).alias("_m")).distinct()
+    m = modules.select(*group, F.col(module_col).alias("_m")).distinct()
+    return (m.join(n, list(group) + ["_m"], "left_anti")
+            .select(*group, F.col("_m").alias("subject"), F.lit("module_without_spec").alias("rule"),
+                    F.lit(RULE_SEVERITY["module_without_spec"]).alias("severity")))
+
+
 # --------------------------------------------------------------------------- lines, C5 C6 C7 C8
 
 def text_lines(docs: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:

@@ -103,6 +103,18 @@ def language_tools(spark: SparkSession, languages: DataFrame) -> DataFrame:
                     F.coalesce("style_guide", na).alias("style_guide"))
 
 
+def languages_by_extension(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(project, language, n_files): languages whose file extensions occur in
+    a project's files. The extension -> language table is the fixed language
+    dimension (a few dozen rows), broadcast."""
+    ext = spark.createDataFrame([(e, lang) for lang, v in LANGUAGE_TOOLS.items() for e in v[0]],
+                                "ext string, language string")
+    f = files.select("project", F.lower(F.regexp_extract(F.element_at(F.split("path", "/"), -1),
+                                                         r"(\.[^.]+)$", 1)).alias("ext"))
+    return (f.join(F.broadcast(ext), "ext").groupBy("project", "language")
+            .agg(F.count(F.lit(1)).alias("n_files")))
+
+
 def source_dir(spark: SparkSession, files: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """First existing folder of src, lib, app, main; else '.'."""
     parts = F.split("path", "/")

@@ -919,3 +919,29 @@ def forbidden_crossings(spark: SparkSession, sf: str) -> DataFrame:
     r = I.table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("zone"))
     zones = F.broadcast(n.join(F.broadcast(r), "n_regionkey").select("boundary", "zone"))  # fixed 25-row dimension
     return C.forbidden_crossings(core, zones)
+
+
+# --------------------------------------------------------------------------- J9 (by extension) J10
+
+SQL_EXT_DIM = " UNION ALL ".join(f"SELECT '{e}' AS ext, '{lang}' AS language" for lang, v in INV.LANGUAGE_TOOLS.items()
+                                 for e in v[0])
+SQL_TOOLS_DIM = " UNION ALL ".join(f"SELECT '{lang}' AS language, '{v[1]}' AS linter, '{v[2]}' AS formatter, "
+                                   f"'{v[3]}' AS style_guide" for lang, v in INV.LANGUAGE_TOOLS.items())
+
+
+@query("languages", "WITH " + I.SQL_SNAPSHOTS + "," + I.SQL_PAGE_FILES + f""",
+files AS (SELECT project, path FROM new_f UNION ALL SELECT project, file FROM page_files),
+ext AS ({SQL_EXT_DIM}),
+tools AS ({SQL_TOOLS_DIM}),
+langs AS (SELECT f.project, x.language, count(*) AS n_files
+          FROM files f JOIN ext x ON x.ext = lower(regexp_extract(string_split(f.path, '/')[-1], '(\\.[^.]+)$', 1))
+          GROUP BY f.project, x.language)
+SELECT l.project, l.language, l.n_files, coalesce(t.linter, 'not available') AS linter,
+       coalesce(t.formatter, 'not available') AS formatter, coalesce(t.style_guide, 'not available') AS style_guide
+FROM langs l LEFT JOIN tools t ON t.language = l.language""")
+def languages(spark: SparkSession, sf: str) -> DataFrame:
+    files = (I.new_files(spark, sf).select("project", "path")
+             .unionByName(I.page_files(spark, sf).select("project", F.col("file").alias("path"))))
+    langs = INV.languages_by_extension(spark, files)
+    return INV.language_tools(spark, langs).select("project", "language", "n_files", "linter", "formatter",
+                                                   "style_guide")

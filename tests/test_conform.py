@@ -36,6 +36,8 @@ def test_wiki_links(spark):
                                   "project string, name string, text string")
     links = C.extract_links(notes)
     assert sorted(r.target for r in C.broken_links(links, notes).collect()) == ["missing"]
+    mods = spark.createDataFrame([("p", "a"), ("p", "c")], "project string, name string")
+    assert [(r.subject, r.severity) for r in C.modules_without_note(mods, notes).collect()] == [("c", "INFO")]
 
 
 TEXTS = {

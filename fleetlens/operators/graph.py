@@ -134,24 +134,30 @@ def _colour(e: DataFrame, budget: _Budget) -> DataFrame:
 
 
 def _backward(e: DataFrame, col: DataFrame, budget: _Budget) -> DataFrame:
-    """Nodes that reach their colour's root inside the colour: (project, node, c)."""
+    """Nodes that reach their colour's root inside the colour: (project, node, c).
+
+    A node table carries ``_r`` (reached) and ``_new`` (reached in the last
+    step); each step sends the new nodes' mark backwards along same-colour
+    edges and merges it in one aggregation, one job per step."""
     ec = (e.join(col.select(P, F.col("node").alias("src"), F.col("c").alias("_cs")), [P, "src"])
           .join(col.select(P, F.col("node").alias("dst"), F.col("c").alias("_cd")), [P, "dst"])
           .where(F.col("_cs") == F.col("_cd"))
-          .select(P, "src", "dst", F.col("_cs").alias("c")))
+          .select(P, "src", "dst"))
     ec = _ckpt(ec)
-    reach, _ = budget.keep(col.where(F.col("node") == F.col("c")))
-    frontier = reach
+    root = F.col("node") == F.col("c")
+    state, _ = budget.keep(col.select(P, "node", "c", root.alias("_r"), root.alias("_new")))
     while True:
         budget.tick()
-        step = (ec.join(frontier.select(P, F.col("node").alias("dst"), "c"), [P, "dst", "c"])
-                .select(P, F.col("src").alias("node"), "c").distinct()
-                .join(reach, [P, "node", "c"], "left_anti"))
-        step, found = budget.keep(step, _rows())
+        msg = (ec.join(state.where("_new").select(P, F.col("node").alias("dst")), [P, "dst"])
+               .select(P, F.col("src").alias("node"), F.lit(None).cast(col.schema["c"].dataType).alias("c"),
+                       F.lit(False).alias("_old"), F.lit(True).alias("_m")))
+        nxt = (state.select(P, "node", "c", F.col("_r").alias("_old"), F.lit(False).alias("_m")).unionByName(msg)
+               .groupBy(P, "node").agg(F.max("c").alias("c"), F.max("_old").alias("_old"), F.max("_m").alias("_m"))
+               .select(P, "node", "c", (F.col("_old") | F.col("_m")).alias("_r"),
+                       (F.col("_m") & ~F.col("_old")).alias("_new")))
+        state, found = budget.keep(nxt, F.count(F.when(F.col("_new"), 1)))
         if found == 0:
-            return reach
-        reach, _ = budget.keep(reach.unionByName(step))
-        frontier = step
+            return state.where("_r").select(P, "node", "c")
 
 
 def cyclic_components(edges: DataFrame, max_iter: int = 10_000, checkpoint_every: int = 1) -> DataFrame:

@@ -547,9 +547,9 @@ def severity_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("verdict", SQL_ISSUES + """
-SELECT p.project, coalesce(sum(CASE WHEN f.severity = 'INFO' THEN 1 ELSE 0 END), 0) AS n_info,
-       coalesce(sum(CASE WHEN f.severity = 'WARN' THEN 1 ELSE 0 END), 0) AS n_warn,
-       coalesce(sum(CASE WHEN f.severity = 'BLOCK' THEN 1 ELSE 0 END), 0) AS n_block,
+SELECT p.project, CAST(coalesce(sum(CASE WHEN f.severity = 'INFO' THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_info,
+       CAST(coalesce(sum(CASE WHEN f.severity = 'WARN' THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_warn,
+       CAST(coalesce(sum(CASE WHEN f.severity = 'BLOCK' THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_block,
        CASE WHEN sum(CASE WHEN f.severity = 'BLOCK' THEN 1 ELSE 0 END) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict
 FROM (SELECT DISTINCT project FROM modules) p LEFT JOIN findings f ON f.project = p.project
 GROUP BY p.project""")
@@ -697,7 +697,7 @@ from pyspark.sql import types as T  # noqa: E402
 
 SQL_STATUS = SQL_RENAMED + """,
 spec_docs AS (SELECT lang AS project, 'doc-' || CAST(doc_id AS VARCHAR) || '.md' AS name, text FROM documents),
-st AS (SELECT project, count(*) AS n_specs, sum(length(text)) AS index_size FROM spec_docs GROUP BY project),
+st AS (SELECT project, count(*) AS n_specs, CAST(sum(length(text)) AS BIGINT) AS index_size FROM spec_docs GROUP BY project),
 ch AS (SELECT project, count(*) AS active_changes FROM renamed GROUP BY project),
 tr AS (SELECT project, count(DISTINCT """ + I.SQL_MODULE + """) AS tracked_entries FROM old_f GROUP BY project),
 stale AS (SELECT o.project, count(*) AS n_stale FROM old_f o
@@ -774,9 +774,9 @@ WITH v AS (SELECT o_orderkey,
   CASE WHEN o_orderpriority IS NULL OR o_orderpriority NOT IN ('""" + "', '".join(ORDER_PRIORITIES) + """') THEN 1 ELSE 0 END AS bad_priority,
   CASE WHEN o_orderstatus IS NULL OR o_orderstatus NOT IN ('""" + "', '".join(ORDER_STATUSES) + """') THEN 1 ELSE 0 END AS bad_status,
   CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END AS no_customer FROM orders)
-SELECT 'o_orderpriority' AS field, sum(bad_priority) AS n_issues FROM v
-UNION ALL SELECT 'o_orderstatus', sum(bad_status) FROM v
-UNION ALL SELECT 'o_custkey', sum(no_customer) FROM v""")
+SELECT 'o_orderpriority' AS field, CAST(sum(bad_priority) AS BIGINT) AS n_issues FROM v
+UNION ALL SELECT 'o_orderstatus', CAST(sum(bad_status) AS BIGINT) FROM v
+UNION ALL SELECT 'o_custkey', CAST(sum(no_customer) AS BIGINT) FROM v""")
 def row_validation(spark: SparkSession, sf: str) -> DataFrame:
     rules = [Q.one_of("o_orderpriority", ORDER_PRIORITIES, "o_orderpriority"),
              Q.one_of("o_orderstatus", ORDER_STATUSES, "o_orderstatus"),
@@ -870,8 +870,8 @@ from ..sources import sinks as SK  # noqa: E402
 
 
 @query("status_json", "WITH " + SQL_STATUS + """
-SELECT project, to_json({'project': project, 'n_specs': n_specs, 'active_changes': active_changes,
-                         'tracked_entries': tracked_entries, 'last_ref': last_ref, 'last_at': last_at}) AS json
+SELECT project, CAST(to_json({'project': project, 'n_specs': n_specs, 'active_changes': active_changes,
+                         'tracked_entries': tracked_entries, 'last_ref': last_ref, 'last_at': last_at}) AS VARCHAR) AS json
 FROM status""")
 def status_json(spark: SparkSession, sf: str) -> DataFrame:
     s = _status(spark, sf).select("project", "n_specs", "active_changes", "tracked_entries", "last_ref", "last_at")

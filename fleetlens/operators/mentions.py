@@ -107,9 +107,9 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_co
     tkeys = parts[0]
     for p in parts[1:]:
         tkeys = tkeys.unionByName(p)
-    tkeys = tkeys.join(wanted, ["_kind", "_k"], "left_semi")
-    if small:
-        tkeys = materialize(tkeys)  # small once filtered; read by both branches below
+    # written once: the key frequencies and the candidate join both read it,
+    # and recomputing means scanning and splitting every text again
+    tkeys = materialize(tkeys.join(wanted, ["_kind", "_k"], "left_semi"))
 
     freq = tkeys.groupBy(*group, "_kind", "_k").agg(F.count(F.lit(1)).alias("_df"))
     chosen = (nkeys.join(freq, group + ["_kind", "_k"])

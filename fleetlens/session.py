@@ -26,6 +26,10 @@ LOCAL_DEFAULTS = {
     # iterative jobs write a reliable checkpoint per step: remove the files of
     # steps that are no longer referenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # session-window state of the debounce stream lives off-heap in RocksDB,
+    # so long quiet periods over many projects do not fill the executor heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -57,7 +57,8 @@ def test_contains_join_matches_brute_force(spark):
     needles = ["quick", "the", "o", "ab", "", "été", "lazy dog!", "zz", "x"]
     t = spark.createDataFrame(list(enumerate(texts)), "tid int, text string")
     n = spark.createDataFrame(list(enumerate(needles)), "nid int, needle string")
-    got = sorted((r.tid, r.nid) for r in contains_join(t, n, "text", "needle", text_keys=["tid"],
-                                                        needle_keys=["nid"]).collect())
     want = sorted((i, j) for i, x in enumerate(texts) for j, y in enumerate(needles) if y.lower() in x.lower())
-    assert got == want
+    for limit in (20_000, 0):  # broadcast key set, and the join path above the size limit
+        got = sorted((r.tid, r.nid) for r in contains_join(t, n, "text", "needle", text_keys=["tid"],
+                                                            needle_keys=["nid"], literal_limit=limit).collect())
+        assert got == want, limit

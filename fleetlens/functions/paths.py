@@ -20,7 +20,7 @@ def _col(c) -> Column:
 
 def basename(path) -> Column:
     """Last path segment."""
-    return F.element_at(F.split(_col(path), "/"), -1)
+    return F.try_element_at(F.split(_col(path), "/"), F.lit(-1))
 
 
 def module_of(path) -> Column:
@@ -33,10 +33,10 @@ def module_of(path) -> Column:
     """
     parts = F.split(_col(path), "/")
     pos = F.array_position(parts, "src")
-    raw = F.element_at(parts, (pos + 1).cast("int"))
+    raw = F.try_element_at(parts, (pos + 1).cast("int"))
     stripped = F.regexp_replace(raw, r"^(.+)\.[^.]{0,4}$", "$1")
     return (F.when((pos > 0) & (pos < F.size(parts)), stripped)
-            .when(F.size(parts) > 1, F.element_at(parts, 1))
+            .when(F.size(parts) > 1, F.try_element_at(parts, F.lit(1)))
             .otherwise(F.lit("")))
 
 
@@ -54,9 +54,9 @@ def boundary_of(module_path) -> Column:
     """Boundary of a module path (see SRC_DIRS)."""
     parts = F.split(_col(module_path), "/")
     n = F.size(parts)
-    first = F.element_at(parts, 1)
-    second = F.element_at(parts, 2)
-    has_ext = F.element_at(parts, -1).rlike(r"\.[^.]+$")
+    first = F.try_element_at(parts, F.lit(1))
+    second = F.try_element_at(parts, F.lit(2))
+    has_ext = F.try_element_at(parts, F.lit(-1)).rlike(r"\.[^.]+$")
     under_src = (F.when(n >= 3, second)
                  .when((n == 2) & has_ext, F.lit("root"))
                  .when(n == 2, second)
@@ -69,7 +69,7 @@ def depth_after_src(path) -> Column:
     """Folder depth of a file below its source root (or below the project
     root when the first segment is not a source root)."""
     parts = F.split(_col(path), "/")
-    return F.size(parts) - F.when(F.element_at(parts, 1).isin(SRC_DIRS), 2).otherwise(1)
+    return F.size(parts) - F.when(F.try_element_at(parts, F.lit(1)).isin(SRC_DIRS), 2).otherwise(1)
 
 
 def content_hash(content) -> Column:

@@ -59,7 +59,7 @@ def modules_from_files(files: DataFrame) -> DataFrame:
 def module_members(files: DataFrame) -> DataFrame:
     """(project, name, path, file) for every file that belongs to a module."""
     parts = F.split("path", "/")
-    root, first = F.element_at(parts, 1), F.element_at(parts, 2)
+    root, first = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
     f = files.select("project", F.col("path").alias("file"), parts.alias("_p"), root.alias("_root"), first.alias("_first"))
     f = f.where(F.col("_root").isin(MODULE_ROOTS) & (F.size("_p") >= 2))
     is_dir_member = F.size("_p") >= 3
@@ -71,7 +71,7 @@ def module_members(files: DataFrame) -> DataFrame:
 
 def root_entries(files: DataFrame) -> DataFrame:
     """(project, name) of the top-level entries (files and folders)."""
-    return files.select("project", F.element_at(F.split("path", "/"), 1).alias("name")).distinct()
+    return files.select("project", F.try_element_at(F.split("path", "/"), F.lit(1)).alias("name")).distinct()
 
 
 def detect_languages(spark: SparkSession, roots: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def languages_by_extension(spark: SparkSession, files: DataFrame) -> DataFrame:
     dimension (a few dozen rows), broadcast."""
     ext = spark.createDataFrame([(e, lang) for lang, v in LANGUAGE_TOOLS.items() for e in v[0]],
                                 "ext string, language string")
-    f = files.select("project", F.lower(F.regexp_extract(F.element_at(F.split("path", "/"), -1),
+    f = files.select("project", F.lower(F.regexp_extract(F.try_element_at(F.split("path", "/"), F.lit(-1)),
                                                          r"(\.[^.]+)$", 1)).alias("ext"))
     return (f.join(F.broadcast(ext), "ext").groupBy("project", "language")
             .agg(F.count(F.lit(1)).alias("n_files")))
@@ -118,7 +118,7 @@ def languages_by_extension(spark: SparkSession, files: DataFrame) -> DataFrame:
 def source_dir(spark: SparkSession, files: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """First existing folder of src, lib, app, main; else '.'."""
     parts = F.split("path", "/")
-    dirs = files.where(F.size(parts) >= 2).select("project", F.element_at(parts, 1).alias("dir")).distinct()
+    dirs = files.where(F.size(parts) >= 2).select("project", F.try_element_at(parts, F.lit(1)).alias("dir")).distinct()
     rank = F.array_position(F.array(*[F.lit(x) for x in SRC_DIR_CANDIDATES]), F.col("dir"))
     best = (dirs.withColumn("_r", rank).where(F.col("_r") > 0).groupBy("project")
             .agg(F.min_by("dir", "_r").alias("src_dir")))
@@ -147,6 +147,6 @@ def entry_files(files: DataFrame) -> DataFrame:
     """Files named like an entry point directly in a probe root (no recursion):
     the 17 names in src, lib, app, source, sources and the project root."""
     parts = F.split("path", "/")
-    base = F.element_at(parts, -1)
-    in_root = (F.size(parts) == 1) | ((F.size(parts) == 2) & F.element_at(parts, 1).isin(ENTRY_ROOTS))
+    base = F.try_element_at(parts, F.lit(-1))
+    in_root = (F.size(parts) == 1) | ((F.size(parts) == 2) & F.try_element_at(parts, F.lit(1)).isin(ENTRY_ROOTS))
     return files.where(in_root & base.isin(ENTRY_FILES)).select("project", "path")

@@ -112,8 +112,8 @@ def infer_source_files(symbols: DataFrame, files: DataFrame) -> DataFrame:
                        F.col("path").alias("source_path"), F.lit(0).alias("_rank"),
                        F.lit(None).cast("string").alias("_stem"), F.lit(None).cast("string").alias("_sym"))
     as_file = as_file.where(~F.col("module").contains("/") & F.col("source_path").startswith("src/"))
-    child = f.where((F.element_at(parts, 1) == "src") & (F.size(parts) == 3)).select(
-        "project", F.element_at(parts, 2).alias("module"), F.col("path").alias("source_path"),
+    child = f.where((F.try_element_at(parts, F.lit(1)) == "src") & (F.size(parts) == 3)).select(
+        "project", F.try_element_at(parts, F.lit(2)).alias("module"), F.col("path").alias("source_path"),
         basename("path").alias("_base"))
     ext = F.regexp_extract("_base", r"(\.[^.]*)$", 1)
     ext_rank = F.array_position(F.array(*[F.lit(e) for e in SOURCE_EXTENSIONS]), ext)

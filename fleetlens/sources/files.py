@@ -30,12 +30,12 @@ def read_tree(spark: SparkSession, root: str, ref: str | None = None, roots: Seq
     base = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + _re_escape(base.replace("file:", "")), "")
     parts = F.split(rel, "/", 2)
-    out = df.select(F.element_at(parts, 1).alias("project"), F.lit(ref).cast("string").alias("ref"),
-                    F.element_at(parts, 2).alias("path"), F.sha2("content", 256).alias("content_hash"),
+    out = df.select(F.try_element_at(parts, F.lit(1)).alias("project"), F.lit(ref).cast("string").alias("ref"),
+                    F.try_element_at(parts, F.lit(2)).alias("path"), F.sha2("content", 256).alias("content_hash"),
                     F.col("length").alias("size"))
     out = out.where(F.col("path").isNotNull())
     if roots:
-        out = out.where(F.element_at(F.split("path", "/"), 1).isin(list(roots)))
+        out = out.where(F.try_element_at(F.split("path", "/"), F.lit(1)).isin(list(roots)))
     return out
 
 
@@ -55,7 +55,7 @@ def read_docs(spark: SparkSession, folder: str, kind: str, project: str | None =
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return spark.createDataFrame([], schema)
         raise
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    name = F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-1))
     if strip_extension:
         name = F.regexp_replace(name, r"\.md$", "")
     return df.select(F.lit(project).cast("string").alias("project"), F.lit(kind).alias("kind"),

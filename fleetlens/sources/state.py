@@ -35,7 +35,7 @@ def read_state(spark: SparkSession, path: str, project_from_path: bool = True) -
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return spark.createDataFrame([], schema)
         raise
-    project = (F.element_at(F.split("_file", "/"), -2) if project_from_path else F.lit(None).cast("string"))
+    project = (F.try_element_at(F.split("_file", "/"), F.lit(-2)) if project_from_path else F.lit(None).cast("string"))
     e = raw.select(project.alias("project"), F.explode(F.coalesce("entries", F.create_map().cast(
         T.MapType(T.StringType(), ENTRY)))).alias("key", "v"))
     return e.select("project", "key", F.col("v.lastHash").alias("last_hash"),

@@ -84,12 +84,15 @@ def run_on_batches(batches: DataFrame, handler: Callable[[DataFrame, int], None]
 def stream_to_table(spark: SparkSession, batches: DataFrame, name: str, output_mode: str = "complete") -> str:
     """Run a streaming aggregate to completion (available data) and keep the
     result as parquet in the session's checkpoint folder; returns the path.
-    Each micro-batch overwrites the folder (complete mode) or appends."""
+    Writes are idempotent, so a micro-batch replayed after a failure does not
+    duplicate rows: complete mode overwrites the folder, append mode
+    overwrites the micro-batch's own ``epoch=<id>`` sub-folder."""
     base = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
     out, ckpt = os.path.join(base, "data"), os.path.join(base, "state")
 
     def write(df, epoch):
-        df.write.mode("overwrite" if output_mode == "complete" else "append").parquet(out)
+        target = out if output_mode == "complete" else os.path.join(out, f"epoch={epoch}")
+        df.write.mode("overwrite").parquet(target)
     q = (batches.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()

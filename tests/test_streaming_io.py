@@ -123,3 +123,16 @@ def test_read_tree(spark):
     assert got == [("p1", "src/a.ts", 1), ("p1", "src/x/b.ts", 1), ("p2", "lib/c.js", 1)]
     import hashlib
     assert t.where(F.col("path") == "src/a.ts").first().content_hash == hashlib.sha256(b"A").hexdigest()
+
+
+def test_stream_append_mode_closed_batches(spark):
+    rows = [(0, "src/a.ts"), (100, "src/b.ts"), (5000, "src/c.ts"), (9000, "src/d.ts"), (60000, "src/e.ts")]
+    ev = _events(spark, rows)
+    folder = tempfile.mkdtemp(prefix="fleetlens-ev-")
+    ev.write.mode("overwrite").parquet(os.path.join(folder, "in"))
+    stream = spark.readStream.schema(ev.schema).parquet(os.path.join(folder, "in"))
+    batches = D.debounced_batches(stream, gap="1 second", watermark="1 second")
+    path = D.stream_to_table(spark, batches, "t", output_mode="append")
+    got = sorted(tuple(r.items) for r in spark.read.parquet(path).collect())
+    # append emits only batches closed by the watermark: the last one is still open
+    assert got == [("src/a.ts", "src/b.ts"), ("src/c.ts",), ("src/d.ts",)]

@@ -2,5 +2,7 @@
 
 from .debounce import (debounced_batches, file_events, run_on_batches, sessionize, source_filter,
                        stream_to_table)
+from .sync import sync_handler
 
-__all__ = ["debounced_batches", "file_events", "run_on_batches", "sessionize", "source_filter", "stream_to_table"]
+__all__ = ["debounced_batches", "file_events", "run_on_batches", "sessionize", "source_filter", "stream_to_table",
+           "sync_handler"]

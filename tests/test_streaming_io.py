@@ -136,3 +136,28 @@ def test_stream_append_mode_closed_batches(spark):
     got = sorted(tuple(r.items) for r in spark.read.parquet(path).collect())
     # append emits only batches closed by the watermark: the last one is still open
     assert got == [("src/a.ts", "src/b.ts"), ("src/c.ts",), ("src/d.ts",)]
+
+
+def test_sync_per_batch(spark):
+    from fleetlens.streaming.sync import sync_handler
+    mk = lambda rows: spark.createDataFrame(rows, "project string, path string, content string") \
+        .withColumn("content_hash", F.sha2("content", 256))
+    old = mk([("p", "src/auth/login.ts", "a"), ("p", "src/db/query.ts", "b")])
+    new = mk([("p", "src/auth/login.ts", "a2"), ("p", "src/db/query.ts", "b2"), ("p", "src/api/x.ts", "x")])
+    state = spark.createDataFrame([("p", "auth", "h", T0, ["auth.md"], [])],
+                                  "project string, key string, last_hash string, last_synced_at timestamp, "
+                                  "mapped_specs array<string>, mapped_nodes array<string>")
+    # the watcher saw only login.ts and x.ts change: query.ts is out of this batch
+    ev = _events(spark, [(0, "src/auth/login.ts"), (100, "src/api/x.ts")])
+    folder = tempfile.mkdtemp(prefix="fleetlens-sync-")
+    ev.write.parquet(os.path.join(folder, "in"))
+    stream = spark.readStream.schema(ev.schema).parquet(os.path.join(folder, "in"))
+    out = os.path.join(folder, "out")
+    q = D.run_on_batches(D.debounced_batches(stream, gap="1 second", watermark="1 second"),
+                         sync_handler(old, new, state, out, "2024-06-01 12:00:00"),
+                         os.path.join(folder, "ckpt"), output_mode="complete")
+    q.awaitTermination()
+    rep = spark.read.parquet(os.path.join(out, "*", "report")).collect()
+    assert [(r.project, r.n_changes, r.n_modules, r.impact_level) for r in rep] == [("p", 2, 2, "high")]
+    st = {r.key: r for r in spark.read.parquet(os.path.join(out, "*", "state")).collect()}
+    assert set(st) == {"auth", "api"} and st["auth"].mapped_specs == ["auth.md"]

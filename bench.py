@@ -30,7 +30,8 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     names = only or (HEADLINE if os.environ.get("BENCH_ALL") != "1" else list(QUERIES))
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app_name="fleetlens-bench")
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2))
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=parts, app_name="fleetlens-bench")
     # warm the JVM and the parquet footers once so the first query is not charged for it
     QUERIES["snapshot_diff"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}

@@ -23,9 +23,13 @@ from ..operators import snapshot as snap
 def sync_handler(old: DataFrame, new: DataFrame, state: DataFrame | Callable[[], DataFrame], out_dir: str,
                  run_ts: str) -> Callable[[DataFrame, int], None]:
     """``old``/``new``: snapshots (project, path, content_hash); ``state``:
-    the module-keyed sync state, or a function returning the latest one (it is
-    called once per batch, e.g. to read the newest saved state). Batch rows
-    carry (project, items array of paths)."""
+    the module-keyed sync state, or a function returning the latest one
+    (called once per batch). With a DataFrame, the state is chained: each
+    batch upserts into the state the previous batch wrote (read back from
+    ``out_dir``), so a later batch never loses an earlier batch's hashes.
+    Batch rows carry (project, items array of paths)."""
+    chain = {"state": state}
+
     def handle(batch: DataFrame, epoch: int) -> None:
         paths = batch.select("project", F.explode("items").alias("path")).distinct()
         # both snapshots are cut to the batch's paths before the full outer join
@@ -41,6 +45,9 @@ def sync_handler(old: DataFrame, new: DataFrame, state: DataFrame | Callable[[],
                        F.col("path").alias("ordinal")))
         base = os.path.join(out_dir, f"epoch={epoch}")
         report.write.mode("overwrite").parquet(os.path.join(base, "report"))
-        current = state() if callable(state) else state
-        snap.upsert_state(current, upd, run_ts).write.mode("overwrite").parquet(os.path.join(base, "state"))
+        current = state() if callable(state) else chain["state"]
+        state_path = os.path.join(base, "state")
+        snap.upsert_state(current, upd, run_ts).write.mode("overwrite").parquet(state_path)
+        if not callable(state):
+            chain["state"] = batch.sparkSession.read.parquet(state_path)
     return handle

@@ -161,3 +161,20 @@ def test_sync_per_batch(spark):
     assert [(r.project, r.n_changes, r.n_modules, r.impact_level) for r in rep] == [("p", 2, 2, "high")]
     st = {r.key: r for r in spark.read.parquet(os.path.join(out, "*", "state")).collect()}
     assert set(st) == {"auth", "api"} and st["auth"].mapped_specs == ["auth.md"]
+
+
+def test_sync_state_chains_across_batches(spark):
+    from fleetlens.streaming.sync import sync_handler
+    mk = lambda rows: spark.createDataFrame(rows, "project string, path string, content string") \
+        .withColumn("content_hash", F.sha2("content", 256))
+    old = mk([("p", "src/auth/login.ts", "a"), ("p", "src/db/query.ts", "b")])
+    new = mk([("p", "src/auth/login.ts", "a2"), ("p", "src/db/query.ts", "b2")])
+    state = spark.createDataFrame([], "project string, key string, last_hash string, last_synced_at timestamp, "
+                                      "mapped_specs array<string>, mapped_nodes array<string>")
+    out = tempfile.mkdtemp(prefix="fleetlens-chain-")
+    handle = sync_handler(old, new, state, out, "2024-06-01 12:00:00")
+    batch = lambda path: spark.createDataFrame([("p", [path])], "project string, items array<string>")
+    handle(batch("src/auth/login.ts"), 0)
+    handle(batch("src/db/query.ts"), 1)
+    keys = sorted(r.key for r in spark.read.parquet(os.path.join(out, "epoch=1", "state")).collect())
+    assert keys == ["auth", "db"]

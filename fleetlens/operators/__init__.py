@@ -15,7 +15,7 @@ from .inventory import (detect_languages, entry_files, language_tools, languages
 from .mentions import contains_join
 from .quality import (check_rows, check_tally, count_by, last_sync, resolve_defaults, status_rollup,
                       validate_rows, with_defaults)
-from .snapshot import (diff_snapshots, diff_state, infer_source_files, pair_renames, stale_entries,
+from .snapshot import (diff_snapshots, diff_state, filter_paths, infer_source_files, pair_renames, stale_entries,
                        symbols_from_changes, upsert_state)
 from .structure import (boundaries, boundary_matrix, call_edges, core_apis, deep_files, entry_points,
                         god_modules, health, issue_rows, module_boundaries, module_dependencies, orphans)

@@ -56,6 +56,21 @@ def diff_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("proje
             .where(F.col("status").isNotNull()))
 
 
+def filter_paths(changes: DataFrame, patterns: DataFrame, key: str = "path", pattern_col: str = "pattern",
+                 group: Sequence[str] = ("project",)) -> DataFrame:
+    """Keep the rows whose ``key`` contains any pattern of its group
+    (case-sensitive substring, as the file filter of a sync run). For a
+    pattern *table*; a short Python list is better served by
+    ``diff_snapshots(path_filter=...)``, which filters both inputs first."""
+    from .mentions import contains_join
+    group = list(group)
+    keys = changes.select(*group, key).distinct()
+    pats = patterns.select(*group, pattern_col).distinct()
+    hits = contains_join(keys, pats, key, pattern_col, group=group, text_keys=[key], needle_keys=[pattern_col],
+                         case_insensitive=False).select(*group, key).distinct()
+    return changes.join(hits, group + [key], "left_semi")
+
+
 def pair_renames(changes: DataFrame, group: Sequence[str] = ("project",), key: str = "path") -> DataFrame:
     """Turn a removed and an added entry with the same content hash into one
     ``renamed`` row (``key`` = new key, ``previous_<key>`` = old key).

@@ -122,3 +122,12 @@ def test_bucketed_snapshots_diff_without_shuffle(spark):
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan, plan
     assert sorted((r.path, r.status) for r in d.collect()) == [("src/index.ts", "removed"), ("src/new.ts", "added")]
+
+
+def test_filter_paths_pattern_table(spark):
+    ch = spark.createDataFrame([("p", x, "added") for x in ["src/auth/login.ts", "src/db/q.ts", "src/Auth/x.ts",
+                                                            "lib/a.ts"]] + [("q", "src/auth/z.ts", "added")],
+                               "project string, path string, status string")
+    pats = spark.createDataFrame([("p", "auth"), ("p", "lib/"), ("q", "db")], "project string, pattern string")
+    got = sorted((r.project, r.path) for r in snap.filter_paths(ch, pats).collect())
+    assert got == [("p", "lib/a.ts"), ("p", "src/auth/login.ts")]

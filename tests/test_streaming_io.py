@@ -114,7 +114,8 @@ def test_state_roundtrip_and_docs(spark):
 
 def test_read_tree(spark):
     root = tempfile.mkdtemp(prefix="fleetlens-tree-")
-    for rel, content in [("p1/src/a.ts", "A"), ("p1/src/x/b.ts", "B"), ("p2/lib/c.js", "C"), ("p2/docs/d.md", "D")]:
+    for rel, content in [("p1/src/a.ts", "A"), ("p1/src/x/b.ts", "B"), ("p2/lib/c.js", "C"), ("p2/docs/d.md", "D"),
+                         ("README", "not in a project")]:
         os.makedirs(os.path.dirname(os.path.join(root, rel)), exist_ok=True)
         with open(os.path.join(root, rel), "w") as f:
             f.write(content)

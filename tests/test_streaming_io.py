@@ -179,3 +179,26 @@ def test_sync_state_chains_across_batches(spark):
     handle(batch("src/db/query.ts"), 1)
     keys = sorted(r.key for r in spark.read.parquet(os.path.join(out, "epoch=1", "state")).collect())
     assert keys == ["auth", "db"]
+
+
+def test_sinks(spark):
+    import json as _json
+    from fleetlens.operators import impact as imp
+    from fleetlens.sources import sinks as SK
+    root = tempfile.mkdtemp(prefix="fleetlens-sinks-")
+    cands = spark.createDataFrame([("p", "auth.md", "new auth"), ("p", "manual.md", "new manual"), ("q", "x.md", "x")],
+                                  "project string, name string, content string")
+    existing = spark.createDataFrame([("p", "auth.md", "old " + imp.GENERATED_MARKER), ("p", "manual.md", "hand made")],
+                                     "project string, name string, text string")
+    rep = SK.write_guarded(imp.guarded_overwrite(cands, existing), os.path.join(root, "docs"))
+    assert {(r.name, r.action) for r in rep.collect()} == {("auth.md", "written"), ("manual.md", "skipped"),
+                                                            ("x.md", "written")}
+    written = sorted((r.project, r.name) for r in spark.read.parquet(os.path.join(root, "docs")).collect())
+    assert written == [("p", "auth.md"), ("q", "x.md")]
+    header = spark.createDataFrame([("p", "high", 2)], "project string, impact_level string, n_changes long")
+    lines = spark.createDataFrame([("p", "A", "added", "- **A** (added): added file src/a.ts")],
+                                  "project string, name string, type string, line string")
+    SK.write_reports(header, lines, os.path.join(root, "reports"))
+    assert spark.read.json(os.path.join(root, "reports", "lines")).first().project == "p"
+    js = SK.status_json(header).first().json
+    assert _json.loads(js) == {"project": "p", "impact_level": "high", "n_changes": 2}

@@ -128,3 +128,10 @@ def test_scc_iteration_limit(spark):
     except G.IterationLimitExceeded:
         return
     raise AssertionError("expected IterationLimitExceeded")
+
+
+def test_call_edges(spark):
+    e = _edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "d")])
+    syms = spark.createDataFrame([("p", "b"), ("p", "d")], "project string, name string")
+    got = sorted((r.source, r.target, r.symbol) for r in S.call_edges(e, syms).collect())
+    assert got == [("a", "b", "b"), ("b", "c", "b"), ("d", "d", "d")]

@@ -7,7 +7,7 @@ from .conform import (broken_links, checklist_completion, copied_blocks, documen
                       forbidden_crossings, line_findings, long_texts, modules_without_note, month_index,
                       new_findings, removed_without_deprecation, repeated_lines, task_completion, text_lines,
                       verdict, with_severity)
-from .graph import bounded_cycles, component_summary, cyclic_components
+from .graph import bounded_cycles, component_summary, cyclic_components, simple_cycle_paths
 from .impact import (change_lines, change_report, classify_changes, conflict_flags, detect_conflicts,
                      guarded_overwrite, impact_modules, impact_report, map_documents, rate_symbols)
 from .inventory import (detect_languages, entry_files, language_tools, languages_by_extension, module_members,

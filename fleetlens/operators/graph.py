@@ -243,3 +243,19 @@ def bounded_cycles(edges: DataFrame, max_len: int = 3, components: DataFrame | N
     for o in out[1:]:
         res = res.unionByName(o)
     return res
+
+
+def simple_cycle_paths(components: DataFrame, edges: DataFrame, max_len: int = 4, sep: str = " → ") -> DataFrame:
+    """For components that are one simple cycle of at most ``max_len``
+    modules: (project, component, path) with the path starting at the
+    smallest module ('a → b → c → a'). Found with ``bounded_cycles`` on the
+    components' own edges; a component qualifies when it holds exactly one
+    such cycle and the cycle visits all of its modules."""
+    summary = component_summary(components)
+    cyc = bounded_cycles(edges, max_len=max_len, components=components, sep=sep)
+    cyc = cyc.withColumn("_start", F.split("cycle", sep).getItem(0))
+    per = (cyc.groupBy(P, "_start").agg(F.count(F.lit(1)).alias("_n"), F.max("cycle").alias("path"),
+                                        F.max("length").alias("_len")))
+    j = summary.withColumn("_start", F.col("component").cast("string")).join(per, [P, "_start"])
+    return (j.where((F.col("_n") == 1) & (F.col("_len") == F.col("component_size")))
+            .select(P, "component", "path"))

@@ -134,10 +134,12 @@ def issue_rows(cycles: DataFrame | None = None, gods: DataFrame | None = None,
                                subject.alias("subject"), text.alias("issue"),
                                F.lit(PENALTY[rule]).alias("penalty")))
     if cycles is not None:
-        add(cycles, "cycle", F.col("component").cast("string"),
-            F.format_string(ISSUE_TEXT["cycle"], F.format_string("component of %d modules including %s",
-                                                                   F.col("component_size"),
-                                                                   F.col("component").cast("string"))))
+        # a ``path`` column (see graph.simple_cycle_paths) gives the exact cycle text when known
+        described = F.format_string("component of %d modules including %s", F.col("component_size"),
+                                    F.col("component").cast("string"))
+        if "path" in cycles.columns:
+            described = F.coalesce(F.col("path"), described)
+        add(cycles, "cycle", F.col("component").cast("string"), F.format_string(ISSUE_TEXT["cycle"], described))
     if gods is not None:
         add(gods, "god_module", F.col("name").cast("string"),
             F.format_string(ISSUE_TEXT["god_module"], F.col("name").cast("string"), F.lit(god_threshold)))

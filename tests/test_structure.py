@@ -135,3 +135,12 @@ def test_call_edges(spark):
     syms = spark.createDataFrame([("p", "b"), ("p", "d")], "project string, name string")
     got = sorted((r.source, r.target, r.symbol) for r in S.call_edges(e, syms).collect())
     assert got == [("a", "b", "b"), ("b", "c", "b"), ("d", "d", "d")]
+
+
+def test_cycle_issue_text(spark):
+    e = _edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "x")])
+    comps = G.cyclic_components(e)
+    summary = G.component_summary(comps).join(G.simple_cycle_paths(comps, e), ["project", "component"], "left")
+    texts = sorted(r.issue for r in S.issue_rows(cycles=summary).collect())
+    assert texts == ["circular dependency: a → b → c → a",
+                     "circular dependency: component of 3 modules including x"]

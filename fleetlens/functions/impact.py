@@ -19,8 +19,13 @@ def impact_level(name, affected_modules) -> Column:
     """'high' when the first character equals its upper-case form or more
     than three modules are affected, 'medium' for one to three, else 'low'.
     An empty name does not count as upper-case."""
+    return impact_level_n(name, F.size(_col(affected_modules)))
+
+
+def impact_level_n(name, n_affected) -> Column:
+    """``impact_level`` from the number of affected modules (no list needed)."""
     name = _col(name)
-    n_aff = F.coalesce(F.size(_col(affected_modules)), F.lit(0))
+    n_aff = F.coalesce(_col(n_affected), F.lit(0))
     first = F.substring(name, 1, 1)
     upper_first = (F.length(name) > 0) & (first == F.upper(first))
     return (F.when(upper_first | (n_aff > 3), F.lit("high"))

@@ -500,16 +500,15 @@ SELECT project, name, symbol, n_affected,
             WHEN n_affected >= 1 THEN 'medium' ELSE 'low' END AS impact_level
 FROM sym""")
 def impact_levels(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions import impact_level
+    from ..functions import impact_level_n
     m = _modules(spark, sf)
     e = _edges(spark, sf).where(F.col("source") != F.col("target"))
-    aff = (e.groupBy("project", F.col("source").alias("name"))
-           .agg(F.collect_set(F.col("target").cast("string")).alias("affected_modules")))
+    # the number of affected modules is all the rule needs: a distinct count, no per-module list
+    aff = e.groupBy("project", F.col("source").alias("name")).agg(F.countDistinct("target").alias("_n"))
     s = I.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("name"), F.lower("s_name").alias("symbol"))
     j = m.join(s, "name").join(aff, ["project", "name"], "left")
-    am = F.coalesce("affected_modules", F.array().cast("array<string>"))
-    return j.select("project", "name", "symbol", F.size(am).cast("long").alias("n_affected"),
-                    impact_level("symbol", am).alias("impact_level"))
+    n = F.coalesce("_n", F.lit(0)).cast("long")
+    return j.select("project", "name", "symbol", n.alias("n_affected"), impact_level_n("symbol", n).alias("impact_level"))
 
 
 # --------------------------------------------------------------------------- C1 C2 C3 C4 C10

@@ -10,12 +10,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import held_out, read
+from .decontaminate import decontaminate
+from .language_id import identify_language
 from .line_dedup import drop_repeated_lines
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 3, 1).alias("held_out"))
+    return (identify_language(docs.drop("lang"), docs.where("NOT held_out"))
+            .select("doc_id", "held_out", "lang_pred", "score"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate(docs, read(spark, sf_dir, "benchmark"), remove="nothing")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+SQL_OP8 = f"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+bench_windows AS (
+  SELECT DISTINCT item_id, ws[i:i + least(len(ws), 13) - 1] AS win
+  FROM item, LATERAL (SELECT unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS i) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT len(win) AS size FROM bench_windows),
+doc_windows AS (
+  SELECT doc_id, size, i, ws[i:i + size - 1] AS win
+  FROM doc, sizes, LATERAL (SELECT unnest(range(1, len(ws) - size + 2)) AS i) WHERE len(ws) >= size),
+hits AS (
+  SELECT d.doc_id, d.size, d.i, b.item_id FROM doc_windows d JOIN bench_windows b ON d.win = b.win),
+positions AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM hits, LATERAL (SELECT unnest(range(i, i + size)) AS p) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256,
+       coalesce(p.n_hit, 0) > 0 AND 20 * coalesce(p.n_hit, 0) >= len(d.ws) AS contaminated
+FROM doc d LEFT JOIN positions p ON p.doc_id = d.doc_id LEFT JOIN items t ON t.doc_id = d.doc_id
+"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in several documents, dropped from all but the first."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,9 +90,12 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES = {
+    "op5_language_id": op5_language_id,
+    "op8_decontaminate": op8_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE = {
+    "op8_decontaminate": SQL_OP8,
     "op10_line_dedup": SQL_OP10,
 }

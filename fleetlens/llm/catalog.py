@@ -14,10 +14,19 @@ from .common import held_out, read
 from .decontaminate import decontaminate
 from .language_id import identify_language
 from .line_dedup import drop_repeated_lines
+from .quality import fit_voting, score_quality
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from two thirds of the labels."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 3, 1).alias("held_out"))
+    model = fit_voting(docs.where("NOT held_out"), read(spark, sf_dir, "labels"))
+    return (score_quality(docs, model)
+            .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 3, 1).alias("held_out"))
@@ -90,6 +99,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op5_language_id": op5_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op10_line_dedup": op10_line_dedup,

@@ -1,7 +1,8 @@
 """Quality classifier (operator 1): nearest-neighbour voting.
 
-A text becomes a tf-idf vector over hashed byte trigrams; document
-frequencies are counted over all training rows. A bounded sample of labelled
+A text becomes a tf-idf vector over hashed byte trigrams and two counts of
+repetition (words equal to the word before, lines equal to an earlier line);
+document frequencies are counted over all training rows. A bounded sample of labelled
 rows (``SAMPLE_PER_LABEL`` of each label, smallest hash of the id first)
 gives the latent space: a truncated singular value decomposition of their
 vectors. The sample's latent vectors and labels are broadcast - their number
@@ -22,6 +23,7 @@ left out. An added column replaces one of the same name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -36,15 +38,22 @@ LATENT = 64
 NEIGHBOURS = 25
 SHARPNESS = 6
 BLOCK = 256  # documents per matrix product
+WIDTH = (1 << BUCKET_BITS) + 2  # buckets of trigrams, repeated words, repeated lines
+REPEAT_WEIGHT = 4
 
 
-def trigram_counts(texts: list[bytes], bits: int = BUCKET_BITS) -> np.ndarray:
-    """documents x buckets: counts of hashed byte trigrams."""
+def feature_counts(texts: list[bytes]) -> np.ndarray:
+    """documents x WIDTH: counts of hashed byte trigrams and repetitions."""
     buf = np.frombuffer(b"".join(t + b"\n\n" for t in texts), np.uint8).astype(np.uint32)
-    row = np.repeat(np.arange(len(texts), dtype=np.int64) << bits, [len(t) + 2 for t in texts])[:-2]
+    row = np.repeat(np.arange(len(texts), dtype=np.int64) * WIDTH, [len(t) + 2 for t in texts])[:-2]
     h = (buf[:-2] * np.uint32(0x9E3779B1)) ^ (buf[1:-1] * np.uint32(0x85EBCA77)) ^ (buf[2:] * np.uint32(0xC2B2AE3D))
-    h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)
-    return np.bincount(row + h, minlength=len(texts) << bits).reshape(len(texts), 1 << bits)
+    h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BUCKET_BITS)
+    counts = np.bincount(row + h, minlength=len(texts) * WIDTH).reshape(len(texts), WIDTH)
+    for k, text in enumerate(texts):
+        words, lines = text.split(), text.split(b"\n")
+        counts[k, -2] = sum(map(eq, words, words[1:]))
+        counts[k, -1] = len(lines) - len(set(lines))
+    return counts
 
 
 def blocks(texts: list[bytes], rows: int = BLOCK, size: int = 4_000_000) -> Iterator[list[bytes]]:
@@ -85,7 +94,7 @@ class VotingModel:
         self.labels, self.weights, self.prior = labels, weights, prior
 
     def latent(self, texts: list[bytes]) -> np.ndarray:
-        y = weighted(trigram_counts(texts), self.idf) @ self.space
+        y = weighted(feature_counts(texts), self.idf) @ self.space
         norm = np.linalg.norm(y, axis=1, keepdims=True)
         return np.where(norm > 1e-6, y / np.where(norm > 1e-6, norm, 1), 0)
 
@@ -107,16 +116,16 @@ class VotingModel:
 def document_frequency(docs: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
     """Number of rows of ``docs`` and of those that hold each bucket."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, rows = np.zeros(1 << BUCKET_BITS, np.int64), 0
+        total, rows = np.zeros(WIDTH, np.int64), 0
         for f in frames:
             for part in blocks(f["body"].tolist()):
-                total += (trigram_counts(part) > 0).sum(axis=0)
+                total += (feature_counts(part) > 0).sum(axis=0)
                 rows += len(part)
         yield pd.DataFrame({"bucket": np.append(np.arange(len(total)), -1), "n": np.append(total, rows)})
 
     sums = (docs.select(text_bytes(text_col).alias("body")).mapInPandas(count, "bucket int, n long")
             .groupBy("bucket").agg(F.sum("n").alias("n")).collect())  # one row per bucket
-    df, rows = np.zeros(1 << BUCKET_BITS), 0
+    df, rows = np.zeros(WIDTH), 0
     for r in sums:
         if r["bucket"] < 0:
             rows = r["n"]
@@ -131,6 +140,7 @@ def fit_voting(training: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     spark = training.sparkSession
     rows, df = document_frequency(training, text_col)
     idf = np.log((1 + rows) / (1 + df)).astype(np.float32) + np.float32(1)
+    idf[-2:] *= REPEAT_WEIGHT
 
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
@@ -147,14 +157,14 @@ def fit_voting(training: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     def sparse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            counts = [trigram_counts([t])[0] for t in f["body"]]
+            counts = [feature_counts([t])[0] for t in f["body"]]
             at = [np.flatnonzero(c) for c in counts]
             yield pd.DataFrame({"id": f["id"], "label": f["label"],
                                 "at": [a.astype(np.uint16).tobytes() for a in at],
                                 "n": [c[a].astype(np.uint32).tobytes() for c, a in zip(counts, at)]})
 
     got = sorted(found.mapInPandas(sparse, "id long, label int, at binary, n binary").collect(), key=lambda r: r["id"])
-    x = np.zeros((len(got), 1 << BUCKET_BITS), np.float32)
+    x = np.zeros((len(got), WIDTH), np.float32)
     for k, r in enumerate(got):
         x[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
     x = weighted(x, idf)

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read
+from .common import held_out, read, text_bytes
 from .decontaminate import decontaminate
 from .language_id import identify_language
 from .line_dedup import drop_repeated_lines
+from .mixing import mix_table
 from .quality import fit_voting, score_quality
+from .sharding import shard_documents
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -27,6 +29,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all sources takes of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_table(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 3, 1).alias("held_out"))
@@ -72,6 +80,16 @@ FROM doc d LEFT JOIN positions p ON p.doc_id = d.doc_id LEFT JOIN items t ON t.d
 """
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of equal row counts."""
+    body = text_bytes("text")
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), "text")
+    out = shard_documents(docs, 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in several documents, dropped from all but the first."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -100,8 +118,10 @@ FROM marked GROUP BY doc_id
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_mixing": op3_mixing,
     "op5_language_id": op5_language_id,
     "op8_decontaminate": op8_decontaminate,
+    "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
 }
 

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from .common import held_out, read, text_bytes
 from .decontaminate import decontaminate
+from .exact_search import integer_vectors, top_k
 from .language_id import identify_language
 from .line_dedup import drop_repeated_lines
 from .mixing import mix_table
 from .quality import fit_voting, score_quality
 from .sharding import shard_documents
+from .url_filter import Rule, filter_urls
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -35,6 +37,28 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every hundredth vector among all others."""
+    vectors = integer_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return top_k(vectors, vectors.where(F.col("id") % 100 == 0), 10)
+
+
+SQL_OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * v.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(q.x) = len(v.x)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 3, 1).alias("held_out"))
@@ -42,6 +66,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score"))
 
 
+PAGE_RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"),
+              Rule("org", "/fr/", "allow")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page url."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, PAGE_RULES).drop("url")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -119,13 +153,16 @@ FROM marked GROUP BY doc_id
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_mixing": op3_mixing,
+    "op4_exact_search": op4_exact_search,
     "op5_language_id": op5_language_id,
+    "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE = {
+    "op4_exact_search": SQL_OP4,
     "op8_decontaminate": SQL_OP8,
     "op10_line_dedup": SQL_OP10,
 }

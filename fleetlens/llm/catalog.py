@@ -16,6 +16,7 @@ from .exact_search import integer_vectors, top_k
 from .language_id import identify_language
 from .line_dedup import drop_repeated_lines
 from .mixing import mix_table
+from .near_dedup import near_duplicates
 from .quality import fit_voting, score_quality
 from .sharding import shard_documents
 from .url_filter import Rule, filter_urls
@@ -66,6 +67,36 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select(F.col("doc").alias("doc_id"), "n_shingles",
+                                        F.col("component").alias("component_id"), "kept")
+
+
+SQL_OP6 = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM words, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i) WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS origin, doc_id AS node FROM documents
+  UNION
+  SELECT r.origin, e.b FROM reach r JOIN both_ways e ON e.a = r.node)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+JOIN (SELECT origin, min(node) AS component_id FROM reach GROUP BY origin) m ON m.origin = d.doc_id
+"""
+
+
 PAGE_RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"),
               Rule("org", "/fr/", "allow")]
 
@@ -155,6 +186,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_exact_search": op4_exact_search,
     "op5_language_id": op5_language_id,
+    "op6_near_dedup": op6_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
@@ -163,6 +195,7 @@ QUERIES = {
 
 ORACLE = {
     "op4_exact_search": SQL_OP4,
+    "op6_near_dedup": SQL_OP6,
     "op8_decontaminate": SQL_OP8,
     "op10_line_dedup": SQL_OP10,
 }

@@ -15,6 +15,7 @@ from .decontaminate import decontaminate
 from .exact_search import integer_vectors, top_k
 from .language_id import identify_language
 from .line_dedup import drop_repeated_lines
+from .lm_score import score_texts
 from .mixing import mix_table
 from .near_dedup import near_duplicates
 from .quality import fit_voting, score_quality
@@ -32,6 +33,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learned from six sevenths."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (~held_out("doc_id", 7, 2)).alias("learn"))
+    return (score_texts(docs, learn_col="learn")
+            .select(F.col("id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known",
+                    "train_tokens", "base_score", "score"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all sources takes of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -183,6 +192,7 @@ FROM marked GROUP BY doc_id
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_lm_score": op2_lm_score,
     "op3_mixing": op3_mixing,
     "op4_exact_search": op4_exact_search,
     "op5_language_id": op5_language_id,

@@ -69,10 +69,14 @@ def blocks(texts: list[bytes], rows: int = BLOCK, size: int = 4_000_000) -> Iter
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit tf-idf rows, term frequencies damped by the square root."""
-    x = np.sqrt(counts, dtype=np.float32) * idf
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+    """Unit tf-idf rows, term frequencies damped by the square root; 32-bit
+    counts are overwritten."""
+    x = counts if counts.dtype == np.float32 else counts.astype(np.float32)
+    np.sqrt(x, out=x)
+    x *= idf
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    x /= np.where(norm > 0, norm, 1)
+    return x
 
 
 def latent_space(x: np.ndarray, k: int, steps: int = 4) -> np.ndarray:

@@ -42,8 +42,10 @@ def ring(docs: DataFrame, shards: int, virtual_nodes: int, bits: int) -> DataFra
     the arc, and the shard that owns the arc's point."""
     spark = docs.sparkSession
     points = (spark.range(shards * virtual_nodes)
-              .select((F.col("id") % shards).cast("int").alias("shard"), F.col("id").alias("point"),
-                      F.shiftrightunsigned(F.xxhash64(F.lit("point"), "id"), 64 - bits).alias("cell")))
+              .select(F.floor(F.col("id") / virtual_nodes).cast("int").alias("shard"), F.col("id").alias("point")))
+    # a shard's points do not depend on the number of shards
+    points = points.withColumn("cell", F.shiftrightunsigned(
+        F.xxhash64(F.lit("point"), "shard", F.col("point") % virtual_nodes), 64 - bits))
     order = Window.orderBy("cell", "point")  # shards x virtual nodes rows
     arcs = points.select("shard", (F.row_number().over(order) - 1).alias("arc"), "cell",
                          F.lag("cell").over(order).alias("prior"), F.max("cell").over(Window.partitionBy()).alias("top"))

@@ -10,7 +10,8 @@ documents, many among thousands of near copies. Neighbours that share at
 least ``MIN_DEPTH`` bytes are candidates, in all ``TREES`` orders. A group of
 near copies often hangs together through a few central documents; so in every
 region (documents with a common prefix of ``MIN_DEPTH`` bytes) the document
-with the most similar neighbours so far is a candidate for all others.
+with the most neighbours above the threshold, by signature, is a candidate for
+all others.
 
 A candidate pair whose signatures agree in less than the threshold minus four
 standard errors is let go; every other pair that can still join two
@@ -201,7 +202,7 @@ def candidates(reps: DataFrame, threshold: int) -> DataFrame:
     least = int(VALUES * (share - 4.1 * (share * (1 - share) / VALUES) ** 0.5))
     trees = stage(forest(reps), "forest")
     near = stage(_similar(neighbours(trees), reps, least), "neighbours")
-    ends = near.select(F.explode(F.array("a", "b")).alias("doc"))
+    ends = near.where(F.col("agree") * 100 >= threshold * VALUES).select(F.explode(F.array("a", "b")).alias("doc"))
     hubs = ends.groupBy("doc").agg(F.count("*").alias("links")).where(F.col("links") >= HUB_LINKS)
     region = trees.select("tree", F.expr(f"substring(key, 1, {MIN_DEPTH})").alias("region"), "doc")
     centre = (region.join(hubs, "doc").groupBy("tree", "region")

@@ -113,12 +113,12 @@ def _without_hits(body: pd.Series, mask: pd.Series) -> pd.Series:
     for text, hits in zip(body, mask):
         if hits is not None:
             hits = np.unpackbits(np.frombuffer(hits, np.uint8))
-            spans = [m.span() for m in WORD.finditer(text.lower())]
-            kept, at = [], 0
-            for (start, end), hit in zip(spans, hits):
-                if hit:
-                    kept.append(text[at:start])
-                    at = end
+            kept, at, inside = [], 0, False
+            for word, hit in zip(WORD.finditer(text.lower()), hits):
+                if hit:  # what stands between two hit words goes with them
+                    kept.append(b"" if inside else text[at:word.start()])
+                    at = word.end()
+                inside = hit
             text = b"".join([*kept, text[at:]])
         out.append(text)
     return pd.Series(out, dtype="object")

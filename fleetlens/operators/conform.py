@@ -3,8 +3,8 @@ exports, broken links, copied blocks, line rules, size limits, checklists,
 archive index and the overall verdict.
 
 Line-level checks split texts into lines with ``posexplode`` (a narrow
-operation: no shuffle). Repeated-block detection shuffles 8-byte hashes
-first and only touches the text of blocks whose hash repeats.
+operation: no shuffle). Repeated blocks and lines are found by their digests;
+no text is shuffled for them.
 """
 
 from __future__ import annotations
@@ -149,34 +149,30 @@ def copied_blocks(docs: DataFrame, keys: Sequence[str], text_col: str = "text",
     """Blocks of ``size`` consecutive identical lines found in at least
     ``min_docs`` texts: (block_hash sha-256 hex, n_docs, n_places).
 
-    Blocks are cut from each text's line array (narrow, no shuffle by text).
-    Only 8-byte xxhash64 values are shuffled to find repeating blocks; the
-    block text is then grouped only for those, on the text itself, so a hash
-    collision can never merge two different blocks.
-    """
-    keys = list(keys)
-    blocks = (docs.select(*keys, F.split(F.col(text_col), "\n").alias("_l"))
-              .where(F.size("_l") >= size)
-              .select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("_l") - size + 1),
-                                                   lambda i: F.array_join(F.slice("_l", i, size), "\n"))).alias("block")))
-    blocks = blocks.withColumn("_h", F.xxhash64("block"))
-    hot = (blocks.groupBy("_h").agg(F.countDistinct(*keys).alias("_n")).where(F.col("_n") >= min_docs).select("_h"))
-    cand = blocks.join(hot, "_h", "left_semi")
-    return (cand.groupBy("block")
-            .agg(F.countDistinct(*keys).alias("n_docs"), F.count(F.lit(1)).alias("n_places"))
-            .where(F.col("n_docs") >= min_docs)
-            .select(F.sha2("block", 256).alias("block_hash"), "n_docs", "n_places"))
+    Blocks are cut from each text's line array and digested in the scan; only
+    digests leave it. Places are summed per (digest, text) first, so a block
+    that a third of all texts hold is a short sum per task, and texts are read
+    once."""
+    lines = F.split(F.col(text_col), "\n")
+    block = F.transform(F.sequence(F.lit(1), F.size("_l") - size + 1),
+                        lambda i: F.sha2(F.array_join(F.slice("_l", i, size), "\n"), 256))
+    blocks = (docs.select(*keys, lines.alias("_l")).where(F.size("_l") >= size)
+              .select(*keys, F.explode(block).alias("block_hash")))
+    return _in_several(blocks, list(keys), "block_hash", min_docs)
+
+
+def _in_several(rows: DataFrame, keys: list[str], digest: str, min_docs: int) -> DataFrame:
+    """(digest, n_docs, n_places) of the digests found in enough texts."""
+    per_text = rows.groupBy(digest, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    return (per_text.groupBy(digest).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("_n").alias("n_places"))
+            .where(F.col("n_docs") >= min_docs))
 
 
 def repeated_lines(lines: DataFrame, keys: Sequence[str], min_docs: int = REPEAT_PLACES) -> DataFrame:
-    """Non-blank lines present in at least ``min_docs`` texts."""
-    keys = list(keys)
-    l2 = lines.where(F.trim("line") != "").withColumn("_h", F.xxhash64("line"))
-    hot = l2.groupBy("_h").agg(F.countDistinct(*keys).alias("_n")).where(F.col("_n") >= min_docs).select("_h")
-    return (l2.join(hot, "_h", "left_semi").groupBy("line")
-            .agg(F.countDistinct(*keys).alias("n_docs"), F.count(F.lit(1)).alias("n_places"))
-            .where(F.col("n_docs") >= min_docs)
-            .select(F.sha2("line", 256).alias("line_hash"), "n_docs", "n_places"))
+    """Non-blank lines present in at least ``min_docs`` texts: (line_hash,
+    n_docs, n_places), in one pass over the lines' digests."""
+    digests = lines.where(F.trim("line") != "").select(*keys, F.sha2("line", 256).alias("line_hash"))
+    return _in_several(digests, list(keys), "line_hash", min_docs)
 
 
 def line_findings(lines: DataFrame, keys: Sequence[str], rules: dict | None = None) -> DataFrame:

@@ -144,10 +144,10 @@ def guarded_overwrite(candidates: DataFrame, existing: DataFrame, marker: str =
                       keys: Sequence[str] = ("project", "name")) -> DataFrame:
     """Decide per generated document whether it may be written: only when no
     document exists under its key or the existing one carries the marker.
-    Returns the candidate columns plus ``action`` in ('written', 'skipped')."""
+    Returns the candidate columns plus ``action`` in ('written', 'skipped').
+    The marker is looked for where the documents are scanned; their texts
+    take no part in the join."""
     keys = list(keys)
-    ex = existing.select(*keys, F.col("text").alias("_existing"))
-    j = candidates.join(ex, keys, "left")
-    action = F.when(F.col("_existing").isNull() | F.col("_existing").contains(marker), F.lit("written")) \
-        .otherwise(F.lit("skipped"))
-    return j.withColumn("action", action).drop("_existing")
+    manual = existing.where(~F.coalesce(F.col("text").contains(marker), F.lit(True))).select(*keys).distinct()
+    j = candidates.join(manual.withColumn("_manual", F.lit(True)), keys, "left")
+    return j.withColumn("action", F.when(F.col("_manual"), "skipped").otherwise("written")).drop("_manual")

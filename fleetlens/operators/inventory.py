@@ -45,6 +45,8 @@ LANGUAGE_TOOLS = {
     "swift": ([".swift"], "swiftlint", "swift-format", "swift/coding-style.md"),
 }
 NOT_AVAILABLE = "not available"
+NAME_ASSIGNMENT = r"name\s*=\s*[\"']([^\"']+)[\"']"
+PROJECT_SECTION = r"(?s)\[project\]([^\[]*)"
 
 
 def modules_from_files(files: DataFrame) -> DataFrame:
@@ -134,10 +136,13 @@ def project_name(manifests: DataFrame, projects: DataFrame, folder_col: str = "f
         F.max(F.when(F.col("name") == "package.json", F.col("text"))).alias("_pkg"),
         F.max(F.when(F.col("name") == "setup.py", F.col("text"))).alias("_setup"),
         F.max(F.when(F.col("name") == "pyproject.toml", F.col("text"))).alias("_pyproject"))
-    pkg = F.get_json_object("_pkg", "$.name")
-    setup = F.regexp_extract("_setup", r"name\s*=\s*[\"']([^\"']+)[\"']", 1)
-    section = F.regexp_extract("_pyproject", r"(?s)\[project\]([^\[]*)", 1)
-    pyproj = F.regexp_extract(section, r"name\s*=\s*[\"']([^\"']+)[\"']", 1)
+    # only a JSON string is a name: its type is that of the parsed value, whatever its text looks like
+    parsed = F.try_parse_json("_pkg")
+    pkg = F.when(F.schema_of_variant(F.try_variant_get(parsed, "$.name", "variant")) == "STRING",
+                 F.try_variant_get(parsed, "$.name", "string"))
+    setup = F.regexp_extract("_setup", NAME_ASSIGNMENT, 1)
+    section = F.regexp_extract("_pyproject", PROJECT_SECTION, 1)
+    pyproj = F.regexp_extract(section, NAME_ASSIGNMENT, 1)
     j = projects.join(m, "project", "left")
     return j.select("project", F.coalesce(F.nullif(pkg, F.lit("")), F.nullif(setup, F.lit("")),
                                           F.nullif(pyproj, F.lit("")), F.col(folder_col)).alias("name"))

@@ -16,11 +16,10 @@ only those candidate pairs are checked with ``contains``. The empty needle is
 in every text of its group (as ``contains(x, '')``); those pairs are the
 answer, not a shortcut. No group is paired with all of another.
 
-The needle side is written once (it is the small side). At most
-``literal_limit`` + 1 distinct wanted keys are fetched: when they fit, that
-proven-small key set is broadcast and the texts' keys are semi-joined to it
-in the scan stage (a broadcast hash probe, no shuffle of text keys); above
-the limit the semi join is left to the planner (shuffle or AQE broadcast).
+The needle side is written once as Parquet, so the planner knows its size when
+it semi-joins the texts' keys to the wanted ones. Texts take part in one join
+only, the last: candidate pairs bring their needle along, meet the text by the
+document's key and are checked right there.
 """
 
 from __future__ import annotations
@@ -30,10 +29,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import written
 
 GRAM = 3
-LITERAL_LIMIT = 20_000
+EMPTY_SALTS = 64
 W = r"\p{L}\p{N}_"
 WORD = f"[{W}]+"
 INTERIOR = f"(?<=[^{W}])[{W}]+(?=[^{W}])"
@@ -51,25 +50,28 @@ def _words(text_col: str):
 
 def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_col: str,
                   group: Sequence[str] = (), text_keys: Sequence[str] = (), needle_keys: Sequence[str] = (),
-                  case_insensitive: bool = True, n: int = GRAM, literal_limit: int = LITERAL_LIMIT) -> DataFrame:
+                  case_insensitive: bool = True, n: int = GRAM) -> DataFrame:
     """Pairs (group, text_keys, needle_keys) where the needle is a substring
     of the text (after lower-casing both when ``case_insensitive``).
     ``texts`` must be unique on ``group + text_keys`` and ``needles`` on
     ``group + needle_keys``."""
-    out_group = list(group)
-    tk, nk = list(text_keys), list(needle_keys)
+    group, tk, nk = list(group), list(text_keys), list(needle_keys)
     low = F.lower if case_insensitive else (lambda c: c)
-    t = texts.select(*out_group, *tk, low(F.col(text_col)).alias("_text"))
-    nd = needles.select(*out_group, *nk, low(F.col(needle_col)).alias("_needle"))
-    group = out_group
-    if not group:  # one fleet-wide group
-        t, nd, group = t.withColumn("_grp", F.lit(0)), nd.withColumn("_grp", F.lit(0)), ["_grp"]
+    t = texts.select(*group, *tk, low(F.col(text_col)).alias("_text"))
+    nd = needles.select(*group, *nk, low(F.col(needle_col)).alias("_needle"))
+    nd = written(nd.withColumn("_words", F.array_distinct(
+        F.regexp_extract_all("_needle", F.lit(INTERIOR), 0))), "needles")
 
-    nd = materialize(nd.withColumn("_words", F.array_distinct(
-        F.regexp_extract_all("_needle", F.lit(INTERIOR), 0))))
-
-    empty = nd.where(F.length("_needle") == 0).select(*group, *nk)
-    pairs_empty = empty.join(t.select(*group, *tk), group)
+    glen = F.least(F.length("_needle"), F.lit(n))
+    stats = nd.agg(F.count(F.when(F.length("_needle") == 0, 1)).alias("empty"),
+                   F.count(F.when(F.size("_words") > 0, 1)).alias("w"),
+                   F.count(F.when((F.length("_needle") > 0) & (F.size("_words") == 0), 1)).alias("g"),
+                   F.count(F.when((F.length("_needle") > 0) & (F.size("_words") == 0) & (glen < n), 1)).alias("s")).first()
+    # an empty needle is in every text of its group: that is the answer, dealt over salts so that no group is one task
+    salts = F.explode(F.sequence(F.lit(0), F.lit(EMPTY_SALTS - 1)))
+    empty = nd.where(F.length("_needle") == 0).select(*group, *nk, salts.alias("_salt"))
+    dealt = t.select(*group, *tk, F.pmod(F.xxhash64(*group, *tk), F.lit(EMPTY_SALTS)).cast("int").alias("_salt"))
+    pairs_empty = (empty if stats["empty"] else empty.limit(0)).join(dealt, [*group, "_salt"]).select(*group, *tk, *nk)
 
     nz = nd.where(F.length("_needle") > 0)
     by_word = nz.where(F.size("_words") > 0).select(*group, *nk, F.lit("w").alias("_kind"),
@@ -80,22 +82,9 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_co
         F.when(F.length("_needle") < n, F.array("_needle")).otherwise(_grams("_needle", n))).alias("_k"))
     nkeys = by_word.unionByName(by_gram)
 
-    # plan choices from the small, already written needle side: at most
-    # literal_limit + 1 distinct keys are fetched, so the driver never holds more
     wanted = nkeys.select("_kind", "_k").distinct()
-    rows = wanted.limit(literal_limit + 1).collect()
     parts = []
-    small = len(rows) <= literal_limit
-    if small:  # size-checked: this key set is broadcast
-        kinds = {r["_kind"] for r in rows}
-        use_words, use_grams = "w" in kinds, "g" in kinds
-        short = any(len(r["_k"]) < n for r in rows if r["_kind"] == "g")
-        wanted = F.broadcast(texts.sparkSession.createDataFrame(rows, "_kind string, _k string"))
-    else:
-        stats = nz.agg(F.count(F.when(F.size("_words") > 0, 1)).alias("w"),
-                       F.count(F.when(F.size("_words") == 0, 1)).alias("g"),
-                       F.count(F.when((F.size("_words") == 0) & (glen < n), 1)).alias("s")).first()
-        use_words, use_grams, short = stats["w"] > 0, stats["g"] > 0, stats["s"] > 0
+    use_words, use_grams, short = stats["w"] > 0, stats["g"] > 0, stats["s"] > 0
     if use_words:
         parts.append(t.select(*group, *tk, F.lit("w").alias("_kind"), F.explode(_words("_text")).alias("_k")))
     if use_grams:
@@ -103,21 +92,21 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_co
         arr = F.array_distinct(F.concat(*[_grams("_text", k) for k in lens])) if len(lens) > 1 else _grams("_text", n)
         parts.append(t.select(*group, *tk, F.lit("g").alias("_kind"), F.explode(arr).alias("_k")))
     if not parts:
-        return pairs_empty.select(*out_group, *tk, *nk)
+        return pairs_empty
     tkeys = parts[0]
     for p in parts[1:]:
         tkeys = tkeys.unionByName(p)
     # written once: the key frequencies and the candidate join both read it,
     # and recomputing means scanning and splitting every text again
-    tkeys = materialize(tkeys.join(wanted, ["_kind", "_k"], "left_semi"))
+    tkeys = written(tkeys.join(wanted, ["_kind", "_k"], "left_semi"), "text-keys")
 
     freq = tkeys.groupBy(*group, "_kind", "_k").agg(F.count(F.lit(1)).alias("_df"))
-    chosen = (nkeys.join(freq, group + ["_kind", "_k"])
+    chosen = (nkeys.join(freq, [*group, "_kind", "_k"])
               .groupBy(*group, *nk)
               .agg(F.min(F.struct("_df", "_kind", "_k")).alias("_c"))
               .select(*group, *nk, F.col("_c._kind").alias("_kind"), F.col("_c._k").alias("_k")))
-    cand = chosen.join(tkeys, group + ["_kind", "_k"]).select(*group, *tk, *nk)
-    checked = (cand.join(t, group + tk).join(nz.select(*group, *nk, "_needle"), group + nk)
-               .where(F.col("_text").contains(F.col("_needle")))
-               .select(*out_group, *tk, *nk))
-    return checked.unionByName(pairs_empty.select(*out_group, *tk, *nk))
+    chosen = chosen.join(nz.select(*group, *nk, "_needle"), [*group, *nk])
+    cand = chosen.join(tkeys, [*group, "_kind", "_k"]).select(*group, *tk, *nk, "_needle")
+    checked = (t.join(cand, [*group, *tk]).where(F.col("_text").contains(F.col("_needle")))
+               .select(*group, *tk, *nk))
+    return checked.unionByName(pairs_empty) if stats["empty"] else checked

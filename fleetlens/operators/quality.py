@@ -113,6 +113,13 @@ def status_rollup(projects: DataFrame, parts: Sequence[DataFrame], count_cols: S
     return out
 
 
+def iso_utc(ts: str) -> Column:
+    """A timestamp as ISO text in UTC, whatever the session's time zone."""
+    millis = F.unix_millis(F.col(ts))
+    utc = F.timestamp_add("MILLISECOND", millis, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def last_sync(state: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """Per project: configured ref/time when set, else the latest entry time;
     '(never)' when nothing is known."""
@@ -123,7 +130,7 @@ def last_sync(state: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     else:
         s = s.withColumn("_cfg_ref", F.lit(None).cast("string")).withColumn("_cfg_at", F.lit(None).cast("string"))
     at = F.coalesce(F.nullif(F.col("_cfg_at"), F.lit("")),
-                    F.date_format("_max_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("(never)"))
+                    iso_utc("_max_at"), F.lit("(never)"))
     ref = F.coalesce(F.nullif(F.col("_cfg_ref"), F.lit("")), F.lit("(never)"))
     return s.select("project", ref.alias("last_ref"), at.alias("last_at"))
 

@@ -696,7 +696,7 @@ from pyspark.sql import types as T  # noqa: E402
 
 SQL_STATUS = SQL_RENAMED + """,
 spec_docs AS (SELECT lang AS project, 'doc-' || CAST(doc_id AS VARCHAR) || '.md' AS name, text FROM documents),
-st AS (SELECT project, count(*) AS n_specs, CAST(sum(length(text)) AS BIGINT) AS index_size FROM spec_docs GROUP BY project),
+st AS (SELECT project, count(*) AS n_specs, CAST(sum(strlen(text)) AS BIGINT) AS index_size FROM spec_docs GROUP BY project),
 ch AS (SELECT project, count(*) AS active_changes FROM renamed GROUP BY project),
 tr AS (SELECT project, count(DISTINCT """ + I.SQL_MODULE + """) AS tracked_entries FROM old_f GROUP BY project),
 stale AS (SELECT o.project, count(*) AS n_stale FROM old_f o
@@ -725,7 +725,7 @@ def _status(spark, sf):
     stale = snap.stale_entries(old.select("project", F.col("path").alias("key")), new, present_key="path")
     conf = imp.detect_conflicts(_changed_specs(spark, sf), docs, marker=MARKER)
     parts = [
-        docs.groupBy("project").agg(F.count(F.lit(1)).alias("n_specs"), F.sum(F.length("text")).alias("index_size")),
+        docs.groupBy("project").agg(F.count(F.lit(1)).alias("n_specs"), F.sum(F.octet_length("text")).alias("index_size")),
         Q.count_by(changes, "active_changes"),
         Q.count_by(state, "tracked_entries"),
         Q.last_sync(state),

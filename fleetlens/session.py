@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,8 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of this session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3, ...)
-    and is used as is. Only when it is unset, as in local tests, a fresh
-    folder is made under the system temp directory.
+    and is used as is; without it a cluster's session is refused, since a
+    folder of the driver is not visible to the executors. Only a local
+    session (tests, bench) gets a fresh folder under the system temp
+    directory.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,11 +65,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def written(df, name: str):
+    """Write ``df`` as Parquet below the shared checkpoint folder and return
+    the re-read table: as durable as ``materialize``, and its size is known to
+    the planner and its columns stay prunable."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Write ``df`` to the reliable checkpoint folder and return the
     re-read DataFrame. Used where one intermediate result feeds several

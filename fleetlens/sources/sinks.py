@@ -6,21 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_reports(report: DataFrame, lines: DataFrame, path: str, fmt: str = "json") -> None:
-    """S8: one report header per project plus its change lines, both
-    partitioned by project (a project's report is a folder, not one row)."""
-    report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("project").format(fmt).save(f"{path}/header")
-    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("project").format(fmt).save(f"{path}/lines")
-
-
-def write_guarded(decisions: DataFrame, path: str, content_col: str = "content") -> DataFrame:
-    """S9: write only the documents whose action is 'written'; returns the
-    (project, name, action) report."""
-    (decisions.where(F.col("action") == "written").select("project", "name", content_col)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path))
-    return decisions.select("project", "name", "action")
+def write_reports(report: DataFrame, lines: DataFrame, path: str, run_id: str, fmt: str = "json") -> None:
+    """S8: one report header per project plus its change lines, partitioned by
+    run and project. Every run keeps its own report; repeating a run replaces
+    that run's only. Rows are clustered by project before the write, so a run
+    leaves one file per project and part, not one per task."""
+    for name, rows in (("header", report), ("lines", lines)):
+        (rows.withColumn("run", F.lit(run_id)).repartition("project").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("run", "project").format(fmt).save(f"{path}/{name}"))
+
+
+def write_guarded(decisions: DataFrame, path: str, version: int, content_col: str = "content") -> DataFrame:
+    """S9: append the documents whose action is 'written' as rows of a
+    version; nothing that stands in the table is touched, so a skipped
+    document and a document outside the run stay as they are. Repeating a
+    version replaces that version's rows. Returns the (project, name, action)
+    report, read from what was decided, which is stored beside the documents."""
+    report = f"{path}/decisions"
+    (decisions.select("project", "name", "action", content_col).withColumn("version", F.lit(version))
+     .repartition("project").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("version").parquet(report))
+    mine = decisions.sparkSession.read.parquet(report).where(F.col("version") == version)
+    (mine.where(F.col("action") == "written").select("project", "name", content_col, "version")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("version").parquet(f"{path}/documents"))
+    return mine.select("project", "name", "action")
+
+
+def latest_documents(documents: DataFrame, content_col: str = "content") -> DataFrame:
+    """The newest version of every document of a table of versions
+    (project, name, content, version); one aggregation per document."""
+    newest = F.max(F.struct("version", content_col))[content_col].alias(content_col)
+    return documents.groupBy("project", "name").agg(newest)
 
 
 def status_json(status: DataFrame) -> DataFrame:

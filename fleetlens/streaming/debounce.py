@@ -6,10 +6,10 @@ Structured Streaming runs with a watermark and keeps in its state store
 (a RocksDB provider is advised for long gaps on a cluster). Micro-batches
 run one after the other, so two sync runs never overlap.
 
-``sessionize`` is the batch twin. It does not put a key's whole timeline in
-one task: events are first sessionized per (key, time bucket) in parallel,
-then only the partial sessions that touch a bucket border (at most two per
-bucket) are merged.
+``sessionize`` is the batch twin. It does not put a hot key's events in one
+task: events are first counted per (key, cell of one gap's width), cells are
+sessionized per (key, time bucket), and only the partial sessions that touch a
+bucket border (at most two per bucket) are merged.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import os
 import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JError
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -67,20 +69,41 @@ def debounced_batches(events: DataFrame, gap: str = DEBOUNCE, watermark: str | N
 
 
 def run_on_batches(batches: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str,
-                   trigger: dict | None = None, output_mode: str = "append") -> StreamingQuery:
+                   trigger: dict | None = None, output_mode: str = "append",
+                   failures: str | None = None) -> StreamingQuery:
     """T4: run ``handler(batch_df, epoch)`` on every micro-batch of closed
-    batches; a failing handler is reported and the stream goes on (T5: stop
-    with ``query.stop()``)."""
-    def safe(df, epoch):
+    batches (T5: stop with ``query.stop()``). A batch whose handler fails does
+    not stop the watcher and is not lost: its rows go to the table
+    ``failures`` (default: beside the checkpoint) with epoch and error, from
+    where ``replay_failed`` runs it again. An error of the engine itself (lost
+    storage, out of memory) or of that write fails the query, so the
+    micro-batch is not committed."""
+    store = failures or f"{checkpoint.rstrip('/')}-failures"
+
+    def guarded(df, epoch):
         try:
             handler(df, epoch)
+        except (Py4JError, SparkRuntimeException):
+            raise
         except Exception as e:  # noqa: BLE001 - a bad batch must not stop the watcher
-            print(f"batch {epoch} failed: {e}")
-    w = batches.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).foreachBatch(safe)
+            (df.withColumn("error", F.lit(f"{type(e).__name__}: {e}")).write.mode("overwrite")
+             .parquet(f"{store}/epoch={epoch}"))
+    w = batches.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).foreachBatch(guarded)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
 
+def replay_failed(spark: SparkSession, failures: str, handler: Callable[[DataFrame, int], None]) -> list[int]:
+    """Run ``handler`` on every stored failed batch, oldest first; returns
+    the epochs. The stored rows stay: handlers write by epoch, so a batch that
+    is replayed twice gives the same result."""
+    stored = spark.read.parquet(failures)
+    epochs = sorted(r["epoch"] for r in stored.select("epoch").distinct().collect())
+    for epoch in epochs:
+        handler(stored.where(F.col("epoch") == epoch).drop("epoch", "error"), epoch)
+    return epochs
+
+
 def stream_to_table(spark: SparkSession, batches: DataFrame, name: str, output_mode: str = "complete") -> str:
     """Run a streaming aggregate to completion (available data) and keep the
     result as parquet in the session's checkpoint folder; returns the path.
@@ -102,35 +125,38 @@ def stream_to_table(spark: SparkSession, batches: DataFrame, name: str, output_m
 def sessionize(events: DataFrame, keys: Sequence[str], ts_col: str, gap_seconds: float,
                bucket_seconds: int = 86_400) -> DataFrame:
     """Batch sessions: a new session starts when the time since the previous
-    event of the same key exceeds ``gap_seconds``. Returns keys, session
-    start, session end (last event), number of events.
-
-    Pass 1 sessionizes inside (key, time bucket) windows, in parallel even
-    for one hot key. Only the first and the last partial session of a bucket
-    can touch a bucket border; every other partial session is already final.
-    Pass 2 therefore merges at most two rows per (key, bucket) across
-    borders, so no task ever holds a key's whole timeline.
+    event of the same key exceeds ``gap_seconds``, in whole microseconds.
+    Returns keys, session start, session end (last event), number of events.
+
+    Events of one key less than a gap apart are one session, so all events in
+    the same cell of one gap's width are. They are counted per (key, cell)
+    first, with map-side sums: a hot key leaves one row per cell, whatever its
+    number of events. Cells are then sessionized inside (key, time bucket)
+    windows; only the first and the last partial session of a bucket can
+    touch its border, and those, at most two per bucket, are merged.
     """
     keys = list(keys)
+    gap = max(1, round(gap_seconds * 1_000_000))
     t = F.col(ts_col).cast("timestamp")
-    sec = F.unix_micros(t) / 1e6
-    ev = events.select(*keys, t.alias("_ts"), sec.alias("_s"), F.floor(sec / bucket_seconds).alias("_b"))
-    w1 = Window.partitionBy(*keys, "_b").orderBy("_s")
-    new1 = F.coalesce((F.col("_s") - F.lag("_s").over(w1)) > gap_seconds, F.lit(True)).cast("int")
-    part = (ev.withColumn("_sid", F.sum(new1).over(w1.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy(*keys, "_b", "_sid")
-            .agg(F.min("_ts").alias("_start"), F.max("_ts").alias("_end"), F.min("_s").alias("_ss"),
-                 F.max("_s").alias("_se"), F.count(F.lit(1)).alias("_n")))
-    wb = Window.partitionBy(*keys, "_b")
-    part = part.withColumn("_edge", (F.col("_sid") == 1) | (F.col("_sid") == F.max("_sid").over(wb)))
-    final = part.where(~F.col("_edge")).select(*keys, F.col("_start").alias("session_start"),
-                                                 F.col("_end").alias("session_end"), F.col("_n").alias("n_events"))
-    edges = part.where("_edge")
-    w2 = Window.partitionBy(*keys).orderBy("_ss")
-    new2 = F.coalesce((F.col("_ss") - F.lag("_se").over(w2)) > gap_seconds, F.lit(True)).cast("int")
-    merged = (edges.withColumn("_gid", F.sum(new2).over(w2.rowsBetween(Window.unboundedPreceding, 0)))
-              .groupBy(*keys, "_gid")
-              .agg(F.min("_start").alias("session_start"), F.max("_end").alias("session_end"),
-                   F.sum("_n").alias("n_events"))
-              .drop("_gid"))
-    return final.unionByName(merged)
+    cell = F.floor(F.col("_us") / gap)
+    cells = (events.select(*keys, t.alias("_ts"), F.unix_micros(t).alias("_us")).where(F.col("_us").isNotNull())
+             .groupBy(*keys, cell.alias("_cell"))
+             .agg(F.min("_ts").alias("_start"), F.max("_ts").alias("_end"), F.min("_us").alias("_first"),
+                  F.max("_us").alias("_last"), F.count(F.lit(1)).alias("_n")))
+    cells = cells.withColumn("_b", F.floor(F.col("_first") / (bucket_seconds * 1_000_000)))
+
+    def merged(rows, by):
+        """Rows of one session put together, numbered within ``by``."""
+        w = Window.partitionBy(*by).orderBy("_first")
+        new = F.coalesce((F.col("_first") - F.lag("_last").over(w)) > gap, F.lit(True)).cast("int")
+        return (rows.withColumn("_sid", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                .groupBy(*by, "_sid")
+                .agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.min("_first").alias("_first"),
+                     F.max("_last").alias("_last"), F.sum("_n").alias("_n")))
+
+    part = merged(cells, [*keys, "_b"])
+    part = part.withColumn("_edge", (F.col("_sid") == 1)
+                           | (F.col("_sid") == F.max("_sid").over(Window.partitionBy(*keys, "_b"))))
+    whole = part.where(~F.col("_edge")).unionByName(merged(part.where("_edge").drop("_sid"), keys), allowMissingColumns=True)
+    return whole.select(*keys, F.col("_start").alias("session_start"), F.col("_end").alias("session_end"),
+                        F.col("_n").alias("n_events"))

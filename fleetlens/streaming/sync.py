@@ -3,51 +3,68 @@
 ``sync_handler`` builds the ``foreachBatch`` function for ``run_on_batches``:
 the batch's changed paths (exploded from the batch rows) restrict the
 snapshot diff by a semi join, then symbols, the impact report and the state
-upsert run on just those changes. The report rows and the new state are
-written per micro-batch with overwrite semantics, so a replayed batch
-rewrites the same result instead of adding to it.
+upsert run on just those changes.
+
+The report and the state entries a batch changes are written per epoch with
+overwrite semantics, so a replayed batch rewrites the same result instead of
+adding to it. The state is the initial one under the entries of all earlier
+epochs, read back from storage: a new handler on the same folder, as after a
+restart, goes on where the last one stopped, and no batch rewrites entries it
+did not change.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import impact as imp
 from ..operators import snapshot as snap
 
+KEYS = ["project", "key"]
+
+
+def sync_state(initial: DataFrame, out_dir: str, before_epoch: int | None = None) -> DataFrame:
+    """The sync state after all epochs, or after those before one."""
+    try:
+        changed = initial.sparkSession.read.parquet(f"{out_dir}/state")
+    except AnalysisException:  # nothing written yet
+        return initial
+    if before_epoch is not None:
+        changed = changed.where(F.col("epoch") < before_epoch)
+    entry = [c for c in initial.columns if c not in KEYS]
+    newest = (changed.groupBy(*KEYS).agg(F.max_by(F.struct(*entry), "epoch").alias("_e"))
+              .select(*KEYS, *[F.col(f"_e.{c}").alias(c) for c in entry]))
+    return initial.join(newest.select(*KEYS), KEYS, "left_anti").unionByName(newest).select(*initial.columns)
+
 
-def sync_handler(old: DataFrame, new: DataFrame, state: DataFrame | Callable[[], DataFrame], out_dir: str,
-                 run_ts: str) -> Callable[[DataFrame, int], None]:
-    """``old``/``new``: snapshots (project, path, content_hash); ``state``:
-    the module-keyed sync state, or a function returning the latest one
-    (called once per batch). With a DataFrame, the state is chained: each
-    batch upserts into the state the previous batch wrote (read back from
-    ``out_dir``), so a later batch never loses an earlier batch's hashes.
+def sync_handler(old: DataFrame | Callable[[], DataFrame], new: DataFrame | Callable[[], DataFrame],
+                 state: DataFrame, out_dir: str, run_ts: str) -> Callable[[DataFrame, int], None]:
+    """``old``/``new``: snapshots (project, path, content_hash), or functions
+    that return the ones to compare when a batch arrives - a table read once
+    keeps the files it was read with, so a long-running watcher passes
+    functions. ``state``: the module-keyed sync state before the first epoch.
     Batch rows carry (project, items array of paths)."""
-    chain = {"state": state}
+    def latest(snapshot):
+        return snapshot() if callable(snapshot) else snapshot
 
     def handle(batch: DataFrame, epoch: int) -> None:
+        before, after = latest(old), latest(new)
         paths = batch.select("project", F.explode("items").alias("path")).distinct()
         # both snapshots are cut to the batch's paths before the full outer join
-        o = old.join(paths, ["project", "path"], "left_semi")
-        n = new.join(paths, ["project", "path"], "left_semi")
-        changes = snap.diff_snapshots(o, n)
-        symbols = snap.symbols_from_changes(snap.pair_renames(changes))
+        o = before.join(paths, ["project", "path"], "left_semi")
+        n = after.join(paths, ["project", "path"], "left_semi")
+        symbols = snap.symbols_from_changes(snap.pair_renames(snap.diff_snapshots(o, n)))
         report = imp.impact_report(symbols, projects=paths)
-        src = snap.infer_source_files(symbols, new.select("project", "path"))
-        upd = (src.join(new.select("project", F.col("path").alias("source_path"), "content_hash"),
+        src = snap.infer_source_files(symbols, after.select("project", "path"))
+        upd = (src.join(after.select("project", F.col("path").alias("source_path"), "content_hash"),
                         ["project", "source_path"])
                .select("project", F.col("module").alias("key"), F.col("content_hash").alias("hash"),
                        F.col("path").alias("ordinal")))
-        base = os.path.join(out_dir, f"epoch={epoch}")
-        report.write.mode("overwrite").parquet(os.path.join(base, "report"))
-        current = state() if callable(state) else chain["state"]
-        state_path = os.path.join(base, "state")
-        snap.upsert_state(current, upd, run_ts).write.mode("overwrite").parquet(state_path)
-        if not callable(state):
-            chain["state"] = batch.sparkSession.read.parquet(state_path)
+        report.write.mode("overwrite").parquet(f"{out_dir}/report/epoch={epoch}")
+        current = sync_state(state, out_dir, epoch).join(upd.select(*KEYS).distinct(), KEYS, "left_semi")
+        snap.upsert_state(current, upd, run_ts).write.mode("overwrite").parquet(f"{out_dir}/state/epoch={epoch}")
     return handle

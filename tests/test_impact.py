@@ -58,7 +58,24 @@ def test_contains_join_matches_brute_force(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "tid int, text string")
     n = spark.createDataFrame(list(enumerate(needles)), "nid int, needle string")
     want = sorted((i, j) for i, x in enumerate(texts) for j, y in enumerate(needles) if y.lower() in x.lower())
-    for limit in (20_000, 0):  # broadcast key set, and the join path above the size limit
-        got = sorted((r.tid, r.nid) for r in contains_join(t, n, "text", "needle", text_keys=["tid"],
-                                                            needle_keys=["nid"], literal_limit=limit).collect())
-        assert got == want, limit
+    got = sorted((r.tid, r.nid) for r in contains_join(t, n, "text", "needle", text_keys=["tid"], needle_keys=["nid"]).collect())
+    assert got == want
+    none = n.where("needle <> ''")
+    got = sorted((r.tid, r.nid) for r in contains_join(t, none, "text", "needle", text_keys=["tid"], needle_keys=["nid"]).collect())
+    assert got == [(i, j) for i, j in want if needles[j]]
+
+
+def test_contains_join_exchanges_texts_once(spark):
+    t = spark.createDataFrame([("p", i, "some text %d" % i) for i in range(9)], "project string, tid int, text string")
+    n = spark.createDataFrame([("p", i, "text %d" % i) for i in range(9)], "project string, nid int, needle string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = contains_join(t, n, "text", "needle", group=["project"], text_keys=["tid"], needle_keys=["nid"])
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        # the join that tests the text is the topmost: no other join stands above it, so the text is exchanged once
+        joins = [x for x in plan.splitlines() if "Join" in x]
+        assert "Contains(_text" in joins[0] and not any("_text" in x for x in joins[1:])
+        assert out.count() == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

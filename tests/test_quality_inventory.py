@@ -90,3 +90,29 @@ def test_languages_tools_srcdir_name_entries(spark):
     ef = spark.createDataFrame([("p", x) for x in ["src/index.ts", "main.py", "lib/deep/index.ts", "source/app.js", "x/main.go"]],
                                "project string, path string")
     assert sorted(r.path for r in INV.entry_files(ef).collect()) == ["main.py", "source/app.js", "src/index.ts"]
+
+
+def test_last_sync_is_utc_in_any_session_zone(spark):
+    from datetime import datetime, timezone
+
+    from fleetlens.operators import quality as Q
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        state = spark.createDataFrame([("p", datetime(2024, 6, 1, 12, 0, 0, tzinfo=timezone.utc))],
+                                      "project string, last_synced_at timestamp")
+        assert Q.last_sync(state).first().last_at == "2024-06-01T12:00:00.000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_project_name_must_be_a_json_string(spark):
+    from fleetlens.operators import inventory as INV
+    manifests = spark.createDataFrame(
+        [("a", "package.json", '{"name": 123}'), ("a", "setup.py", "setup(name='real')"),
+         ("b", "package.json", '{"name": "pkg"}'), ("c", "package.json", "{broken"),
+         ("d", "package.json", '{"name": "123"}'), ("e", "package.json", '{"name": null}')],
+        "project string, name string, text string")
+    projects = spark.createDataFrame([(p, f"folder-{p}") for p in "abcdef"], "project string, folder string")
+    got = {r.project: r["name"] for r in INV.project_name(manifests, projects).collect()}
+    assert got == {"a": "real", "b": "pkg", "c": "folder-c", "d": "123", "e": "folder-e", "f": "folder-f"}

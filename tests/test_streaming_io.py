@@ -49,20 +49,47 @@ def test_stream_equals_batch(spark):
     assert got == want and len(got) == 3
 
 
-def test_run_on_batches_survives_errors(spark):
+def test_failed_batches_are_kept_and_replayed(spark):
     ev = _events(spark, [(0, "src/a.ts"), (5000, "src/b.ts")])
     folder = tempfile.mkdtemp(prefix="fleetlens-ev-")
     ev.write.parquet(os.path.join(folder, "in"))
-    seen = []
 
     def handler(df, epoch):
-        seen.append(df.count())
         raise ValueError("boom")
     stream = spark.readStream.schema(ev.schema).parquet(os.path.join(folder, "in"))
     q = D.run_on_batches(D.debounced_batches(stream, gap="1 second", watermark="1 second"), handler,
                          os.path.join(folder, "ckpt"), output_mode="complete")
     q.awaitTermination()
-    assert seen and q.exception() is None
+    assert q.exception() is None
+    failures = os.path.join(folder, "ckpt-failures")
+    assert {r.error for r in spark.read.parquet(failures).collect()} == {"ValueError: boom"}
+    seen = []
+    assert D.replay_failed(spark, failures, lambda df, epoch: seen.extend(i for r in df.collect() for i in r["items"]))
+    assert sorted(set(seen)) == ["src/a.ts", "src/b.ts"]
+
+
+def test_engine_errors_fail_the_query(spark):
+    ev = _events(spark, [(0, "src/a.ts")])
+    folder = tempfile.mkdtemp(prefix="fleetlens-ev-")
+    ev.write.parquet(os.path.join(folder, "in"))
+
+    def handler(df, epoch):  # the job itself breaks
+        df.select(F.raise_error(F.lit("disk gone"))).collect()
+    stream = spark.readStream.schema(ev.schema).parquet(os.path.join(folder, "in"))
+    q = D.run_on_batches(D.debounced_batches(stream, gap="1 second", watermark="1 second"), handler,
+                         os.path.join(folder, "ckpt"), output_mode="complete")
+    try:
+        q.awaitTermination()
+    except Exception as e:  # noqa: BLE001
+        assert "disk gone" in str(e)
+    assert q.exception() is not None
+
+
+def test_sessionize_equals_session_window_at_a_fifth_of_a_second(spark):
+    ev = _events(spark, [(0, "src/a.ts"), (200, "src/b.ts"), (401, "src/c.ts"), (601, "src/d.ts"), (900, "src/e.ts")])
+    got = sorted(r.n_events for r in D.sessionize(ev, ["project"], "ts", 0.2).collect())
+    want = sorted(r.n_events for r in D.debounced_batches(ev, gap="200 milliseconds").collect())
+    assert got == want == [1, 2, 2]
 
 
 def test_sessionize_matches_simple_rule(spark):
@@ -158,9 +185,10 @@ def test_sync_per_batch(spark):
                          sync_handler(old, new, state, out, "2024-06-01 12:00:00"),
                          os.path.join(folder, "ckpt"), output_mode="complete")
     q.awaitTermination()
-    rep = spark.read.parquet(os.path.join(out, "*", "report")).collect()
+    rep = spark.read.parquet(os.path.join(out, "report")).collect()
     assert [(r.project, r.n_changes, r.n_modules, r.impact_level) for r in rep] == [("p", 2, 2, "high")]
-    st = {r.key: r for r in spark.read.parquet(os.path.join(out, "*", "state")).collect()}
+    from fleetlens.streaming.sync import sync_state
+    st = {r.key: r for r in sync_state(state, out).collect()}
     assert set(st) == {"auth", "api"} and st["auth"].mapped_specs == ["auth.md"]
 
 
@@ -173,12 +201,21 @@ def test_sync_state_chains_across_batches(spark):
     state = spark.createDataFrame([], "project string, key string, last_hash string, last_synced_at timestamp, "
                                       "mapped_specs array<string>, mapped_nodes array<string>")
     out = tempfile.mkdtemp(prefix="fleetlens-chain-")
-    handle = sync_handler(old, new, state, out, "2024-06-01 12:00:00")
+    from fleetlens.streaming.sync import sync_state
     batch = lambda path: spark.createDataFrame([("p", [path])], "project string, items array<string>")
-    handle(batch("src/auth/login.ts"), 0)
-    handle(batch("src/db/query.ts"), 1)
-    keys = sorted(r.key for r in spark.read.parquet(os.path.join(out, "epoch=1", "state")).collect())
-    assert keys == ["auth", "db"]
+    sync_handler(old, new, state, out, "2024-06-01 12:00:00")(batch("src/auth/login.ts"), 0)
+    first = sync_state(state, out).collect()
+    # a new handler, as after a restart, on a snapshot that has moved on
+    newer = mk([("p", "src/auth/login.ts", "a2"), ("p", "src/db/query.ts", "b3")])
+    moved = {"new": new}
+    handle = sync_handler(old, lambda: moved["new"], state, out, "2024-06-01 13:00:00")
+    moved["new"] = newer
+    for _ in range(2):  # a replayed batch changes nothing
+        handle(batch("src/db/query.ts"), 1)
+    got = {r.key: r for r in sync_state(state, out).collect()}
+    assert sorted(got) == ["auth", "db"] and [r.key for r in first] == ["auth"]
+    assert got["db"].last_hash == newer.where("path = 'src/db/query.ts'").first().content_hash
+    assert spark.read.parquet(os.path.join(out, "state", "epoch=1")).count() == 1  # only what the batch changed
 
 
 def test_sinks(spark):
@@ -190,15 +227,21 @@ def test_sinks(spark):
                                   "project string, name string, content string")
     existing = spark.createDataFrame([("p", "auth.md", "old " + imp.GENERATED_MARKER), ("p", "manual.md", "hand made")],
                                      "project string, name string, text string")
-    rep = SK.write_guarded(imp.guarded_overwrite(cands, existing), os.path.join(root, "docs"))
+    out = os.path.join(root, "docs")
+    SK.write_guarded(imp.guarded_overwrite(existing.withColumnRenamed("text", "content"), existing.limit(0)), out, 1)
+    for version in (2, 2):  # repeating a version changes nothing
+        rep = SK.write_guarded(imp.guarded_overwrite(cands, existing), out, version)
     assert {(r.name, r.action) for r in rep.collect()} == {("auth.md", "written"), ("manual.md", "skipped"),
                                                             ("x.md", "written")}
-    written = sorted((r.project, r.name) for r in spark.read.parquet(os.path.join(root, "docs")).collect())
-    assert written == [("p", "auth.md"), ("q", "x.md")]
+    table = spark.read.parquet(os.path.join(out, "documents"))
+    now = {(r.project, r.name): r.content for r in SK.latest_documents(table).collect()}
+    assert now == {("p", "auth.md"): "new auth", ("p", "manual.md"): "hand made", ("q", "x.md"): "x"}
     header = spark.createDataFrame([("p", "high", 2)], "project string, impact_level string, n_changes long")
     lines = spark.createDataFrame([("p", "A", "added", "- **A** (added): added file src/a.ts")],
                                   "project string, name string, type string, line string")
-    SK.write_reports(header, lines, os.path.join(root, "reports"))
-    assert spark.read.json(os.path.join(root, "reports", "lines")).first().project == "p"
+    for run in ("r1", "r2", "r2"):
+        SK.write_reports(header, lines, os.path.join(root, "reports"), run)
+    assert sorted((r.run, r.project) for r in spark.read.json(os.path.join(root, "reports", "lines")).collect()) == [
+        ("r1", "p"), ("r2", "p")]
     js = SK.status_json(header).first().json
     assert _json.loads(js) == {"project": "p", "impact_level": "high", "n_changes": 2}

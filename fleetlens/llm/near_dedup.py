@@ -147,6 +147,10 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["common", "united"])
 
 
+# filters on their results must not make Spark evaluate them a second time
+_members, _agreement, _overlap = (f.asNondeterministic() for f in (_members, _agreement, _overlap))
+
+
 def forest(reps: DataFrame) -> DataFrame:
     """(tree, key, doc): every representative in each tree."""
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,21 +164,26 @@ def forest(reps: DataFrame) -> DataFrame:
     return reps.select("doc", "sig").mapInPandas(rows, "tree int, key binary, doc long")
 
 
-def neighbours(trees: DataFrame) -> DataFrame:
+def neighbours(trees: DataFrame, threshold: int) -> DataFrame:
     """(a, b), a < b: documents that follow each other in a sorted order and
-    share a long enough prefix. The orders are range-partitioned, so a dense
-    region is spread over tasks like any other; the few neighbours on two
-    sides of a partition's edge meet in other trees."""
+    share a long enough prefix, unless the rest of their keys agrees in less
+    than the threshold minus three standard errors. The orders are
+    range-partitioned, so a dense region is spread over tasks like any other;
+    the few neighbours on two sides of a partition's edge meet in other trees."""
+    share, rest = threshold / 100, DEPTH - MIN_DEPTH
+    least = MIN_DEPTH + rest * share - 3 * (rest * share * (1 - share)) ** 0.5
+
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None
         for f in frames:
             f = f if tail is None else pd.concat([tail, f], ignore_index=True)
             seen = 0 if tail is None else len(tail)
-            key = np.frombuffer(b"".join(f["key"]), np.uint8).reshape(-1, DEPTH)[:, :MIN_DEPTH]
+            key = np.frombuffer(b"".join(f["key"]), np.uint8).reshape(-1, DEPTH)
             tree, doc = f["tree"].to_numpy(), f["doc"].to_numpy()
             left, right = [], []
             for step in range(1, min(NEIGHBOURS, len(f) - 1) + 1):
-                near = (tree[step:] == tree[:-step]) & (key[step:] == key[:-step]).all(axis=1)
+                same = key[step:] == key[:-step]
+                near = (tree[step:] == tree[:-step]) & same[:, :MIN_DEPTH].all(axis=1) & (same.sum(axis=1) >= least)
                 near[:max(0, seen - step)] = False  # both in the tail: seen before
                 at = np.flatnonzero(near)
                 left.append(doc[at])
@@ -201,7 +210,7 @@ def candidates(reps: DataFrame, threshold: int) -> DataFrame:
     share = threshold / 100
     least = int(VALUES * (share - 4.1 * (share * (1 - share) / VALUES) ** 0.5))
     trees = stage(forest(reps), "forest")
-    near = stage(_similar(neighbours(trees), reps, least), "neighbours")
+    near = stage(_similar(neighbours(trees, threshold), reps, least), "neighbours")
     ends = near.where(F.col("agree") * 100 >= threshold * VALUES).select(F.explode(F.array("a", "b")).alias("doc"))
     hubs = ends.groupBy("doc").agg(F.count("*").alias("links")).where(F.col("links") >= HUB_LINKS)
     region = trees.select("tree", F.expr(f"substring(key, 1, {MIN_DEPTH})").alias("region"), "doc")

@@ -3,46 +3,44 @@
 ``cyclic_components`` finds strongly connected components with an iterative
 DataFrame job (no GraphX, no driver-side graph):
 
-1. trim: drop nodes without an in-edge or without an out-edge inside the
-   remaining graph (they cannot be on a cycle), until nothing changes;
-2. forward colouring: every node takes the largest node id that reaches it
+1. contract: replace every path whose inner nodes have one in-edge and one
+   out-edge by one edge, by pointer doubling, so a chain or ring of n nodes
+   takes log n steps; its inner nodes follow from its two ends afterwards;
+2. trim: drop nodes without an in-edge or without an out-edge inside the
+   remaining graph (they cannot be on a cycle); 1 and 2 alternate until
+   nothing changes;
+3. forward colouring: every node takes the largest node id that reaches it
    (max-propagation along edges until a fixpoint);
-3. backward reach: from each colour's root (the node whose colour is its own
+4. backward reach: from each colour's root (the node whose colour is its own
    id) walk edges backwards inside the colour; the nodes reached are the
    root's component;
-4. remove the found components and repeat on what is left.
+5. remove the found components and repeat on what is left.
 
 Every key carries ``project``, so all graphs of the fleet run in the same
-loop. The driver only sees row counts that decide when a loop stops.
-Results are written to the reliable checkpoint folder
-(``spark.checkpoint.dir``) at phase ends and every few steps, so lineage
-stays short and a lost executor only recomputes a few steps. ``max_iter`` bounds the total number of steps; hitting it raises instead of
-returning a partial answer.
-
-By default every step is a reliable checkpoint (measured faster than
-persisting in between); with ``checkpoint_every`` > 1 the steps between
-checkpoints are persisted (memory and disk) and a lost cached block is
-recomputed from the last checkpoint.
+loop, which runs until nothing is left: there is no limit on its steps. The
+driver only sees row counts that decide when a loop stops. Every step is
+written to the reliable checkpoint folder (``spark.checkpoint.dir``), so
+lineage stays short and a lost executor only recomputes its part of a step.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 P = "project"
 
 
-class IterationLimitExceeded(RuntimeError):
-    pass
-
-
 def _ckpt(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a step and read it back. A table rather than a checkpoint: a
+    checkpoint carries what the planner inferred about its partitioning and
+    order, which over a long loop grows until planning takes longer than the
+    work."""
+    return written(df, "graph-step")
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -51,89 +49,109 @@ def simple_edges(edges: DataFrame) -> DataFrame:
             .where(F.col("src") != F.col("dst")).distinct())
 
 
-class _Budget:
-    """Step counter with the iteration limit, plus the persist / checkpoint
-    policy of the loop. ``keep`` writes a step and returns the loop-control
-    number observed while writing it (``Observation``), so a step is one job."""
-
-    def __init__(self, max_iter: int, checkpoint_every: int = 1):
-        self.left = max_iter
-        self.steps = 0
-        self.every = max(1, checkpoint_every)
-        self.since = 0
-        self.held: list[DataFrame] = []
+class _Steps:
+    """Counts the steps of a loop. ``keep`` writes one and returns the number
+    observed while writing it (``Observation``), so a step is one job."""
 
-    def tick(self):
-        self.steps += 1
-        self.left -= 1
-        if self.left < 0:
-            raise IterationLimitExceeded(f"cyclic_components needed more than {self.steps - 1} steps")
+    def __init__(self):
+        self.n = 0
 
     def keep(self, df: DataFrame, metric=None):
-        """Persist a step result (reliable checkpoint every ``every`` calls,
-        releasing the cached steps). Returns (df, value of ``metric``)."""
-        obs = None
-        if metric is not None:
-            obs = Observation()
-            df = df.observe(obs, metric.alias("m"))
-        self.since += 1
-        if self.since >= self.every:
-            out = _ckpt(df)
-            self.release()
-        else:
-            out = df.persist(StorageLevel.MEMORY_AND_DISK)
-            out.count()
-            self.held.append(out)
-        return out, (obs.get["m"] if obs is not None else None)
-
-    def release(self):
-        for d in self.held:
-            d.unpersist()
-        self.held = []
-        self.since = 0
+        self.n += 1
+        if metric is None:
+            return _ckpt(df), None
+        obs = Observation()
+        out = _ckpt(df.observe(obs, metric.alias("m")))
+        return out, obs.get["m"]
 
 
 def _rows():
     return F.count(F.lit(1))
 
 
-def _trim(e: DataFrame, n: int, budget: _Budget) -> tuple[DataFrame, int]:
-    """Drop edges of nodes without an in- or an out-edge until stable."""
-    while n:
-        budget.tick()
-        # nodes with both an in- and an out-edge, from one degree aggregation
-        ends = (e.select(P, F.col("src").alias("_n"), F.lit(1).alias("_o"), F.lit(0).alias("_i"))
-                .unionByName(e.select(P, F.col("dst").alias("_n"), F.lit(0).alias("_o"), F.lit(1).alias("_i"))))
-        keep = (ends.groupBy(P, "_n").agg(F.max("_o").alias("_o"), F.max("_i").alias("_i"))
-                .where((F.col("_o") == 1) & (F.col("_i") == 1)).select(P, "_n"))
-        t = (e.join(keep.withColumnRenamed("_n", "src"), [P, "src"], "left_semi")
-             .join(keep.withColumnRenamed("_n", "dst"), [P, "dst"], "left_semi"))
-        t, m = budget.keep(t, _rows())
-        e = t
-        if m == n:
+def _degrees(e: DataFrame) -> DataFrame:
+    """(project, node, o, i, succ, pred): out- and in-degree, and a neighbour
+    on either side, from one aggregation."""
+    none = F.lit(None).cast(e.schema["src"].dataType)
+    ends = (e.select(P, F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"),
+                     F.col("dst").alias("succ"), none.alias("pred"))
+            .unionByName(e.select(P, F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"),
+                                  none.alias("succ"), F.col("src").alias("pred"))))
+    return ends.groupBy(P, "node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("succ").alias("succ"),
+                                       F.max("pred").alias("pred"))
+
+
+def _trim(e: DataFrame, steps: _Steps) -> tuple[DataFrame, int]:
+    """Drop edges of nodes without an in- or an out-edge, one layer."""
+    keep = _degrees(e).where((F.col("o") > 0) & (F.col("i") > 0)).select(P, "node")
+    t = (e.join(keep.withColumnRenamed("node", "src"), [P, "src"], "left_semi")
+         .join(keep.withColumnRenamed("node", "dst"), [P, "dst"], "left_semi"))
+    return steps.keep(t, _rows())
+
+
+def _contract(e: DataFrame, n: int, steps: _Steps):
+    """Replace paths by edges. Returns the edges, their number, the inner
+    nodes with the two ends of their path (project, node, p, u), and the nodes
+    of rings that have no end (project, node, c = the ring's smallest node)."""
+    inner, m = steps.keep(_degrees(e).where((F.col("o") == 1) & (F.col("i") == 1)).select(P, "node", "succ", "pred"),
+                          _rows())
+    if not m:
+        return e, n, None, None
+    jump = inner.select(P, "node", F.col("succ").alias("jump"), F.col("node").alias("low"), F.col("node").alias("last"))
+    reach = 1
+    while reach <= m:  # each round doubles how far a pointer reaches
+        far = jump.select(P, F.col("node").alias("jump"), F.col("jump").alias("_j"), F.col("low").alias("_l"),
+                          F.col("last").alias("_t"))
+        nxt = (jump.join(far, [P, "jump"], "left")
+               .select(P, "node", F.coalesce("_j", "jump").alias("jump"), F.least("low", "_l").alias("low"),
+                       F.coalesce("_t", "last").alias("last"), F.col("_j").isNotNull().alias("_on")))
+        nxt, on = steps.keep(nxt, F.count(F.when(F.col("_on"), 1)))
+        jump = nxt.drop("_on")
+        reach *= 2
+        if not on:
             break
-        n = m
-    return e, n
-
-
-def _colour(e: DataFrame, budget: _Budget) -> DataFrame:
+    nodes = inner.select(P, "node")
+    inside = nodes.withColumnRenamed("node", "jump")
+    rings = jump.join(inside, [P, "jump"], "left_semi").select(P, "node", F.col("low").alias("c"))
+    paths = jump.join(inside, [P, "jump"], "left_anti")  # the pointer has come to an end outside
+    first = inner.join(nodes.withColumnRenamed("node", "pred"), [P, "pred"], "left_anti").select(P, "node", "pred")
+    ends = (paths.join(first, [P, "node"]).select(P, "last", F.col("pred").alias("p"), F.col("jump").alias("u")))
+    members = paths.select(P, "node", "last").join(ends, [P, "last"]).select(P, "node", "p", "u")
+    rest = (e.join(nodes.withColumnRenamed("node", "src"), [P, "src"], "left_anti")
+            .join(nodes.withColumnRenamed("node", "dst"), [P, "dst"], "left_anti")
+            .unionByName(ends.where(F.col("p") != F.col("u")).select(P, F.col("p").alias("src"), F.col("u").alias("dst"))))
+    rest, n = steps.keep(rest.distinct(), _rows())
+    return rest, n, _ckpt(members), _ckpt(rings)
+
+
+def _unfold(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Add the inner nodes of contracted paths whose ends are in one
+    component, or are one node; such a node then is a component's, too."""
+    for end in ("p", "u"):
+        members = (members.join(found.select(P, F.col("node").alias(end), F.col("c").alias(f"_{end}")), [P, end], "left")
+                   .withColumn(f"_{end}", F.coalesce(f"_{end}", end)))
+    inside = members.where(F.col("_p") == F.col("_u"))
+    more = inside.select(P, "node", F.col("_p").alias("c")).unionByName(inside.select(P, F.col("p").alias("node"), F.col("_p").alias("c")))
+    return _ckpt(found.unionByName(more).distinct())
+
+
+def _colour(e: DataFrame, steps: _Steps) -> DataFrame:
     nodes = e.select(P, F.col("src").alias("node")).union(e.select(P, F.col("dst").alias("node"))).distinct()
-    col, _ = budget.keep(nodes.withColumn("c", F.col("node")))
+    col, _ = steps.keep(nodes.withColumn("c", F.col("node")))
     while True:
-        budget.tick()
         # own colour and incoming colours meet in one aggregation (one shuffle)
         msg = (e.join(col.select(P, F.col("node").alias("src"), "c"), [P, "src"])
                .select(P, F.col("dst").alias("node"), "c", F.lit(None).cast(col.schema["c"].dataType).alias("_own")))
         nxt = (col.select(P, "node", "c", F.col("c").alias("_own")).unionByName(msg)
                .groupBy(P, "node").agg(F.max("c").alias("c"), F.max("_own").alias("_own"))
                .select(P, "node", "c", (F.col("c") > F.col("_own")).alias("_chg")))
-        nxt, changed = budget.keep(nxt, F.count(F.when(F.col("_chg"), 1)))
+        nxt, changed = steps.keep(nxt, F.count(F.when(F.col("_chg"), 1)))
         col = nxt.drop("_chg")
         if changed == 0:
             return col
 
 
-def _backward(e: DataFrame, col: DataFrame, budget: _Budget) -> DataFrame:
+def _backward(e: DataFrame, col: DataFrame, steps: _Steps) -> DataFrame:
     """Nodes that reach their colour's root inside the colour: (project, node, c).
 
     A node table carries ``_r`` (reached) and ``_new`` (reached in the last
@@ -145,9 +163,8 @@ def _backward(e: DataFrame, col: DataFrame, budget: _Budget) -> DataFrame:
           .select(P, "src", "dst"))
     ec = _ckpt(ec)
     root = F.col("node") == F.col("c")
-    state, _ = budget.keep(col.select(P, "node", "c", root.alias("_r"), root.alias("_new")))
+    state, _ = steps.keep(col.select(P, "node", "c", root.alias("_r"), root.alias("_new")))
     while True:
-        budget.tick()
         msg = (ec.join(state.where("_new").select(P, F.col("node").alias("dst")), [P, "dst"])
                .select(P, F.col("src").alias("node"), F.lit(None).cast(col.schema["c"].dataType).alias("c"),
                        F.lit(False).alias("_old"), F.lit(True).alias("_m")))
@@ -155,38 +172,40 @@ def _backward(e: DataFrame, col: DataFrame, budget: _Budget) -> DataFrame:
                .groupBy(P, "node").agg(F.max("c").alias("c"), F.max("_old").alias("_old"), F.max("_m").alias("_m"))
                .select(P, "node", "c", (F.col("_old") | F.col("_m")).alias("_r"),
                        (F.col("_m") & ~F.col("_old")).alias("_new")))
-        state, found = budget.keep(nxt, F.count(F.when(F.col("_new"), 1)))
+        state, found = steps.keep(nxt, F.count(F.when(F.col("_new"), 1)))
         if found == 0:
             return state.where("_r").select(P, "node", "c")
 
 
-def cyclic_components(edges: DataFrame, max_iter: int = 10_000, checkpoint_every: int = 1) -> DataFrame:
+def cyclic_components(edges: DataFrame, steps: _Steps | None = None) -> DataFrame:
     """Strongly connected components with at least two nodes.
 
     ``edges(project, source, target)``; self-loops do not make a cycle.
     Returns (project, node, component, component_size) where ``component``
     is the smallest node of the component.
     """
-    budget = _Budget(max_iter, checkpoint_every)
-    obs = Observation()
-    e = _ckpt(simple_edges(edges).observe(obs, _rows().alias("m")))
-    n = obs.get["m"]
+    steps = steps or _Steps()
+    e, n = steps.keep(simple_edges(edges), _rows())
     found: list[DataFrame] = []
-    while True:
-        e, n = _trim(e, n, budget)
-        if n == 0:
+    folded: list[DataFrame] = []
+    while n:
+        before = None
+        while n and n != before:
+            before = n
+            e, n, members, rings = _contract(e, n, steps)
+            if members is not None:
+                folded.append(members)
+                found.append(rings)
+            if n:
+                e, n = _trim(e, steps)
+        if not n:
             break
-        col = _colour(e, budget)
-        scc = _backward(e, col, budget)
-        scc = _ckpt(scc.select(P, "node", "c"))
+        col = _colour(e, steps)
+        scc = _ckpt(_backward(e, col, steps).select(P, "node", "c"))
         found.append(scc)
         gone = scc.select(P, "node")
-        e = (e.join(gone.withColumnRenamed("node", "src"), [P, "src"], "left_anti")
-             .join(gone.withColumnRenamed("node", "dst"), [P, "dst"], "left_anti"))
-        obs = Observation()
-        e = _ckpt(e.observe(obs, _rows().alias("m")))
-        n = obs.get["m"]
-        budget.release()
+        e, n = steps.keep(e.join(gone.withColumnRenamed("node", "src"), [P, "src"], "left_anti")
+                          .join(gone.withColumnRenamed("node", "dst"), [P, "dst"], "left_anti"), _rows())
     if not found:
         spark = edges.sparkSession
         schema = edges.select(P, F.col("source").alias("node")).schema
@@ -195,6 +214,8 @@ def cyclic_components(edges: DataFrame, max_iter: int = 10_000, checkpoint_every
     allf = found[0]
     for f in found[1:]:
         allf = allf.unionByName(f)
+    for members in reversed(folded):
+        allf = _unfold(allf, members)
     comp = allf.groupBy(P, "c").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("component_size"))
     return (allf.join(comp, [P, "c"]).where(F.col("component_size") >= 2)
             .select(P, "node", "component", "component_size"))
@@ -245,17 +266,44 @@ def bounded_cycles(edges: DataFrame, max_len: int = 3, components: DataFrame | N
     return res
 
 
-def simple_cycle_paths(components: DataFrame, edges: DataFrame, max_len: int = 4, sep: str = " → ") -> DataFrame:
-    """For components that are one simple cycle of at most ``max_len``
-    modules: (project, component, path) with the path starting at the
-    smallest module ('a → b → c → a'). Found with ``bounded_cycles`` on the
-    components' own edges; a component qualifies when it holds exactly one
-    such cycle and the cycle visits all of its modules."""
+def witness_cycles(components: DataFrame, edges: DataFrame, sep: str = " → ") -> DataFrame:
+    """One cycle per component: the shortest that returns to its smallest
+    module, among those the first by its modules. Returns (project, component,
+    component_size, length, path) with path 'a → b → c → a'; the cycle may
+    have any length.
+
+    Breadth-first from the smallest module along edges inside the component;
+    each module is reached once and keeps the path to it. A component whose
+    cycle has closed takes no further part."""
+    c = components.select(P, "node", "component")
+    within = (simple_edges(edges)
+              .join(c.withColumnRenamed("node", "src"), [P, "src"])
+              .join(c.withColumnRenamed("node", "dst").withColumnRenamed("component", "_other"), [P, "dst"])
+              .where(F.col("component") == F.col("_other")).select(P, "component", "src", "dst"))
+    within = _ckpt(within)
+    key = [P, "component"]
+    start = within.select(*key).distinct()
+    front = start.select(*key, F.col("component").alias("src"), F.array("component").alias("path"))
+    seen = start.select(*key, F.col("component").alias("dst")).limit(0)
+    closed: list[DataFrame] = []
+    steps = _Steps()
+    while True:
+        step = (front.join(within, [*key, "src"]).groupBy(*key, "dst").agg(F.min("path").alias("path"))
+                .join(seen, [*key, "dst"], "left_anti"))
+        step, n = steps.keep(step, _rows())
+        if not n:
+            break
+        done = step.where(F.col("dst") == F.col("component")).select(*key, "path")
+        closed.append(done)
+        seen = seen.unionByName(step.select(*key, "dst"))
+        if steps.n % 8 == 0:
+            seen = _ckpt(seen)
+            closed = [_ckpt(reduce(DataFrame.unionByName, closed))]
+        front = (step.join(done.select(*key), key, "left_anti")
+                 .select(*key, F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path")))
     summary = component_summary(components)
-    cyc = bounded_cycles(edges, max_len=max_len, components=components, sep=sep)
-    cyc = cyc.withColumn("_start", F.split("cycle", sep).getItem(0))
-    per = (cyc.groupBy(P, "_start").agg(F.count(F.lit(1)).alias("_n"), F.max("cycle").alias("path"),
-                                        F.max("length").alias("_len")))
-    j = summary.withColumn("_start", F.col("component").cast("string")).join(per, [P, "_start"])
-    return (j.where((F.col("_n") == 1) & (F.col("_len") == F.col("component_size")))
-            .select(P, "component", "path"))
+    if not closed:
+        return summary.select(*key, "component_size", F.lit(0).alias("length"), F.lit("").alias("path")).limit(0)
+    paths = reduce(DataFrame.unionByName, closed)
+    text = F.array_join(F.transform(F.concat("path", F.array("component")), lambda x: x.cast("string")), sep)
+    return paths.join(summary, key).select(*key, "component_size", F.size("path").alias("length"), text.alias("path"))

@@ -1,8 +1,8 @@
 """Module structure and dependency-graph health.
 
-Inputs: ``modules(project, name, path, files array<string>, exports
-array<string>)`` (or the exploded ``module_files(project, name, file)``)
-and ``edges(project, source, target)``. Module tables join by shuffle on
+Inputs: ``modules(project, name, path)``, their exports and files as rows
+``(project, name, export)`` and ``(project, file)``, and ``edges(project,
+source, target)``. Module tables join by shuffle on
 (project, name); nothing here is broadcast because module tables grow with
 the fleet.
 """
@@ -96,14 +96,16 @@ def orphans(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return modules.select("project", "name").join(ends, ["project", "name"], "left_anti")
 
 
-def god_modules(modules: DataFrame, threshold: int = GOD_MODULE_EXPORTS) -> DataFrame:
-    """Modules with more than ``threshold`` exports."""
-    return (modules.select("project", "name", F.size("exports").alias("n_exports"))
-            .where(F.col("n_exports") > threshold))
+def export_counts(exports: DataFrame) -> DataFrame:
+    """(project, name, n_exports) of the rows (project, name, export); a
+    repeated export counts once."""
+    return exports.groupBy("project", "name").agg(F.countDistinct("export").alias("n_exports"))
 
 
-def module_files(modules: DataFrame) -> DataFrame:
-    return modules.select("project", "name", F.explode("files").alias("file"))
+def god_modules(counts: DataFrame, threshold: int = GOD_MODULE_EXPORTS) -> DataFrame:
+    """Modules with more than ``threshold`` exports, from (project, name,
+    n_exports)."""
+    return counts.select("project", "name", "n_exports").where(F.col("n_exports") > threshold)
 
 
 def deep_files(files: DataFrame, threshold: int = DEEP_NEST_DEPTH) -> DataFrame:
@@ -123,8 +125,8 @@ def issue_rows(cycles: DataFrame | None = None, gods: DataFrame | None = None,
                god_threshold: int = GOD_MODULE_EXPORTS, deep_threshold: int = DEEP_NEST_DEPTH) -> DataFrame:
     """Union of rule findings: (project, rule, rule_order, subject, issue, penalty).
 
-    ``cycles(project, component, component_size)`` holds one row per cyclic
-    component (see ``graph.component_summary``), ``gods``/``orphan_mods(project,
+    ``cycles(project, component, path)`` holds one row per cyclic component
+    with a cycle through it (see ``graph.witness_cycles``), ``gods``/``orphan_mods(project,
     name)``, ``deep(project, file)``."""
     parts = []
 
@@ -134,12 +136,7 @@ def issue_rows(cycles: DataFrame | None = None, gods: DataFrame | None = None,
                                subject.alias("subject"), text.alias("issue"),
                                F.lit(PENALTY[rule]).alias("penalty")))
     if cycles is not None:
-        # a ``path`` column (see graph.simple_cycle_paths) gives the exact cycle text when known
-        described = F.format_string("component of %d modules including %s", F.col("component_size"),
-                                    F.col("component").cast("string"))
-        if "path" in cycles.columns:
-            described = F.coalesce(F.col("path"), described)
-        add(cycles, "cycle", F.col("component").cast("string"), F.format_string(ISSUE_TEXT["cycle"], described))
+        add(cycles, "cycle", F.col("component").cast("string"), F.format_string(ISSUE_TEXT["cycle"], F.col("path")))
     if gods is not None:
         add(gods, "god_module", F.col("name").cast("string"),
             F.format_string(ISSUE_TEXT["god_module"], F.col("name").cast("string"), F.lit(god_threshold)))

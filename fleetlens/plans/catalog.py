@@ -71,7 +71,7 @@ symbols AS (
 
 @query("snapshot_diff", "WITH " + I.SQL_SNAPSHOTS + " SELECT project, path, status FROM changes")
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return _changes(spark, sf).select("project", "path", "status")
+    return snap.diff_snapshots(I.old_files(spark, sf), I.new_files(spark, sf)).select("project", "path", "status")
 
 
 @query("filtered_diff", "WITH " + I.SQL_SNAPSHOTS + """
@@ -371,12 +371,12 @@ def _edges(spark, sf):
 SELECT project, boundary, count(*) AS n_modules, min(name) AS first_module, max(name) AS last_module
 FROM bnd GROUP BY project, boundary""")
 def boundaries(spark: SparkSession, sf: str) -> DataFrame:
-    return S.boundaries(_modules(spark, sf))
+    return S.boundaries(I.supplier_modules(spark, sf))
 
 
 @query("boundary_members", "WITH " + SQL_GRAPH + " SELECT project, name, path, boundary FROM bnd")
 def boundary_members(spark: SparkSession, sf: str) -> DataFrame:
-    return S.module_boundaries(_modules(spark, sf))
+    return S.module_boundaries(I.supplier_modules(spark, sf))
 
 
 @query("core_edges", "WITH " + SQL_GRAPH + " SELECT * FROM core")
@@ -409,18 +409,17 @@ def orphans(spark: SparkSession, sf: str) -> DataFrame:
 @query("oversized", "WITH " + SQL_GRAPH + f"""
 SELECT project, name, n_exports FROM modules WHERE n_exports > {I.GOD_THRESHOLD}""")
 def oversized(spark: SparkSession, sf: str) -> DataFrame:
-    m = _modules(spark, sf)
-    return m.where(F.col("n_exports") > I.GOD_THRESHOLD).select("project", "name", "n_exports")
+    return S.god_modules(I.supplier_modules(spark, sf), I.GOD_THRESHOLD)
 
 
 SQL_DEPTH = ("(len(string_split(file, '/')) - CASE WHEN split_part(file, '/', 1) IN "
              "('src', 'lib', 'app', 'source', 'sources') THEN 2 ELSE 1 END)")
 
 
-@query("deep_paths", "WITH " + I.SQL_PAGE_FILES + f"""
-SELECT project, file, {SQL_DEPTH} AS depth FROM page_files WHERE {SQL_DEPTH} > 4""")
+@query("deep_paths", "WITH " + I.SQL_EDGES + "," + I.SQL_FILES + f"""
+SELECT project, file, {SQL_DEPTH} AS depth FROM module_files WHERE {SQL_DEPTH} > 4""")
 def deep_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return S.deep_files(I.page_files(spark, sf)).select("project", "file", F.col("depth").cast("long"))
+    return S.deep_files(I.module_files(spark, sf)).select("project", "file", F.col("depth").cast("long"))
 
 
 @query("entry_points", "WITH " + I.SQL_PAGE_FILES + f"""
@@ -467,25 +466,72 @@ def bounded_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return G.bounded_cycles(_edges(spark, sf), max_len=3)
 
 
-@query("health", SQL_SCC + "," + I.SQL_MODULES + f""",
-n_cyc AS (SELECT project, count(DISTINCT component) AS n FROM scc GROUP BY project),
-n_god AS (SELECT project, count(*) AS n FROM modules WHERE n_exports > {I.GOD_THRESHOLD} GROUP BY project),
-n_orph AS (SELECT m.project, count(*) AS n FROM modules m
-           WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.project = m.project AND (x.source = m.name OR x.target = m.name))
-           GROUP BY m.project),
-projects AS (SELECT DISTINCT project FROM modules)
-SELECT p.project,
-       CAST(greatest(0, 100 - 20 * coalesce(c.n, 0) - 15 * coalesce(g.n, 0) - 10 * coalesce(o.n, 0)) AS INTEGER) AS score,
-       coalesce(c.n, 0) AS n_cycle, coalesce(g.n, 0) AS n_god_module, coalesce(o.n, 0) AS n_orphan,
-       CAST(0 AS BIGINT) AS n_deep_file
-FROM projects p LEFT JOIN n_cyc c ON c.project = p.project LEFT JOIN n_god g ON g.project = p.project
-LEFT JOIN n_orph o ON o.project = p.project""")
-def health(spark: SparkSession, sf: str) -> DataFrame:
-    m = _modules(spark, sf)
+# shortest way from a component's smallest module back to it: all of them, the first by its modules is kept
+SQL_WITNESS = SQL_SCC + """,
+inside AS (SELECT e.project, s.component, e.src, e.dst FROM e
+           JOIN scc s ON s.project = e.project AND s.node = e.src
+           JOIN scc t ON t.project = e.project AND t.node = e.dst WHERE s.component = t.component),
+walk(project, component, node, path) AS (
+  SELECT DISTINCT project, component, component, [component] FROM scc
+  UNION ALL
+  SELECT w.project, w.component, i.dst, list_append(w.path, i.dst) FROM walk w
+  JOIN inside i ON i.project = w.project AND i.component = w.component AND i.src = w.node
+  WHERE (len(w.path) = 1 OR w.node <> w.component) AND (i.dst = w.component OR NOT list_contains(w.path, i.dst))),
+witness AS (
+  SELECT project, component, arg_min(path, (len(path), path)) AS path FROM walk
+  WHERE len(path) > 1 AND node = component GROUP BY project, component),
+witness_text AS (
+  SELECT w.project, w.component, CAST(len(w.path) - 1 AS INTEGER) AS length,
+         array_to_string(list_transform(w.path, lambda x: CAST(x AS VARCHAR)), ' → ') AS path,
+         (SELECT max(component_size) FROM scc s WHERE s.project = w.project AND s.component = w.component) AS component_size
+  FROM witness w)
+"""
+
+
+@query("witness_cycles", SQL_WITNESS + " SELECT project, component, component_size, length, path FROM witness_text")
+def witness_cycles(spark: SparkSession, sf: str) -> DataFrame:
     e = _edges(spark, sf)
-    comps = G.component_summary(G.cyclic_components(e))
-    gods = m.where(F.col("n_exports") > I.GOD_THRESHOLD)
-    issues = S.issue_rows(cycles=comps, gods=gods, orphan_mods=S.orphans(m, e), god_threshold=I.GOD_THRESHOLD)
+    return G.witness_cycles(G.cyclic_components(e), e)
+
+
+SQL_ISSUES = SQL_WITNESS + "," + I.SQL_MODULES + "," + I.SQL_FILES + f""",
+issues AS (
+  SELECT project, 'cycle' AS rule, CAST(component AS VARCHAR) AS subject, 'circular dependency: ' || path AS issue,
+         20 AS penalty FROM witness_text
+  UNION ALL
+  SELECT project, 'god_module', CAST(name AS VARCHAR),
+         'god module "' || CAST(name AS VARCHAR) || '" has >{I.GOD_THRESHOLD} exports', 15
+  FROM modules WHERE n_exports > {I.GOD_THRESHOLD}
+  UNION ALL
+  SELECT m.project, 'orphan', CAST(m.name AS VARCHAR),
+         'orphan module "' || CAST(m.name AS VARCHAR) || '" has no incoming or outgoing dependencies', 10 FROM modules m
+  WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.project = m.project AND (x.source = m.name OR x.target = m.name))
+  UNION ALL
+  SELECT project, 'deep_file', file, 'deep-nested file "' || file || '" is more than 4 levels deep', 5
+  FROM module_files WHERE {SQL_DEPTH} > 4),
+findings AS (
+  SELECT project, rule, subject, issue, penalty,
+         CASE rule WHEN 'cycle' THEN 'BLOCK' WHEN 'god_module' THEN 'WARN' WHEN 'deep_file' THEN 'WARN'
+                   WHEN 'orphan' THEN 'INFO' END AS severity FROM issues)
+"""
+
+
+def _issues(spark, sf):
+    """All findings of the four rules, and the modules."""
+    m, e = _modules(spark, sf), _edges(spark, sf)
+    issues = S.issue_rows(cycles=G.witness_cycles(G.cyclic_components(e), e), gods=S.god_modules(m, I.GOD_THRESHOLD),
+                          orphan_mods=S.orphans(m, e), deep=S.deep_files(I.module_files(spark, sf)),
+                          god_threshold=I.GOD_THRESHOLD)
+    return issues, m
+
+
+@query("health", SQL_ISSUES + """
+SELECT p.project, CAST(greatest(0, 100 - coalesce(sum(i.penalty), 0)) AS INTEGER) AS score,
+       count(*) FILTER (WHERE i.rule = 'cycle') AS n_cycle, count(*) FILTER (WHERE i.rule = 'god_module') AS n_god_module,
+       count(*) FILTER (WHERE i.rule = 'orphan') AS n_orphan, count(*) FILTER (WHERE i.rule = 'deep_file') AS n_deep_file
+FROM (SELECT DISTINCT project FROM modules) p LEFT JOIN issues i ON i.project = p.project GROUP BY p.project""")
+def health(spark: SparkSession, sf: str) -> DataFrame:
+    issues, m = _issues(spark, sf)
     return S.health(issues, m)
 
 
@@ -515,34 +561,25 @@ def impact_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 from ..operators import conform as C  # noqa: E402
 
-SQL_SEV_CASE = ("CASE rule " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.RULE_SEVERITY.items())
-                + " ELSE 'INFO' END")
-
-SQL_ISSUES = SQL_SCC + "," + I.SQL_MODULES + f""",
-issues AS (
-  SELECT DISTINCT project, 'cycle' AS rule, CAST(component AS VARCHAR) AS subject FROM scc
-  UNION ALL
-  SELECT project, 'god_module', CAST(name AS VARCHAR) FROM modules WHERE n_exports > {I.GOD_THRESHOLD}
-  UNION ALL
-  SELECT m.project, 'orphan', CAST(m.name AS VARCHAR) FROM modules m
-  WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.project = m.project AND (x.source = m.name OR x.target = m.name))),
-findings AS (SELECT project, rule, subject, {SQL_SEV_CASE} AS severity FROM issues)
-"""
-
-
 def _findings(spark, sf):
-    m = _modules(spark, sf)
-    e = _edges(spark, sf)
-    comps = G.component_summary(G.cyclic_components(e))
-    issues = S.issue_rows(cycles=comps, gods=m.where(F.col("n_exports") > I.GOD_THRESHOLD),
-                          orphan_mods=S.orphans(m, e), god_threshold=I.GOD_THRESHOLD)
+    issues, m = _issues(spark, sf)
     return C.with_severity(issues), m
 
 
-@query("severity_findings", SQL_ISSUES + " SELECT project, rule, subject, severity FROM findings")
+@query("severity_findings", SQL_ISSUES + " SELECT project, rule, subject, severity, issue FROM findings")
 def severity_findings(spark: SparkSession, sf: str) -> DataFrame:
     f, _ = _findings(spark, sf)
-    return f.select("project", "rule", "subject", "severity")
+    return f.select("project", "rule", "subject", "severity", "issue")
+
+
+# the run before: a module was already known as an orphan, and files as deep below the first supplier folders
+@query("new_findings", SQL_ISSUES + """
+SELECT project, rule, subject, severity FROM findings WHERE rule NOT IN ('orphan', 'god_module')""")
+def new_findings(spark: SparkSession, sf: str) -> DataFrame:
+    now, _ = _findings(spark, sf)
+    now = materialize(now)
+    before = now.where(F.col("rule").isin("orphan", "god_module"))
+    return C.new_findings(now, before).select("project", "rule", "subject", "severity")
 
 
 @query("verdict", SQL_ISSUES + """
@@ -578,21 +615,23 @@ def doc_vs_actual(spark: SparkSession, sf: str) -> DataFrame:
 CUTOFF = "1997-01-01"  # exports shipped before the cutoff form the old interface
 
 
-@query("removed_exports", f"""
-WITH old AS (SELECT DISTINCT l_suppkey AS module, l_partkey AS export FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUTOFF}'),
-new AS (SELECT DISTINCT l_suppkey AS module, l_partkey AS export FROM lineitem WHERE l_shipdate >= TIMESTAMP '{CUTOFF}')
-SELECT o.module, o.export FROM old o
-WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.module = o.module AND n.export = o.export)
+@query("removed_exports", "WITH " + I.SQL_EDGES + f""",
+lines AS (SELECT p.project, l.l_suppkey AS module, l.l_partkey AS export, l.l_shipdate
+          FROM lineitem l JOIN order_project p ON p.l_orderkey = l.l_orderkey),
+old AS (SELECT DISTINCT project, module, export FROM lines WHERE l_shipdate < TIMESTAMP '{CUTOFF}'),
+new AS (SELECT DISTINCT project, module, export FROM lines WHERE l_shipdate >= TIMESTAMP '{CUTOFF}')
+SELECT o.project, o.module, o.export FROM old o
+WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.project = o.project AND n.module = o.module AND n.export = o.export)
   AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = o.export AND p.p_size > 25)""")
 def removed_exports(spark: SparkSession, sf: str) -> DataFrame:
-    li = I.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("module"), F.col("l_partkey").alias("export"),
-                                               "l_shipdate")
+    li = I.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("module"),
+                                               F.col("l_partkey").alias("export"), "l_shipdate")
+    lines = li.join(I.order_project(spark, sf), "l_orderkey")
     cut = F.lit(CUTOFF).cast("timestamp_ntz")
-    dep = (I.table(spark, sf, "part").where(F.col("p_size") > 25).select(F.col("p_partkey").alias("export")))
-    old, new = li.where(F.col("l_shipdate") < cut), li.where(F.col("l_shipdate") >= cut)
-    gone = old.select("module", "export").distinct().join(new.select("module", "export").distinct(),
-                                                          ["module", "export"], "left_anti")
-    return gone.join(dep, "export", "left_anti").select("module", "export")
+    old, new = lines.where(F.col("l_shipdate") < cut), lines.where(F.col("l_shipdate") >= cut)
+    part = I.table(spark, sf, "part").where(F.col("p_size") > 25).select(F.col("p_partkey").alias("export"))
+    deprecated = lines.select("project", "module", "export").join(part, "export")
+    return C.removed_without_deprecation(old, new, deprecated)
 
 
 HREF = 'href="([^"]*)"'
@@ -606,8 +645,8 @@ notes AS (SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_split_to_array(lo
 SELECT page_id, target FROM links WHERE target NOT IN (SELECT name FROM notes)""")
 def broken_links(spark: SparkSession, sf: str) -> DataFrame:
     pages = I.table(spark, sf, "pages").select("page_id", "html")
-    links = (pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("h"))
-             .select("page_id", F.lower(F.regexp_replace("h", "/", "")).alias("target")).distinct())
+    links = C.extract_links(pages, text_col="html", pattern=HREF, keys=["page_id"])
+    links = links.select("page_id", F.lower(F.regexp_replace("target", "/", "")).alias("target")).distinct()
     notes = (I.table(spark, sf, "benchmark")
              .select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("name")).where(F.col("name") != ""))
     return C.broken_links(links, notes, group=[], note_col="name")
@@ -764,8 +803,8 @@ def check_tally(spark: SparkSession, sf: str) -> DataFrame:
     return Q.check_tally(checks)
 
 
-ORDER_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-ORDER_STATUSES = ["F", "O", "P"]
+ORDER_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]  # "4-NOT SPECIFIED" is no priority
+ORDER_STATUSES = ["F", "P"]  # open orders are not settled
 
 
 @query("row_validation", """
@@ -806,24 +845,33 @@ def event_defaults(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- S2 J12
 
-@query("inventory_modules", "WITH " + I.SQL_SNAPSHOTS + """
+@query("inventory_modules", "WITH " + I.SQL_DOC_FILES + """
 SELECT project, split_part(path, '/', 2) AS name, 'src/' || split_part(path, '/', 2) AS path, count(*) AS n_files
-FROM new_f WHERE len(string_split(path, '/')) >= 3 GROUP BY 1, 2, 3""")
+FROM doc_files WHERE len(string_split(path, '/')) >= 3 GROUP BY 1, 2, 3""")
 def inventory_modules(spark: SparkSession, sf: str) -> DataFrame:
-    return INV.modules_from_files(I.new_files(spark, sf).select("project", "path"))
+    return INV.modules_from_files(I.doc_files(spark, sf))
+
+
+SQL_ALL_FILES = "WITH " + I.SQL_DOC_FILES + "," + I.SQL_EDGES + "," + I.SQL_FILES + "," + I.SQL_PAGE_FILES + """,
+files AS (SELECT project, path FROM doc_files UNION ALL SELECT project, file FROM module_files
+          UNION ALL SELECT project, file FROM page_files)
+"""
 
 
-@query("source_dir", "WITH " + I.SQL_SNAPSHOTS + "," + I.SQL_PAGE_FILES + """,
-files AS (SELECT project, path FROM new_f UNION ALL SELECT project, file FROM page_files),
+def _all_files(spark, sf):
+    return (I.doc_files(spark, sf)
+            .unionByName(I.module_files(spark, sf).select("project", F.col("file").alias("path")))
+            .unionByName(I.page_files(spark, sf).select("project", F.col("file").alias("path"))))
+
+
+@query("source_dir", SQL_ALL_FILES + """,
 dirs AS (SELECT DISTINCT project, split_part(path, '/', 1) AS d FROM files WHERE len(string_split(path, '/')) >= 2),
 ranked AS (SELECT project, arg_min(d, list_position(['src', 'lib', 'app', 'main'], d)) AS src_dir
            FROM dirs WHERE d IN ('src', 'lib', 'app', 'main') GROUP BY project)
 SELECT p.project, coalesce(r.src_dir, '.') AS src_dir
 FROM (SELECT DISTINCT project FROM files) p LEFT JOIN ranked r ON r.project = p.project""")
 def source_dir(spark: SparkSession, sf: str) -> DataFrame:
-    files = (I.new_files(spark, sf).select("project", "path")
-             .unionByName(I.page_files(spark, sf).select("project", F.col("file").alias("path"))))
-    return INV.source_dir(spark, files)
+    return INV.source_dir(spark, _all_files(spark, sf))
 
 
 # --------------------------------------------------------------------------- T1-T5
@@ -888,22 +936,18 @@ def call_edges(spark: SparkSession, sf: str) -> DataFrame:
     return S.call_edges(_edges(spark, sf), gods).select("project", "source", "target", "symbol")
 
 
-SQL_WATCH_INCLUDE = r"^src/(.+/)?[^/]+\.(" + "|".join(D.SOURCE_EXTENSIONS) + r")$"
-SQL_WATCH_EXCLUDE = r"(^|/)(" + "|".join(d.replace(".", r"\.") for d in D.IGNORED_DIRS) + r")(/|$)"
-
-
-@query("watched_files", "WITH " + I.SQL_SNAPSHOTS + f"""
-SELECT project, path, status FROM changes
-WHERE regexp_matches(path, '{SQL_WATCH_INCLUDE}') AND NOT regexp_matches(path, '{SQL_WATCH_EXCLUDE}')""")
+@query("watched_files", "WITH " + I.SQL_SNAPSHOTS + """
+SELECT project, path, status FROM changes WHERE path LIKE 'src/%.ts' AND NOT contains(path, '/dist/')""")
 def watched_files(spark: SparkSession, sf: str) -> DataFrame:
-    return D.file_events(_changes(spark, sf)).select("project", "path", "status")
+    changes = snap.diff_snapshots(I.old_files(spark, sf), I.new_files(spark, sf))
+    return D.file_events(changes).select("project", "path", "status")
 
 
 @query("note_counts", """
 SELECT lang AS project, source AS kind, count(*) AS n_notes FROM documents GROUP BY 1, 2""")
 def note_counts(spark: SparkSession, sf: str) -> DataFrame:
     d = I.table(spark, sf, "documents").select(F.col("lang").alias("project"), F.col("source").alias("kind"))
-    return d.groupBy("project", "kind").agg(F.count(F.lit(1)).alias("n_notes"))
+    return Q.count_by(d, "n_notes", group=["project", "kind"])
 
 
 @query("forbidden_crossings", "WITH " + SQL_GRAPH + """,
@@ -922,25 +966,17 @@ def forbidden_crossings(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- J9 (by extension) J10
 
-SQL_EXT_DIM = " UNION ALL ".join(f"SELECT '{e}' AS ext, '{lang}' AS language" for lang, v in INV.LANGUAGE_TOOLS.items()
-                                 for e in v[0])
-SQL_TOOLS_DIM = " UNION ALL ".join(f"SELECT '{lang}' AS language, '{v[1]}' AS linter, '{v[2]}' AS formatter, "
-                                   f"'{v[3]}' AS style_guide" for lang, v in INV.LANGUAGE_TOOLS.items())
-
-
-@query("languages", "WITH " + I.SQL_SNAPSHOTS + "," + I.SQL_PAGE_FILES + f""",
-files AS (SELECT project, path FROM new_f UNION ALL SELECT project, file FROM page_files),
-ext AS ({SQL_EXT_DIM}),
-tools AS ({SQL_TOOLS_DIM}),
-langs AS (SELECT f.project, x.language, count(*) AS n_files
-          FROM files f JOIN ext x ON x.ext = lower(regexp_extract(string_split(f.path, '/')[-1], '(\\.[^.]+)$', 1))
-          GROUP BY f.project, x.language)
-SELECT l.project, l.language, l.n_files, coalesce(t.linter, 'not available') AS linter,
-       coalesce(t.formatter, 'not available') AS formatter, coalesce(t.style_guide, 'not available') AS style_guide
-FROM langs l LEFT JOIN tools t ON t.language = l.language""")
+@query("languages", SQL_ALL_FILES + """,
+ext(ext, language, linter, formatter, style_guide) AS (VALUES
+  ('.ts', 'typescript', 'eslint', 'prettier', 'typescript/coding-style.md'),
+  ('.py', 'python', 'ruff', 'black', 'python/coding-style.md'),
+  ('.go', 'go', 'golangci-lint', 'gofmt', 'go/coding-style.md'),
+  ('.rb', 'ruby', 'rubocop', 'standardrb', 'ruby/coding-style.md'),
+  ('.java', 'java', 'checkstyle', 'google-java-format', 'java/coding-style.md'))
+SELECT f.project, x.language, count(*) AS n_files, x.linter, x.formatter, x.style_guide
+FROM files f JOIN ext x ON x.ext = lower(regexp_extract(string_split(f.path, '/')[-1], '(\\.[^.]+)$', 1))
+GROUP BY ALL""")
 def languages(spark: SparkSession, sf: str) -> DataFrame:
-    files = (I.new_files(spark, sf).select("project", "path")
-             .unionByName(I.page_files(spark, sf).select("project", F.col("file").alias("path"))))
-    langs = INV.languages_by_extension(spark, files)
+    langs = INV.languages_by_extension(spark, _all_files(spark, sf))
     return INV.language_tools(spark, langs).select("project", "language", "n_files", "linter", "formatter",
                                                    "style_guide")

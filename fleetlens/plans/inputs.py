@@ -6,17 +6,24 @@ rules below only decide which version of a record a snapshot holds.
 
 * Snapshots from ``documents`` (project = ``lang``): every document is a file
   ``src/<source>/<lang>-<doc_id>.ts``. The old snapshot lacks documents with
-  ``doc_id % 11 = 0``, the new one lacks ``doc_id % 13 = 0`` (so both sides
-  have added and removed files), appends ' v2' to documents with
-  ``doc_id % 7 = 0`` (modified) and moves documents with ``doc_id % 17 = 0``
-  to ``src/moved/`` (renames). Both snapshots cover the whole table.
+  ``doc_id % 11 = 0``, the new one those with ``doc_id % 11 = 1`` (so both
+  sides have added and removed files, and every document is in one of them at
+  least), appends ' v2' to documents with ``doc_id % 7 = 0`` (modified) and
+  moves documents with ``doc_id % 17 = 0`` to ``src/dist/`` (renames into a
+  folder a watcher ignores).
 * Dependency graph from ``lineitem``: within an order, the supplier of each
   line depends on the supplier of the next line (lines ordered by
   line number, part, supplier, ship date, price, quantity); the project is
-  the nation of the ordering customer. All lines of all orders are used.
+  the ordering customer. All lines of all orders are used.
 * Modules: each (project, supplier) seen in that project's lines; its path is
   ``src/<supplier nation>/<supplier name>`` so the boundary is the supplier's
   nation; its exports are the distinct parts it shipped in that project.
+* Module files: one per line, ``<root>/<supplier name>/[lots/<line number>/
+  <status>/bulk/]part-<part><extension>``: the root folder follows the return
+  flag, lines of more than 45 pieces lie deep, and the extension follows the
+  part, one of them of no known language.
+* Page files: the project is host and first path segment, the file the rest of
+  the url's path, ``index.html`` for a folder.
 """
 
 from __future__ import annotations
@@ -39,11 +46,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --------------------------------------------------------------------------- snapshots
 
 def _doc_path(moved):
-    folder = F.when(moved, F.lit("moved")).otherwise(F.col("source"))
+    folder = F.when(moved, F.lit("dist")).otherwise(F.col("source"))
     return F.concat(F.lit("src/"), folder, F.lit("/"), F.col("lang"), F.lit("-"),
                     F.col("doc_id").cast("string"), F.lit(".ts"))
 
 
+def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path) of every document."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("lang").alias("project"), _doc_path(F.lit(False)).alias("path"))
+
+
 def old_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 11 != 0)
     return d.select(F.col("lang").alias("project"), _doc_path(F.lit(False)).alias("path"),
@@ -51,7 +64,7 @@ def old_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 13 != 0)
+    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 11 != 1)
     text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" v2"))).otherwise(F.col("text"))
     return d.select(F.col("lang").alias("project"), _doc_path(F.col("doc_id") % 17 == 0).alias("path"),
                     F.sha2(text, 256).alias("content_hash"), F.col("doc_id"))
@@ -83,10 +96,10 @@ old_f AS (
   FROM documents WHERE doc_id % 11 <> 0),
 new_f AS (
   SELECT lang AS project,
-         'src/' || CASE WHEN doc_id % 17 = 0 THEN 'moved' ELSE source END || '/' || lang || '-'
+         'src/' || CASE WHEN doc_id % 17 = 0 THEN 'dist' ELSE source END || '/' || lang || '-'
            || CAST(doc_id AS VARCHAR) || '.ts' AS path,
          sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' v2' ELSE text END) AS content_hash, doc_id
-  FROM documents WHERE doc_id % 13 <> 0),
+  FROM documents WHERE doc_id % 11 <> 1),
 diff AS (
   SELECT coalesce(o.project, n.project) AS project, coalesce(o.path, n.path) AS path,
          CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed'
@@ -96,6 +109,11 @@ diff AS (
 changes AS (SELECT * FROM diff WHERE status IS NOT NULL)
 """
 
+SQL_DOC_FILES = """
+doc_files AS (SELECT lang AS project, 'src/' || source || '/' || lang || '-' || CAST(doc_id AS VARCHAR) || '.ts' AS path
+              FROM documents)
+"""
+
 # P1 (module of a path) and P2 (symbol of a path) in DuckDB for paths of the
 # form used above: the segment after 'src', extension stripped.
 SQL_MODULE = "split_part(path, '/', 2)"
@@ -107,7 +125,7 @@ SQL_SYMBOL = ("array_to_string(list_transform(regexp_split_to_array(regexp_repla
 
 def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (project, source, target) supplier handoffs, project = the
-    ordering customer's nation name. Self-loops included (a supplier that
+    ordering customer. Self-loops included (a supplier that
     ships two consecutive lines)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
@@ -121,20 +139,14 @@ def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(l_orderkey, project): orders joined to their customer's nation. The
-    nation table is a fixed 25-row dimension, so it is broadcast."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"),
-                                               F.col("n_name").alias("project"))
-    return (o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), "c_nationkey")
-            .select(F.col("o_orderkey").alias("l_orderkey"), "project"))
+    """(l_orderkey, project): every order's customer."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"),
+                                                 F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")).alias("project"))
 
 
 SQL_EDGES = """
 order_project AS (
-  SELECT o.o_orderkey AS l_orderkey, n.n_name AS project
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey),
+  SELECT o_orderkey AS l_orderkey, 'customer-' || CAST(o_custkey AS VARCHAR) AS project FROM orders),
 handoffs AS (
   SELECT l_orderkey, l_suppkey AS source,
          lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
@@ -149,7 +161,7 @@ edges AS (
 
 # --------------------------------------------------------------------------- modules
 
-GOD_THRESHOLD = 40  # exports above which a supplier module counts as oversized here
+GOD_THRESHOLD = 1  # exports above which a supplier module counts as oversized here
 
 
 def supplier_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,27 +189,54 @@ modules AS (
 """
 
 
+# Fixed choices of the derived module files.
+ROOTS = {"A": "lib", "N": "src", "R": "app"}
+EXTENSIONS = [".ts", ".py", ".go", ".rb", ".java", ".xyz"]
+
+
+def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (project, file): one file per line of an order."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                                                 "l_returnflag", "l_linestatus")
+    root = F.create_map(*[F.lit(x) for kv in ROOTS.items() for x in kv])[F.col("l_returnflag")]
+    ext = F.array(*[F.lit(x) for x in EXTENSIONS])[F.pmod(F.col("l_partkey"), F.lit(len(EXTENSIONS))).cast("int")]
+    deep = F.concat(F.lit("lots/"), F.col("l_linenumber").cast("string"), F.lit("/"), "l_linestatus", F.lit("/bulk/"))
+    folder = F.when(F.col("l_quantity") > 45, deep).otherwise("")
+    file = F.concat(root, F.lit("/supplier-"), F.col("l_suppkey").cast("string"), F.lit("/"), folder, F.lit("part-"),
+                    F.col("l_partkey").cast("string"), ext)
+    return li.join(order_project(spark, sf_dir), "l_orderkey").select("project", file.alias("file")).distinct()
+
+
+SQL_FILES = """
+module_files AS (
+  SELECT DISTINCT p.project,
+         CASE l.l_returnflag WHEN 'A' THEN 'lib' WHEN 'N' THEN 'src' WHEN 'R' THEN 'app' END
+           || '/supplier-' || CAST(l.l_suppkey AS VARCHAR) || '/'
+           || CASE WHEN l.l_quantity > 45
+                   THEN 'lots/' || CAST(l.l_linenumber AS VARCHAR) || '/' || l.l_linestatus || '/bulk/' ELSE '' END
+           || 'part-' || CAST(l.l_partkey AS VARCHAR)
+           || CASE l.l_partkey % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' WHEN 3 THEN '.rb'
+                                   WHEN 4 THEN '.java' ELSE '.xyz' END AS file
+  FROM lineitem l JOIN order_project p ON p.l_orderkey = l.l_orderkey)
+"""
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages as a file tree: (project = host, file = reversed host labels
-    + URL path, 'index.html' for a path ending in '/'), query and fragment
-    dropped."""
-    p = table(spark, sf_dir, "pages").select("url")
+    """Web pages as file trees: (project = host/first segment, file = rest of
+    the URL path, 'index.html' for a folder), query and fragment dropped."""
+    u = table(spark, sf_dir, "pages").select("url")
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
-    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)?", 1)
-    path = F.when(path.endswith("/") | (path == ""), F.concat(path, F.lit("index.html"))).otherwise(path)
-    rev = F.array_join(F.reverse(F.split(host, r"\.")), "/")
-    return p.select(host.alias("project"), F.concat(rev, F.regexp_replace(
-        F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), "^/+", "/")).alias("file")).distinct()
+    first = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([^/?#]*)", 1)
+    rest = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/[^/?#]*/?([^?#]*)", 1)
+    rest = F.when(rest.endswith("/") | (rest == ""), F.concat(rest, F.lit("index.html"))).otherwise(rest)
+    return u.select(F.concat(host, F.lit("/"), first).alias("project"), rest.alias("file")).distinct()
 
 
 SQL_PAGE_FILES = """
 page_parts AS (
-  SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
-         regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)?', 1) AS p0 FROM pages),
+  SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]*)', 1) AS project,
+         regexp_extract(url, '^[a-z]+://[^/?#]+/[^/?#]*/?([^?#]*)', 1) AS rest FROM pages),
 page_files AS (
-  SELECT DISTINCT host AS project,
-         array_to_string(list_reverse(string_split(host, '.')), '/')
-           || regexp_replace(CASE WHEN starts_with(p1, '/') THEN p1 ELSE '/' || p1 END, '^/+', '/') AS file
-  FROM (SELECT host, CASE WHEN ends_with(p0, '/') OR p0 = '' THEN p0 || 'index.html' ELSE p0 END AS p1
-        FROM page_parts))
+  SELECT DISTINCT project, CASE WHEN ends_with(rest, '/') OR rest = '' THEN rest || 'index.html' ELSE rest END AS file
+  FROM page_parts)
 """

@@ -20,13 +20,21 @@ def _edges(spark, pairs):
                                  "project string, source string, target string").where(F.lit(bool(pairs)))
 
 
-def _score(spark, mods, pairs):
-    m, e = _modules(spark, mods), _edges(spark, pairs)
-    comps = G.component_summary(G.cyclic_components(e))
-    files = S.module_files(m).withColumnRenamed("file", "file")
-    issues = S.issue_rows(cycles=comps, gods=S.god_modules(m), orphan_mods=S.orphans(m, e), deep=S.deep_files(files))
-    h = S.health(issues, m).first()
-    return h.score, issues.count()
+def _scores(spark, cases):
+    """(score, number of issues) of each case, all as projects of one fleet."""
+    mods = [(f"p{k}", *m) for k, (ms, _) in enumerate(cases) for m in ms]
+    m = spark.createDataFrame([(p, n, path, files, [f"e{i}" for i in range(nexp)]) for p, n, path, files, nexp in mods],
+                              "project string, name string, path string, files array<string>, exports array<string>")
+    e = spark.createDataFrame([(f"p{k}", a, b) for k, (_, pairs) in enumerate(cases) for a, b in pairs],
+                              "project string, source string, target string")
+    files = m.select("project", "name", F.explode("files").alias("file"))
+    counts = S.export_counts(m.select("project", "name", F.explode("exports").alias("export")))
+    issues = S.issue_rows(cycles=G.witness_cycles(G.cyclic_components(e), e), gods=S.god_modules(counts),
+                          orphan_mods=S.orphans(m, e), deep=S.deep_files(files)).persist()
+    n = {r.project: r["count"] for r in issues.groupBy("project").count().collect()}
+    h = {r.project: r.score for r in S.health(issues, m).collect()}
+    issues.unpersist()
+    return [(h[f"p{k}"], n.get(f"p{k}", 0)) for k in range(len(cases))]
 
 
 def _mod(name, nexp=0, files=None):
@@ -34,18 +42,21 @@ def _mod(name, nexp=0, files=None):
 
 
 def test_health_cases(spark):
-    assert _score(spark, [_mod("a"), _mod("b")], [("a", "b"), ("b", "a")]) == (80, 1)
-    assert _score(spark, [_mod("a"), _mod("b"), _mod("c")], [("a", "b"), ("b", "c"), ("c", "a")]) == (80, 1)
-    assert _score(spark, [_mod(x) for x in "abcd"], [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")]) == (60, 2)
-    assert _score(spark, [_mod("god", 51), _mod("normal")], [("god", "god"), ("normal", "normal")]) == (85, 1)
-    assert _score(spark, [_mod("god", 50), _mod("normal")], [("god", "god"), ("normal", "normal")]) == (100, 0)
-    assert _score(spark, [_mod("orphan"), _mod("connected")], [("connected", "connected")]) == (90, 1)
-    assert _score(spark, [_mod("deep", 0, ["src/a/b/c/d/e/deep.ts"])], [("deep", "deep")]) == (95, 1)
-    assert _score(spark, [_mod("deep", 0, ["src/a/b/c/d/deep.ts"])], [("deep", "deep")]) == (100, 0)
     mixed = [_mod("a", 51), _mod("b"), _mod("c"), _mod("d", 0, ["src/a/b/c/d/e/deep.ts"])]
-    assert _score(spark, mixed, [("a", "b"), ("b", "a"), ("d", "d")]) == (50, 4)
     clamp = [_mod(x, 51) for x in "abcdefg"]
-    assert _score(spark, clamp, [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")])[0] == 0
+    cases = [
+        ([_mod("a"), _mod("b")], [("a", "b"), ("b", "a")], (80, 1)),
+        ([_mod("a"), _mod("b"), _mod("c")], [("a", "b"), ("b", "c"), ("c", "a")], (80, 1)),
+        ([_mod(x) for x in "abcd"], [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")], (60, 2)),
+        ([_mod("god", 51), _mod("normal")], [("god", "god"), ("normal", "normal")], (85, 1)),
+        ([_mod("god", 50), _mod("normal")], [("god", "god"), ("normal", "normal")], (100, 0)),
+        ([_mod("orphan"), _mod("connected")], [("connected", "connected")], (90, 1)),
+        ([_mod("deep", 0, ["src/a/b/c/d/e/deep.ts"])], [("deep", "deep")], (95, 1)),
+        ([_mod("deep", 0, ["src/a/b/c/d/deep.ts"])], [("deep", "deep")], (100, 0)),
+        (mixed, [("a", "b"), ("b", "a"), ("d", "d")], (50, 4)),
+        (clamp, [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")], (0, 12)),
+    ]
+    assert _scores(spark, [c[:2] for c in cases]) == [c[2] for c in cases]
 
 
 def test_core_apis_and_boundaries(spark):
@@ -120,14 +131,50 @@ def test_bounded_cycles_brute_force(spark):
     assert {r.cycle for r in G.bounded_cycles(e, max_len=4, components=comps).collect()} == want
 
 
-def test_scc_iteration_limit(spark):
-    e = spark.createDataFrame([("p", i, i + 1) for i in range(10)] + [("p", 10, 0)],
-                              "project string, source long, target long")
-    try:
-        G.cyclic_components(e, max_iter=3)
-    except G.IterationLimitExceeded:
-        return
-    raise AssertionError("expected IterationLimitExceeded")
+def test_long_chains_and_rings_take_few_steps(spark):
+    n = 2000
+    ring = [("ring", i, (i + 1) % n) for i in range(n)]
+    chain = [("chain", i, i + 1) for i in range(n)]
+    # a long way round between two nodes that also form a short cycle, and a ring with a tail in and a tail out
+    loop = [("loop", 0, 1), ("loop", 1, 0)] + [("loop", k, k + 1) for k in range(1, 300)] + [("loop", 300, 0)]
+    tails = [("tails", k, k + 1) for k in range(100)] + [("tails", 100, 50)] + [("tails", 100, 101), ("tails", 101, 102)]
+    e = spark.createDataFrame(ring + chain + loop + tails, "project string, source long, target long")
+    steps = G._Steps()
+    got = {}
+    for r in G.cyclic_components(e, steps).collect():
+        got.setdefault((r.project, r.component, r.component_size), set()).add(r.node)
+    assert got == {("ring", 0, n): set(range(n)), ("loop", 0, 301): set(range(301)), ("tails", 50, 51): set(range(50, 101))}
+    assert steps.n < 60
+
+
+def test_witness_cycles_of_any_length(spark):
+    rows, want = [], {}
+    for n in (2, 3, 5, 50):
+        ids = [f"m{k:03d}" for k in range(n)]
+        rows += [(f"ring{n}", ids[k], ids[(k + 1) % n]) for k in range(n)]
+        want[f"ring{n}", "m000"] = " → ".join([*ids, ids[0]])
+    # chords, a shorter way back, two components in one project, an edge out of a component
+    rows += [("x", a, b) for a, b in ["ab", "bc", "cd", "da", "ca", "de", "ef", "fe", "pq", "qp"]]
+    want |= {("x", "a"): "a → b → c → a", ("x", "e"): "e → f → e", ("x", "p"): "p → q → p"}
+    e = spark.createDataFrame(rows, "project string, source string, target string")
+    comps = G.cyclic_components(e)
+    got = G.witness_cycles(comps, e).collect()
+    assert {(r.project, r.component): r.path for r in got} == want and len(got) == len(want)
+    assert all(r.length == r.path.count("→") for r in got)
+    assert G.witness_cycles(comps.limit(0), e).count() == 0
+
+
+def test_witness_cycles_brute_force(spark):
+    rnd = random.Random(11)
+    edges = sorted({(rnd.randrange(9), rnd.randrange(9)) for _ in range(17)})
+    es = {(a, b) for a, b in edges if a != b}
+    e = spark.createDataFrame([("p", a, b) for a, b in edges], "project string, source long, target long")
+    comps = G.cyclic_components(e)
+    for r in G.witness_cycles(comps, e).collect():
+        nodes = [x.node for x in comps.where(F.col("component") == r.component).collect()]
+        best = min((k, c) for k in range(2, len(nodes) + 1) for c in itertools.permutations(sorted(nodes), k)
+                   if c[0] == r.component and all((c[i], c[(i + 1) % k]) in es for i in range(k)))
+        assert r.path == " → ".join(map(str, [*best[1], r.component])) and r.length == best[0]
 
 
 def test_call_edges(spark):
@@ -139,8 +186,5 @@ def test_call_edges(spark):
 
 def test_cycle_issue_text(spark):
     e = _edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "x")])
-    comps = G.cyclic_components(e)
-    summary = G.component_summary(comps).join(G.simple_cycle_paths(comps, e), ["project", "component"], "left")
-    texts = sorted(r.issue for r in S.issue_rows(cycles=summary).collect())
-    assert texts == ["circular dependency: a → b → c → a",
-                     "circular dependency: component of 3 modules including x"]
+    texts = sorted(r.issue for r in S.issue_rows(cycles=G.witness_cycles(G.cyclic_components(e), e)).collect())
+    assert texts == ["circular dependency: a → b → c → a", "circular dependency: x → y → x"]

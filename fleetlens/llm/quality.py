@@ -22,7 +22,7 @@ left out. An added column replaces one of the same name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -79,15 +79,21 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
-def latent_space(x: np.ndarray, k: int, steps: int = 4) -> np.ndarray:
-    """buckets x k: leading right singular vectors, by subspace iteration
-    from a fixed start."""
-    k = min(k, *x.shape)
-    q = np.random.default_rng(0).standard_normal((x.shape[1], min(k + 16, *x.shape))).astype(np.float32)
+def latent_space(parts: list[Callable[[], np.ndarray]], k: int, steps: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors (buckets x k) of a matrix given as
+    functions that make its blocks of rows, and the rows in that space; by
+    subspace iteration from a fixed start. The matrix is never held whole."""
+    q = np.random.default_rng(0).standard_normal((WIDTH, k + 16)).astype(np.float32)
     for _ in range(steps):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, vectors = np.linalg.eigh(((x @ q).T @ (x @ q)).astype(np.float64))
-    return (q @ vectors[:, ::-1][:, :k].astype(np.float32)).astype(np.float32)
+        total = np.zeros_like(q)
+        for make in parts:
+            x = make()
+            total += x.T @ (x @ q)
+        q, _ = np.linalg.qr(total)
+    y = np.concatenate([make() @ q for make in parts])
+    _, vectors = np.linalg.eigh((y.T @ y).astype(np.float64))
+    turn = vectors[:, ::-1][:, :k].astype(np.float32)
+    return q @ turn, y @ turn
 
 
 class VotingModel:
@@ -168,12 +174,16 @@ def fit_voting(training: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
                                 "n": [c[a].astype(np.uint32).tobytes() for c, a in zip(counts, at)]})
 
     got = sorted(found.mapInPandas(sparse, "id long, label int, at binary, n binary").collect(), key=lambda r: r["id"])
-    x = np.zeros((len(got), WIDTH), np.float32)
-    for k, r in enumerate(got):
-        x[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
-    x = weighted(x, idf)
-    space = latent_space(x, LATENT)
-    points = x @ space
+
+    def block(rows):
+        def make() -> np.ndarray:
+            x = np.zeros((len(rows), WIDTH), np.float32)
+            for k, r in enumerate(rows):
+                x[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
+            return weighted(x, idf)
+        return make
+
+    space, points = latent_space([block(got[k:k + BLOCK]) for k in range(0, len(got), BLOCK)], LATENT)
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-6)
     y = np.array([r["label"] for r in got], np.float64)
     taken = {v: max(1, int((y == v).sum())) for v in totals}
@@ -189,5 +199,6 @@ def score_quality(docs: DataFrame, model: VotingModel, *, text_col: str = "text"
     @F.pandas_udf(struct_of(score="double"))
     def vote(body: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"score": sent.value.scores(body.tolist())}, dtype="float64")
-    done = docs.withColumn("_vote", vote(text_bytes(text_col)))
+    # a filter on the score must not evaluate it a second time
+    done = docs.withColumn("_vote", vote.asNondeterministic()(text_bytes(text_col)))
     return replace_columns(done, {out_col: F.col("_vote.score")}).drop("_vote")

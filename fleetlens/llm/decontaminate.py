@@ -26,7 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TYPES, replace_columns, struct_of, text_bytes
@@ -104,7 +104,7 @@ def _scanner(windows):
             out.append((n, 0 if mask is None else int(mask.sum()),
                         None if mask is None else np.packbits(mask).tobytes(), sorted(found)))
         return pd.DataFrame(out, columns=["n_words", "n_hit", "mask", "items"])
-    return scan
+    return scan.asNondeterministic()  # a filter on its result must not evaluate it again
 
 
 @F.pandas_udf(TYPES["binary"])
@@ -126,22 +126,21 @@ def _without_hits(body: pd.Series, mask: pd.Series) -> pd.Series:
 
 def scan_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text",
-                       max_block_bytes: int = MAX_BLOCK_BYTES) -> Column:
-    """Struct column for ``docs``: n_words, n_hit, mask (packed bits, one per
-    word; null without hits) and the sorted ids of the items hit."""
+                       max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """``docs`` with the struct ``_scan``: n_words, n_hit, mask (packed bits,
+    one per word; null without hits) and the sorted ids of the items hit."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), text_bytes(item_text_col).alias("body"))
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, math.ceil(total / max_block_bytes))
     block = F.pmod(F.xxhash64("item", "body"), F.lit(blocks))
     sc = docs.sparkSession.sparkContext
-    none = F.lit(None).cast("binary")
-    result = None
+    out = docs.withColumn("_scan", F.struct(F.lit(None).cast("binary").alias("mask"),
+                                            F.lit(None).cast("array<string>").alias("items")))
     for b in range(blocks):
         rows = items.where(block == b) if blocks > 1 else items
         windows = sc.broadcast(WindowSet([(r["item"], bytes(r["body"])) for r in rows.collect()], window))
-        before = (none, F.lit(None).cast("array<string>")) if result is None else (result["mask"], result["items"])
-        result = _scanner(windows)(text_bytes(text_col), *before)
-    return result
+        out = out.withColumn("_scan", _scanner(windows)(text_bytes(text_col), F.col("_scan.mask"), F.col("_scan.items")))
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", window: int = WINDOW,
@@ -151,7 +150,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     ``words_per_hit`` is hit). ``remove``: ``"documents"`` leaves out
     contaminated documents, ``"spans"`` cuts the hit words out of the texts
     and keeps every document, ``"nothing"`` only reports."""
-    marked = docs.withColumn("_scan", scan_contamination(docs, benchmark, window=window, text_col=text_col, **options))
+    marked = scan_contamination(docs, benchmark, window=window, text_col=text_col, **options)
     scan = F.col("_scan")
     cols = {
         "n_words": scan["n_words"], "n_hit": scan["n_hit"], "items": scan["items"],

@@ -54,6 +54,9 @@ def _measure(body: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["size", "weight"])
 
 
+_measure = _measure.asNondeterministic()  # a filter on what follows from it must not evaluate it again
+
+
 def source_targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
     """Words each source shall give: shares by weight, none above CEILING
     times its size, the excess shared out again."""

@@ -15,6 +15,8 @@ from ..session import ensure_checkpoint_dir
 BROADCAST_IDS = 2_000_000
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "float": T.FloatType(),
          "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
 
@@ -33,10 +35,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the session's shared checkpoint folder
     and return the re-read table. It cuts the lineage, keeps columns
-    prunable, and survives the loss of an executor."""
+    prunable, and survives the loss of an executor. The shuffle files behind
+    it are deleted once it is written: nothing reads them again."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -84,6 +84,58 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def pack_grams(grams: np.ndarray) -> bytes:
+    """Compressed rows of n-grams in order: each column as the step from the
+    row before wherever the columns to its left are the same."""
+    out, same = [], np.zeros(len(grams), bool)
+    same[1:] = True
+    for k in range(grams.shape[1]):
+        column = grams[:, k]
+        step = column.copy()
+        step[1:] -= np.where(same[1:], column[:-1], 0)
+        out.append(_framed(pack(narrow(step))))
+        same[1:] &= column[1:] == column[:-1]
+    return b"".join(out)
+
+
+def unpack_grams(data: bytes) -> np.ndarray:
+    columns, first = [], None
+    for part in _frames(data):
+        column = np.cumsum(unpack(part).astype(np.int64))
+        if first is None:
+            first = np.zeros(len(column), bool)
+            first[:1] = True
+        else:  # the sums start again with each run of equal columns to the left
+            runs = np.flatnonzero(first)
+            before = np.concatenate(([0], column[runs[1:] - 1]))
+            column -= np.repeat(before, np.diff(np.append(runs, len(column))))
+        columns.append(column)
+        first[1:] |= column[1:] != column[:-1]
+    return np.stack(columns, axis=1)
+
+
+def _framed(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + data
+
+
+def _frames(data: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(data):
+        size = int.from_bytes(data[at:at + 4], "little")
+        yield data[at + 4:at + 4 + size]
+        at += 4 + size
+
+
+def row_order(grams: np.ndarray, bound: int) -> np.ndarray:
+    """Positions of the rows in order; items are below ``bound``."""
+    key = grams[:, 0]
+    for k in range(1, grams.shape[1]):
+        if (int(key.max(initial=0)) + 1) * bound >= 1 << 63:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * bound + grams[:, k]
+    return np.argsort(key, kind="stable")  # the rows are a few runs, each in order
+
+
 def encode(docs: DataFrame, *, id_col: str, text_col: str, learn_col: str) -> DataFrame:
     """The table of chunks."""
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +183,6 @@ class Chunk:
         self.tokens = unpack(row.tokens).astype(np.int64)
         self.learned = np.repeat(self.learn, self.sizes)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
-        self.words = zstandard.decompress(row.words).split(b" ")
 
 
 def _word_shard(words: list[bytes], shards: int) -> np.ndarray:
@@ -160,18 +211,18 @@ def _word_requests(chunks: DataFrame, shards: int) -> DataFrame:
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                c = Chunk(r)
-                counts = np.bincount(c.tokens[c.learned], minlength=len(c.words))
-                out = [(s, r.chunk, zstandard.compress(b" ".join(c.words[k] for k in part), 1), pack(narrow(counts[part])), b"")
-                       for s, part in _by_shard(_word_shard(c.words, shards))]
+                c, words = Chunk(r), zstandard.decompress(r.words).split(b" ")
+                counts = np.bincount(c.tokens[c.learned], minlength=len(words))
+                out = [(s, r.chunk, zstandard.compress(b" ".join(words[k] for k in part), 1), pack(narrow(counts[part])),
+                        pack(narrow(np.diff(part, prepend=0)))) for s, part in _by_shard(_word_shard(words, shards))]
                 yield pd.DataFrame(out, columns=["shard", "chunk", "a", "b", "c"])
 
     return chunks.mapInPandas(rows, _REQUEST)
 
 
 def _word_answers(requests: DataFrame, shards: int) -> DataFrame:
-    """Number and training count of every requested word; word numbers start
-    at 1, 0 is the start mark."""
+    """Place in its chunk, number and training count of every requested word;
+    word numbers start at 1, 0 is the start mark."""
     def answer(f: pd.DataFrame) -> pd.DataFrame:
         numbers: dict[bytes, int] = {}
         asked, shard = [], int(f["shard"].iloc[0])
@@ -180,8 +231,8 @@ def _word_answers(requests: DataFrame, shards: int) -> DataFrame:
         total = np.zeros(len(numbers), np.int64)
         for own, counts in zip(asked, f["b"]):
             total[own] += unpack(counts).astype(np.int64)  # words are distinct within a request
-        out = [(chunk, 1, shard, pack((own * shards + shard + 1).astype(np.uint64)), pack(narrow(total[own])), 0, 0, 0)
-               for chunk, own in zip(f["chunk"], asked)]
+        out = [(chunk, 1, shard, _framed(places) + _framed(pack(narrow(own * shards + shard + 1))),
+                pack(narrow(total[own])), 0, 0, 0) for chunk, places, own in zip(f["chunk"], f["c"], asked)]
         # a shard's sums, for the corpus' totals
         out.append((-1, 1, shard, b"", b"", int(total.sum()), int((total > 0).sum()), len(numbers)))
         return pd.DataFrame(out, columns=_columns(_ANSWER))
@@ -196,21 +247,27 @@ class Levels:
     order. A node is a distinct n-gram of the chunk; ``node`` gives the one
     that ends at each token, -1 if there is none."""
 
-    def __init__(self, chunk: Chunk, answers: pd.DataFrame, upto: int, word_shards: int, gram_shards: int,
-                 min_context: int):
+    def __init__(self, chunk: Chunk, answers: pd.DataFrame, upto: int, gram_shards: int, min_context: int):
         self.chunk, self.gram_shards, self.min_context = chunk, gram_shards, min_context
-        n = len(chunk.words)
-        self.number, self.word_count = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        parts = dict(_by_shard(_word_shard(chunk.words, word_shards)))
+        n = int(chunk.tokens.max()) + 1
+        number, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for r in answers[answers["level"] == 1].itertuples():
-            self.number[parts[r.shard]] = unpack(r.a).astype(np.int64)
-            self.word_count[parts[r.shard]] = unpack(r.b).astype(np.int64)
+            steps, numbers = map(unpack, _frames(r.a))
+            places = np.cumsum(steps.astype(np.int64))
+            number[places] = numbers.astype(np.int64)
+            count[places] = unpack(r.b).astype(np.int64)
         self.first = np.zeros(len(chunk.tokens), bool)
         self.first[chunk.starts] = True
-        # one node per word, and the start mark: it stands before every learned text, as the end does after it
-        self.order, self.node = 1, chunk.tokens
-        self.paths = np.append(self.number, 0)[:, None]
-        self.count = np.append(self.word_count, self.word_count[0])
+        # words in the order of their numbers, so that n-grams come out in order; node 0 is the start mark, which
+        # stands before every learned text as the end stands after it
+        order = np.argsort(number)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(1, n + 1)
+        self.number = np.append(0, number[order])
+        self.word_count = np.append(count[0], count[order])
+        self.token = place[chunk.tokens]
+        self.order, self.node = 1, self.token
+        self.paths, self.count = self.number[:, None], self.word_count
         self.terms: list[tuple[np.ndarray, np.ndarray]] = []  # per order: code and context count of each token
         for level in range(2, upto + 1):
             self.extend()
@@ -227,10 +284,10 @@ class Levels:
         nothing in higher orders."""
         self.order += 1
         before = np.concatenate(([-1], self.node[:-1]))
-        before[self.first] = len(self.number) if self.order == 2 else -1
+        before[self.first] = 0 if self.order == 2 else -1
         self.has = np.flatnonzero(before >= 0)
         words = len(self.number)
-        keys, self.inverse = np.unique(before[self.has] * words + self.chunk.tokens[self.has], return_inverse=True)
+        keys, self.inverse = np.unique(before[self.has] * words + self.token[self.has], return_inverse=True)
         context = keys // words
         self.grams = np.concatenate((self.paths[context], self.number[keys % words][:, None]), axis=1)
         self.context = self.count[context]
@@ -246,8 +303,7 @@ class Levels:
         counts = np.bincount(self.inverse[self.chunk.learned[self.has]], minlength=len(self.grams))
         for s, part in _by_shard(self.shard()):
             rows = self.asked[part]
-            yield (s, b"".join(_framed(pack(narrow(self.grams[rows, k]))) for k in range(self.order)),
-                   pack(narrow(counts[rows])), pack(narrow(self.context[rows])))
+            yield s, pack_grams(self.grams[rows]), pack(narrow(counts[rows])), pack(narrow(self.context[rows]))
 
     def answered(self, codes: np.ndarray, counts: np.ndarray) -> None:
         code, seen = np.zeros(len(self.node), np.uint16), np.zeros(len(self.node), np.int64)
@@ -258,18 +314,6 @@ class Levels:
         self.paths, self.count = self.grams, counts
 
 
-def _framed(data: bytes) -> bytes:
-    return len(data).to_bytes(4, "little") + data
-
-
-def _frames(data: bytes) -> Iterator[bytes]:
-    at = 0
-    while at < len(data):
-        size = int.from_bytes(data[at:at + 4], "little")
-        yield data[at + 4:at + 4 + size]
-        at += 4 + size
-
-
 def _columns(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(", ")]
 
@@ -291,11 +335,11 @@ def _gram_answers(requests: DataFrame, order: int, words: int) -> DataFrame:
     chunk asked for."""
     def answer(f: pd.DataFrame) -> pd.DataFrame:
         shard = int(f["shard"].iloc[0])
-        asked = [np.stack([unpack(x) for x in _frames(a)], axis=1, dtype=np.int64, casting="unsafe") for a in f["a"]]
+        asked = [unpack_grams(a) for a in f["a"]]
         own = np.concatenate([unpack(b).astype(np.int64) for b in f["b"]])
         context = np.concatenate([unpack(c).astype(np.int64) for c in f["c"]])
         grams = np.concatenate(asked)
-        order_ = np.lexsort(grams.T[::-1])
+        order_ = row_order(grams, words)
         ordered = grams[order_]
         new = np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(axis=1)))
         first = np.flatnonzero(new)
@@ -331,18 +375,18 @@ def score_texts(docs: DataFrame, *, learn_col: str, id_col: str = "doc_id", text
     sums = answers.where("chunk = -1").agg(F.sum("tokens"), F.sum("words"), F.max("numbers")).first()
     tokens, known, numbers = (x or 0 for x in sums)
     answers = answers.where("chunk >= 0").select("chunk", "level", "shard", "a", "b")
-    shape = (word_shards, gram_shards, min_context)
+    shape = (gram_shards, min_context)
+    chunks = chunks.drop("words")
     for level in range(2, order + 1):
-        requests = _gram_requests(chunks, answers, level - 1, shape)
-        found = stage(_gram_answers(requests, level, numbers * word_shards + 1), f"order-{level}")
+        found = stage(_gram_answers(_gram_requests(chunks, answers, level - 1, shape), level,
+                                    numbers * word_shards + 1), f"order-{level}")
         answers = answers.unionByName(found.select("chunk", "level", "shard", "a", "b"))
-
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in left.itertuples():
             c = Chunk(r)
             levels = Levels(c, right, order, *shape)
-            count = levels.word_count[c.tokens]
+            count = levels.word_count[levels.token]
             p = (count + 1) / (tokens + known + 1)
             base = np.add.reduceat(np.log10(p), c.starts)
             for level, (code, seen) in enumerate(levels.terms, 2):

@@ -19,7 +19,7 @@ from fleetlens.session import get_session  # noqa: E402
 
 HEADLINE = [
     "snapshot_diff", "rename_pairs", "impact_report", "change_report", "document_mentions", "state_upsert",
-    "stale_state", "conflicts", "core_edges", "boundary_matrix", "cyclic_components", "bounded_cycles",
+    "stale_state", "conflicts", "core_edges", "boundary_matrix", "cyclic_components", "bounded_cycles", "witness_cycles",
     "health", "verdict", "doc_vs_actual", "removed_exports", "broken_links", "copied_blocks", "line_rules",
     "status_rollup", "check_tally", "sessions", "sessions_stream",
 ]

@@ -76,8 +76,9 @@ def _literals(rows: DataFrame, level: int, min_rows: int, min_share: float, z: f
               .agg(F.count("*").alias("n"), F.sum("_blocked").alias("b"), F.sum("_allowed").alias("a")))
     counts = stage(counts, "url-counts")
     parents = counts.groupBy("_host", "_prefix").agg(F.sum("n").alias("all"))
-    literal = (counts.join(parents, ["_host", "_prefix"])
-               .where((F.col("n") >= F.greatest(F.lit(float(min_rows)), F.col("all") * min_share))))
+    # rare segments go before the join: what is left of a hot host are its few common segments
+    literal = (counts.where(F.col("n") >= min_rows).join(parents, ["_host", "_prefix"])
+               .where(F.col("n") >= F.col("all") * min_share))
     share = {c: (F.col(c) + 0.5) / (F.col("n") + 1.0) for c in ("a", "b")}
     literal = literal.select("_host", "_prefix", "_segment", "n", share["a"].alias("pa"), share["b"].alias("pb"))
     # siblings in order of their shares; a new branch starts where a share differs significantly from the sibling before

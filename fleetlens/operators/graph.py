@@ -98,18 +98,22 @@ def _contract(e: DataFrame, n: int, steps: _Steps):
     if not m:
         return e, n, None, None
     jump = inner.select(P, "node", F.col("succ").alias("jump"), F.col("node").alias("low"), F.col("node").alias("last"))
-    reach = 1
-    while reach <= m:  # each round doubles how far a pointer reaches
+    was = None
+    while True:  # each round doubles how far a pointer reaches
         far = jump.select(P, F.col("node").alias("jump"), F.col("jump").alias("_j"), F.col("low").alias("_l"),
                           F.col("last").alias("_t"))
         nxt = (jump.join(far, [P, "jump"], "left")
                .select(P, "node", F.coalesce("_j", "jump").alias("jump"), F.least("low", "_l").alias("low"),
-                       F.coalesce("_t", "last").alias("last"), F.col("_j").isNotNull().alias("_on")))
-        nxt, on = steps.keep(nxt, F.count(F.when(F.col("_on"), 1)))
-        jump = nxt.drop("_on")
-        reach *= 2
-        if not on:
+                       F.coalesce("_t", "last").alias("last"), F.col("_j").isNotNull().alias("_on"),
+                       (F.col("_l") < F.col("low")).alias("_fell")))
+        nxt, both = steps.keep(nxt, F.count(F.when(F.col("_on"), 1)) * F.lit(1 << 31) + F.count(F.when(F.col("_fell"), 1)))
+        jump = nxt.drop("_on", "_fell")
+        on, fell = divmod(both, 1 << 31)
+        # on a path some pointers come to its end in every round; when none does, only rings are left, and their
+        # smallest nodes are known once a round changes none
+        if not on or (on == was and not fell):
             break
+        was = on
     nodes = inner.select(P, "node")
     inside = nodes.withColumnRenamed("node", "jump")
     rings = jump.join(inside, [P, "jump"], "left_semi").select(P, "node", F.col("low").alias("c"))

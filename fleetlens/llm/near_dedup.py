@@ -16,12 +16,20 @@ all others.
 A candidate pair whose signatures agree in less than the threshold minus four
 standard errors is let go; every other pair that can still join two
 components is confirmed on the two full shingle sets. Connected components
-follow from the confirmed links. Candidates are linear in the number of
-documents; nothing emits all pairs of a group, and texts are not shuffled:
-sets are made a second time for the documents in candidate pairs only.
+follow from the confirmed links. These candidates are linear in the number of
+documents; texts are not shuffled: sets are made a second time for the
+documents in candidate pairs and in crowded regions only.
 
-The forest is probabilistic; its recall against brute force is measured in
-the tests and stated in the README.
+In a crowded region (more rows than neighbours can cover) a partner may be
+pushed out by relatives below the threshold. So the documents of crowded
+regions are also joined exactly, by the prefix filter: shingles in a global
+order from rare to common, a pair at the threshold must share one of the first
+few. Of a shingle's documents only those in different components are paired;
+the pairs that pass the filters on lengths and positions are confirmed on
+their sets, and the components follow from all links.
+
+Outside crowded regions the forest is probabilistic; its recall against brute
+force is measured in the tests and stated in the README.
 
 Defined cases: documents without words have an empty set and are linked with
 nothing; documents with fewer words than a shingle have their whole sequence
@@ -37,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TYPES, sized_broadcast, stage, struct_of, text_bytes
@@ -50,6 +58,7 @@ DEPTH = 24  # bytes of a tree's key
 MIN_DEPTH = 5
 NEIGHBOURS = 4  # on either side in each sorted order
 HUB_LINKS = 2
+BLOCK = 2_000  # documents of a shingle that one task pairs with the others
 THRESHOLD = 85  # percent
 SET_BYTES = 6  # of a shingle's hash in a stored set
 
@@ -205,8 +214,9 @@ def _similar(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
             .where(F.col("agree") >= least))
 
 
-def candidates(reps: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, agree): candidate pairs, each once."""
+def candidates(reps: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, agree): candidate pairs, each once; (doc): documents of regions
+    with more rows than a document's neighbours can cover."""
     share = threshold / 100
     least = int(VALUES * (share - 4.1 * (share * (1 - share) / VALUES) ** 0.5))
     trees = stage(forest(reps), "forest")
@@ -219,7 +229,63 @@ def candidates(reps: DataFrame, threshold: int) -> DataFrame:
     around = (region.join(stage(centre, "hubs"), ["tree", "region"]).where("doc <> hub")
               .select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct())
     more = _similar(around.join(near, ["a", "b"], "left_anti"), reps, least)
-    return stage(near.unionByName(more), "candidates")
+    crowds = region.groupBy("tree", "region").count().where(F.col("count") > NEIGHBOURS + 1).drop("count")
+    crowded = stage(region.join(crowds, ["tree", "region"]).select("doc").distinct(), "crowded")
+    return stage(near.unionByName(more), "candidates"), crowded
+
+
+def _shingles(sets: DataFrame) -> DataFrame:
+    """(doc, n, h): every shingle of stored sets."""
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k in range(0, len(f), 256):
+                parts = [_unpacked(m).view(np.int64) for m in f["members"].iloc[k:k + 256]]
+                n = np.array([len(x) for x in parts])
+                yield pd.DataFrame({"doc": f["doc"].to_numpy()[k:k + 256].repeat(n), "n": n.repeat(n).astype(np.int32),
+                                    "h": np.concatenate(parts)})
+
+    return sets.select("doc", "members").mapInPandas(rows, "doc long, n int, h long")
+
+
+def crowded_pairs(sets: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): among the documents of ``sets``, at least all pairs at the
+    threshold that ``roots`` has in different components.
+
+    With shingles in any fixed order, x and y at the threshold t and
+    |x| <= |y| have their first common shingle among the first
+    |x| - ceil(2t/(1+t) |x|) + 1 of x and the first |y| - ceil(t |y|) + 1 of y,
+    and behind it enough shingles of both for the overlap. A shingle of one
+    document only takes a place and pairs nothing. Of a shingle's documents
+    those of its largest component are not paired with each other, and its
+    documents are dealt in blocks of BLOCK."""
+    shingles = _shingles(sets)
+    shared = shingles.groupBy("h").agg(F.count("*").alias("docs")).where("docs > 1")
+    own = Window.partitionBy("doc")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("docs", "h")) - 1
+    # at the threshold, of n shingles at least ceil(2tn / (1 + t)) are shared with one as long, ceil(tn) with any
+    first = (shingles.join(stage(shared, "shared-shingles"), "h").withColumn("at", place.cast("int"))
+             .where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold / 100 - 1e-9)))
+    first = (first.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left")
+             .select("h", "doc", "n", "at", F.coalesce("root", "doc").alias("root"),
+                     (F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * threshold) / (100 + threshold) - 1e-9)).alias("short")))
+    first = stage(first, "first-shingles")
+    mixed = (first.groupBy("h", "root").agg(F.count("*").alias("docs"))
+             .groupBy("h").agg(F.sum("docs").alias("docs"), F.max(F.struct("docs", "root")).alias("most"))
+             .where(F.col("docs") > F.col("most.docs"))
+             .select("h", F.col("most.root").alias("main"), F.ceil(F.col("docs") / BLOCK).cast("int").alias("blocks")))
+    first = stage(first.join(mixed, "h"), "mixed-shingles")
+    x = first.where("short").select(
+        "h", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"),
+        (F.col("root") == F.col("main")).alias("x_main"), *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "at", "root")])
+    y = first.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "h", "block", (F.col("root") == F.col("main")).alias("y_main"),
+        *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "at", "root")])
+    fits = F.expr(f"""x_root <> y_root AND (x_n < y_n OR x_n = y_n AND x_doc < y_doc) AND x_n * 100L >= y_n * {threshold}L
+        AND least(x_n - x_at, y_n - y_at) * {100 + threshold}L >= (x_n + y_n) * {threshold}L""")
+    some = x.where("NOT x_main").join(y, ["h", "block"]).where(fits)
+    main = x.where("x_main").join(y.where("NOT y_main"), ["h", "block"]).where(fits)
+    pairs = some.select("x_doc", "y_doc").unionByName(main.select("x_doc", "y_doc"))
+    return pairs.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -241,13 +307,16 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     reps = (named.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc", "sig")).alias("r"))
             .select("digest", F.col("r.doc").alias("doc"), F.col("r.sig").alias("sig")))
     reps = stage(reps, "representatives")
-    pairs = candidates(reps, threshold)
+    pairs, crowded = candidates(reps, threshold)
 
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(reps.select("doc", "digest"), "doc")
-                   .select(F.col("doc").alias("w_doc"), F.col("digest").alias("w_digest")), "wanted")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"), F.lit(False).alias("crowded"))
+    ends = ends.unionByName(crowded.withColumn("crowded", F.lit(True))).groupBy("doc").agg(F.max("crowded").alias("w_crowded"))
+    wanted = stage(ends.join(reps.select("doc", "digest"), "doc")
+                   .select(F.col("doc").alias("w_doc"), F.col("digest").alias("w_digest"), "w_crowded"), "wanted")
     sets = (docs.join(sized_broadcast(wanted, wanted.count()), F.col(id_col).cast("long") == F.col("w_doc"))
-            .select(F.col("w_doc").alias("doc"), "w_digest", _members(text_bytes(text_col)).alias("m"))
-            .where(F.col("m.digest") == F.col("w_digest")).select("doc", F.col("m.members").alias("members")))
+            .select(F.col("w_doc").alias("doc"), "w_digest", "w_crowded", _members(text_bytes(text_col)).alias("m"))
+            .where(F.col("m.digest") == F.col("w_digest"))
+            .select("doc", F.col("w_crowded").alias("crowded"), F.col("m.members").alias("members")))
     sets = stage(sets.dropDuplicates(["doc"]), "sets")
 
     # first the most alike partner of every document, then whatever could still join two components
@@ -263,6 +332,10 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = stage(links.unionByName(confirmed(rest, sets, threshold)), "links")
     roots = components(links)
+    more = stage(crowded_pairs(sets.where("crowded"), roots, threshold), "crowded-pairs")
+    more = stage(confirmed(more, sets, threshold), "crowded-links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     own = reps.select("digest", F.col("doc").alias("rep")).join(
         roots.select(F.col("node").alias("rep"), "root"), "rep", "left")

@@ -13,7 +13,7 @@ region (documents with a common prefix of ``MIN_DEPTH`` bytes) the document
 with the most neighbours above the threshold, by signature, is a candidate for
 all others.
 
-A candidate pair whose signatures agree in less than the threshold minus four
+A candidate pair whose signatures agree in less than the threshold minus six
 standard errors is let go; every other pair that can still join two
 components is confirmed on the two full shingle sets. Connected components
 follow from the confirmed links. These candidates are linear in the number of
@@ -175,10 +175,11 @@ def forest(reps: DataFrame) -> DataFrame:
 
 def neighbours(trees: DataFrame, threshold: int) -> DataFrame:
     """(a, b), a < b: documents that follow each other in a sorted order and
-    share a long enough prefix, unless the rest of their keys agrees in less
-    than the threshold minus three standard errors. The orders are
-    range-partitioned, so a dense region is spread over tasks like any other;
-    the few neighbours on two sides of a partition's edge meet in other trees."""
+    share a long enough prefix. In crowded regions, which are joined exactly
+    later, not those whose keys agree in less than the threshold minus three
+    standard errors. The orders are range-partitioned, so a dense region is
+    spread over tasks like any other; the few neighbours on two sides of a
+    partition's edge meet in other trees."""
     share, rest = threshold / 100, DEPTH - MIN_DEPTH
     least = MIN_DEPTH + rest * share - 3 * (rest * share * (1 - share)) ** 0.5
 
@@ -190,9 +191,13 @@ def neighbours(trees: DataFrame, threshold: int) -> DataFrame:
             key = np.frombuffer(b"".join(f["key"]), np.uint8).reshape(-1, DEPTH)
             tree, doc = f["tree"].to_numpy(), f["doc"].to_numpy()
             left, right = [], []
+            begins = np.append(True, (tree[1:] != tree[:-1]) | (key[1:, :MIN_DEPTH] != key[:-1, :MIN_DEPTH]).any(axis=1))
+            run = np.cumsum(begins) - 1
+            few = np.bincount(run)[run] <= NEIGHBOURS + 1  # as far as seen: no more rows than in the region
             for step in range(1, min(NEIGHBOURS, len(f) - 1) + 1):
                 same = key[step:] == key[:-step]
-                near = (tree[step:] == tree[:-step]) & same[:, :MIN_DEPTH].all(axis=1) & (same.sum(axis=1) >= least)
+                near = (tree[step:] == tree[:-step]) & same[:, :MIN_DEPTH].all(axis=1)
+                near &= few[step:] | (same.sum(axis=1) >= least)
                 near[:max(0, seen - step)] = False  # both in the tail: seen before
                 at = np.flatnonzero(near)
                 left.append(doc[at])
@@ -218,11 +223,12 @@ def candidates(reps: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(a, b, agree): candidate pairs, each once; (doc): documents of regions
     with more rows than a document's neighbours can cover."""
     share = threshold / 100
-    least = int(VALUES * (share - 4.1 * (share * (1 - share) / VALUES) ** 0.5))
+    least = int(VALUES * (share - 6 * (share * (1 - share) / VALUES) ** 0.5))
     trees = stage(forest(reps), "forest")
     near = stage(_similar(neighbours(trees, threshold), reps, least), "neighbours")
-    ends = near.where(F.col("agree") * 100 >= threshold * VALUES).select(F.explode(F.array("a", "b")).alias("doc"))
-    hubs = ends.groupBy("doc").agg(F.count("*").alias("links")).where(F.col("links") >= HUB_LINKS)
+    alike = near.where(F.col("agree") * 100 >= threshold * VALUES)
+    ends = [alike.groupBy(F.col(end).alias("doc")).agg(F.count("*").alias("links")) for end in ("a", "b")]
+    hubs = ends[0].unionByName(ends[1]).groupBy("doc").agg(F.sum("links").alias("links")).where(F.col("links") >= HUB_LINKS)
     region = trees.select("tree", F.expr(f"substring(key, 1, {MIN_DEPTH})").alias("region"), "doc")
     centre = (region.join(hubs, "doc").groupBy("tree", "region")
               .agg(F.max(F.struct("links", "doc"))["doc"].alias("hub")))
@@ -273,7 +279,7 @@ def crowded_pairs(sets: DataFrame, roots: DataFrame, threshold: int) -> DataFram
              .groupBy("h").agg(F.sum("docs").alias("docs"), F.max(F.struct("docs", "root")).alias("most"))
              .where(F.col("docs") > F.col("most.docs"))
              .select("h", F.col("most.root").alias("main"), F.ceil(F.col("docs") / BLOCK).cast("int").alias("blocks")))
-    first = stage(first.join(mixed, "h"), "mixed-shingles")
+    first = stage(first.join(stage(mixed, "mixed"), "h"), "mixed-shingles")
     x = first.where("short").select(
         "h", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"),
         (F.col("root") == F.col("main")).alias("x_main"), *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "at", "root")])
@@ -309,8 +315,9 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     reps = stage(reps, "representatives")
     pairs, crowded = candidates(reps, threshold)
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"), F.lit(False).alias("crowded"))
-    ends = ends.unionByName(crowded.withColumn("crowded", F.lit(True))).groupBy("doc").agg(F.max("crowded").alias("w_crowded"))
+    ends = pairs.select(F.col("a").alias("doc")).distinct().unionByName(pairs.select(F.col("b").alias("doc")).distinct())
+    ends = (ends.withColumn("crowded", F.lit(False)).unionByName(crowded.withColumn("crowded", F.lit(True)))
+            .groupBy("doc").agg(F.max("crowded").alias("w_crowded")))
     wanted = stage(ends.join(reps.select("doc", "digest"), "doc")
                    .select(F.col("doc").alias("w_doc"), F.col("digest").alias("w_digest"), "w_crowded"), "wanted")
     sets = (docs.join(sized_broadcast(wanted, wanted.count()), F.col(id_col).cast("long") == F.col("w_doc"))

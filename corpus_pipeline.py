@@ -23,6 +23,7 @@ from fleetlens.llm.quality import fit_voting, score_quality
 from fleetlens.llm.sharding import shard_documents
 
 SHARDS = 40
+NEAR_COPY = 80  # percent of common shingles from which a document is a near copy
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, threshold=NEAR_COPY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,8 +79,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs).select(F.col("doc").alias("doc_id"), "n_shingles",
-                                        F.col("component").alias("component_id"), "kept")
+    return near_duplicates(docs, threshold=85).select(F.col("doc").alias("doc_id"), "n_shingles",
+                                                      F.col("component").alias("component_id"), "kept")
 
 
 SQL_OP6 = f"""

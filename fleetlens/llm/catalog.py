@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read, text_bytes
+from .common import crc_bucket, held_out, read, text_bytes
 from .decontaminate import decontaminate
 from .exact_search import integer_vectors, top_k
 from .language_id import identify_language
 from .line_dedup import drop_repeated_lines
 from .lm_score import score_texts
+from .merkle import build_manifest, record_digest, verify_manifest
 from .mixing import mix_table
 from .near_dedup import near_duplicates
 from .quality import fit_voting, score_quality
@@ -190,6 +191,74 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM marked GROUP BY doc_id
 """
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, proof and folded root of every document; a fifth of the
+    documents is tampered with."""
+    docs = read(spark, sf_dir, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(crc_bucket("doc_id", 5) == 0, record_digest(*fields, F.translate("text", upper, lower)))
+    manifest = build_manifest(docs, group_col="source", order_col="doc_id", leaf=record_digest(*fields, F.col("text")),
+                              changed=tampered, keep=["doc_id"])
+    return verify_manifest(manifest)
+
+
+def _sql_record(text: str) -> str:
+    one = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+    return "sha256(" + " || ".join(one.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# crc32 of a decimal number, bit by bit
+_SQL_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+      list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [CAST(0 AS BIGINT) for i in range(8)]),
+      lambda d, z: xor(d >> 1, CAST(3988292384 AS BIGINT) * (d & 1)))), CAST(4294967295 AS BIGINT))"""
+
+SQL_OP13 = f"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS k, doc_id, source, {_sql_record("text")} AS leaf,
+         CASE WHEN {_SQL_CRC} % 5 = 0 THEN {_sql_record(LOWER.format("text"))} END AS changed FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n FROM doc),
+nodes(lvl, source, n, pos, digest) AS (
+  SELECT CAST(0 AS BIGINT), source, n, pos, leaf FROM placed
+  UNION ALL
+  SELECT lvl + 1, source, (n + 15) // 16, pos // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY lvl, source, n, pos // 16),
+tops AS (
+  SELECT source, lvl AS height, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+top_nodes(lvl, n, pos, digest) AS (
+  SELECT CAST(0 AS BIGINT), n, pos, digest FROM tops
+  UNION ALL
+  SELECT lvl + 1, (n + 15) // 16, pos // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM top_nodes WHERE n > 1 GROUP BY lvl, n, pos // 16),
+beside AS (
+  SELECT d.k, x.lvl AS step, x.pos - (d.pos >> (4 * x.lvl)) AS side, x.digest
+  FROM placed d JOIN nodes x ON x.source IS NOT DISTINCT FROM d.source AND x.n > 1
+   AND x.pos // 16 = (d.pos >> (4 * x.lvl)) // 16
+  UNION ALL
+  SELECT d.k, t.height + x.lvl, x.pos - (t.pos >> (4 * x.lvl)), x.digest
+  FROM placed d JOIN tops t ON t.source IS NOT DISTINCT FROM d.source
+  JOIN top_nodes x ON x.n > 1 AND x.pos // 16 = (t.pos >> (4 * x.lvl)) // 16),
+steps AS (
+  SELECT k, step, coalesce(string_agg(digest, '' ORDER BY side) FILTER (WHERE side < 0), '') AS before,
+         coalesce(string_agg(digest, '' ORDER BY side) FILTER (WHERE side > 0), '') AS after
+  FROM beside GROUP BY k, step),
+folds(k, step, digest) AS (
+  SELECT k, CAST(0 AS BIGINT), coalesce(changed, leaf) FROM placed
+  UNION ALL
+  SELECT f.k, f.step + 1, sha256(s.before || f.digest || s.after) FROM folds f JOIN steps s ON s.k = f.k AND s.step = f.step),
+folded AS (SELECT k, max_by(digest, step) AS folded_root FROM folds GROUP BY k),
+proofs AS (SELECT k, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY k),
+root AS (SELECT digest AS root FROM top_nodes WHERE n = 1)
+SELECT d.doc_id, d.leaf, t.digest AS subroot, r.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+       f.folded_root, f.folded_root = r.root AS verified
+FROM placed d JOIN tops t ON t.source IS NOT DISTINCT FROM d.source JOIN folded f ON f.k = d.k
+LEFT JOIN proofs p ON p.k = d.k CROSS JOIN root r
+"""
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_lm_score": op2_lm_score,
@@ -201,6 +270,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE = {
@@ -208,4 +278,5 @@ ORACLE = {
     "op6_near_dedup": SQL_OP6,
     "op8_decontaminate": SQL_OP8,
     "op10_line_dedup": SQL_OP10,
+    "op13_merkle_manifest": SQL_OP13,
 }

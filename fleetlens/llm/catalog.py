@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, held_out, read, text_bytes
 from .decontaminate import decontaminate
 from .exact_search import integer_vectors, top_k
+from .hard_negatives import labelled_vectors, mine_hard_negatives
 from .language_id import identify_language
 from .line_dedup import drop_repeated_lines
 from .lm_score import score_texts
@@ -191,6 +192,37 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM marked GROUP BY doc_id
 """
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = labelled_vectors(read(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding",
+                               label=label, scale=256)
+    return mine_hard_negatives(vectors, F.col("id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+SQL_OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.row AS a, a.vec_id AS anchor_id, o.row, o.vec_id, a.label = o.label AS same,
+         CAST(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * o.x[i])) AS BIGINT) AS score
+  FROM v a JOIN v o ON a.vec_id % 50 = 0 AND a.row <> o.row AND len(a.x) = len(o.x)),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS p FROM scored WHERE same)
+  WHERE p <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.a, p.p ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same
+   AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, proof and folded root of every document; a fifth of the
     documents is tampered with."""
@@ -270,6 +302,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -278,5 +311,6 @@ ORACLE = {
     "op6_near_dedup": SQL_OP6,
     "op8_decontaminate": SQL_OP8,
     "op10_line_dedup": SQL_OP10,
+    "op11_hard_negatives": SQL_OP11,
     "op13_merkle_manifest": SQL_OP13,
 }

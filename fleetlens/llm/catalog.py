@@ -19,6 +19,7 @@ from .line_dedup import drop_repeated_lines
 from .lm_score import score_texts
 from .merkle import build_manifest, record_digest, verify_manifest
 from .mixing import mix_table
+from .multi_index import nearest
 from .near_dedup import near_duplicates
 from .quality import fit_voting, score_quality
 from .sharding import shard_documents
@@ -223,6 +224,11 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows, by cosine, of every fiftieth vector."""
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, id_col="vec_id", vector_col="embedding", k=5)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, proof and folded root of every document; a fifth of the
     documents is tampered with."""
@@ -303,6 +309,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_multi_index": op12_multi_index,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

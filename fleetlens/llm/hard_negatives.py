@@ -24,9 +24,8 @@ those of their own length; ties go to the smaller id; rows that share an id
 are rows of their own (an anchor's copy under the same id is another row), so
 an anchor id held by two rows is answered for both; a positive with a negative
 score has an empty window; anchors without positives or positives without
-negatives give no rows. Scores times 100 must fit a long. Only the named
-columns are read, so others of any name do no harm. Empty tables give an empty
-result.
+negatives give no rows. Scores must fit a long. Only the named columns are
+read, so others of any name do no harm. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -69,16 +68,17 @@ def labelled_vectors(df: DataFrame, *, id_col: str, vector_col: str, label: Colu
 
 # --- a tile ---------------------------------------------------------------
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.int64())
-    return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+def matrix(column: pa.ChunkedArray, dim: int, kind=np.int64) -> np.ndarray:
+    """The lists of a column, all of length ``dim``, as rows."""
+    parts = [c.flatten().to_numpy(zero_copy_only=False).astype(kind) for c in column.chunks if len(c)]
+    return np.concatenate([np.empty(0, kind), *parts]).reshape(-1, dim)
 
 
 def _codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
     """Numbers that are equal where the values of the columns are."""
-    joined = pa.chunked_array([c for x in columns for c in x.chunks], columns[0].type)
-    codes = joined.dictionary_encode().unify_dictionaries()
-    codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in codes.chunks] or [np.empty(0, np.int64)])
+    joined = pa.chunked_array([c for x in columns for c in x.chunks if len(c)], columns[0].type)
+    coded = joined.dictionary_encode().unify_dictionaries()
+    codes = np.concatenate([np.empty(0, np.int64), *(c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks)])
     return np.split(codes, np.cumsum([len(x) for x in columns])[:-1])
 
 
@@ -113,7 +113,7 @@ class Slots:
 def _tile(same: bool, k: int):
     def run(key: tuple, vectors: pa.Table, anchors: pa.Table) -> pa.Table:
         dim = key[0].as_py()
-        points, asked = _matrix(vectors["v"], dim), _matrix(anchors["v"], dim)
+        points, asked = matrix(vectors["v"], dim), matrix(anchors["v"], dim)
         reach = int(np.abs(points).max(initial=0)) * int(np.abs(asked).max(initial=0)) * dim
         kind = np.float64 if reach < 1 << 52 else np.int64  # exact either way
         points, asked = points.astype(kind), asked.astype(kind)
@@ -179,7 +179,9 @@ def mine_hard_negatives(vectors: DataFrame, is_anchor: Column, *, positives: int
 
     every = anchors.withColumns({"uppers": F.array(F.lit(2**63 - 1)), "lowest": F.lit(int(LEAST) + 1)})
     best = _search(vectors, every, same=True, k=positives, **sizes).where("score >= 0")
-    upper, lower = F.expr(f"({high} * score) div 100"), F.expr(f"({low} * score + 99) div 100")
+    whole, rest = "score div 100", "score % 100"  # floor and ceiling of the shares, without a product that overflows
+    upper = F.expr(f"{high} * ({whole}) + ({high} * ({rest})) div 100")
+    lower = F.expr(f"{low} * ({whole}) + ({low} * ({rest}) + 99) div 100")
     best = best.select("anchor", F.struct("rank", "id", "score", upper.alias("upper"), lower.alias("lower")).alias("p"))
     asked = best.groupBy("anchor").agg(F.sort_array(F.collect_list("p")).alias("positives"))
     uppers = F.sort_array(F.array_distinct("positives.upper"), asc=False)

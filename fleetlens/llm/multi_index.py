@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
-from .hard_negatives import usable_vector
+from .hard_negatives import matrix, usable_vector
 
 BITS = 64
 SUBSTRING = 16  # bits of a table's key
@@ -134,12 +134,7 @@ def fit_models(vectors: DataFrame) -> dict[int, Model]:
     rows = (vectors.select("dim", "v", "vec").withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE)
             .select("dim", "v").toArrow())
     dims = rows["dim"].to_numpy()
-    return {int(d): fit(unit_vectors(_matrix(rows["v"].filter(pa.array(dims == d)), int(d)))) for d in np.unique(dims)}
-
-
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return {int(d): fit(unit_vectors(matrix(rows["v"].filter(pa.array(dims == d)), int(d), float))) for d in np.unique(dims)}
 
 
 # --- the index ------------------------------------------------------------
@@ -235,8 +230,8 @@ def _tile(models: dict[int, Model], k: int):
         out: dict[str, list] = {"query": [], "score": [], "id": [], "row": []}
         if len(index) and len(queries):
             model = models[dim]
-            units, asked = unit_vectors(_matrix(index["v"], dim)), unit_vectors(_matrix(queries["v"], dim))
-            codes = _matrix(index["codes"], model.tables).astype(np.uint16)
+            units, asked = unit_vectors(matrix(index["v"], dim, float)), unit_vectors(matrix(queries["v"], dim, float))
+            codes = matrix(index["codes"], model.tables).astype(np.uint16)
             order = np.argsort(codes[:, table], kind="stable")
             units, codes = units[order], codes[order]
             ids = index["ids"].combine_chunks().take(pa.array(order))
@@ -246,7 +241,7 @@ def _tile(models: dict[int, Model], k: int):
             starts = np.concatenate(([0], np.cumsum(counts)))
             least = all_ids[starts[:-1]]
             values, sizes = np.unique(codes[:, table], return_counts=True)  # the table's buckets
-            asked_codes = _matrix(queries["codes"], model.tables).astype(np.uint16)
+            asked_codes = matrix(queries["codes"], model.tables).astype(np.uint16)
             for q, query, code, floor, r in zip(queries["query"].to_numpy(), asked, asked_codes,
                                                 queries["floor"].to_numpy(), queries["radius"].to_numpy()):
                 share = (int(r) - np.arange(model.tables)) // model.tables

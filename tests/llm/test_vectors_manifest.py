@@ -88,7 +88,7 @@ def test_slots_are_disjoint_and_merge_to_all_windows():
 
 
 def test_negatives_stay_exact_for_large_components(spark):
-    rows = [(i, [float(2**21 + 7 * i), float(3 * i - 2**21)], i % 2) for i in range(100)]
+    rows = [(i, [float(2**(21 - i % 2) + 7 * i), float(3 * i - 2**21)], i % 2) for i in range(100)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = mined(df)
     exact = {i: [int(256 * x) for x in v] for i, v, _ in rows}

@@ -62,33 +62,35 @@ def map_documents(symbols: DataFrame, docs: DataFrame | None = None, state: Data
     return out.distinct()
 
 
-def impact_modules(symbols: DataFrame) -> DataFrame:
+def impact_modules(symbols: DataFrame, group: Sequence[str] = ("project",)) -> DataFrame:
     """Affected modules as a table: distinct non-empty (project, module)."""
-    return symbols.where(F.col("module") != "").select("project", "module").distinct()
+    return symbols.where(F.col("module") != "").select(*group, "module").distinct()
 
 
-def impact_report(symbols: DataFrame, specs: DataFrame | None = None, projects: DataFrame | None = None) -> DataFrame:
-    """One row per project: overall level (max over symbols, ``low`` when
+def impact_report(symbols: DataFrame, specs: DataFrame | None = None, projects: DataFrame | None = None,
+                  group: Sequence[str] = ("project",)) -> DataFrame:
+    """One row per project (or ``group``): overall level (max over symbols, ``low`` when
     none), numbers of changes, distinct non-empty modules and distinct specs,
     and the summary sentence. ``projects`` adds projects without changes.
     The module and spec lists stay tables (``impact_modules``, ``specs``)."""
-    per = (symbols.groupBy("project")
+    group = list(group)
+    per = (symbols.groupBy(*group)
            .agg(F.max(level_rank(impact_level("name", "affected_modules"))).alias("_rank"),
                 F.count(F.lit(1)).alias("n_changes")))
-    mods = impact_modules(symbols).groupBy("project").agg(F.count(F.lit(1)).alias("n_modules"))
-    per = per.join(mods, "project", "left")
+    mods = impact_modules(symbols, group).groupBy(*group).agg(F.count(F.lit(1)).alias("n_modules"))
+    per = per.join(mods, group, "left")
     if specs is not None:
-        sp = specs.select("project", "spec").distinct().groupBy("project").agg(F.count(F.lit(1)).alias("n_specs"))
-        per = per.join(sp, "project", "left")
+        sp = specs.select(*group, "spec").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("n_specs"))
+        per = per.join(sp, group, "left")
     else:
         per = per.withColumn("n_specs", F.lit(0).cast("long"))
     if projects is not None:
-        per = projects.select("project").distinct().join(per, "project", "left")
+        per = projects.select(*group).distinct().join(per, group, "left")
     n_changes = F.coalesce(F.col("n_changes"), F.lit(0))
     n_modules = F.coalesce(F.col("n_modules"), F.lit(0))
     n_specs = F.coalesce(F.col("n_specs"), F.lit(0))
     level = level_from_rank("_rank")
-    return per.select("project", level.alias("impact_level"), n_changes.alias("n_changes"),
+    return per.select(*group, level.alias("impact_level"), n_changes.alias("n_changes"),
                       n_modules.alias("n_modules"), n_specs.alias("n_specs"),
                       summary_text(level, n_changes, n_modules, n_specs).alias("summary"))
 

@@ -56,6 +56,19 @@ def diff_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("proje
             .where(F.col("status").isNotNull()))
 
 
+def diff_at(paths: DataFrame, old: DataFrame, new: DataFrame, hash_col: str = "content_hash") -> DataFrame:
+    """The changes at given paths: ``paths`` (project, path, any further
+    columns) looked up in both snapshots; columns and rules as
+    ``diff_snapshots``. Two joins from the few paths to the snapshots, which
+    the planner may broadcast; a path that neither snapshot has gives no row."""
+    o = old.select("project", "path", F.col(hash_col).alias("old_hash"), F.lit(True).alias("_in_old"))
+    n = new.select("project", "path", F.col(hash_col).alias("new_hash"), F.lit(True).alias("_in_new"))
+    j = paths.join(o, ["project", "path"], "left").join(n, ["project", "path"], "left")
+    status = (F.when(F.col("_in_old") & F.col("_in_new"), F.when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), F.lit("modified")))
+              .when(F.col("_in_old"), F.lit("removed")).when(F.col("_in_new"), F.lit("added")))
+    return j.select(*paths.columns, status.alias("status"), "old_hash", "new_hash").where(F.col("status").isNotNull())
+
+
 def filter_paths(changes: DataFrame, patterns: DataFrame, key: str = "path", pattern_col: str = "pattern",
                  group: Sequence[str] = ("project",)) -> DataFrame:
     """Keep the rows whose ``key`` contains any pattern of its group
@@ -111,7 +124,7 @@ def diff_state(old_state: DataFrame, new_state: DataFrame, key: str = "key",
             .select(*group, key, "status"))
 
 
-def infer_source_files(symbols: DataFrame, files: DataFrame) -> DataFrame:
+def infer_source_files(symbols: DataFrame, files: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Source file of each symbol change, looked up in ``files`` (one
     snapshot: project, path).
 
@@ -119,6 +132,7 @@ def infer_source_files(symbols: DataFrame, files: DataFrame) -> DataFrame:
     children of ``src/<module>/``: first ``<lower(name)><ext>`` in extension
     order, then a file with a known extension whose symbol name equals the
     change's name (smallest path first). Changes without a match get no row.
+    ``extra``: columns that tell one occurrence of a change from another.
     Returns ``symbols`` columns plus ``source_path``.
     """
     parts = F.split("path", "/")
@@ -144,7 +158,7 @@ def infer_source_files(symbols: DataFrame, files: DataFrame) -> DataFrame:
     m_stem = sym.join(by_stem, ["project", "module", "_lname"])
     m_sym = sym.join(by_sym, ["project", "module", "name"])
     cands = m_file.unionByName(m_stem).unionByName(m_sym)
-    keys = [c for c in ("project", "path", "name", "type", "module") if c in symbols.columns]
+    keys = [c for c in ("project", *extra, "path", "name", "type", "module") if c in symbols.columns]
     best = cands.groupBy(*keys).agg(
         F.min(F.struct("_rank", "source_path")).getField("source_path").alias("source_path"))
     return best
@@ -155,16 +169,18 @@ def upsert_state(state: DataFrame, updates: DataFrame, run_ts, key: str = "key",
     """Upsert new hashes into a sync state.
 
     ``updates(project, key, hash, ordinal)``: the update with the largest
-    ordinal wins per key. Updated keys get the new hash and ``run_ts``;
+    ordinal wins per key. Updated keys get the new hash and ``run_ts``, or
+    the update's own ``synced_at`` where ``run_ts`` is None;
     their mapped lists are kept (empty when the key is new). Keys without an
     update stay unchanged.
     """
     group = list(group)
     last = (updates.groupBy(*group, key)
-            .agg(F.max_by("hash", order_col).alias("_new_hash")))
+            .agg(F.max_by("hash", order_col).alias("_new_hash"),
+                 *([F.max_by("synced_at", order_col).alias("_ts")] if run_ts is None else [])))
     s = state.withColumn("_in_state", F.lit(True))
     j = s.join(last, group + [key], "full_outer")
-    ts = run_ts if isinstance(run_ts, Column) else F.lit(run_ts).cast("timestamp")
+    ts = F.col("_ts") if run_ts is None else run_ts if isinstance(run_ts, Column) else F.lit(run_ts).cast("timestamp")
     upd = F.col("_new_hash").isNotNull()
     empty = F.array().cast("array<string>")
     return j.select(
@@ -184,12 +200,13 @@ def stale_entries(state: DataFrame, present: DataFrame, key: str = "key",
     return state.join(ref, list(group) + [key], "left_anti")
 
 
-def symbols_from_changes(changes: DataFrame) -> DataFrame:
+def symbols_from_changes(changes: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """One symbol row per changed file: name from the file name, module from
-    the path, summary '<status> file <path>', empty dependency lists."""
+    the path, summary '<status> file <path>', empty dependency lists.
+    ``extra``: further columns to keep."""
     empty = F.array().cast("array<string>")
     return changes.select(
-        "project", "path",
+        "project", *extra, "path",
         symbol_of("path").alias("name"),
         F.col("status").alias("type"),
         module_of("path").alias("module"),

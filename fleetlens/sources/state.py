@@ -3,8 +3,9 @@
 The state is one JSON document per project: ``{"entries": {key: {lastHash,
 lastSyncedAt, mappedSpecs, mappedObsidianNodes}}}``. It is read with a fixed
 schema (a map of structs) and exploded into rows; it is written back as a
-table partitioned by project with dynamic partition overwrite, so a run only
-replaces the projects it touched.
+table in hash buckets of the project, of which a run rewrites those that it
+touches (``sources.buckets``): a million projects are no more files than
+buckets.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .buckets import BucketTable
+
 ENTRY = T.StructType([
     T.StructField("lastHash", T.StringType()),
     T.StructField("lastSyncedAt", T.StringType()),
@@ -44,7 +47,31 @@ def read_state(spark: SparkSession, path: str, project_from_path: bool = True) -
                     F.coalesce("v.mappedObsidianNodes", F.array().cast("array<string>")).alias("mapped_nodes"))
 
 
-def write_state(state: DataFrame, path: str) -> None:
-    """S6: full replace of the touched projects' state (partitioned table)."""
-    (state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("project").parquet(path))
+STATE_TABLE = T.StructType([
+    T.StructField("project", T.StringType()), T.StructField("key", T.StringType()),
+    T.StructField("last_hash", T.StringType()), T.StructField("last_synced_at", T.TimestampType()),
+    T.StructField("mapped_specs", T.ArrayType(T.StringType())), T.StructField("mapped_nodes", T.ArrayType(T.StringType())),
+])
+
+
+def state_table(spark: SparkSession, path: str, buckets: int = 64, by: tuple[str, ...] = ("project",)) -> BucketTable:
+    return BucketTable(spark, path, STATE_TABLE, by, buckets)
+
+
+def write_state(state: DataFrame, path: str, buckets: int = 64) -> list[int]:
+    """S6: full replace of the touched projects' state, as a new version of
+    the table; returns the buckets that were rewritten. Entries of other
+    projects stay as they are."""
+    table = state_table(state.sparkSession, path, buckets)
+    newest = table.latest()
+
+    def replaced(current: DataFrame, rows: DataFrame) -> DataFrame:
+        names = STATE_TABLE.names
+        stay = current.join(rows.select("project").distinct(), current["project"].eqNullSafe(rows["project"]), "left_anti")
+        return stay.select(*names).unionByName(rows.select(*names))
+    return table.merge(state, 0 if newest is None else newest + 1, replaced)
+
+
+def read_state_table(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
+    """The newest version of the state that ``write_state`` wrote."""
+    return state_table(spark, path, buckets).read()

@@ -68,6 +68,19 @@ def debounced_batches(events: DataFrame, gap: str = DEBOUNCE, watermark: str | N
                  F.array_sort(F.collect_set(item_col)).alias("items")))
 
 
+def keep_failures(handler: Callable[[DataFrame, int], None], store: str) -> Callable[[DataFrame, int], None]:
+    """``handler``, but a batch on which it fails is written to ``store``."""
+    def guarded(df, epoch):
+        try:
+            handler(df, epoch)
+        except (Py4JError, SparkRuntimeException):
+            raise
+        except Exception as e:  # noqa: BLE001 - a bad batch must not stop the watcher
+            (df.withColumn("error", F.lit(f"{type(e).__name__}: {e}")).write.mode("overwrite")
+             .parquet(f"{store}/epoch={epoch}"))
+    return guarded
+
+
 def run_on_batches(batches: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str,
                    trigger: dict | None = None, output_mode: str = "append",
                    failures: str | None = None) -> StreamingQuery:
@@ -78,16 +91,7 @@ def run_on_batches(batches: DataFrame, handler: Callable[[DataFrame, int], None]
     where ``replay_failed`` runs it again. An error of the engine itself (lost
     storage, out of memory) or of that write fails the query, so the
     micro-batch is not committed."""
-    store = failures or f"{checkpoint.rstrip('/')}-failures"
-
-    def guarded(df, epoch):
-        try:
-            handler(df, epoch)
-        except (Py4JError, SparkRuntimeException):
-            raise
-        except Exception as e:  # noqa: BLE001 - a bad batch must not stop the watcher
-            (df.withColumn("error", F.lit(f"{type(e).__name__}: {e}")).write.mode("overwrite")
-             .parquet(f"{store}/epoch={epoch}"))
+    guarded = keep_failures(handler, failures or f"{checkpoint.rstrip('/')}-failures")
     w = batches.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).foreachBatch(guarded)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
@@ -143,7 +147,21 @@ def sessionize(events: DataFrame, keys: Sequence[str], ts_col: str, gap_seconds:
              .groupBy(*keys, cell.alias("_cell"))
              .agg(F.min("_ts").alias("_start"), F.max("_ts").alias("_end"), F.min("_us").alias("_first"),
                   F.max("_us").alias("_last"), F.count(F.lit(1)).alias("_n")))
-    cells = cells.withColumn("_b", F.floor(F.col("_first") / (bucket_seconds * 1_000_000)))
+    whole = merge_spans(cells, keys, gap, bucket_seconds)
+    return whole.select(*keys, F.col("_start").alias("session_start"), F.col("_end").alias("session_end"),
+                        F.col("_n").alias("n_events"))
+
+
+def merge_spans(spans: DataFrame, keys: Sequence[str], gap: int, bucket_seconds: int = 86_400,
+                more: dict | None = None) -> DataFrame:
+    """Spans (keys, _start, _end, _first, _last, _n) that lie at most ``gap``
+    microseconds apart, put together. ``_first`` and ``_last`` order them: a
+    span that reaches over several buckets must not overlap another, and
+    counts in the bucket of its ``_first``. ``more``: further aggregates by
+    name. A hot key is merged per time bucket first, and then only at most two
+    spans a bucket across the borders."""
+    keys, more = list(keys), more or {}
+    spans = spans.withColumn("_b", F.floor(F.col("_first") / (bucket_seconds * 1_000_000)))
 
     def merged(rows, by):
         """Rows of one session put together, numbered within ``by``."""
@@ -152,11 +170,10 @@ def sessionize(events: DataFrame, keys: Sequence[str], ts_col: str, gap_seconds:
         return (rows.withColumn("_sid", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
                 .groupBy(*by, "_sid")
                 .agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.min("_first").alias("_first"),
-                     F.max("_last").alias("_last"), F.sum("_n").alias("_n")))
+                     F.max("_last").alias("_last"), F.sum("_n").alias("_n"), *[a.alias(n) for n, a in more.items()]))
 
-    part = merged(cells, [*keys, "_b"])
+    part = merged(spans, [*keys, "_b"])
     part = part.withColumn("_edge", (F.col("_sid") == 1)
                            | (F.col("_sid") == F.max("_sid").over(Window.partitionBy(*keys, "_b"))))
     whole = part.where(~F.col("_edge")).unionByName(merged(part.where("_edge").drop("_sid"), keys), allowMissingColumns=True)
-    return whole.select(*keys, F.col("_start").alias("session_start"), F.col("_end").alias("session_end"),
-                        F.col("_n").alias("n_events"))
+    return whole.drop("_sid", "_b", "_edge")

@@ -898,17 +898,194 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
                     F.date_format("session_end", TS_FMT).alias("session_end"), "n_events")
 
 
-@query("sessions_stream", SQL_SESSIONS)
+# The watched streams: batches of file events per project, closed by the
+# watermark; their SQL twins follow from the rule "no later cell can reach it".
+
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir, written  # noqa: E402
+from ..streaming import sync as SY  # noqa: E402
+from ..streaming import watcher as W  # noqa: E402
+
+WATCH_GAP_S = 1200
+WATCH_DELAY_S = 3600
+STREAM_PARTS = 3  # arrivals in which the derived events are delivered
+
+
+def _sql_batches(source: str, key: str, item: str, gap: int) -> str:
+    """CTEs ``sess`` (events with their batch), ``batches``, ``closed``."""
+    return f"""
+ev AS (SELECT {key} AS key, {item} AS item, ts, event_id FROM {source}),
+mark AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts, event_id) <= INTERVAL {gap} SECOND
+                        THEN 0 ELSE 1 END AS new_s FROM ev),
+num AS (SELECT *, sum(new_s) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM mark),
+sess AS (SELECT *, min(ts) OVER (PARTITION BY key, sid) AS batch_start, max(ts) OVER (PARTITION BY key, sid) AS batch_end FROM num),
+batches AS (SELECT key, batch_start, batch_end, count(*) AS n_events FROM sess GROUP BY ALL),
+reached AS (SELECT max(cell) AS newest FROM (SELECT epoch_us(ts) // {gap * 1_000_000} AS cell FROM ev)
+            WHERE (cell + 1) * {gap * 1_000_000} <= (SELECT epoch_us(max(ts)) FROM ev) - {WATCH_DELAY_S * 1_000_000}),
+closed AS (SELECT * FROM batches WHERE epoch_us(batch_end) + {gap * 1_000_000} < (SELECT newest + 1 FROM reached) * {gap * 1_000_000})
+"""
+
+
+def _sql_ts(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def _stream_dir(spark: SparkSession, name: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+
+
+def _arrivals(events: DataFrame, folder: str):
+    """Write ``events`` below ``folder`` in time order, part by part, as
+    they would arrive; yields after each part."""
+    low, high = events.select(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    step = ((high or 0) - (low or 0)) // STREAM_PARTS + 1
+    part = F.least(F.expr(f"(unix_micros(ts) - {low or 0}) div {step}"), F.lit(STREAM_PARTS - 1))
+    for i in range(STREAM_PARTS):
+        events.where(part == i).write.parquet(f"{folder}/part-{i}")
+        yield i
+
+
+def _watch_all(spark: SparkSession, events: DataFrame, name: str, gap: int, key: str, item: str, on_batches=None,
+               rules: bool = True) -> str:
+    """Run the watcher over ``events`` as they arrive; each arrival is taken
+    by a new run on the same checkpoint. Returns the output folder."""
+    base = _stream_dir(spark, name)
+    events = written(events, f"{name}-events")
+    for _ in _arrivals(events, f"{base}/in"):
+        if rules:
+            stream = W.watch_source(spark, f"{base}/in", events.schema, path_col=item)
+        else:
+            stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
+        W.watch(stream, f"{base}/out", gap, f"{WATCH_DELAY_S} seconds", f"{base}/checkpoint", key=key, item=item,
+                on_batches=on_batches).awaitTermination()
+    return f"{base}/out"
+
+
+@query("sessions_stream", "WITH " + _sql_batches("events", "user_id", "event_type", SESSION_GAP_S) + f"""
+SELECT key AS user_id, {_sql_ts("batch_start")} AS session_start, {_sql_ts("batch_end")} AS session_end, n_events FROM closed""")
 def sessions_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = I.table(spark, sf, "events").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .parquet(f"{sf}/events*.parquet"))
-    batches = D.debounced_batches(stream.withColumn("user_id", F.col("user_id")), gap=f"{SESSION_GAP_S} seconds",
-                                  watermark="1 hour", keys=["user_id"], item_col="event_type")
-    path = D.stream_to_table(spark, batches, "sessions", output_mode="complete")
-    out = spark.read.parquet(path)
-    return out.select("user_id", F.date_format("first_ts", TS_FMT).alias("session_start"),
-                      F.date_format("last_ts", TS_FMT).alias("session_end"), "n_events")
+    """The sessions that the watermark has closed, in append mode."""
+    ev = I.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    out = _watch_all(spark, ev, "sessions", SESSION_GAP_S, "user_id", "event_type", rules=False)
+    return W.watched(spark, out, "batches").select(
+        F.col("key").cast("long").alias("user_id"), F.date_format("batch_start", TS_FMT).alias("session_start"),
+        F.date_format("batch_end", TS_FMT).alias("session_end"), "n_events")
+
+
+SQL_WATCHED = I.SQL_SNAPSHOTS + "," + I.SQL_FILE_EVENTS + """,
+watched_events AS (SELECT * FROM file_events WHERE path LIKE 'src/%.ts' AND NOT contains(path, '/dist/'))
+"""
+SQL_WATCHED_BATCHES = SQL_WATCHED + "," + _sql_batches("watched_events", "project", "path", WATCH_GAP_S)
+SQL_ITEMS = f"""
+SELECT s.key AS project, {_sql_ts("s.batch_start")} AS batch_start, s.item, {_sql_ts("min(s.ts)")} AS first_seen,
+       count(*) AS n_events
+FROM sess s JOIN {{0}} b ON b.key = s.key AND b.batch_start = s.batch_start GROUP BY s.key, s.batch_start, s.item"""
+
+
+def _item_rows(items: DataFrame) -> DataFrame:
+    return items.select(F.col("key").alias("project"), F.date_format("batch_start", TS_FMT).alias("batch_start"), "item",
+                        F.date_format("first_seen", TS_FMT).alias("first_seen"), "n_events")
+
+
+@query("batch_items", "WITH " + SQL_WATCHED_BATCHES + SQL_ITEMS.format("batches"))
+def batch_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct items of every batch of file events, as a batch job."""
+    ev = D.file_events(I.file_events(spark, sf))
+    cells = written(W.item_cells(ev, WATCH_GAP_S, None), "cells")
+    return _item_rows(W.batch_items(W.batch_spans(cells, WATCH_GAP_S), cells, WATCH_GAP_S))
+
+
+@query("batch_items_stream", "WITH " + SQL_WATCHED_BATCHES + SQL_ITEMS.format("closed"))
+def batch_items_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the stream, for the batches the watermark has closed."""
+    out = _watch_all(spark, I.file_events(spark, sf), "items", WATCH_GAP_S, "project", "path")
+    return _item_rows(W.watched(spark, out, "items"))
+
+
+WATCH_FROM = "2024-01-11 00:00:00"
+
+
+@query("watch_start", "WITH " + SQL_WATCHED + f"""
+SELECT project, path, count(*) AS n_events FROM watched_events WHERE ts >= TIMESTAMP '{WATCH_FROM}' GROUP BY project, path""")
+def watch_start(spark: SparkSession, sf: str) -> DataFrame:
+    """A watcher that starts when event files are already there: what they
+    hold is no event, only what arrives later."""
+    base = _stream_dir(spark, "start")
+    events = written(I.file_events(spark, sf), "start-events")
+    early = F.col("ts") < F.lit(WATCH_FROM).cast("timestamp")
+    events.where(early).write.parquet(f"{base}/in/backlog")
+    since = W.start_position(spark, f"{base}/in")
+    events.where(~early).write.parquet(f"{base}/in/later")
+    stream = W.watch_source(spark, f"{base}/in", events.schema, since)
+    q = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    seen = spark.read.schema(events.schema).parquet(f"{base}/out")
+    return seen.groupBy("project", "path").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+SQL_SYNC = SQL_WATCHED_BATCHES + """,
+items AS (SELECT DISTINCT s.key AS project, s.batch_start, s.batch_end, s.item AS path
+          FROM sess s JOIN closed c ON c.key = s.key AND c.batch_start = s.batch_start),
+ch AS (SELECT i.project, i.batch_start, i.path, c.status, c.old_hash, c.new_hash
+       FROM items i JOIN changes c ON c.project = i.project AND c.path = i.path),
+rem AS (SELECT project, batch_start, old_hash AS h, min(path) AS path FROM ch WHERE status = 'removed' GROUP BY ALL HAVING count(*) = 1),
+addd AS (SELECT project, batch_start, new_hash AS h, min(path) AS path FROM ch WHERE status = 'added' GROUP BY ALL HAVING count(*) = 1),
+pairs AS (SELECT a.project, a.batch_start, a.path, r.path AS previous_path
+          FROM rem r JOIN addd a ON a.project = r.project AND a.batch_start = r.batch_start AND a.h = r.h),
+symbols AS (
+  SELECT project, batch_start, path, """ + I.SQL_MODULE + """ AS module, """ + I.SQL_SYMBOL + """ AS name
+  FROM (SELECT c.project, c.batch_start, c.path FROM ch c
+        WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.project = c.project AND p.batch_start = c.batch_start
+                          AND ((c.status = 'added' AND p.path = c.path) OR (c.status = 'removed' AND p.previous_path = c.path)))
+        UNION ALL SELECT project, batch_start, path FROM pairs)),
+found AS (
+  SELECT s.project, s.batch_start, s.path, s.module, arg_min(f.path, (f.rnk, f.path)) AS source_path
+  FROM symbols s JOIN (
+    SELECT project, path, module, sym, lstem, unnest([1, 100]) AS rnk
+    FROM (SELECT project, path, """ + I.SQL_MODULE + """ AS module, """ + I.SQL_SYMBOL + """ AS sym,
+                 regexp_replace(split_part(path, '/', 3), '^(.+)\\.[^.]*$', '\\1') AS lstem FROM new_f)) f
+  ON f.project = s.project AND f.module = s.module
+   AND ((f.rnk = 1 AND f.lstem = lower(s.name)) OR (f.rnk = 100 AND f.sym = s.name))
+  GROUP BY ALL),
+upd AS (
+  SELECT s.project, s.module AS key, arg_max(n.content_hash, (s.batch_start, s.path)) AS hash,
+         arg_max(b.batch_end, (s.batch_start, s.path)) AS at
+  FROM found s JOIN new_f n ON n.project = s.project AND n.path = s.source_path
+  JOIN closed b ON b.key = s.project AND b.batch_start = s.batch_start GROUP BY ALL),
+old_state AS (SELECT project, """ + I.SQL_MODULE + """ AS key, max(content_hash) AS last_hash FROM old_f GROUP BY 1, 2),
+reports AS (
+  SELECT c.key AS project, c.batch_start, count(s.path) AS n_changes, count(DISTINCT s.module) AS n_modules,
+         CASE WHEN coalesce(max(CASE WHEN length(s.name) > 0 AND substr(s.name, 1, 1) = upper(substr(s.name, 1, 1)) THEN 2 ELSE 0 END), 0) = 2
+              THEN 'high' ELSE 'low' END AS impact_level
+  FROM closed c LEFT JOIN symbols s ON s.project = c.key AND s.batch_start = c.batch_start GROUP BY ALL)
+"""
+
+
+@query("sync_stream", "WITH " + SQL_SYNC + f"""
+SELECT 'report' AS kind, project, '' AS key, {_sql_ts("batch_start")} AS at, impact_level AS value, n_changes, n_modules FROM reports
+UNION ALL
+SELECT 'state', coalesce(o.project, u.project), coalesce(o.key, u.key),
+       CASE WHEN u.at IS NULL THEN '{I.T_OLD}.000000' ELSE {_sql_ts("u.at")} END, coalesce(u.hash, o.last_hash), NULL, NULL
+FROM old_state o FULL OUTER JOIN upd u ON u.project = o.project AND u.key = o.key""")
+def sync_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """A sync run per closed batch of file events: the report of each batch
+    and the state after the last."""
+    old = written(I.old_files(spark, sf).select("project", "path", "content_hash"), "sync-old")
+    new = written(I.new_files(spark, sf).select("project", "path", "content_hash"), "sync-new")
+    state = I.module_state(old, I.T_OLD)
+    out = _stream_dir(spark, "sync-run")
+    _watch_all(spark, I.file_events(spark, sf), "sync", WATCH_GAP_S, "project", "path",
+               on_batches=SY.sync_handler(old, new, state, out))
+    report = spark.read.parquet(f"{out}/report").select(
+        F.lit("report").alias("kind"), "project", F.lit("").alias("key"), F.date_format("batch_start", TS_FMT).alias("at"),
+        F.col("impact_level").alias("value"), "n_changes", "n_modules")
+    now = SY.sync_state(state, out).select(
+        F.lit("state").alias("kind"), "project", "key", F.date_format("last_synced_at", TS_FMT).alias("at"),
+        F.col("last_hash").alias("value"), F.lit(None).cast("long").alias("n_changes"), F.lit(None).cast("long").alias("n_modules"))
+    return report.unionByName(now)
 
 
 # --------------------------------------------------------------------------- S11 G6 F3 A14

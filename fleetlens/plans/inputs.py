@@ -22,6 +22,8 @@ rules below only decide which version of a record a snapshot holds.
   <status>/bulk/]part-<part><extension>``: the root folder follows the return
   flag, lines of more than 45 pieces lie deep, and the extension follows the
   part, one of them of no known language.
+* File events from ``events``: event e touches document e / 10 of the new
+  snapshot (of the old one if it was removed).
 * Page files: the project is host and first path segment, the file the rest of
   the url's path, ``index.html`` for a folder.
 """
@@ -78,6 +80,21 @@ def spec_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "text")
 
 
+def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, ts, event_id): every event that touches a document."""
+    gone = old_files(spark, sf_dir).where(F.col("doc_id") % 11 == 1)
+    files = new_files(spark, sf_dir).unionByName(gone).select("doc_id", "project", "path")
+    ev = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                                            F.expr("event_id div 10").alias("doc_id"))
+    return ev.join(files, "doc_id").select("project", "path", "ts", "event_id")
+
+
+SQL_FILE_EVENTS = """
+touched AS (SELECT doc_id, project, path FROM new_f UNION ALL SELECT doc_id, project, path FROM old_f WHERE doc_id % 11 = 1),
+file_events AS (SELECT d.project, d.path, e.ts, e.event_id FROM events e JOIN touched d ON d.doc_id = e.event_id // 10)
+"""
+
+
 def module_state(files: DataFrame, ts: str) -> DataFrame:
     """Sync state keyed by module: a module's hash is the largest file hash
     in it; every module maps to its spec ``spec-<module>.md``."""

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 def write_reports(report: DataFrame, lines: DataFrame, path: str, run_id: str, fmt: str = "json") -> None:
     """S8: one report header per project plus its change lines, partitioned by
-    run and project. Every run keeps its own report; repeating a run replaces
-    that run's only. Rows are clustered by project before the write, so a run
-    leaves one file per project and part, not one per task."""
+    run. Every run keeps its own report; repeating a run replaces that run's
+    only. Rows are ordered by project over the run's files, so the number of
+    files follows from the size of the run and not from that of the fleet, and
+    a project is found in one file, or in a few neighbours if it is large."""
     for name, rows in (("header", report), ("lines", lines)):
-        (rows.withColumn("run", F.lit(run_id)).repartition("project").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("run", "project").format(fmt).save(f"{path}/{name}"))
+        order = ["project", *[c for c in rows.columns if c != "project"]]
+        (rows.withColumn("run", F.lit(run_id)).orderBy(*order).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("run").format(fmt).save(f"{path}/{name}"))
 
 
 def write_guarded(decisions: DataFrame, path: str, version: int, content_col: str = "content") -> DataFrame:
@@ -24,7 +26,7 @@ def write_guarded(decisions: DataFrame, path: str, version: int, content_col: st
     report, read from what was decided, which is stored beside the documents."""
     report = f"{path}/decisions"
     (decisions.select("project", "name", "action", content_col).withColumn("version", F.lit(version))
-     .repartition("project").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .hint("rebalance", "project").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("version").parquet(report))
     mine = decisions.sparkSession.read.parquet(report).where(F.col("version") == version)
     (mine.where(F.col("action") == "written").select("project", "name", content_col, "version")

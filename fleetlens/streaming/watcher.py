@@ -14,7 +14,8 @@ micro-batch of closed cells
 1. is written to the cell log, ``cells/epoch=<n>``;
 2. is merged with the open batches that the micro-batch before it left (one
    row per key, ``open/epoch=<n>``);
-3. closes the batches that no later cell can reach: ``batches/epoch=<n>``;
+3. closes the batches that no later cell can reach, which is known from the
+   newest complete cell of any key: ``batches/epoch=<n>``;
 4. gives their items, from the log of the epochs they spread over, by an equi
    join on (key, cell): ``items/epoch=<n>``, one row per batch and item with
    the time it was first seen and the number of its events;

@@ -7,14 +7,18 @@ DataFrame job (no GraphX, no driver-side graph):
    out-edge by one edge, by pointer doubling, so a chain or ring of n nodes
    takes log n steps; its inner nodes follow from its two ends afterwards;
 2. trim: drop nodes without an in-edge or without an out-edge inside the
-   remaining graph (they cannot be on a cycle); 1 and 2 alternate until
-   nothing changes;
-3. forward colouring: every node takes the largest node id that reaches it
-   (max-propagation along edges until a fixpoint);
-4. backward reach: from each colour's root (the node whose colour is its own
-   id) walk edges backwards inside the colour; the nodes reached are the
-   root's component;
-5. remove the found components and repeat on what is left.
+   remaining graph (they cannot be on a cycle); 1 and 2 alternate as long as
+   they remove a fair share of the edges;
+3. colour: ``PIVOTS`` random orders of the nodes; for each, every node learns
+   the first node that reaches it and the first that it reaches. Where the two
+   are one node, that node's component is found. All others are divided by
+   what they learned: a component never spans two classes, so edges between
+   classes go. In expectation a logarithmic number of such rounds remains,
+   also for graphs without any cycle;
+4. shortcuts: while colours still travel, every node gets up to two edges to
+   nodes twice as far ahead as the last ones. They follow from paths, so they
+   change no reachability, and stay valid inside the classes; colours then
+   travel a long way in a logarithmic number of steps.
 
 Every key carries ``project``, so all graphs of the fleet run in the same
 loop, which runs until nothing is left: there is no limit on its steps. The
@@ -139,46 +143,81 @@ def _unfold(found: DataFrame, members: DataFrame) -> DataFrame:
     return _ckpt(found.unionByName(more).distinct())
 
 
-def _colour(e: DataFrame, steps: _Steps) -> DataFrame:
-    nodes = e.select(P, F.col("src").alias("node")).union(e.select(P, F.col("dst").alias("node"))).distinct()
-    col, _ = steps.keep(nodes.withColumn("c", F.col("node")))
-    while True:
-        # own colour and incoming colours meet in one aggregation (one shuffle)
-        msg = (e.join(col.select(P, F.col("node").alias("src"), "c"), [P, "src"])
-               .select(P, F.col("dst").alias("node"), "c", F.lit(None).cast(col.schema["c"].dataType).alias("_own")))
-        nxt = (col.select(P, "node", "c", F.col("c").alias("_own")).unionByName(msg)
-               .groupBy(P, "node").agg(F.max("c").alias("c"), F.max("_own").alias("_own"))
-               .select(P, "node", "c", (F.col("c") > F.col("_own")).alias("_chg")))
-        nxt, changed = steps.keep(nxt, F.count(F.when(F.col("_chg"), 1)))
-        col = nxt.drop("_chg")
-        if changed == 0:
-            return col
+PIVOTS = 8
+PATIENCE = 2  # steps along plain edges before shortcuts are added
+
+
+def _ordered(c, *salt):
+    """Place of a node in a random order; the node itself breaks ties."""
+    return F.struct(F.xxhash64(c, *[F.lit(x) for x in salt]).alias("h"), c.alias("n"))
+
+
+def _ahead(edges: DataFrame, level: int) -> DataFrame:
+    """Up to two of the nodes that ``edges`` (project, src, dst) lead to from
+    each node, chosen at random."""
+    pick = _ordered(F.col("dst"), "ahead", level)
+    two = edges.groupBy(P, "src").agg(F.min(pick).alias("a"), F.max(pick).alias("b"))
+    return two.select(P, "src", F.explode(F.array_distinct(F.array("a.n", "b.n"))).alias("dst"))
+
+
+class _Shortcuts:
+    """Edges that follow from paths, each level twice as long as the last."""
+
+    def __init__(self, steps: _Steps):
+        self.steps, self.levels, self.last, self.n = steps, [], None, 0
+
+    def grow(self, e: DataFrame) -> bool:
+        """Add a level; False if there is nothing further ahead."""
+        if self.n < 0:
+            return False
+        last = _ahead(e, 0) if self.last is None else self.last
+        far = last.select(P, F.col("src").alias("_via"), F.col("dst").alias("_far"))
+        on = (last.withColumnRenamed("dst", "_via").join(far, [P, "_via"])
+              .where(F.col("src") != F.col("_far")).select(P, "src", F.col("_far").alias("dst")))
+        self.last, n = self.steps.keep(_ahead(on, len(self.levels) + 1), _rows())
+        if n:
+            self.levels.append(self.last)
+        self.n = n or -1
+        return bool(n)
+
+    def within(self, classes: DataFrame) -> None:
+        """Keep those inside the classes; what has been dropped ends growth."""
+        if self.levels:
+            kept, n = self.steps.keep(_inside(reduce(DataFrame.unionByName, self.levels).distinct(), classes), _rows())
+            self.levels, self.n = ([kept] if n else []), -1
 
 
-def _backward(e: DataFrame, col: DataFrame, steps: _Steps) -> DataFrame:
-    """Nodes that reach their colour's root inside the colour: (project, node, c).
+def _inside(e: DataFrame, classes: DataFrame) -> DataFrame:
+    """The edges both of whose ends are in one class (project, node, k)."""
+    return (e.join(classes.select(P, F.col("node").alias("src"), F.col("k").alias("_ks")), [P, "src"])
+            .join(classes.select(P, F.col("node").alias("dst"), F.col("k").alias("_kd")), [P, "dst"])
+            .where(F.col("_ks") == F.col("_kd")).select(P, "src", "dst"))
 
-    A node table carries ``_r`` (reached) and ``_new`` (reached in the last
-    step); each step sends the new nodes' mark backwards along same-colour
-    edges and merges it in one aggregation, one job per step."""
-    ec = (e.join(col.select(P, F.col("node").alias("src"), F.col("c").alias("_cs")), [P, "src"])
-          .join(col.select(P, F.col("node").alias("dst"), F.col("c").alias("_cd")), [P, "dst"])
-          .where(F.col("_cs") == F.col("_cd"))
-          .select(P, "src", "dst"))
-    ec = _ckpt(ec)
-    root = F.col("node") == F.col("c")
-    state, _ = steps.keep(col.select(P, "node", "c", root.alias("_r"), root.alias("_new")))
+
+def _colour(e: DataFrame, shortcuts: _Shortcuts, steps: _Steps, turn: int) -> DataFrame:
+    """(project, node, f0, b0, f1, b1, ...): in each random order the last
+    node that reaches the node, and the last that it reaches."""
+    names = [f"{d}{i}" for i in range(PIVOTS) for d in "fb"]
+    nodes = e.select(P, F.col("src").alias("node")).union(e.select(P, F.col("dst").alias("node"))).distinct()
+    col, _ = steps.keep(nodes.select(P, "node", *[_ordered(F.col("node"), turn, int(c[1:])).alias(c) for c in names]))
+    rounds = 0
     while True:
-        msg = (ec.join(state.where("_new").select(P, F.col("node").alias("dst")), [P, "dst"])
-               .select(P, F.col("src").alias("node"), F.lit(None).cast(col.schema["c"].dataType).alias("c"),
-                       F.lit(False).alias("_old"), F.lit(True).alias("_m")))
-        nxt = (state.select(P, "node", "c", F.col("_r").alias("_old"), F.lit(False).alias("_m")).unionByName(msg)
-               .groupBy(P, "node").agg(F.max("c").alias("c"), F.max("_old").alias("_old"), F.max("_m").alias("_m"))
-               .select(P, "node", "c", (F.col("_old") | F.col("_m")).alias("_r"),
-                       (F.col("_m") & ~F.col("_old")).alias("_new")))
-        state, found = steps.keep(nxt, F.count(F.when(F.col("_new"), 1)))
-        if found == 0:
-            return state.where("_r").select(P, "node", "c")
+        ways = reduce(DataFrame.unionByName, [e, *shortcuts.levels])
+        ways = (ways.select(P, F.col("src").alias("_at"), F.col("dst").alias("node"), F.lit("f").alias("_d"))
+                .unionByName(ways.select(P, F.col("dst").alias("_at"), F.col("src").alias("node"), F.lit("b").alias("_d"))))
+        told = ways.join(col.withColumnRenamed("node", "_at"), [P, "_at"]).select(
+            P, "node", *[F.when(F.col("_d") == c[0], F.col(c)).alias(c) for c in names])
+        own = col.withColumn("_own", F.struct(*names))
+        # own colours and those that arrive meet in one aggregation (one shuffle)
+        nxt = (own.unionByName(told, allowMissingColumns=True).groupBy(P, "node")
+               .agg(*[F.max(c).alias(c) for c in names], F.max("_own").alias("_own"))
+               .select(P, "node", *names, (F.struct(*names) != F.col("_own")).alias("_chg")))
+        nxt, changed = steps.keep(nxt, F.count(F.when(F.col("_chg"), 1)))
+        col, rounds = nxt.drop("_chg"), rounds + 1
+        if not changed:
+            return col
+        if rounds >= PATIENCE:
+            shortcuts.grow(e)
 
 
 def cyclic_components(edges: DataFrame, steps: _Steps | None = None) -> DataFrame:
@@ -192,24 +231,26 @@ def cyclic_components(edges: DataFrame, steps: _Steps | None = None) -> DataFram
     e, n = steps.keep(simple_edges(edges), _rows())
     found: list[DataFrame] = []
     folded: list[DataFrame] = []
+    before = None
+    while n and (before is None or n <= 0.75 * before):
+        before = n
+        e, n, members, rings = _contract(e, n, steps)
+        if members is not None:
+            folded.append(members)
+            found.append(rings)
+        if n:
+            e, n = _trim(e, steps)
+    shortcuts, turn = _Shortcuts(steps), 0
     while n:
-        before = None
-        while n and n != before:
-            before = n
-            e, n, members, rings = _contract(e, n, steps)
-            if members is not None:
-                folded.append(members)
-                found.append(rings)
-            if n:
-                e, n = _trim(e, steps)
-        if not n:
-            break
-        col = _colour(e, steps)
-        scc = _ckpt(_backward(e, col, steps).select(P, "node", "c"))
-        found.append(scc)
-        gone = scc.select(P, "node")
-        e, n = steps.keep(e.join(gone.withColumnRenamed("node", "src"), [P, "src"], "left_anti")
-                          .join(gone.withColumnRenamed("node", "dst"), [P, "dst"], "left_anti"), _rows())
+        col = _colour(e, shortcuts, steps, turn)
+        met = F.coalesce(*[F.when(F.col(f"f{i}") == F.col(f"b{i}"), F.col(f"f{i}.n")) for i in range(PIVOTS)])
+        col = col.select(P, "node", met.alias("c"), F.struct(*col.columns[2:]).alias("k"))
+        found.append(col.where(F.col("c").isNotNull()).select(P, "node", "c"))
+        rest = col.where(F.col("c").isNull())
+        e, n = steps.keep(_inside(e, rest), _rows())
+        if n:
+            shortcuts.within(rest)
+        turn += 1
     if not found:
         spark = edges.sparkSession
         schema = edges.select(P, F.col("source").alias("node")).schema
@@ -270,44 +311,127 @@ def bounded_cycles(edges: DataFrame, max_len: int = 3, components: DataFrame | N
     return res
 
 
-def witness_cycles(components: DataFrame, edges: DataFrame, sep: str = " → ") -> DataFrame:
-    """One cycle per component: the shortest that returns to its smallest
-    module, among those the first by its modules. Returns (project, component,
-    component_size, length, path) with path 'a → b → c → a'; the cycle may
-    have any length.
-
-    Breadth-first from the smallest module along edges inside the component;
-    each module is reached once and keeps the path to it. A component whose
-    cycle has closed takes no further part."""
+KEY = [P, "component"]
+
+
+def _paths_to_edges(within: DataFrame, steps: _Steps) -> tuple[DataFrame, DataFrame | None]:
+    """``within`` (project, component, src, dst) with paths whose inner nodes
+    have no other edge replaced by one edge: (project, component, src, dst, w,
+    first, last) with its length, first node behind ``src`` and, for a path,
+    its last inner node; and the inner nodes (project, component, node, last,
+    left) with the number of steps from each to the path's end. A component's
+    smallest module is never inner, so every path ends."""
+    none = F.lit(None).cast(within.schema["src"].dataType)
+    ends = (within.select(*KEY, F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("dst").alias("succ"), none.alias("pred"))
+            .unionByName(within.select(*KEY, F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"), none.alias("succ"), F.col("src").alias("pred"))))
+    inner = (ends.groupBy(*KEY, "node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("succ").alias("succ"), F.max("pred").alias("pred"))
+             .where("o = 1 AND i = 1 AND node <> component").select(*KEY, "node", "succ", "pred"))
+    inner, n = steps.keep(inner, _rows())
+    plain = within.select(*KEY, "src", "dst", F.lit(1).cast("long").alias("w"), F.col("dst").alias("first"), none.alias("last"))
+    if not n:
+        return plain, None
+    jump = inner.select(*KEY, "node", F.col("succ").alias("to"), F.lit(1).cast("long").alias("left"), F.col("node").alias("last"))
+    while n:  # each round doubles how far a pointer reaches
+        far = jump.select(*KEY, F.col("node").alias("to"), F.col("to").alias("_to"), F.col("left").alias("_left"), F.col("last").alias("_last"))
+        jump = (jump.join(far, [*KEY, "to"], "left")
+                .select(*KEY, "node", F.coalesce("_to", "to").alias("to"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left"),
+                        F.coalesce("_last", "last").alias("last"), F.col("_to").isNotNull().alias("_on")))
+        jump, n = steps.keep(jump, F.count(F.when(F.col("_on"), 1)))
+        jump = jump.drop("_on")
+    nodes = inner.select(*KEY, "node")
+    first = inner.join(nodes.withColumnRenamed("node", "pred"), [*KEY, "pred"], "left_anti").select(*KEY, "node", "pred")
+    paths = first.join(jump, [*KEY, "node"]).select(
+        *KEY, F.col("pred").alias("src"), F.col("to").alias("dst"), (F.col("left") + 1).alias("w"), F.col("node").alias("first"), "last")
+    rest = (plain.join(nodes.withColumnRenamed("node", "src"), [*KEY, "src"], "left_anti")
+            .join(nodes.withColumnRenamed("node", "dst"), [*KEY, "dst"], "left_anti"))
+    return _ckpt(rest.unionByName(paths)), jump.select(*KEY, "node", "last", "left")
+
+
+def _distances(e: DataFrame, steps: _Steps) -> tuple[DataFrame, int]:
+    """(project, component, node, d): steps from every node to its component's
+    smallest module, and the number of edges that a way may have. Only what
+    changed is sent on."""
+    dist, _ = steps.keep(e.select(*KEY, F.col("component").alias("node")).distinct()
+                         .select(*KEY, "node", F.lit(0).cast("long").alias("d"), F.lit(True).alias("_new")))
+    rounds = 0
+    while True:
+        told = (e.where("src <> component").join(dist.where("_new").select(*KEY, F.col("node").alias("dst"), "d"), [*KEY, "dst"])
+                .select(*KEY, F.col("src").alias("node"), (F.col("w") + F.col("d")).alias("d"), F.lit(None).cast("long").alias("_own")))
+        nxt = (dist.select(*KEY, "node", "d", F.col("d").alias("_own")).unionByName(told).groupBy(*KEY, "node")
+               .agg(F.min("d").alias("d"), F.max("_own").alias("_own"))
+               .select(*KEY, "node", "d", (F.col("_own").isNull() | (F.col("d") < F.col("_own"))).alias("_new")))
+        dist, n = steps.keep(nxt, F.count(F.when(F.col("_new"), 1)))
+        rounds += 1
+        if not n:
+            return dist.select(*KEY, "node", "d"), rounds
+
+
+def cycle_modules(components: DataFrame, edges: DataFrame, steps: _Steps | None = None) -> DataFrame:
+    """One cycle per component, as rows (project, component, position,
+    module): the shortest that returns to the component's smallest module
+    (position 0), among those the first by its modules. No path is ever held
+    in one value, and the cycle may have any length.
+
+    Paths without branches become edges by pointer doubling; the distance of
+    every remaining module to the smallest one follows from rounds of messages
+    along these edges, and its next module is the smallest of those that are
+    nearer. These pointers are a tree towards the smallest module; which of
+    them the cycle uses is found by list ranking: jumps of 1, 2, 4, ... edges,
+    taken from the longest to the shortest. A module's position is the length
+    of the cycle less its distance."""
+    steps = steps or _Steps()
     c = components.select(P, "node", "component")
     within = (simple_edges(edges)
               .join(c.withColumnRenamed("node", "src"), [P, "src"])
               .join(c.withColumnRenamed("node", "dst").withColumnRenamed("component", "_other"), [P, "dst"])
-              .where(F.col("component") == F.col("_other")).select(P, "component", "src", "dst"))
-    within = _ckpt(within)
-    key = [P, "component"]
-    start = within.select(*key).distinct()
-    front = start.select(*key, F.col("component").alias("src"), F.array("component").alias("path"))
-    seen = start.select(*key, F.col("component").alias("dst")).limit(0)
-    closed: list[DataFrame] = []
-    steps = _Steps()
-    while True:
-        step = (front.join(within, [*key, "src"]).groupBy(*key, "dst").agg(F.min("path").alias("path"))
-                .join(seen, [*key, "dst"], "left_anti"))
-        step, n = steps.keep(step, _rows())
-        if not n:
-            break
-        done = step.where(F.col("dst") == F.col("component")).select(*key, "path")
-        closed.append(done)
-        seen = seen.unionByName(step.select(*key, "dst"))
-        if steps.n % 8 == 0:
-            seen = _ckpt(seen)
-            closed = [_ckpt(reduce(DataFrame.unionByName, closed))]
-        front = (step.join(done.select(*key), key, "left_anti")
-                 .select(*key, F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path")))
-    summary = component_summary(components)
-    if not closed:
-        return summary.select(*key, "component_size", F.lit(0).alias("length"), F.lit("").alias("path")).limit(0)
-    paths = reduce(DataFrame.unionByName, closed)
-    text = F.array_join(F.transform(F.concat("path", F.array("component")), lambda x: x.cast("string")), sep)
-    return paths.join(summary, key).select(*key, "component_size", F.size("path").alias("length"), text.alias("path"))
+              .where(F.col("component") == F.col("_other")).select(*KEY, "src", "dst"))
+    within, n = steps.keep(within, _rows())
+    if not n:
+        return within.select(*KEY, F.lit(0).cast("long").alias("position"), F.col("src").alias("module"))
+    e, inner = _paths_to_edges(within, steps)
+    dist, rounds = _distances(e, steps)
+    # each node's next edge: on a shortest way, with the smallest next module
+    ahead = e.join(dist.select(*KEY, F.col("node").alias("dst"), "d"), [*KEY, "dst"])
+    best = ahead.groupBy(*KEY, "src").agg(F.min(F.struct((F.col("w") + F.col("d")).alias("d"), "first", "dst", "last")).alias("b"))
+    hop, _ = steps.keep(best.select(*KEY, "src", "b.d", "b.dst", "b.last"))
+    home = F.col("src") == F.col("component")
+    jumps = [hop.where(~home).select(*KEY, "src", "dst")]
+    while 1 << len(jumps) <= rounds:
+        last = jumps[-1]
+        twice = (last.withColumnRenamed("dst", "_via")
+                 .join(last.select(*KEY, F.col("src").alias("_via"), "dst"), [*KEY, "_via"]).select(*KEY, "src", "dst"))
+        jumps.append(steps.keep(twice)[0])
+    on = hop.where(home).select(*KEY, F.col("dst").alias("src"))
+    for j in reversed(jumps):
+        on = _ckpt(on.unionByName(on.join(j, [*KEY, "src"]).select(*KEY, F.col("dst").alias("src"))).distinct())
+        steps.n += 1
+    on = on.unionByName(hop.where(home).select(*KEY, "src")).distinct()
+    used = hop.join(on, [*KEY, "src"])  # the cycle's edges
+    length = hop.where(home).select(*KEY, F.col("d").alias("length"))
+    rows = used.select(*KEY, F.when(home, F.lit(None)).otherwise(F.col("d")).alias("d"), F.col("src").alias("module"))
+    if inner is not None:  # the inner nodes of the paths among them
+        paths = used.where(F.col("last").isNotNull()).join(
+            dist.select(*KEY, F.col("node").alias("dst"), F.col("d").alias("_end")), [*KEY, "dst"]).select(*KEY, "last", "_end")
+        rows = rows.unionByName(inner.join(paths, [*KEY, "last"])
+                                .select(*KEY, (F.col("left") + F.col("_end")).alias("d"), F.col("node").alias("module")))
+    return (rows.join(length, KEY)
+            .select(*KEY, F.when(F.col("d").isNull(), 0).otherwise(F.col("length") - F.col("d")).cast("long").alias("position"), "module"))
+
+
+TEXT_MODULES = 1000
+
+
+def witness_cycles(components: DataFrame, edges: DataFrame, sep: str = " → ", steps: _Steps | None = None) -> DataFrame:
+    """(project, component, component_size, length, path): the cycle of
+    ``cycle_modules`` as text, 'a → b → c → a'. The text of a cycle of more
+    than ``TEXT_MODULES`` modules names so many and then '…', so that no row
+    grows with the graph; its modules are the rows of ``cycle_modules``."""
+    rows = _ckpt(cycle_modules(components, edges, steps))
+    length = rows.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("length"))
+    named = (rows.where(F.col("position") < TEXT_MODULES).groupBy(*KEY)
+             .agg(F.array_sort(F.collect_list(F.struct("position", "module"))).alias("m")))
+    names = F.transform("m", lambda x: x["module"].cast("string"))
+    cut = F.when(F.col("length") > TEXT_MODULES, F.array(F.lit("…"))).otherwise(F.array().cast("array<string>"))
+    text = F.array_join(F.concat(names, cut, F.array(F.col("component").cast("string"))), sep)
+    return (length.join(named, KEY).join(component_summary(components), KEY)
+            .select(*KEY, "component_size", "length", text.alias("path")))

@@ -188,3 +188,54 @@ def test_cycle_issue_text(spark):
     e = _edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "x")])
     texts = sorted(r.issue for r in S.issue_rows(cycles=G.witness_cycles(G.cyclic_components(e), e)).collect())
     assert texts == ["circular dependency: a → b → c → a", "circular dependency: x → y → x"]
+
+
+def test_braided_chains_take_few_steps(spark):
+    """Contraction and trimming cannot shorten these: every module leads to
+    the next two. Without a cycle, with one around all, and with one inside;
+    names in random order."""
+    n = 2000
+    name = list(range(n))
+    random.Random(5).shuffle(name)
+    braid = [(name[i], name[i + k]) for i in range(n) for k in (1, 2) if i + k < n]
+    rows = [("open", a, b) for a, b in braid] + [("closed", a, b) for a, b in braid] + [("closed", name[-1], name[0])]
+    rows += [("inside", a, b) for a, b in braid] + [("inside", name[1500], name[500])]
+    e = spark.createDataFrame(rows, "project string, source long, target long")
+    steps = G._Steps()
+    got = {}
+    for r in G.cyclic_components(e, steps).collect():
+        got.setdefault((r.project, r.component, r.component_size), set()).add(r.node)
+    inside = set(name[500:1501])
+    assert got == {("closed", 0, n): set(name), ("inside", min(inside), 1001): inside}
+    assert steps.n < 60, steps.n
+
+
+def test_scc_of_larger_random_graphs(spark):
+    rnd = random.Random(23)
+    rows, expect = [], {}
+    for p, (n, m) in enumerate([(60, 70), (60, 90), (60, 130), (200, 230), (40, 39)]):
+        edges = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)}
+        rows += [(f"p{p}", f"m{a:03}", f"m{b:03}") for a, b in edges]
+        for node, (c, size) in _tarjan_like(range(n), [(a, b) for a, b in edges if a != b]).items():
+            expect[(f"p{p}", f"m{node:03}")] = (f"m{c:03}", size)
+    e = spark.createDataFrame(rows, "project string, source string, target string")
+    got = {(r.project, r.node): (r.component, r.component_size) for r in G.cyclic_components(e).collect()}
+    assert got == expect
+
+
+def test_ring_of_2000_in_few_jobs(spark):
+    n = 2000
+    rows = [("ring", i, (i + 1) % n) for i in range(n)] + [("short", 0, 1), ("short", 1, 0)]
+    rows += [("eight", a, b) for a, b in [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 2)]]
+    e = spark.createDataFrame(rows, "project string, source long, target long")
+    comps = G._ckpt(G.cyclic_components(e))
+    steps = G._Steps()
+    got = {}
+    for r in G.cycle_modules(comps, e, steps).collect():
+        got.setdefault(r.project, []).append((r.position, r.module))
+    assert sorted(got["ring"]) == [(i, i) for i in range(n)]
+    assert sorted(got["short"]) == [(0, 0), (1, 1)] and sorted(got["eight"]) == [(0, 0), (1, 1), (2, 2)]
+    assert steps.n < 40, steps.n
+    text = {r.project: r for r in G.witness_cycles(comps, e).collect()}
+    assert text["ring"].length == n and text["ring"].path.startswith("0 → 1 → 2") and text["ring"].path.endswith("999 → … → 0")
+    assert text["eight"].path == "0 → 1 → 2 → 0"

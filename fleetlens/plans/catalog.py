@@ -13,10 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import ensure_checkpoint_dir, materialize, written
+from ..operators import conform as C
 from ..operators import impact as imp
 from ..operators import snapshot as snap
 from ..operators.mentions import contains_join
+from ..operators.runs import RunStore, approaching, compare_runs, files_digest
 from . import inputs as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -491,7 +493,15 @@ witness_text AS (
 @query("witness_cycles", SQL_WITNESS + " SELECT project, component, component_size, length, path FROM witness_text")
 def witness_cycles(spark: SparkSession, sf: str) -> DataFrame:
     e = _edges(spark, sf)
-    return G.witness_cycles(G.cyclic_components(e), e)
+    return G.witness_cycles(written(G.cyclic_components(e), "components"), e)
+
+
+@query("cycle_modules", SQL_WITNESS + """
+SELECT project, component, CAST(i - 1 AS BIGINT) AS position, path[i] AS module
+FROM (SELECT project, component, path, unnest(range(1, len(path))) AS i FROM witness)""")
+def cycle_modules(spark: SparkSession, sf: str) -> DataFrame:
+    e = _edges(spark, sf)
+    return G.cycle_modules(written(G.cyclic_components(e), "components"), e)
 
 
 SQL_ISSUES = SQL_WITNESS + "," + I.SQL_MODULES + "," + I.SQL_FILES + f""",
@@ -516,13 +526,24 @@ findings AS (
 """
 
 
-def _issues(spark, sf):
-    """All findings of the four rules, and the modules."""
-    m, e = _modules(spark, sf), _edges(spark, sf)
-    issues = S.issue_rows(cycles=G.witness_cycles(G.cyclic_components(e), e), gods=S.god_modules(m, I.GOD_THRESHOLD),
-                          orphan_mods=S.orphans(m, e), deep=S.deep_files(I.module_files(spark, sf)),
-                          god_threshold=I.GOD_THRESHOLD)
-    return issues, m
+# A run writes its findings and measures once; what follows from them reads
+# the stored run. The run before is the fleet as of a day.
+BEFORE = "2000-07-01"
+RUN_BEFORE, RUN_NOW = 0, 1
+
+
+def _run(spark, sf, run: int = RUN_NOW):
+    """(findings, measures) of a stored run, computed when it is not there."""
+    tables = [f"{sf}/{t}.parquet" for t in ("lineitem", "orders", "supplier", "nation")]
+    store = RunStore(spark, f"{ensure_checkpoint_dir(spark)}/runs-{files_digest(spark, tables)}")
+    if not store.committed(run):
+        until = BEFORE if run == RUN_BEFORE else None
+        m, e = written(I.supplier_modules(spark, sf, until), "run-modules"), written(I.handoff_edges(spark, sf, until), "run-edges")
+        issues = S.issue_rows(cycles=G.witness_cycles(written(G.cyclic_components(e), "run-components"), e),
+                              gods=S.god_modules(m, I.GOD_THRESHOLD), orphan_mods=S.orphans(m, e),
+                              deep=S.deep_files(I.module_files(spark, sf, until)), god_threshold=I.GOD_THRESHOLD)
+        store.commit(run, {"findings": C.with_severity(issues), "measures": m.select("project", "name", "n_exports")})
+    return store.read("findings", run), store.read("measures", run)
 
 
 @query("health", SQL_ISSUES + """
@@ -531,8 +552,7 @@ SELECT p.project, CAST(greatest(0, 100 - coalesce(sum(i.penalty), 0)) AS INTEGER
        count(*) FILTER (WHERE i.rule = 'orphan') AS n_orphan, count(*) FILTER (WHERE i.rule = 'deep_file') AS n_deep_file
 FROM (SELECT DISTINCT project FROM modules) p LEFT JOIN issues i ON i.project = p.project GROUP BY p.project""")
 def health(spark: SparkSession, sf: str) -> DataFrame:
-    issues, m = _issues(spark, sf)
-    return S.health(issues, m)
+    return S.health(*_run(spark, sf))
 
 
 @query("impact_levels", "WITH " + I.SQL_EDGES + "," + I.SQL_MODULES + """,
@@ -559,27 +579,47 @@ def impact_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- C1 C2 C3 C4 C10
 
-from ..operators import conform as C  # noqa: E402
+@query("severity_findings", SQL_ISSUES + " SELECT project, rule, subject, severity, issue FROM findings")
+def severity_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return _run(spark, sf)[0].select("project", "rule", "subject", "severity", "issue")
 
-def _findings(spark, sf):
-    issues, m = _issues(spark, sf)
-    return C.with_severity(issues), m
 
+def _sql_before(sql: str) -> str:
+    """The same derivation on the orders before the day of the last run."""
+    return sql.replace("FROM orders)", f"FROM orders WHERE o_orderdate < DATE '{BEFORE}')")
 
-@query("severity_findings", SQL_ISSUES + " SELECT project, rule, subject, severity, issue FROM findings")
-def severity_findings(spark: SparkSession, sf: str) -> DataFrame:
-    f, _ = _findings(spark, sf)
-    return f.select("project", "rule", "subject", "severity", "issue")
 
+SQL_RUNS = ("WITH now AS (" + SQL_ISSUES + " SELECT project, rule, subject, severity FROM findings), before AS ("
+            + _sql_before(SQL_ISSUES) + " SELECT project, rule, subject, severity FROM findings)")
 
-# the run before: a module was already known as an orphan, and files as deep below the first supplier folders
-@query("new_findings", SQL_ISSUES + """
-SELECT project, rule, subject, severity FROM findings WHERE rule NOT IN ('orphan', 'god_module')""")
+
+@query("new_findings", SQL_RUNS + """
+SELECT n.* FROM now n WHERE NOT EXISTS (
+  SELECT 1 FROM before b WHERE b.project = n.project AND b.rule = n.rule AND b.subject = n.subject)""")
 def new_findings(spark: SparkSession, sf: str) -> DataFrame:
-    now, _ = _findings(spark, sf)
-    now = materialize(now)
-    before = now.where(F.col("rule").isin("orphan", "god_module"))
-    return C.new_findings(now, before).select("project", "rule", "subject", "severity")
+    return C.new_findings(_run(spark, sf)[0], _run(spark, sf, RUN_BEFORE)[0]).select("project", "rule", "subject", "severity")
+
+
+@query("finding_changes", SQL_RUNS + """
+SELECT coalesce(n.project, b.project) AS project, coalesce(n.rule, b.rule) AS rule, coalesce(n.subject, b.subject) AS subject,
+       coalesce(n.severity, b.severity) AS severity,
+       CASE WHEN b.rule IS NULL THEN 'new' WHEN n.rule IS NULL THEN 'resolved' ELSE 'kept' END AS state
+FROM now n FULL OUTER JOIN before b ON b.project = n.project AND b.rule = n.rule AND b.subject = n.subject""")
+def finding_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return compare_runs(_run(spark, sf)[0], _run(spark, sf, RUN_BEFORE)[0])
+
+
+NEAR_THRESHOLD = 2  # exports
+
+SQL_MODULES_NOW = "WITH " + I.SQL_EDGES + "," + I.SQL_MODULES + " SELECT project, name, n_exports FROM modules"
+
+
+@query("approaching_threshold", "WITH now AS (" + SQL_MODULES_NOW + "), before AS (" + _sql_before(SQL_MODULES_NOW) + f""")
+SELECT n.project, n.name, n.n_exports AS now, coalesce(b.n_exports, 0) AS before
+FROM now n LEFT JOIN before b ON b.project = n.project AND b.name = n.name
+WHERE n.n_exports <= {NEAR_THRESHOLD} AND 10 * n.n_exports >= 8 * {NEAR_THRESHOLD} AND n.n_exports > coalesce(b.n_exports, 0)""")
+def approaching_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return approaching(_run(spark, sf)[1], _run(spark, sf, RUN_BEFORE)[1], "n_exports", NEAR_THRESHOLD)
 
 
 @query("verdict", SQL_ISSUES + """
@@ -590,8 +630,7 @@ SELECT p.project, CAST(coalesce(sum(CASE WHEN f.severity = 'INFO' THEN 1 ELSE 0
 FROM (SELECT DISTINCT project FROM modules) p LEFT JOIN findings f ON f.project = p.project
 GROUP BY p.project""")
 def verdict(spark: SparkSession, sf: str) -> DataFrame:
-    f, m = _findings(spark, sf)
-    v = C.verdict(f, m)
+    v = C.verdict(*_run(spark, sf))
     return v.select("project", *[F.col(c).cast("long").alias(c) for c in ("n_info", "n_warn", "n_block")], "verdict")
 
 
@@ -904,7 +943,6 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 import os  # noqa: E402
 import uuid  # noqa: E402
 
-from ..session import ensure_checkpoint_dir, written  # noqa: E402
 from ..streaming import sync as SY  # noqa: E402
 from ..streaming import watcher as W  # noqa: E402
 

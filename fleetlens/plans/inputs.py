@@ -140,10 +140,10 @@ SQL_SYMBOL = ("array_to_string(list_transform(regexp_split_to_array(regexp_repla
 
 # --------------------------------------------------------------------------- graph
 
-def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def handoff_edges(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
     """Distinct (project, source, target) supplier handoffs, project = the
     ordering customer. Self-loops included (a supplier that
-    ships two consecutive lines)."""
+    ships two consecutive lines). ``until``: as of a day, here and below."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
     w = Window.partitionBy("l_orderkey").orderBy(
@@ -151,13 +151,16 @@ def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = (li.select("l_orderkey", F.col("l_suppkey").alias("source"),
                        F.lead("l_suppkey").over(w).alias("target"))
              .where(F.col("target").isNotNull()))
-    return (pairs.join(order_project(spark, sf_dir), "l_orderkey")
+    return (pairs.join(order_project(spark, sf_dir, until), "l_orderkey")
             .select("project", "source", "target").distinct())
 
 
-def order_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_project(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
     """(l_orderkey, project): every order's customer."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"),
+    orders = table(spark, sf_dir, "orders")
+    if until:
+        orders = orders.where(F.col("o_orderdate") < F.lit(until).cast("date"))
+    return orders.select(F.col("o_orderkey").alias("l_orderkey"),
                                                  F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")).alias("project"))
 
 
@@ -181,11 +184,11 @@ edges AS (
 GOD_THRESHOLD = 1  # exports above which a supplier module counts as oversized here
 
 
-def supplier_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supplier_modules(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
     """(project, name, path, n_exports): one module per supplier seen in a
     project's lines; exports = distinct parts it shipped there."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
-    per = (li.join(order_project(spark, sf_dir), "l_orderkey")
+    per = (li.join(order_project(spark, sf_dir, until), "l_orderkey")
            .groupBy("project", F.col("l_suppkey").alias("name"))
            .agg(F.countDistinct("l_partkey").alias("n_exports")))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), "s_name", "s_nationkey")
@@ -211,7 +214,7 @@ ROOTS = {"A": "lib", "N": "src", "R": "app"}
 EXTENSIONS = [".ts", ".py", ".go", ".rb", ".java", ".xyz"]
 
 
-def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def module_files(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
     """Distinct (project, file): one file per line of an order."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                                                  "l_returnflag", "l_linestatus")
@@ -221,7 +224,7 @@ def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.when(F.col("l_quantity") > 45, deep).otherwise("")
     file = F.concat(root, F.lit("/supplier-"), F.col("l_suppkey").cast("string"), F.lit("/"), folder, F.lit("part-"),
                     F.col("l_partkey").cast("string"), ext)
-    return li.join(order_project(spark, sf_dir), "l_orderkey").select("project", file.alias("file")).distinct()
+    return li.join(order_project(spark, sf_dir, until), "l_orderkey").select("project", file.alias("file")).distinct()
 
 
 SQL_FILES = """

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Architecture rule severities, review severities and the
 # action each severity implies.
 RULE_SEVERITY = {
@@ -161,6 +163,34 @@ def copied_blocks(docs: DataFrame, keys: Sequence[str], text_col: str = "text",
     return _in_several(blocks, list(keys), "block_hash", min_docs)
 
 
+def copied_ranges(docs: DataFrame, key: str, text_col: str = "text", size: int = COPY_BLOCK_LINES) -> DataFrame:
+    """Which lines of a text are which lines of another: (key, representative,
+    first_line, last_line, first_line_there), lines from 1.
+
+    A block of ``size`` lines that several texts hold is represented by its
+    first place, the smallest text and line. Every other text's places of the
+    block meet that one place only, so a block that a third of all texts hold
+    gives one row for each of them and no pairs. Places whose line and whose
+    representative's line advance together lie on one diagonal (the same
+    difference of lines); neighbours on it are put together into the longest
+    possible ranges."""
+    block = F.transform(F.sequence(F.lit(1), F.size("_l") - size + 1), lambda i: F.struct(
+        i.cast("long").alias("line"), F.unhex(F.sha2(F.array_join(F.slice("_l", i, size), "\n"), 256)).alias("digest")))
+    blocks = (docs.select(F.col(key).alias("k"), F.split(F.col(text_col), "\n").alias("_l")).where(F.size("_l") >= size)
+              .select("k", F.explode(block).alias("b")).select("k", "b.line", "b.digest"))
+    blocks = written(blocks, "blocks")
+    first = (blocks.groupBy("digest").agg(F.min(F.struct("k", "line")).alias("rep"), F.max("k").alias("_most"))
+             .where(F.col("rep.k") != F.col("_most")).select("digest", "rep"))
+    places = (blocks.join(first, "digest").where(F.col("k") != F.col("rep.k"))
+              .select("k", F.col("rep.k").alias("representative"), "line", (F.col("line") - F.col("rep.line")).alias("diagonal")))
+    along = Window.partitionBy("k", "representative", "diagonal").orderBy("line")
+    island = (F.col("line") - F.row_number().over(along)).alias("island")
+    return (places.select("*", island).groupBy("k", "representative", "diagonal", "island")
+            .agg(F.min("line").alias("first_line"), (F.max("line") + size - 1).alias("last_line"))
+            .select(F.col("k").alias(key), "representative", "first_line", "last_line",
+                    (F.col("first_line") - F.col("diagonal")).alias("first_line_there")))
+
+
 def _in_several(rows: DataFrame, keys: list[str], digest: str, min_docs: int) -> DataFrame:
     """(digest, n_docs, n_places) of the digests found in enough texts."""
     per_text = rows.groupBy(digest, *keys).agg(F.count(F.lit(1)).alias("_n"))

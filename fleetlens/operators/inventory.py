@@ -155,3 +155,28 @@ def entry_files(files: DataFrame) -> DataFrame:
     base = F.try_element_at(parts, F.lit(-1))
     in_root = (F.size(parts) == 1) | ((F.size(parts) == 2) & F.try_element_at(parts, F.lit(1)).isin(ENTRY_ROOTS))
     return files.where(in_root & base.isin(ENTRY_FILES)).select("project", "path")
+
+
+# --------------------------------------------------------------------------- A7
+
+def folder_sizes(files: DataFrame, group: Sequence[str] = ("project",), path_col: str = "path",
+                 size_col: str = "size") -> DataFrame:
+    """(group..., folder, n_files, n_bytes) of every folder on a file's path,
+    '' for the root: all that lies below it. Files are summed per folder
+    first; what then goes to the folders above is one row per folder and
+    level, not one per file."""
+    group = list(group)
+    folder = F.regexp_replace(path_col, "/?[^/]*$", "")
+    own = files.groupBy(*group, folder.alias("_f")).agg(F.count(F.lit(1)).alias("_n"), F.sum(size_col).alias("_b"))
+    parts = F.split("_f", "/")
+    above = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+    return (own.select(*group, F.explode(above).alias("folder"), "_n", "_b").groupBy(*group, "folder")
+            .agg(F.sum("_n").alias("n_files"), F.sum("_b").alias("n_bytes")))
+
+
+def size_below(files: DataFrame, prefix: str, group: Sequence[str] = ("project",), path_col: str = "path",
+               size_col: str = "size") -> DataFrame:
+    """(group..., n_files, n_bytes) below one path prefix; groups without such
+    files have no row."""
+    inside = F.lit(True) if prefix in ("", ".") else F.col(path_col).startswith(prefix.rstrip("/") + "/")
+    return files.where(inside).groupBy(*group).agg(F.count(F.lit(1)).alias("n_files"), F.sum(size_col).alias("n_bytes"))

@@ -6,6 +6,8 @@ All per-project rollups are one aggregation per input table on ``project``
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -94,6 +96,26 @@ def _literal(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
+def merge_defaults(value: Column, defaults) -> Column:
+    """Layered defaults for a VARIANT of any shape: objects are merged field
+    by field, whatever fields they have; everything else that is set replaces
+    the default, arrays and an explicit null included. Only an absent field
+    (SQL NULL, unlike a JSON null) takes the default. ``defaults`` is a
+    literal; the recursion follows its objects, and fields it does not name
+    pass through whole."""
+    given = F.parse_json(F.lit(json.dumps(defaults)))
+    if not isinstance(defaults, dict):
+        return F.coalesce(value, given)
+    fields = F.try_variant_get(value, "$", "map<string,variant>")  # null unless it is an object
+    if not defaults:
+        return F.coalesce(value, given)
+    named = [F.lit(k) for k in defaults]
+    rest = F.map_filter(fields, lambda k, _: ~k.isin(*defaults))
+    merged = F.map_from_arrays(F.array(*named), F.array(*[merge_defaults(fields[k], d) for k, d in defaults.items()]))
+    return (F.when(value.isNull(), given).when(fields.isNull(), value)
+            .otherwise(F.to_variant_object(F.map_concat(rest, merged))))
+
+
 # --------------------------------------------------------------------------- A6 A7 A8 A14
 
 def count_by(df: DataFrame, name: str, cond: Column | None = None, group: Sequence[str] = ("project",)) -> DataFrame:

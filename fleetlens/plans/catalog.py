@@ -712,6 +712,23 @@ def copied_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return C.copied_blocks(docs, ["doc_id"])
 
 
+@query("copied_ranges", "WITH " + SQL_LINES + """,
+blocks AS (
+  SELECT doc_id, line_no, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w || chr(10)
+           || lead(line, 3) OVER w || chr(10) || lead(line, 4) OVER w || chr(10) || lead(line, 5) OVER w AS block
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+rep AS (SELECT block, min(doc_id) AS d, arg_min(line_no, (doc_id, line_no)) AS l FROM blocks
+        WHERE block IS NOT NULL GROUP BY block HAVING count(DISTINCT doc_id) >= 2),
+places AS (SELECT b.doc_id, r.d AS representative, b.line_no, b.line_no - r.l AS diagonal
+           FROM blocks b JOIN rep r ON r.block = b.block WHERE b.doc_id <> r.d),
+islands AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id, representative, diagonal ORDER BY line_no) AS island FROM places)
+SELECT doc_id, representative, CAST(min(line_no) AS BIGINT) AS first_line, CAST(max(line_no) + 5 AS BIGINT) AS last_line,
+       CAST(min(line_no) - diagonal AS BIGINT) AS first_line_there
+FROM islands GROUP BY doc_id, representative, diagonal, island""")
+def copied_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return C.copied_ranges(I.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 @query("repeated_lines", "WITH " + SQL_LINES + """
 SELECT sha256(line) AS line_hash, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places
 FROM lines WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 3""")
@@ -913,6 +930,68 @@ def source_dir(spark: SparkSession, sf: str) -> DataFrame:
     return INV.source_dir(spark, _all_files(spark, sf))
 
 
+@query("folder_sizes", "WITH " + I.SQL_EDGES + "," + I.SQL_FILES + "," + I.SQL_PAGE_FILES + "," + I.SQL_SIZED_FILES + """,
+up AS (SELECT project, size, string_split(path, '/') AS parts FROM sized_files),
+each AS (SELECT project, size, array_to_string(parts[1:i], '/') AS folder FROM up, LATERAL (SELECT unnest(range(0, len(parts))) AS i))
+SELECT project, folder, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes FROM each GROUP BY project, folder""")
+def folder_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return INV.folder_sizes(I.sized_files(spark, sf))
+
+
+# --------------------------------------------------------------------------- O1 O2
+
+from ..operators import ordered as O  # noqa: E402
+
+
+@query("ordered_paths", "WITH " + I.SQL_SNAPSHOTS + """
+SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY path) AS position FROM new_f""")
+def ordered_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return O.with_positions(I.new_files(spark, sf).select("project", "path"), ["path"])
+
+
+WORD = "[A-Za-zÀ-ÖØ-öø-ÿ_]+"
+
+
+@query("ordered_names", f"""
+WITH names AS (SELECT DISTINCT lang AS project, unnest(regexp_extract_all(text, '{WORD}')) AS name FROM documents)
+SELECT project, name, row_number() OVER (PARTITION BY project ORDER BY name COLLATE en_us, name) AS position FROM names""")
+def ordered_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of each project's documents in locale order."""
+    d = I.table(spark, sf, "documents")
+    names = d.select(F.col("lang").alias("project"), F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("name"))
+    return O.with_positions(names.distinct(), [O.by_locale("name"), "name"])
+
+
+# --------------------------------------------------------------------------- P12 on documents of any shape
+
+CONFIG_DEFAULTS = {"k": -1, "channel": "web", "flags": {"beta": False, "limit": {"rows": 10, "tags": ["a"]}}}
+# what an event of each type sets beside its own properties
+CONFIG_SET = {"view": "{}", "click": '{"channel": null, "flags": {"beta": true, "own": {"x": 1}}}',
+              "purchase": '{"flags": {"limit": {"rows": 5}}, "extra": [1, null]}',
+              "error": '{"flags": null, "channel": "app"}', "signup": '{"flags": {"limit": {"tags": [], "more": {}}}, "k": null}'}
+
+
+@query("config_defaults", """
+WITH c AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, CASE event_type
+  WHEN 'view' THEN '{"channel":"web","flags":{"beta":false,"limit":{"rows":10,"tags":["a"]}},"k":' || k || '}'
+  WHEN 'click' THEN '{"channel":null,"flags":{"beta":true,"limit":{"rows":10,"tags":["a"]},"own":{"x":1}},"k":' || k || '}'
+  WHEN 'purchase' THEN '{"channel":"web","extra":[1,null],"flags":{"beta":false,"limit":{"rows":5,"tags":["a"]}},"k":' || k || '}'
+  WHEN 'error' THEN '{"channel":"app","flags":null,"k":' || k || '}'
+  WHEN 'signup' THEN '{"channel":"web","flags":{"beta":false,"limit":{"more":{},"rows":10,"tags":[]}},"k":null}' END AS config
+FROM c""")
+def config_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event's configuration: what its type sets over its properties
+    over the defaults; an explicit null stays."""
+    ev = I.table(spark, sf, "events").select("event_id", "event_type", "props")
+    sets = F.create_map(*[F.lit(x) for kv in CONFIG_SET.items() for x in kv])[F.col("event_type")]
+    base = F.try_variant_get(F.parse_json("props"), "$", "map<string,variant>")
+    over = F.try_variant_get(F.parse_json(sets), "$", "map<string,variant>")
+    given = F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
+    merged = Q.merge_defaults(F.to_variant_object(given), CONFIG_DEFAULTS)
+    return ev.select("event_id", F.to_json(merged).alias("config"))
+
+
 # --------------------------------------------------------------------------- T1-T5
 
 from ..streaming import debounce as D  # noqa: E402

@@ -216,6 +216,10 @@ EXTENSIONS = [".ts", ".py", ".go", ".rb", ".java", ".xyz"]
 
 def module_files(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
     """Distinct (project, file): one file per line of an order."""
+    return module_file_lines(spark, sf_dir, until).select("project", "file").distinct()
+
+
+def module_file_lines(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                                                  "l_returnflag", "l_linestatus")
     root = F.create_map(*[F.lit(x) for kv in ROOTS.items() for x in kv])[F.col("l_returnflag")]
@@ -224,12 +228,12 @@ def module_files(spark: SparkSession, sf_dir: str, until: str | None = None) ->
     folder = F.when(F.col("l_quantity") > 45, deep).otherwise("")
     file = F.concat(root, F.lit("/supplier-"), F.col("l_suppkey").cast("string"), F.lit("/"), folder, F.lit("part-"),
                     F.col("l_partkey").cast("string"), ext)
-    return li.join(order_project(spark, sf_dir, until), "l_orderkey").select("project", file.alias("file")).distinct()
+    return li.join(order_project(spark, sf_dir, until), "l_orderkey").select("project", file.alias("file"), "l_quantity")
 
 
 SQL_FILES = """
-module_files AS (
-  SELECT DISTINCT p.project,
+module_file_lines AS (
+  SELECT l.l_quantity, p.project,
          CASE l.l_returnflag WHEN 'A' THEN 'lib' WHEN 'N' THEN 'src' WHEN 'R' THEN 'app' END
            || '/supplier-' || CAST(l.l_suppkey AS VARCHAR) || '/'
            || CASE WHEN l.l_quantity > 45
@@ -237,26 +241,50 @@ module_files AS (
            || 'part-' || CAST(l.l_partkey AS VARCHAR)
            || CASE l.l_partkey % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' WHEN 3 THEN '.rb'
                                    WHEN 4 THEN '.java' ELSE '.xyz' END AS file
-  FROM lineitem l JOIN order_project p ON p.l_orderkey = l.l_orderkey)
+  FROM lineitem l JOIN order_project p ON p.l_orderkey = l.l_orderkey),
+module_files AS (SELECT DISTINCT project, file FROM module_file_lines)
 """
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as file trees: (project = host/first segment, file = rest of
     the URL path, 'index.html' for a folder), query and fragment dropped."""
-    u = table(spark, sf_dir, "pages").select("url")
+    return table(spark, sf_dir, "pages").select(*_page_parts()).withColumnRenamed("path", "file").distinct()
+
+
+def _page_parts():
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     first = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([^/?#]*)", 1)
     rest = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/[^/?#]*/?([^?#]*)", 1)
     rest = F.when(rest.endswith("/") | (rest == ""), F.concat(rest, F.lit("index.html"))).otherwise(rest)
-    return u.select(F.concat(host, F.lit("/"), first).alias("project"), rest.alias("file")).distinct()
+    return F.concat(host, F.lit("/"), first).alias("project"), rest.alias("path")
 
 
 SQL_PAGE_FILES = """
 page_parts AS (
   SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]*)', 1) AS project,
-         regexp_extract(url, '^[a-z]+://[^/?#]+/[^/?#]*/?([^?#]*)', 1) AS rest FROM pages),
+         regexp_extract(url, '^[a-z]+://[^/?#]+/[^/?#]*/?([^?#]*)', 1) AS rest, strlen(html) AS bytes FROM pages),
 page_files AS (
   SELECT DISTINCT project, CASE WHEN ends_with(rest, '/') OR rest = '' THEN rest || 'index.html' ELSE rest END AS file
   FROM page_parts)
 """
+
+
+def sized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, size): page files with the bytes of their pages, and
+    module files with the pieces on their lines."""
+    p = table(spark, sf_dir, "pages")
+    pages = (p.select(*_page_parts(), F.octet_length("html").cast("long").alias("size"))
+             .groupBy("project", "path").agg(F.sum("size").alias("size")))
+    lines = module_file_lines(spark, sf_dir).groupBy("project", F.col("file").alias("path")).agg(
+        F.sum(F.col("l_quantity").cast("long")).alias("size"))
+    return pages.unionByName(lines)
+
+
+SQL_SIZED_FILES = """
+sized_files AS (
+  SELECT project, CASE WHEN ends_with(rest, '/') OR rest = '' THEN rest || 'index.html' ELSE rest END AS path,
+         CAST(sum(bytes) AS BIGINT) AS size FROM page_parts GROUP BY 1, 2
+  UNION ALL
+  SELECT project, file, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) FROM module_file_lines GROUP BY 1, 2)
+"""

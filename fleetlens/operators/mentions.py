@@ -16,15 +16,18 @@ only those candidate pairs are checked with ``contains``. The empty needle is
 in every text of its group (as ``contains(x, '')``); those pairs are the
 answer, not a shortcut. No group is paired with all of another.
 
-The needle side is written once as Parquet, so the planner knows its size when
-it semi-joins the texts' keys to the wanted ones. Texts take part in one join
-only, the last: candidate pairs bring their needle along, meet the text by the
-document's key and are checked right there.
+Keys that no needle wants are dropped inside the text's array, by a bitmap of
+fixed size, before they become rows; the rest are written, since their counts
+and the candidates both read them. Texts take part in one join only, the
+last: candidate pairs bring their needle along, meet the text by the
+document's key and are checked right there; texts without a candidate are
+dropped before that exchange by the same kind of bitmap.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from ..session import written
 
 GRAM = 3
+FILTER_BITS = 1 << 18
 EMPTY_SALTS = 64
 W = r"\p{L}\p{N}_"
 WORD = f"[{W}]+"
@@ -48,6 +52,24 @@ def _words(text_col: str):
     return F.array_distinct(F.split(F.col(text_col), f"[^{W}]+"))
 
 
+def _bit_filter(hashes: DataFrame):
+    """A test on a hash that is true for all of ``hashes`` (column h) and for
+    few others, as a column function: a bitmap of fixed size, whose set bits
+    are all that comes to the driver. With very many hashes it lets more
+    through, never less."""
+    places = hashes.select((F.col("h").bitwiseAND(FILTER_BITS - 1)).alias("b")).distinct()
+    words = places.groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 AS INT)))").alias("m"))
+    bits = dict(words.collect())
+    table = F.expr("array(" + ",".join(f"{bits.get(w, 0)}L" if bits.get(w, 0) > -(1 << 63) else "-9223372036854775807L - 1L"
+                                       for w in range(FILTER_BITS // 64)) + ")")
+
+    def fits(h):
+        b = h.bitwiseAND(FILTER_BITS - 1)
+        word = F.get(table, F.shiftright(b, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", word, b.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    return fits
+
+
 def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_col: str,
                   group: Sequence[str] = (), text_keys: Sequence[str] = (), needle_keys: Sequence[str] = (),
                   case_insensitive: bool = True, n: int = GRAM) -> DataFrame:
@@ -80,33 +102,30 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_col: str, needle_co
     glen = F.least(F.length("_needle"), F.lit(n))
     by_gram = gram_needles.select(*group, *nk, F.lit("g").alias("_kind"), F.explode(
         F.when(F.length("_needle") < n, F.array("_needle")).otherwise(_grams("_needle", n))).alias("_k"))
-    nkeys = by_word.unionByName(by_gram)
-
-    wanted = nkeys.select("_kind", "_k").distinct()
-    parts = []
+    nkeys = written(by_word.unionByName(by_gram), "needle-keys")
     use_words, use_grams, short = stats["w"] > 0, stats["g"] > 0, stats["s"] > 0
+    if not use_words and not use_grams:
+        return pairs_empty
+
+    # the wanted keys of each text; others are dropped inside the text's array and never become rows
+    fits = _bit_filter(nkeys.select(F.xxhash64("_k").alias("h")))
+    arrays = []
     if use_words:
-        parts.append(t.select(*group, *tk, F.lit("w").alias("_kind"), F.explode(_words("_text")).alias("_k")))
+        arrays.append((F.lit("w"), _words("_text")))
     if use_grams:
         lens = list(range(1, n + 1)) if short else [n]
-        arr = F.array_distinct(F.concat(*[_grams("_text", k) for k in lens])) if len(lens) > 1 else _grams("_text", n)
-        parts.append(t.select(*group, *tk, F.lit("g").alias("_kind"), F.explode(arr).alias("_k")))
-    if not parts:
-        return pairs_empty
-    tkeys = parts[0]
-    for p in parts[1:]:
-        tkeys = tkeys.unionByName(p)
-    # written once: the key frequencies and the candidate join both read it,
-    # and recomputing means scanning and splitting every text again
-    tkeys = written(tkeys.join(wanted, ["_kind", "_k"], "left_semi"), "text-keys")
-
+        arrays.append((F.lit("g"), F.array_distinct(F.concat(*[_grams("_text", k) for k in lens])) if short else _grams("_text", n)))
+    parts = [t.select(*group, *tk, kind.alias("_kind"), F.explode(F.filter(a, lambda k: fits(F.xxhash64(k)))).alias("_k"))
+             for kind, a in arrays]
+    tkeys = written(reduce(DataFrame.unionByName, parts), "text-keys")
     freq = tkeys.groupBy(*group, "_kind", "_k").agg(F.count(F.lit(1)).alias("_df"))
     chosen = (nkeys.join(freq, [*group, "_kind", "_k"])
               .groupBy(*group, *nk)
               .agg(F.min(F.struct("_df", "_kind", "_k")).alias("_c"))
               .select(*group, *nk, F.col("_c._kind").alias("_kind"), F.col("_c._k").alias("_k")))
-    chosen = chosen.join(nz.select(*group, *nk, "_needle"), [*group, *nk])
-    cand = chosen.join(tkeys, [*group, "_kind", "_k"]).select(*group, *tk, *nk, "_needle")
-    checked = (t.join(cand, [*group, *tk]).where(F.col("_text").contains(F.col("_needle")))
-               .select(*group, *tk, *nk))
+    cand = written(tkeys.join(chosen, [*group, "_kind", "_k"]).select(*group, *tk, *nk), "candidates")
+    has = _bit_filter(cand.select(F.xxhash64(*group, *tk).alias("h")))
+    needed = cand.join(nz.select(*group, *nk, "_needle"), [*group, *nk])
+    checked = (t.where(has(F.xxhash64(*group, *tk))).join(needed, [*group, *tk])
+               .where(F.col("_text").contains(F.col("_needle"))).select(*group, *tk, *nk))
     return checked.unionByName(pairs_empty) if stats["empty"] else checked

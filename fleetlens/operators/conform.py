@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .ordered import with_positions
 
 # Architecture rule severities, review severities and the
 # action each severity implies.
@@ -250,3 +251,10 @@ def month_index(items: DataFrame, ts_col: str, name_col: str, group: Sequence[st
     return (items.groupBy(*group, F.date_format(ts_col, "yyyy-MM").alias("month"))
             .agg(F.count(F.lit(1)).alias("n_items"), F.min(name_col).alias("first_item"),
                  F.max(name_col).alias("last_item")))
+
+
+def month_members(items: DataFrame, ts_col: str, name_col: str, group: Sequence[str] = ()) -> DataFrame:
+    """The index's entries as rows: (group..., month, position, name), the
+    oldest first, names in code-unit order within one time."""
+    rows = items.select(*group, F.date_format(ts_col, "yyyy-MM").alias("month"), F.col(ts_col).alias("_ts"), F.col(name_col).alias("name"))
+    return with_positions(rows, ["_ts", "name"], [*group, "month"]).drop("_ts")

@@ -14,9 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Config enumerations and validation messages.
+from .ordered import by_locale, with_positions
+
+# Config enumerations and validation messages, folders of notes.
 STRATEGIES = ["embedded", "standalone", "hybrid"]
 SYNC_MODES = ["manual", "git-hook", "watch"]
+CONFIG_MESSAGES = {
+    "project": "project is required",
+    "project.name": "project.name is required and must be a non-empty string",
+    "project.languages": "project.languages must be a non-empty array",
+    "project.rootDir": "project.rootDir is required and must be a non-empty string",
+    "project.srcDir": "project.srcDir is required and must be a non-empty string",
+    "obsidian": "obsidian is required",
+    "obsidian.strategy": "obsidian.strategy must be one of: embedded, standalone, hybrid",
+    "sync": "sync is required",
+    "sync.mode": "sync.mode must be one of: manual, git-hook, watch",
+}
+NOTE_KINDS = ["modules", "apis", "data", "journal", "decisions"]
 CHECK_LEVELS = ["pass", "warn", "fail"]
 
 
@@ -52,20 +66,19 @@ def validate_rows(df: DataFrame, rules: Sequence[Column]) -> DataFrame:
 
 def config_rules(prefix: str = "cfg") -> list[Column]:
     """The config checks: project fields, vault strategy and sync mode."""
-    p = f"{prefix}.project"
-    return [
-        required_struct(p, "project is required"),
-        F.when(F.col(p).isNotNull(), required_string(f"{p}.name", "project.name is required and must be a non-empty string")),
-        F.when(F.col(p).isNotNull(), non_empty_array(f"{p}.languages", "project.languages must be a non-empty array")),
-        F.when(F.col(p).isNotNull(), required_string(f"{p}.rootDir", "project.rootDir is required and must be a non-empty string")),
-        F.when(F.col(p).isNotNull(), required_string(f"{p}.srcDir", "project.srcDir is required and must be a non-empty string")),
-        required_struct(f"{prefix}.obsidian", "obsidian is required"),
-        F.when(F.col(f"{prefix}.obsidian").isNotNull(),
-               one_of(f"{prefix}.obsidian.strategy", STRATEGIES, "obsidian.strategy must be one of: " + ", ".join(STRATEGIES))),
-        required_struct(f"{prefix}.sync", "sync is required"),
-        F.when(F.col(f"{prefix}.sync").isNotNull(),
-               one_of(f"{prefix}.sync.mode", SYNC_MODES, "sync.mode must be one of: " + ", ".join(SYNC_MODES))),
-    ]
+    def inside(part: str, rule: Column) -> Column:
+        return F.when(F.col(f"{prefix}.{part}").isNotNull(), rule)
+
+    def field(make, name: str, *args) -> Column:
+        return inside(name.split(".")[0], make(f"{prefix}.{name}", *args, CONFIG_MESSAGES[name]))
+
+    def whole(part: str) -> Column:
+        return required_struct(f"{prefix}.{part}", CONFIG_MESSAGES[part])
+
+    return [whole("project"), field(required_string, "project.name"), field(non_empty_array, "project.languages"),
+            field(required_string, "project.rootDir"), field(required_string, "project.srcDir"),
+            whole("obsidian"), field(one_of, "obsidian.strategy", STRATEGIES),
+            whole("sync"), field(one_of, "sync.mode", SYNC_MODES)]
 
 
 # --------------------------------------------------------------------------- P12
@@ -171,3 +184,48 @@ def check_tally(checks: DataFrame) -> DataFrame:
             .agg(F.count(F.when(F.col("level") == "pass", 1)).alias("passed"),
                  F.count(F.when(F.col("level") == "warn", 1)).alias("warnings"),
                  F.count(F.when(F.col("level") == "fail", 1)).alias("failures")))
+
+
+def project_checks(facts: DataFrame) -> DataFrame:
+    """(project, check, level, detail): the checks of a project's data, from
+    one row of facts per project - ``config_issues`` (array of messages),
+    ``has_index``, ``n_specs``, ``n_notes``, ``n_tracked``, ``n_stale`` (null
+    where there is no such folder or state) and ``has_context``. One narrow
+    projection; the checks of a project never meet in a shuffle."""
+    def row(check: str, cond: Column, good: Column, level: str, bad: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), F.when(cond, "pass").otherwise(level).alias("level"),
+                        F.when(cond, good).otherwise(bad).alias("detail"))
+
+    n = F.size("config_issues")
+    no_state = F.col("n_tracked").isNull()
+    return facts.select("project", F.explode(F.array(
+        row("config", n == 0, F.lit("config valid"), "fail", F.concat(F.lit("config invalid: "), F.array_join("config_issues", "; "))),
+        row("index", F.col("has_index"), F.lit("index found"), "warn", F.lit("index not found")),
+        row("specs", F.col("n_specs").isNotNull(), F.format_string("spec folder exists (%d specs)", "n_specs"), "warn", F.lit("spec folder not found")),
+        row("notes", F.col("n_notes").isNotNull(), F.format_string("vault found (%d notes)", "n_notes"), "warn", F.lit("vault not found")),
+        row("state", ~no_state, F.format_string("sync state present (%d files tracked)", "n_tracked"), "warn", F.lit("sync state not found")),
+        row("state_consistent", ~no_state & (F.coalesce("n_stale", F.lit(0)) == 0), F.lit("sync state consistent"), "warn",
+            F.when(no_state, "consistency check skipped (no sync state)").otherwise(F.format_string("%d stale sync entries", F.coalesce("n_stale", F.lit(0))))),
+        row("context", F.col("has_context"), F.lit("context file present"), "warn", F.lit("context file not found")))).alias("c")
+    ).select("project", "c.check", "c.level", "c.detail")
+
+
+# --------------------------------------------------------------------------- A14 S4
+
+def notes_by_kind(files: DataFrame, kinds: Sequence[str] = tuple(NOTE_KINDS), path_col: str = "path") -> DataFrame:
+    """(project, kind, n_notes): ``.md`` files directly in the folder of a
+    kind, and under kind '' those at the vault's root. Neither is recursive;
+    other folders (templates) do not count."""
+    parts = F.split(path_col, "/")
+    kind = F.when(F.size(parts) == 1, "").when((F.size(parts) == 2) & F.element_at(parts, 1).isin(list(kinds)), F.element_at(parts, 1))
+    return (files.where(F.col(path_col).endswith(".md")).withColumn("kind", kind).where(F.col("kind").isNotNull())
+            .groupBy("project", "kind").agg(F.count(F.lit(1)).alias("n_notes")))
+
+
+def note_listing(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """S4: (project, folder, position, name): the ``.md`` files of every
+    folder without their extension, in locale order."""
+    md = files.where(F.col(path_col).endswith(".md")).select(
+        "project", F.regexp_replace(path_col, "/?[^/]*$", "").alias("folder"),
+        F.regexp_replace(F.element_at(F.split(path_col, "/"), -1), r"\.md$", "").alias("name"))
+    return with_positions(md, [by_locale("name"), "name"], ["project", "folder"])

@@ -1274,3 +1274,6 @@ def languages(spark: SparkSession, sf: str) -> DataFrame:
     langs = INV.languages_by_extension(spark, _all_files(spark, sf))
     return INV.language_tools(spark, langs).select("project", "language", "n_files", "linter", "formatter",
                                                    "style_guide")
+
+
+from . import catalog_projects  # noqa: E402, F401  (registers its queries)

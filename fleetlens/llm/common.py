@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,22 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc_bucket(id_col, modulus) == remainder, F.lit(True))
 
 
+def keeps_names(operator):
+    """For operators that add columns to the caller's: their helper columns
+    start with an underscore, so the caller's columns of such names go under
+    fresh names meanwhile, arguments that name them included."""
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        aside = {c: f"own_{uuid.uuid4().hex}" for c in docs.columns if c.startswith("_")}
+        if not aside:
+            return operator(docs, *args, **options)
+        options = {k: aside.get(v, v) if isinstance(v, str) else v for k, v in options.items()}
+        out = operator(docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in docs.columns]), *args, **options)
+        back = {new: c for c, new in aside.items()}
+        return out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns])
+    return run
+
+
 def replace_columns(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """Add columns; one of the same name (whatever its case) is replaced."""
     low = {c.lower() for c in cols}

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TYPES, replace_columns, struct_of, text_bytes
+from .common import TYPES, keeps_names, replace_columns, struct_of, text_bytes
 
 WINDOW = 13
 MAX_BLOCK_BYTES = 32_000_000
@@ -143,6 +143,7 @@ def scan_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     return out
 
 
+@keeps_names
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", window: int = WINDOW,
                   words_per_hit: int = 20, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the columns n_words, n_hit, items (sorted ids of the

@@ -14,8 +14,8 @@ round against all shards, and a task passes it on from shard to shard.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part, neither do rows without an id; rows that share an id
-count as one (the smallest vector by order); vectors meet only those of their
-own length; ties go to the smaller id; scores must fit a long. Empty tables
+are rows of their own, candidates each, and what queries of one id find is
+ranked together; vectors meet only those of their own length; ties go to the smaller id; scores must fit a long. Empty tables
 give an empty result.
 """
 
@@ -45,7 +45,7 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) ->
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     ints = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     return (df.where(F.col(id_col).isNotNull() & v.isNotNull() & fine & finite)
-            .select(F.col(id_col).cast("long").alias("id"), ints.alias("v")).groupBy("id").agg(F.min("v").alias("v")))
+            .select(F.col(id_col).cast("long").alias("id"), ints.alias("v")))
 
 
 def _packed(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -149,7 +149,7 @@ def build_trees(vectors: DataFrame) -> tuple[DataFrame, int]:
             yield pd.DataFrame([(dim, tree.ids.tobytes(), tree.points.tobytes(), b"")],
                                columns=["dim", "ids", "points", "floor"])
 
-    packed = vectors.repartition(parts, "id").mapInPandas(build, _PACKED).drop("floor")
+    packed = vectors.repartition(parts, "id", "v").mapInPandas(build, _PACKED).drop("floor")
     return _numbered(packed, "shard", "trees")
 
 
@@ -172,7 +172,7 @@ def query_blocks(queries: DataFrame) -> tuple[DataFrame, int]:
             yield pd.DataFrame([(dim, ids.tobytes(), points.tobytes(), floors.tobytes())],
                                columns=["dim", "ids", "points", "floor"])
 
-    return _numbered(queries.repartition(parts, "id").mapInPandas(pack, _PACKED), "block", "queries")
+    return _numbered(queries.repartition(parts, "id", "v").mapInPandas(pack, _PACKED), "block", "queries")
 
 
 def _search(pairs: DataFrame, k: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replace_columns, struct_of
+from .common import keeps_names, replace_columns, struct_of
 
 BUCKET_BITS = 16
 MAX_LANGUAGES = 1000
@@ -157,6 +157,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "
     return predict(F.col(text_col))
 
 
+@keeps_names
 def identify_language(docs: DataFrame, training: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
                       out_col: str = "lang_pred") -> DataFrame:
     """``docs`` with ``out_col`` and ``score``, learned from ``training``."""

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replace_columns, struct_of, text_bytes
+from .common import keeps_names, replace_columns, struct_of, text_bytes
 
 SPACE = b" \t\n\x0b\x0c\r"
 LAST_ID = 2**63 - 1
@@ -82,6 +82,7 @@ def _reassemble(body: pd.Series, keys: pd.Series, min_chars: pd.Series) -> pd.Da
     return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
 
 
+@keeps_names
 def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id",
                         text_col: str = "text") -> DataFrame:
     """``docs`` with the text freed of repeated lines, ``n_lines`` (before)

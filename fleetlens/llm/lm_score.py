@@ -5,7 +5,7 @@ ones, the base probability is p1(w) = (c(w) + 1) / (N + V + 1), and each
 order adds p(w | h) = c(h w) / (c(h) + m) + m / (c(h) + m) p(w | h'), where h'
 is h without its first word and m = PRIOR c(h)^GROWTH follows the number of
 different words after a context, which grows as a power of its count; contexts
-seen less than ``min_context`` times pass through to h'. A text starts after one start mark and ends with one end
+seen less than ``min_context`` times (by default: never) pass through to h'. A text starts after one start mark and ends with one end
 token. Every order is a proper distribution; the first term of each order is
 stored quantised (rounded down) in a trie, see ``elias_fano``.
 
@@ -46,7 +46,7 @@ from .elias_fano import Trie, probability, quantise
 ORDER = 3
 PRIOR = (0.0, 0.0, 10.0, 2.0, 2.0, 2.0)  # by order
 GROWTH = 0.75
-MIN_CONTEXT = 2
+MIN_CONTEXT = 1
 CHUNK_BYTES = 8_000_000
 WORD_SHARD_CHUNKS = 4  # chunks per shard of words
 END = b"\n"  # no word holds a line feed

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, stage, struct_of, text_bytes
+from .common import keeps_names, sized_broadcast, stage, struct_of, text_bytes
 
 SOURCE_WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # all targets together, times all sizes
@@ -165,6 +165,7 @@ def mix_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             .select("id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")))
 
 
+@keeps_names
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weight_col: str | None = None) -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as often as it is taken."""

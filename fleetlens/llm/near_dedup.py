@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TYPES, sized_broadcast, stage, struct_of, text_bytes
+from .common import TYPES, keeps_names, sized_broadcast, stage, struct_of, text_bytes
 from .components import components
 
 WORDS = 5
@@ -176,8 +176,8 @@ def forest(reps: DataFrame) -> DataFrame:
 def neighbours(trees: DataFrame, threshold: int) -> DataFrame:
     """(a, b), a < b: documents that follow each other in a sorted order and
     share a long enough prefix. In crowded regions, which are joined exactly
-    later, not those whose keys agree in less than the threshold minus three
-    standard errors. The orders are range-partitioned, so a dense region is
+    later, only the next row, and not where the keys agree in less than the
+    threshold minus three standard errors. The orders are range-partitioned, so a dense region is
     spread over tasks like any other; the few neighbours on two sides of a
     partition's edge meet in other trees."""
     share, rest = threshold / 100, DEPTH - MIN_DEPTH
@@ -197,7 +197,7 @@ def neighbours(trees: DataFrame, threshold: int) -> DataFrame:
             for step in range(1, min(NEIGHBOURS, len(f) - 1) + 1):
                 same = key[step:] == key[:-step]
                 near = (tree[step:] == tree[:-step]) & same[:, :MIN_DEPTH].all(axis=1)
-                near &= few[step:] | (same.sum(axis=1) >= least)
+                near &= few[step:] | ((step == 1) & (same.sum(axis=1) >= least))
                 near[:max(0, seen - step)] = False  # both in the tail: seen before
                 at = np.flatnonzero(near)
                 left.append(doc[at])
@@ -306,7 +306,9 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
                     text_col: str = "text") -> DataFrame:
     """(doc, n_shingles, component, kept) of every document: its component is
     the smallest id reachable over links, and only that document is kept."""
-    sketch = docs.select(F.col(id_col).cast("long").alias("doc"), _sketch(text_bytes(text_col)).alias("s"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    id_col, text_col = "id", "text"
+    sketch = docs.select(F.col(id_col).alias("doc"), _sketch(text_bytes(text_col)).alias("s"))
     rows = stage(sketch.select("doc", "s.*"), "sketches")
     named = (rows.where(F.col("doc").isNotNull()).groupBy("doc")
              .agg(F.min(F.struct("digest", "n", "sig")).alias("s")).select("doc", "s.*"))
@@ -320,7 +322,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
             .groupBy("doc").agg(F.max("crowded").alias("w_crowded")))
     wanted = stage(ends.join(reps.select("doc", "digest"), "doc")
                    .select(F.col("doc").alias("w_doc"), F.col("digest").alias("w_digest"), "w_crowded"), "wanted")
-    sets = (docs.join(sized_broadcast(wanted, wanted.count()), F.col(id_col).cast("long") == F.col("w_doc"))
+    sets = (docs.join(sized_broadcast(wanted, wanted.count()), F.col(id_col) == F.col("w_doc"))
             .select(F.col("w_doc").alias("doc"), "w_digest", "w_crowded", _members(text_bytes(text_col)).alias("m"))
             .where(F.col("m.digest") == F.col("w_digest"))
             .select("doc", F.col("w_crowded").alias("crowded"), F.col("m.members").alias("members")))
@@ -356,6 +358,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     return done.unionByName(nameless)
 
 
+@keeps_names
 def drop_near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that are not kept."""

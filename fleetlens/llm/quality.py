@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replace_columns, struct_of, text_bytes
+from .common import keeps_names, replace_columns, struct_of, text_bytes
 
 SAMPLE_PER_LABEL = 2048
 BUCKET_BITS = 13
@@ -43,12 +43,19 @@ REPEAT_WEIGHT = 4
 
 
 def feature_counts(texts: list[bytes]) -> np.ndarray:
-    """documents x WIDTH: counts of hashed byte trigrams and repetitions."""
+    """documents x WIDTH: counts of hashed byte trigrams and repetitions. A
+    text's trigrams end with its own two line feeds: those that start there
+    would run into the next text and are left out."""
     buf = np.frombuffer(b"".join(t + b"\n\n" for t in texts), np.uint8).astype(np.uint32)
-    row = np.repeat(np.arange(len(texts), dtype=np.int64) * WIDTH, [len(t) + 2 for t in texts])[:-2]
+    sizes = [len(t) + 2 for t in texts]
+    row = np.repeat(np.arange(len(texts), dtype=np.int64) * WIDTH, sizes)
+    ends = np.cumsum(sizes)
+    row[ends - 1] = row[ends - 2] = -1
+    row = row[:-2]
     h = (buf[:-2] * np.uint32(0x9E3779B1)) ^ (buf[1:-1] * np.uint32(0x85EBCA77)) ^ (buf[2:] * np.uint32(0xC2B2AE3D))
     h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BUCKET_BITS)
-    counts = np.bincount(row + h, minlength=len(texts) * WIDTH).reshape(len(texts), WIDTH)
+    own = row >= 0
+    counts = np.bincount(row[own] + h[own], minlength=len(texts) * WIDTH).reshape(len(texts), WIDTH)
     for k, text in enumerate(texts):
         words, lines = text.split(), text.split(b"\n")
         counts[k, -2] = sum(map(eq, words, words[1:]))
@@ -100,11 +107,13 @@ class VotingModel:
     """Latent space, the sample's unit vectors, their labels and weights."""
 
     def __init__(self, idf, space, points, labels, weights, prior):
-        self.idf, self.space, self.points = idf, space, points
+        self.idf = idf
+        self.space, self.points = (None if x is None else x.astype(np.float64) for x in (space, points))
         self.labels, self.weights, self.prior = labels, weights, prior
 
     def latent(self, texts: list[bytes]) -> np.ndarray:
-        y = weighted(feature_counts(texts), self.idf) @ self.space
+        # products in double precision: what a row gets does not depend on the rows beside it, to the last rounding
+        y = weighted(feature_counts(texts), self.idf).astype(np.float64) @ self.space
         norm = np.linalg.norm(y, axis=1, keepdims=True)
         return np.where(norm > 1e-6, y / np.where(norm > 1e-6, norm, 1), 0)
 
@@ -119,7 +128,7 @@ class VotingModel:
             total = vote.sum(axis=1)
             good = (vote * self.labels[near]).sum(axis=1)
             told = np.array([bool(t) for t in part]) & (total > 1e-9)
-            out += np.clip(np.where(told, good / np.where(total > 0, total, 1), self.prior), 0, 1).tolist()
+            out += np.clip(np.where(told, good / np.where(total > 0, total, 1), self.prior), 0, 1).round(9).tolist()
         return out if self.points is not None else [self.prior] * len(texts)
 
 
@@ -192,6 +201,7 @@ def fit_voting(training: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     return VotingModel(idf, space, points, y, weights, prior)
 
 
+@keeps_names
 def score_quality(docs: DataFrame, model: VotingModel, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with ``out_col``: how likely label 1 is, 0 to 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

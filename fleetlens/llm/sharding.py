@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import replace_columns, stage, text_bytes
+from .common import keeps_names, replace_columns, stage, text_bytes
 
 VIRTUAL_NODES = 64
 ROWS_PER_CELL = 2_000
@@ -78,6 +78,7 @@ def settle(counts: list[int], owners: list[int], shards: int, load: float) -> li
     return pieces
 
 
+@keeps_names
 def shard_documents(docs: DataFrame, shards: int, *, load: float = 1.0, virtual_nodes: int = VIRTUAL_NODES,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in each

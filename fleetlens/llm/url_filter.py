@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import replace_columns, stage
+from .common import keeps_names, replace_columns, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,6 +55,8 @@ def host_and_path(url: str) -> tuple[Column, Column]:
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     """Struct (length, rule, verdict) of the longest rule that fits, or null."""
+    if not rules:
+        return F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
     fits = [F.when(((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path)),
                    F.struct(F.lit(len(r.text)).alias("length"), F.lit(r.text).alias("rule"),
                             F.lit(r.verdict).alias("verdict"))) for r in rules]
@@ -93,6 +95,7 @@ def _literals(rows: DataFrame, level: int, min_rows: int, min_share: float, z: f
                           F.array_join(F.sort_array(F.collect_set("_segment").over(names)), "|").alias("_name"))
 
 
+@keeps_names
 def filter_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", depth: int = 8, min_rows: int = 5,
                 min_share: float = 0.05, z: float = 1.96, smoothing: float = 10.0,
                 threshold: float = 0.5) -> DataFrame:

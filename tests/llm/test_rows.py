@@ -77,10 +77,10 @@ def test_heavier_documents_are_taken_more_often(spark):
 # ------------------------------------------------------------------ exact search
 
 def brute_top(rows, queries, k):
-    ints = {i: [int(1024 * x // 1) for x in v] for i, v in rows}
+    ints = [(i, [int(1024 * x // 1) for x in v]) for i, v in rows]
     for q in queries:
-        scored = sorted((-sum(a * b for a, b in zip(ints[q], ints[i])), i) for i in ints
-                        if i != q and len(ints[i]) == len(ints[q]))
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for j, x in ints if j == q for i, y in ints
+                        if i != q and len(x) == len(y))
         yield from ((q, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1))
 
 
@@ -90,12 +90,14 @@ def test_search_matches_brute_force(spark, monkeypatch):
     rnd = random.Random(1)
     fine = [(i, [float(rnd.randint(-64, 64)) / 64 for _ in range(6)]) for i in range(300)]
     fine += [(400 + i, fine[0][1]) for i in range(20)] + [(700, [0.5, 0.25]), (600, [1.0, -1.0]), (701, [1.0, 1.0])]
+    # rows that share an id are candidates each, and queries of one id are ranked together
+    fine += [fine[3], (3, fine[4][1]), (200, fine[0][1]), (200, fine[1][1])]
     bad = [(None, [1.0] * 6), (100_000, None), (100_100, []), (100_200, [1.0, None, 1.0, 1.0, 1.0, 1.0]),
            (100_300, [float("nan")] * 6), (100_400, [float("inf")] * 6)]
-    table = spark.createDataFrame([(i, v, 0.5) for i, v in fine + bad + [fine[3]]], "vec_id long, emb array<float>, score double")
+    table = spark.createDataFrame([(i, v, 0.5) for i, v in fine + bad], "vec_id long, emb array<float>, score double")
     vectors = integer_vectors(table, "vec_id", "emb", 1024)
     got = sorted(tuple(r) for r in top_k(vectors, vectors.where("id % 100 = 0"), 10).collect())
-    assert got == sorted(brute_top(fine, [i for i, _ in fine if i % 100 == 0], 10))
+    assert got == sorted(brute_top(fine, sorted({i for i, _ in fine if i % 100 == 0}), 10))
     empty = vectors.limit(0)
     assert top_k(empty, empty, 10).count() == 0 and top_k(vectors, empty, 10).count() == 0
 

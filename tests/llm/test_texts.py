@@ -87,7 +87,7 @@ def test_quantised_probabilities_are_close_and_never_above():
     assert (q <= p * (1 + 1e-12)).all() and (q >= p * 0.9995).all()
 
 
-def brute_lm(texts, learn, order, min_context):
+def brute_lm(texts, learn, order):
     """texts: lists of words; yields (n_known, base, score)."""
     tokens = [t + [None] for t in texts]
     grams = [Counter() for _ in range(order + 1)]
@@ -110,7 +110,7 @@ def brute_lm(texts, learn, order, min_context):
                     break
                 h = tuple(s[i - n + 1:i])
                 c = starts if h == ("<s>",) else grams[n - 1][h]
-                if c >= (min_context if n > 2 else 1):
+                if c:
                     m = lm_score.PRIOR[n] * c ** lm_score.GROWTH
                     p = grams[n][(*h, w)] / (c + m) + m / (c + m) * p
             score += math.log10(p)
@@ -126,7 +126,7 @@ def test_lm_matches_brute_force(spark, docs, order, monkeypatch):
     plain = rows.collect()
     texts = [(r.text or "").encode().lower().split() for r in plain]
     want = [(r.doc_id, r.learn, len(t) + 1, known, total, round(base, 4), round(score, 1) if len(t) < 1000 else None)
-            for r, t, (known, base, score, total) in zip(plain, texts, brute_lm(texts, [r.learn for r in plain], order, 2))]
+            for r, t, (known, base, score, total) in zip(plain, texts, brute_lm(texts, [r.learn for r in plain], order))]
     have = [(r.id, r.learned, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4),
              round(r.score, 1) if r.n_tokens < 1000 else None) for r in got]
     key = lambda x: tuple(str(v) for v in x[:4])

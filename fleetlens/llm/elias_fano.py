@@ -159,26 +159,33 @@ class Trie:
         return cls(words, levels, pointers, codes)
 
     def find(self, grams: np.ndarray) -> np.ndarray:
-        """Codes of n-grams (sorted rows are fastest); 0 if not held."""
+        """Codes of n-grams; 0 if not held. Neighbours with a common prefix
+        (sorted rows) search for it once, and for its children's range once."""
         out = np.zeros(len(grams), np.uint16)
-        if not self.levels or not self.levels[0].n:
+        if not self.levels or not self.levels[0].n or not len(grams):
             return out
-        alive, node = np.arange(len(grams)), np.zeros(len(grams), np.int64)
+        first = np.ones(len(grams), bool)  # rows whose prefix differs from that of the row before
+        first[1:] = False
+        node = np.zeros(1, np.int64)  # of each distinct prefix; -1 if not held
         for depth, level in enumerate(self.levels):
+            owner = np.cumsum(first) - 1  # each row's prefix so far
+            first[1:] |= grams[1:, depth] != grams[:-1, depth]
+            at = np.flatnonzero(first)
+            held, above = node >= 0, owner[at]
             if depth:
-                # neighbours in order share their context: ask for its children once
-                new = np.concatenate(([True], node[1:] != node[:-1]))[:len(node)]
-                own = np.cumsum(new) - 1
-                first = self.pointers[depth - 1].get(node[new]).astype(np.int64)[own]
-                end = self.pointers[depth - 1].get(node[new] + 1).astype(np.int64)[own]
+                low, high = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+                low[held] = self.pointers[depth - 1].get(node[held]).astype(np.int64)
+                high[held] = self.pointers[depth - 1].get(node[held] + 1).astype(np.int64)
             else:
-                first, end = np.zeros(len(alive), np.int64), np.full(len(alive), level.n)
-            x = node.astype(U64) * U64(self.words) + grams[alive, depth].astype(U64)
-            at, same = level.successor(x, first, end)
-            alive, node = alive[same], at[same]
-            if not len(alive):
-                return out
-        out[alive] = self.codes[node]
+                low, high = np.zeros(1, np.int64), np.full(1, level.n)
+            on = np.flatnonzero(held[above])
+            parent = above[on]
+            x = node[parent].astype(U64) * U64(self.words) + grams[at[on], depth].astype(U64)
+            place, same = level.successor(x, low[parent], high[parent])
+            node = np.full(len(at), -1)
+            node[on[same]] = place[same]
+        found = node[np.cumsum(first) - 1]
+        out[found >= 0] = self.codes[found[found >= 0]]
         return out
 
     def save(self, folder: str) -> None:

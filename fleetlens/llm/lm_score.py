@@ -12,13 +12,15 @@ stored quantised (rounded down) in a trie, see ``elias_fano``.
 Spark. The model grows with the corpus, so it is never held in one place.
 Texts are tokenised once into a table of chunks (a few megabytes of text each,
 words numbered within the chunk). Order by order, each chunk sends its
-distinct n-grams, with its own training counts, to shards by a hash of the
-n-gram; a shard adds the counts of all chunks, writes its trie, opens it
+distinct n-grams, with its own training counts, to shards by a hash of their
+context; a shard adds the counts of all chunks, writes its trie, opens it
 memory-mapped, looks all requested n-grams up and answers each chunk. The
 first order numbers the words and returns their counts. Requests and answers
 are packed arrays, one row per (chunk, shard). A frequent n-gram is one entry
-per chunk, whatever its count, and shards are dealt by the whole n-gram, so
-no word, pair or passage makes a shard hot. Chunks and shards are of bounded
+per chunk, whatever its count. The n-grams of a context stand together, which
+makes requests short and the search in the trie relative to one context after
+another; a frequent context is split over shards by its last word, so no word,
+pair or passage makes a shard hot. Chunks and shards are of bounded
 size; their numbers grow with the input.
 
 Defined cases: null and empty texts consist of the end token; rows without an
@@ -49,6 +51,7 @@ GROWTH = 0.75
 MIN_CONTEXT = 1
 CHUNK_BYTES = 8_000_000
 WORD_SHARD_CHUNKS = 4  # chunks per shard of words
+SPLITS = 4  # a context with more than so small a part of a shard's tokens is split
 END = b"\n"  # no word holds a line feed
 
 _CHUNK = "chunk long, ids binary, nameless binary, learn binary, sizes binary, tokens binary, words binary"
@@ -189,12 +192,20 @@ def _word_shard(words: list[bytes], shards: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.int64, len(words))
 
 
-def _gram_shard(grams: np.ndarray, shards: int) -> np.ndarray:
+def _gram_shard(grams: np.ndarray, count: np.ndarray, shards: int, split: int) -> np.ndarray:
+    """Shards of n-grams: by the context, so that a context's n-grams stand
+    together in one trie. A context that was learned more than ``split`` times
+    is dealt over more shards, by the last word."""
+    def mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+        h = (h ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(32))
+
+    parts = count // split + 1
+    part = np.where(parts > 1, mixed(np.zeros(len(grams), np.uint64), grams[:, -1] + 1) % parts.astype(np.uint64), 0)
     h = np.zeros(len(grams), np.uint64)
-    for k in range(grams.shape[1]):
-        h = (h ^ grams[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    return (h % np.uint64(shards)).astype(np.int64)
+    for k in range(grams.shape[1] - 1):
+        h = mixed(h, grams[:, k])
+    return (mixed(h, part) % np.uint64(shards)).astype(np.int64)
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -247,8 +258,8 @@ class Levels:
     order. A node is a distinct n-gram of the chunk; ``node`` gives the one
     that ends at each token, -1 if there is none."""
 
-    def __init__(self, chunk: Chunk, answers: pd.DataFrame, upto: int, gram_shards: int, min_context: int):
-        self.chunk, self.gram_shards, self.min_context = chunk, gram_shards, min_context
+    def __init__(self, chunk: Chunk, answers: pd.DataFrame, upto: int, gram_shards: int, split: int, min_context: int):
+        self.chunk, self.gram_shards, self.split, self.min_context = chunk, gram_shards, split, min_context
         n = int(chunk.tokens.max()) + 1
         number, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for r in answers[answers["level"] == 1].itertuples():
@@ -287,7 +298,11 @@ class Levels:
         before[self.first] = 0 if self.order == 2 else -1
         self.has = np.flatnonzero(before >= 0)
         words = len(self.number)
-        keys, self.inverse = np.unique(before[self.has] * words + self.token[self.has], return_inverse=True)
+        codes, keys = pd.factorize(before[self.has] * words + self.token[self.has])  # far fewer keys than tokens to sort
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        keys, self.inverse = keys[order], rank[codes]
         context = keys // words
         self.grams = np.concatenate((self.paths[context], self.number[keys % words][:, None]), axis=1)
         self.context = self.count[context]
@@ -296,7 +311,7 @@ class Levels:
         self.asked = np.flatnonzero(~rare)
 
     def shard(self) -> np.ndarray:
-        return _gram_shard(self.grams[self.asked], self.gram_shards)
+        return _gram_shard(self.grams[self.asked], self.context[self.asked], self.gram_shards, self.split)
 
     def requests(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """(shard, n-grams, own training counts, context counts)."""
@@ -375,7 +390,7 @@ def score_texts(docs: DataFrame, *, learn_col: str, id_col: str = "doc_id", text
     sums = answers.where("chunk = -1").agg(F.sum("tokens"), F.sum("words"), F.max("numbers")).first()
     tokens, known, numbers = (x or 0 for x in sums)
     answers = answers.where("chunk >= 0").select("chunk", "level", "shard", "a", "b")
-    shape = (gram_shards, min_context)
+    shape = (gram_shards, max(1, tokens // (SPLITS * gram_shards)), min_context)
     chunks = chunks.drop("words")
     for level in range(2, order + 1):
         found = stage(_gram_answers(_gram_requests(chunks, answers, level - 1, shape), level,

@@ -34,16 +34,27 @@ def probability(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, p, 0.0)
 
 
+_ONES, _HIGHS = U64(0x0101010101010101), U64(0x8080808080808080)
+_IN_BYTE = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the k-th set bit (from 0) of each word."""
-    at = np.zeros(len(word), np.int64)
-    k = k.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count((word >> at.astype(U64)) & U64((1 << width) - 1)).astype(np.int64)
-        up = k >= ones
-        at += up * width
-        k -= up * ones
-    return at
+    """Position of the k-th set bit (from 0) of each word, which has it: sums
+    of the bytes' bits in one product, then a table for the byte."""
+    x = word - ((word >> U64(1)) & U64(0x5555555555555555))
+    x = (x & U64(0x3333333333333333)) + ((x >> U64(2)) & U64(0x3333333333333333))
+    x = ((x + (x >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _ONES
+    k = k.astype(U64)
+    at = np.bitwise_count(((k * _ONES | _HIGHS) - x) & _HIGHS).astype(U64) * U64(8)
+    rank = k - (((x << U64(8)) >> at) & U64(0xFF))
+    return (at + _IN_BYTE[(word >> at) & U64(0xFF), rank]).astype(np.int64)
+
+
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    """Bits up to the highest set one; exact, by halves."""
+    high = x >> U64(32)
+    top = high > 0
+    return np.frexp(np.where(top, high, x).astype(np.float64))[1] + np.where(top, 32, 0)
 
 
 class EliasFano:
@@ -85,20 +96,32 @@ class EliasFano:
         """Position of the k-th set or unset bit."""
         directory = self.ones if ones else self.zeros
         block = np.searchsorted(directory, k, side="right") - 1
-        k = k - directory[block]
-        word = block * BLOCK_WORDS
-        count = np.bitwise_count(self.high[word]).astype(np.int64)
-        for _ in range(BLOCK_WORDS - 1):
-            here = count if ones else 64 - count
-            on = k >= here
-            if not on.any():
-                break
-            k = np.where(on, k - here, k)
-            word = word + on
-            count = np.bitwise_count(self.high[word]).astype(np.int64)
+        k, word = k - directory[block], block * BLOCK_WORDS
+        on = np.arange(len(k))
+        while len(on):  # words of the block, for those that are further on
+            count = np.bitwise_count(self.high[word[on]]).astype(np.int64)
+            count = count if ones else 64 - count
+            more = k[on] >= count
+            on = on[more]
+            k[on] -= count[more]
+            word[on] += 1
         bits = self.high[word] if ones else ~self.high[word]
         return word * 64 + _select_in_word(bits, k)
 
+    def _ones_before(self, at: np.ndarray) -> np.ndarray:
+        """Number of set bits right before the unset bits at ``at``, back to
+        the unset bit before."""
+        word, off = at >> 6, (at & 63).astype(U64)
+        below = ~self.high[word] & ((U64(1) << off) - U64(1))  # unset bits of the word before it
+        run = (at & 63) - _bit_length(below)
+        far = np.flatnonzero((below == 0) & (word > 0))
+        while len(far):  # the run began in a word before
+            word[far] -= 1
+            below = ~self.high[word[far]]
+            run[far] += 64 - _bit_length(below)
+            far = far[(below == 0) & (word[far] > 0)]
+        return run
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), U64)
@@ -119,8 +142,9 @@ class EliasFano:
         top = (x >> U64(self.bits)).astype(np.int64)
         last = int(self.zeros[-1]) - 1
         # values with this high part lie between two consecutive zeros of the unary code
-        a = np.where(top > 0, self._select(np.minimum(np.maximum(top - 1, 0), last), False) - np.maximum(top - 1, 0), 0)
-        b = self._select(np.minimum(top, last), False) - np.minimum(top, last)
+        zero = self._select(np.minimum(top, last), False)
+        b = zero - np.minimum(top, last)
+        a = np.where(top > last, b, b - self._ones_before(zero))
         a, b = np.clip(a, first, end), np.clip(b, first, end)
         want, stop = x & U64((1 << self.bits) - 1), b.copy()
         open_ = np.flatnonzero(a < b)
@@ -207,6 +231,6 @@ class Trie:
 
         def load(name):
             return np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r")
-        parts = [[EliasFano(n, bits, {x: load(f"{name}-{k}-{x}") for x in EliasFano.FIELDS})
+        parts = [[EliasFano(n, bits, {x: np.asarray(load(f"{name}-{k}-{x}")) for x in EliasFano.FIELDS})
                   for k, (n, bits) in enumerate(index[name])] for name in ("levels", "pointers")]
         return cls(index["words"], *parts, load("codes"))

@@ -22,6 +22,8 @@ HEADLINE = [
     "stale_state", "conflicts", "core_edges", "boundary_matrix", "cyclic_components", "bounded_cycles", "witness_cycles",
     "health", "verdict", "doc_vs_actual", "removed_exports", "broken_links", "copied_blocks", "line_rules",
     "status_rollup", "check_tally", "sessions", "sessions_stream",
+    "cycle_modules", "new_findings", "batch_items", "sync_stream", "copied_ranges", "folder_sizes", "ordered_names",
+    "config_defaults", "project_status", "project_checks",
 ]
 
 

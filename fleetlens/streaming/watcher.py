@@ -12,10 +12,10 @@ apart, hence in one batch, so whole cells are what a batch is made of. Each
 micro-batch of closed cells
 
 1. is written to the cell log, ``cells/epoch=<n>``;
-2. is merged with the open batches that the micro-batch before it left (one
-   row per key, ``open/epoch=<n>``);
+2. is merged with the open batches that the micro-batch before it left, one
+   row per key (``spans/epoch=<n>/done=false``);
 3. closes the batches that no later cell can reach, which is known from the
-   newest complete cell of any key: ``batches/epoch=<n>``;
+   newest complete cell of any key (``spans/epoch=<n>/done=true``);
 4. gives their items, from the log of the epochs they spread over, by an equi
    join on (key, cell): ``items/epoch=<n>``, one row per batch and item with
    the time it was first seen and the number of its events;
@@ -32,7 +32,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -132,35 +132,40 @@ def _epoch_before(spark: SparkSession, path: str, epoch: int) -> int | None:
 
 
 def close_batches(cells: DataFrame, epoch: int, out_dir: str, gap_seconds: int) -> tuple[DataFrame, DataFrame]:
-    """One micro-batch of complete cells: returns the written (batches,
-    items) that it closes."""
+    """One micro-batch of complete cells: returns the (batches, items) that it
+    closes. Three jobs, one for each table it writes; a micro-batch without
+    cells leaves everything as it is."""
     spark, gap = cells.sparkSession, gap_seconds * 1_000_000
-
-    def written(df: DataFrame, name: str, schema: str) -> DataFrame:
-        path = f"{out_dir}/{name}/epoch={epoch}"
-        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
-        return spark.read.schema(schema).parquet(path)
-
-    cells = written(cells.select("key", "item", "cell", "first_seen", "last_seen", "n_events"), "cells", CELLS)
-    last = _epoch_before(spark, f"{out_dir}/open", epoch)
-    before = None if last is None else spark.read.schema(SPANS).parquet(f"{out_dir}/open/epoch={last}")
-    newest = cells.agg(F.max("cell")).first()[0]
-    if newest is None:  # nothing closes
-        before = spark.createDataFrame([], SPANS) if before is None else before
-        written(before, "open", SPANS)
-        return written(before.limit(0), "batches", SPANS), written(spark.createDataFrame([], ITEMS), "items", ITEMS)
-    spans = batch_spans(cells, gap_seconds, before, epoch).withColumn(
-        "done", F.unix_micros("batch_end") + gap < (newest + 1) * gap)  # later cells start there or after
-    spans.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{out_dir}/spans/epoch={epoch}")
-    spans = spark.read.schema(f"{SPANS}, done boolean").parquet(f"{out_dir}/spans/epoch={epoch}")
-    written(spans.where("NOT done").drop("done"), "open", SPANS)
-    batches = written(spans.where("done").drop("done"), "batches", SPANS)
-    first = batches.agg(F.min("first_epoch")).first()[0]
+    nothing = spark.createDataFrame([], SPANS), spark.createDataFrame([], ITEMS)
+
+    def written(df: DataFrame, name: str, metric, *by: str):
+        """Write an epoch's table and take a number on the way."""
+        obs, path = Observation(), f"{out_dir}/{name}/epoch={epoch}"
+        (df.observe(obs, metric.alias("m")).write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy(*by).parquet(path))
+        return obs.get["m"], path
+
+    newest, path = written(cells.select("key", "item", "cell", "first_seen", "last_seen", "n_events"), "cells", F.max("cell"))
+    if newest is None:
+        return nothing
+    cells = spark.read.schema(CELLS).parquet(path)
+    last = _epoch_before(spark, f"{out_dir}/spans", epoch)
+    before = None if last is None else _spans(spark, f"{out_dir}/spans/epoch={last}", False)
+    done = F.unix_micros("batch_end") + gap < (newest + 1) * gap  # later cells start there or after
+    spans = batch_spans(cells, gap_seconds, before, epoch).withColumn("done", done)
+    first, path = written(spans, "spans", F.min(F.when(F.col("done"), F.col("first_epoch"))), "done")
     if first is None:
-        return batches, written(spark.createDataFrame([], ITEMS), "items", ITEMS)
+        return nothing
+    batches = _spans(spark, path, True)
     log = [f"{out_dir}/cells/epoch={e}" for e in range(first, epoch + 1) if path_exists(spark, f"{out_dir}/cells/epoch={e}")]
     items = batch_items(batches, spark.read.schema(CELLS).parquet(*log), gap_seconds)
-    return batches, written(items, "items", ITEMS)
+    _, path = written(items, "items", F.count(F.lit(1)))
+    return batches, spark.read.schema(ITEMS).parquet(path)
+
+
+def _spans(spark: SparkSession, path: str, done: bool) -> DataFrame:
+    """The closed or the open batches of an epoch (or of all)."""
+    return spark.read.schema(f"{SPANS}, epoch long, done boolean").parquet(path).where(F.col("done") == done).drop("done")
 
 
 def watch(events: DataFrame, out_dir: str, gap_seconds: int, watermark: str, checkpoint: str, key: str = "project",
@@ -184,6 +189,8 @@ def watch(events: DataFrame, out_dir: str, gap_seconds: int, watermark: str, che
 
 
 def watched(spark: SparkSession, out_dir: str, name: str = "items") -> DataFrame:
-    """The ``batches`` or ``items`` of all epochs so far."""
-    schema = {"items": ITEMS, "batches": SPANS, "cells": CELLS}[name]
-    return spark.read.schema(f"{schema}, epoch long").parquet(f"{out_dir}/{name}")
+    """The closed ``batches`` of all epochs so far, or their ``items``."""
+    path, schema = (f"{out_dir}/spans", SPANS) if name == "batches" else (f"{out_dir}/items", ITEMS)
+    if not path_exists(spark, path):  # nothing has been written yet
+        return spark.createDataFrame([], f"{schema}, epoch long")
+    return _spans(spark, path, True) if name == "batches" else spark.read.schema(f"{schema}, epoch long").parquet(path)

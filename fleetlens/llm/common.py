@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
+# A key that holds at least one row in HOT_KEYS (and HOT_ROWS rows) is hot: at
+# most HOT_KEYS keys of a table can be.
+HOT_KEYS = 10_000
+HOT_ROWS = 1_000
+
 # Largest number of ids that a join may broadcast (about 16 bytes each in
 # memory); above it the same join runs as a shuffle join.
 BROADCAST_IDS = 2_000_000
@@ -93,3 +98,22 @@ def sized_broadcast(ids: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a table of ids whose row count has been measured
     and is small enough; otherwise the table as it is."""
     return F.broadcast(ids) if rows <= BROADCAST_IDS else ids
+
+
+def split_hot(table: DataFrame, weight: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``table`` (one per key) whose ``weight``, the rows that
+    hold the key, makes them hot - at most HOT_KEYS rows, small enough to be
+    broadcast - and all others."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) >= max(HOT_ROWS, total / HOT_KEYS)
+    return table.where(hot), table.where(~hot)
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Left join of ``rows`` with ``table`` (one row per key) where a few
+    keys may hold most rows: rows of hot keys meet them by a broadcast and are
+    not shuffled, all others by a shuffle on keys that are all small. Both
+    tables are read twice, so they should be written ones. No key may be null."""
+    hot, cold = split_hot(table, weight)
+    hot, cold = F.broadcast(hot.drop(weight)), cold.drop(weight)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on, "left"))

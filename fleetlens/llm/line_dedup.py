@@ -5,7 +5,8 @@ distinct (line, document). One aggregation per digest gives the documents it
 is found in; the digests a document loses are gathered per document, and the
 document is put together again from its remaining lines by position. Line
 texts never leave their document; a line that a third of all documents hold
-is reduced by map-side aggregation.
+is reduced by map-side aggregation, and its rows meet it by a broadcast of at
+most ``HOT_KEYS`` such lines and are dealt by document after that.
 
 Defined cases: a null or empty text is one empty line (a null text stays
 null); a document that loses all lines becomes the empty text; rows with the
@@ -23,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keeps_names, replace_columns, struct_of, text_bytes
+from .common import keeps_names, replace_columns, split_hot, stage, struct_of, text_bytes
 
 SPACE = b" \t\n\x0b\x0c\r"
 LAST_ID = 2**63 - 1
+SALTS = 4096  # parts that the rows of a hot line are dealt to
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -59,12 +61,17 @@ def dropped_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     """(doc, keys): the line keys each document loses, for those that lose
     any. A key found in ``min_docs`` documents stays in the smallest only."""
     if min_docs == 2:  # found in two documents: the smallest is not the largest
-        found = lines.groupBy("key").agg(F.min("doc").alias("keep"), F.max("doc").alias("last"))
-        found = found.where("keep < last").select("key", "keep")
+        found = lines.groupBy("key").agg(F.min("doc").alias("keep"), F.max("doc").alias("last"), F.count("*").alias("n"))
+        found = found.where("keep < last").select("key", "keep", "n")
     else:
         found = (lines.distinct().groupBy("key").agg(F.min("doc").alias("keep"), F.count("*").alias("n"))
-                 .where(F.col("n") >= min_docs).select("key", "keep"))
-    return (lines.join(found, "key").where("doc > keep")
+                 .where(F.col("n") >= min_docs).select("key", "keep", "n"))
+    hot, cold = split_hot(stage(found, "line-keys"), "n")
+    lines = lines.join(F.broadcast(hot.select("key", F.col("keep").alias("hot_keep"))), "key", "left")
+    lines = lines.where("hot_keep IS NULL OR doc > hot_keep").withColumn(
+        "salt", F.when(F.col("hot_keep").isNotNull(), 1 + F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("long"))
+    return (lines.join(cold.select("key", F.lit(0).cast("long").alias("salt"), "keep"), ["key", "salt"], "left")
+            .where(F.coalesce("hot_keep", "keep") < F.col("doc"))
             .groupBy("doc").agg(F.collect_set("key").alias("keys")))
 
 

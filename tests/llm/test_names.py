@@ -20,7 +20,7 @@ from .conftest import prose
 
 FOLDER = Path(package.__file__).parent
 HELPERS = sorted({n for p in FOLDER.glob("*.py") for n in re.findall(r"""["'`.](_[a-z][a-z_]*)\b""", p.read_text())}
-                 | {"_vote", "_dot.ted", "w_doc", "w_digest", "w_crowded", "group", "row", "id", "doc"})
+                 | {"_vote", "_dot.ted", "_l_host", "_l_prefix", "_l_segment", "w_doc", "w_digest", "w_crowded", "group", "row", "id", "doc"})
 
 
 def documents(spark):

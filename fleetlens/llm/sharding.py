@@ -12,14 +12,18 @@ on those counts - shards x VIRTUAL_NODES numbers, whatever the corpus - as
 ranges of ranks per arc. A document then needs its rank in its arc: the rows
 in the cells before its own, and its position within its cell. Cells are made
 so small that ordering one is a small task, and a hash spreads rows evenly
-over them, so hot sources or groups of copies do not matter.
+over them, so hot sources do not matter. Rows equal in id and text share a
+place; places that hold a large part of all rows (at most ``HOT_KEYS``) come
+after the other rows of their cell, dealt to parts by a hash of all columns.
+Rows alike in every column are interchangeable: they are counted into one
+before they are shuffled, take a run of ranks, and are restored in pieces.
 
 With ``load=1`` (the default) bounds are exact: shard sizes differ by one row
 at most. A larger ``load`` lets a shard exceed the mean by that factor and
 moves fewer keys when a shard is added.
 
 Defined cases: a document without an id is placed by its text; rows that are
-equal in id and text are interchangeable; null texts count as empty; an empty
+equal in id and text are ranked by their other columns; null texts count as empty; an empty
 table gives an empty table. An added column replaces one of the same name.
 """
 
@@ -30,11 +34,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keeps_names, replace_columns, stage, text_bytes
+from .common import HOT_KEYS, keeps_names, replace_columns, stage, text_bytes
 
 VIRTUAL_NODES = 64
 ROWS_PER_CELL = 2_000
 LEAST_BITS, MOST_BITS = 16, 26
+HOT_PARTS = 256  # parts of a place that holds many rows
 
 
 def ring(docs: DataFrame, shards: int, virtual_nodes: int, bits: int) -> DataFrame:
@@ -78,6 +83,26 @@ def settle(counts: list[int], owners: list[int], shards: int, load: float) -> li
     return pieces
 
 
+def _hashed(docs: DataFrame) -> list[Column]:
+    """The columns that a hash can be taken of."""
+    return [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+
+
+def _rank_alike(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with ``_nth``, their rank in (``_cell``, ``_part``). Rows that
+    are alike are one row with their number until they are ranked."""
+    keys = [*columns, "_place", "_cell", "_part"]
+    alike = rows.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.count("*").alias("_alike"))
+    order = Window.partitionBy("_cell", "_part").orderBy("_place", F.xxhash64(*_hashed(rows)))
+    alike = alike.withColumn("_end", F.sum("_alike").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    alike = alike.withColumn("_start", F.col("_end") - F.col("_alike"))
+    # pieces of a long run are restored by different tasks
+    pieces = alike.withColumn("_from", F.explode(F.sequence("_start", F.col("_end") - 1, F.lit(ROWS_PER_CELL).cast("long"))))
+    pieces = pieces.repartition("_cell", "_part", "_from")
+    stop = F.least(F.col("_end"), F.col("_from") + ROWS_PER_CELL) - 1
+    return pieces.withColumn("_nth", F.explode(F.sequence("_from", stop))).drop("_alike", "_end", "_start", "_from")
+
+
 @keeps_names
 def shard_documents(docs: DataFrame, shards: int, *, load: float = 1.0, virtual_nodes: int = VIRTUAL_NODES,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,34 +111,47 @@ def shard_documents(docs: DataFrame, shards: int, *, load: float = 1.0, virtual_
     spark = docs.sparkSession
     place = F.xxhash64(F.col(id_col), F.crc32(text_bytes(text_col)))
 
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, docs.count() / ROWS_PER_CELL)))))
+    total = docs.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, total / ROWS_PER_CELL)))))
 
     def cell(of: Column) -> Column:
         return F.shiftrightunsigned(of, 64 - bits)
 
+    # at most HOT_KEYS places can hold that many rows
+    hot = (docs.select(place.alias("_hot_place")).groupBy("_hot_place").count()
+           .where(F.col("count") >= max(ROWS_PER_CELL, total / HOT_KEYS)).select("_hot_place"))
+    hot = stage(hot, "hot-places")
+    part = F.when(F.col("_hot_place").isNotNull(), 1 + F.pmod(
+        F.xxhash64(F.lit("part"), *_hashed(docs)), F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")
+    dealt = docs.withColumn("_place", place)
+    dealt = (dealt.join(F.broadcast(hot), F.col("_place") == F.col("_hot_place"), "left")
+             .withColumns({"_cell": cell(F.col("_place")), "_part": part}).drop("_hot_place"))
+
     points = ring(docs, shards, virtual_nodes, bits)
     arcs = points.collect()  # shards x virtual nodes rows
     cells = points.where("start <= stop").select(
         "arc", F.posexplode(F.sequence("start", "stop")).alias("at", "place")).select(
         "arc", "at", F.pmod("place", F.lit(1 << bits)).alias("cell"))
-    counted = docs.select(cell(place).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).join(cells, "cell")
-    before = Window.partitionBy("arc").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    counted = stage(counted.select(F.col("cell").alias("_c_cell"), F.col("arc").alias("_arc"), "n",
+    counted = dealt.groupBy(F.col("_cell").alias("cell"), "_part").agg(F.count("*").alias("n")).join(cells, "cell")
+    before = Window.partitionBy("arc").orderBy("at", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = stage(counted.select(F.col("cell").alias("_c_cell"), F.col("_part").alias("_c_part"),
+                                   F.col("arc").alias("_arc"), "n",
                                    F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")), "cells")
     per_arc = {r["_arc"]: r["n"] for r in counted.groupBy("_arc").agg(F.sum("n").alias("n")).collect()}
     owners = {r["arc"]: r["shard"] for r in arcs}
     pieces = settle([per_arc.get(a, 0) for a in range(len(arcs))], [owners[a] for a in range(len(arcs))], shards, load)
     plan = spark.createDataFrame(pieces, "_p_arc int, _first long, _end long, _shard int, _slot long")
 
-    rows = docs.withColumn("_place", place).withColumn("_cell", cell(F.col("_place")))
     rank = Window.partitionBy("_cell").orderBy("_place", F.col(id_col), F.crc32(text_bytes(text_col)))
-    ranked = (rows.withColumn("_nth", F.row_number().over(rank) - 1)
-              .join(counted.drop("n"), F.col("_cell") == F.col("_c_cell"))
+    ranked = dealt.where("_part = 0").withColumn("_nth", F.row_number().over(rank) - 1)
+    if hot.count():
+        ranked = ranked.unionByName(_rank_alike(dealt.where("_part > 0"), docs.columns))
+    ranked = (ranked.join(counted.drop("n"), (F.col("_cell") == F.col("_c_cell")) & (F.col("_part") == F.col("_c_part")))
               .withColumn("_rank", F.col("_before") + F.col("_nth")))
     # the plan has a few rows per arc, whatever the corpus
     placed = ranked.join(F.broadcast(plan), (F.col("_arc") == F.col("_p_arc"))
                          & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
     out = replace_columns(placed, {"shard": F.col("_shard"),
                                    "slot": F.col("_slot") + F.col("_rank") - F.col("_first")})
-    return out.drop("_place", "_cell", "_nth", "_c_cell", "_arc", "_before", "_rank", "_p_arc", "_first", "_end",
+    return out.drop("_place", "_cell", "_part", "_nth", "_c_cell", "_c_part", "_arc", "_before", "_rank", "_p_arc", "_first", "_end",
                     "_shard", "_slot")

@@ -10,7 +10,10 @@ documents in key order whose words come nearest to it.
 The prefix sums are taken in two steps, so that a source holding a third of
 all rows is never sorted in one task: words are summed per source and key
 bucket, the sums of the buckets are accumulated, and only the documents of the
-one bucket in which the target falls are ordered. What a source takes is then
+one bucket in which the target falls are ordered. Buckets are quantiles of the
+keys at weight 1; where light weights crowd a source's keys into its last
+ones, the bucket of the target is cut again by key until it is small or holds
+one key only. What a source takes is then
 one row of a small plan (complete epochs, last key), and each document decides
 for itself by comparing its key: texts are never shuffled.
 
@@ -38,6 +41,8 @@ CEILING = 2  # a target, times its source's size
 MAX_SOURCES = 1_000_000
 SEED = 17
 LEAST_WEIGHT = 0.05
+EDGE_ROWS = 50_000  # rows of a bucket that are ordered in one task
+CUTS = 1024  # parts a larger bucket is cut into
 
 _LETTERS = bytes(b for b in range(256) if chr(b).isascii() and chr(b).isalpha() or b >= 0x80)
 _PLAN = "source string, source_size long, target double, epochs int, rest double"
@@ -89,6 +94,26 @@ def keyed(docs: DataFrame, *, id_col: str, text_col: str, weight_col: str | None
                                             (1 - F.exp(-key)).alias("part"))).drop("_size")
 
 
+def _edges(rows: DataFrame, rest: DataFrame, n: int) -> DataFrame:
+    """Of (source, size, key, bucket), per source the bucket in which its
+    rest falls, as its first and last key, its rows, and the words before it."""
+    per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("p_n"),
+                                               F.min("key").alias("p_low"), F.max("key").alias("p_high"))
+    over = Window.partitionBy("source").orderBy("bucket")  # a bounded number of buckets
+    sums = per.withColumn("upto", F.sum("words").over(over))
+    few = sized_broadcast(rest, n)
+    upto = F.col("p_before") + F.col("upto")
+    return (sums.join(few, F.col("source").eqNullSafe(F.col("p_source")))
+            .where((upto >= F.col("rest")) & (upto - F.col("words") < F.col("rest")))
+            .select("p_source", (upto - F.col("words")).alias("p_before"), "rest", "p_n", "p_low", "p_high"))
+
+
+def _in_range(base: DataFrame, edge: DataFrame, n: int) -> DataFrame:
+    """The rows whose keys lie in the range of their source."""
+    return base.join(sized_broadcast(edge, n), F.col("source").eqNullSafe(F.col("p_source"))
+                     & (F.col("key") >= F.col("p_low")) & (F.col("key") <= F.col("p_high")))
+
+
 def plan_mix(base: DataFrame) -> tuple[DataFrame, int]:
     """From (source, size, key, tie, part): one row per source with its
     size, target, complete epochs and last key, and the number of sources."""
@@ -108,30 +133,34 @@ def plan_mix(base: DataFrame) -> tuple[DataFrame, int]:
     # a power of two, so that a bucket's first quantile is exact
     buckets = 1 << min(20, max(10, math.ceil(math.log2(max(1, sum(r["n"] for r in found) / 50_000)))))
     bucket = F.least(F.floor(F.col("part") * buckets), F.lit(buckets - 1)).cast("int")
-    rows_ = base.withColumn("bucket", bucket)
-    per_bucket = rows_.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    over = Window.partitionBy("source").orderBy("bucket")
-    sums = per_bucket.withColumn("upto", F.sum("words").over(over))
-    few = sized_broadcast(plan.select(F.col("source").alias("p_source"), "rest"), len(rows))
-    edge = (sums.join(few, F.col("source").eqNullSafe(F.col("p_source")))
-            .where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
-            .select("p_source", F.col("bucket").alias("p_bucket"), "rest", (F.col("upto") - F.col("words")).alias("before")))
-    inside = rows_.join(sized_broadcast(edge, len(rows)),
-                        F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
-    run = Window.partitionBy("source", "bucket").orderBy("key", "tie")
-    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(run))
+    rest = plan.select(F.col("source").alias("p_source"), F.lit(0).cast("long").alias("p_before"), "rest")
+    edge = stage(_edges(base.withColumn("bucket", bucket), rest, len(rows)), "mix-edge")
+    # from here on a bucket is the range of keys between its first and its last
+    while True:
+        wide = edge.where((F.col("p_n") > EDGE_ROWS) & (F.col("p_low") < F.col("p_high")))
+        if wide.isEmpty():
+            break
+        inside = _in_range(base, wide, len(rows))
+        at = F.floor((F.col("key") - F.col("p_low")) / (F.col("p_high") - F.col("p_low")) * CUTS)
+        finer = _edges(inside.select("source", "size", "key", F.least(at, F.lit(CUTS - 1)).cast("int").alias("bucket")),
+                       wide.select("p_source", "p_before", "rest"), len(rows))
+        narrow = edge.where((F.col("p_n") <= EDGE_ROWS) | (F.col("p_low") >= F.col("p_high")))
+        edge = stage(narrow.unionByName(finer), "mix-edge")
+    inside = _in_range(base, edge, len(rows))
+    run = Window.partitionBy("source").orderBy("key", "tie")
+    inside = inside.withColumn("upto", F.col("p_before") + F.sum("size").over(run))
     # a document is taken if the words up to its end come nearer to the target than those before it
     taken = inside.where(F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("size")))
     last = (taken.groupBy(F.col("source").alias("t_source"))
             .agg(F.max(F.struct("key", "tie")).alias("last")))
-    edges = edge.select(F.col("p_source").alias("e_source"), "p_bucket")
+    edges = edge.select(F.col("p_source").alias("e_source"), "p_low")
     plan = (plan.join(edges, F.col("source").eqNullSafe(F.col("e_source")), "left")
             .join(last, F.col("source").eqNullSafe(F.col("t_source")), "left")
             .select("source", "source_size", "target", "epochs",
                     # everything before the edge bucket is taken, whatever is taken inside it
-                    F.coalesce(F.col("p_bucket") / F.lit(float(buckets)), F.lit(0.0)).alias("from_part"),
+                    F.coalesce("p_low", F.lit(0.0)).alias("from_key"),
                     F.col("last.key").alias("last_key"), F.col("last.tie").alias("last_tie"),
-                    F.col("p_bucket").isNotNull().alias("partial")))
+                    F.col("p_low").isNotNull().alias("partial")))
     rows = plan.collect()  # one row per source
     return spark.createDataFrame(rows, plan.schema), len(rows)
 
@@ -139,7 +168,7 @@ def plan_mix(base: DataFrame) -> tuple[DataFrame, int]:
 def _copies():
     """How often a document is taken: complete epochs, and once more if its
     key is among those of the partial epoch."""
-    before = F.col("partial") & (F.col("part") < F.col("from_part"))
+    before = F.col("partial") & (F.col("key") < F.col("from_key"))
     inside = F.col("last_key").isNotNull() & (
         (F.col("key") < F.col("last_key")) | ((F.col("key") == F.col("last_key")) & (F.col("tie") <= F.col("last_tie"))))
     return F.when(F.col("size") > 0, F.col("epochs") + F.when(before | inside, 1).otherwise(0)).otherwise(0).cast("int")

@@ -9,7 +9,8 @@ themselves compare equal. Texts are never shuffled.
 The test set is bounded in practice; here it is bounded by construction. Its
 bytes are summed first, and beyond ``MAX_BLOCK_BYTES`` it is cut into blocks
 by item, each collected, broadcast and scanned on its own; the hit words of a
-text are united over the blocks.
+text are united over the blocks. A block holds its words as one array of
+numbers and every window as a hash and an offset into it, sorted by hash.
 
 Defined cases: null or wordless texts have no words and are never
 contaminated; null or wordless items have no window; items that share an id
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import TYPES, keeps_names, replace_columns, struct_of, text_bytes
 
 WINDOW = 13
-MAX_BLOCK_BYTES = 32_000_000
+MAX_BLOCK_BYTES = 8_000_000
 
 # words are runs of digits, letters and everything beyond ASCII
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -57,16 +58,18 @@ class WindowSet:
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        self.owners: dict[bytes, set[str | None]] = {}
-        for item, text in items:
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)], np.int32)
-            size = min(window, len(ids))
-            for at in range(len(ids) - size + 1 if size else 0):
-                self.owners.setdefault(ids[at:at + size].tobytes(), set()).add(item)
-        self.hashes = {}
-        for size in {len(k) // 4 for k in self.owners}:
-            rows = np.frombuffer(b"".join(k for k in self.owners if len(k) == 4 * size), np.int32)
-            self.hashes[size] = np.unique(_hash(rows, np.arange(0, len(rows), size), size))
+        self.names = [name for name, _ in items]
+        parts = [np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)], np.int32) for _, text in items]
+        lengths = np.array([len(p) for p in parts], np.int64)
+        self.tokens = np.concatenate([np.empty(0, np.int32), *parts])
+        self.first = np.concatenate(([0], np.cumsum(lengths)))  # of each item, and the end
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # length: hashes in order, offsets
+        sizes = np.minimum(lengths, window)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            at = np.concatenate([np.arange(self.first[i], self.first[i + 1] - size + 1) for i in np.flatnonzero(sizes == size)])
+            hashes = _hash(self.tokens, at, size)
+            order = np.argsort(hashes, kind="stable")
+            self.windows[size] = hashes[order], at[order]
 
     def scan(self, text: bytes) -> tuple[int, np.ndarray | None, set[str]]:
         """Number of words, mask of hit words (None: no hit), items hit."""
@@ -75,18 +78,20 @@ class WindowSet:
         ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int32, n)
         known = np.concatenate(([0], np.cumsum(ids >= 0)))
         mask, found = None, set()
-        for size, hashes in self.hashes.items():
+        for size, (hashes, offsets) in self.windows.items():
             if n < size:
                 continue
             starts = np.flatnonzero(known[size:] - known[:-size] == size)
-            if len(starts):
-                starts = starts[np.isin(_hash(ids, starts, size), hashes)]
-            for at in starts.tolist():
-                owner = self.owners.get(ids[at:at + size].tobytes())
-                if owner is not None:
+            h = _hash(ids, starts, size)
+            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+            for k in np.flatnonzero(low < high).tolist():
+                at, places = starts[k], offsets[low[k]:high[k]]
+                # a hit counts once the words themselves are the same
+                places = places[(self.tokens[places[:, None] + np.arange(size)] == ids[at:at + size]).all(axis=1)]
+                if len(places):
                     mask = np.zeros(n, bool) if mask is None else mask
                     mask[at:at + size] = True
-                    found |= owner
+                    found.update(self.names[i] for i in np.searchsorted(self.first, places, "right") - 1)
         return n, mask, found - {None}
 
 

@@ -3,13 +3,16 @@ lines, rows equal in id and text, edge buckets of a mix."""
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm import common
+from fleetlens.llm import common, mixing, sharding
+from fleetlens.llm.decontaminate import WindowSet
 from fleetlens.llm.line_dedup import drop_repeated_lines
+from fleetlens.llm.mixing import mix_table
+from fleetlens.llm.sharding import shard_documents
 from fleetlens.llm.url_filter import Rule, filter_urls
 
 
@@ -80,3 +83,56 @@ def test_a_line_of_every_document(spark, monkeypatch):
         lines = [f"own line {i}"] + ([f"a line of two {i // 2}"] if i % 2 == 0 else [])
         lines = ["a line of every document"] * (i == 0) + lines
         assert got[i] == ("\n".join(lines), 3, 3 - len(lines))
+
+
+def test_rows_equal_in_id_and_text_are_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_CELL", 50)
+    one = F.lit("the same text").alias("text")
+    alike = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), one, F.lit(1).alias("extra"))
+    near = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), one, F.col("id").cast("int").alias("extra"))
+    rest = spark.range(100, 1100).select(F.col("id").alias("doc_id"), one, F.lit(None).cast("int").alias("extra"))
+    rows = alike.unionByName(near).unionByName(rest)
+    got = shard_documents(rows, 7).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {len(s) for s in slots.values()} == {714, 715}
+    assert Counter((r.doc_id, r.extra) for r in got) == Counter((r.doc_id, r.extra) for r in rows.collect())
+    assert {r.text for r in got} == {"the same text"}
+    again = shard_documents(rows.repartition(5), 7).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_the_edge_of_a_mix_is_cut_until_it_is_small(spark, monkeypatch):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 0, "one two three").otherwise(
+        "12 34 56 78").alias("text"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"))
+    whole = sorted(map(str, mix_table(rows).collect()))  # 70% of the keys in the last of the quantiles
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 20)
+    monkeypatch.setattr(mixing, "CUTS", 4)
+    cut = mix_table(rows).collect()
+    assert sorted(map(str, cut)) == whole
+    base = mixing._base(rows, "doc_id", "text", "source", None).collect()
+    plan = {r.id: r for r in cut}
+    for s in "ab":  # what a plain sort by key takes
+        mine = sorted((r for r in base if r.source == s), key=lambda r: (r.key, r.tie))
+        size, target = sum(r.size for r in mine), plan[mine[0].id].target
+        epochs, words = min(2, int(target // size)), 0
+        rest, want = target - epochs * size, set()
+        for r in mine:
+            if words + r.size - rest <= rest - words:
+                want.add(r.id)
+                words += r.size
+            else:
+                break
+        assert {r.id for r in mine if plan[r.id].copies > epochs} == want and (want or rest < 4)
+
+
+def test_window_sets_are_compact():
+    rnd = random.Random(2)
+    items = [(str(i), " ".join(f"w{rnd.randrange(5000)}" for _ in range(400)).encode()) for i in range(500)]
+    windows = WindowSet(items)
+    arrays = sum(h.nbytes + o.nbytes for h, o in windows.windows.values()) + windows.tokens.nbytes
+    assert arrays <= 20 * len(windows.tokens) < 4_000_001
+    text = b"other words " + b" ".join(items[3][1].split()[5:18]) + b" and more"
+    n, mask, found = windows.scan(text)
+    assert (n, int(mask.sum()), found) == (17, 13, {"3"})

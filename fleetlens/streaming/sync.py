@@ -18,12 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import impact as imp
 from ..operators import snapshot as snap
-from ..sources.buckets import BucketTable
+from ..sources.buckets import BucketTable, path_exists
 from ..sources.state import state_table
 
 KEYS = ["project", "key"]
@@ -43,6 +43,18 @@ def sync_state(initial: DataFrame, out_dir: str, before_epoch: int | None = None
     return initial if version is None else table.read(version).select(*initial.columns)
 
 
+REPORT = ("project string, batch_start timestamp, impact_level string, n_changes long, n_modules long, n_specs long, "
+          "summary string, epoch int")
+
+
+def sync_reports(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The reports of all epochs of batches so far; none when no batch has
+    been closed yet, as while no project was ever quiet."""
+    if not path_exists(spark, f"{out_dir}/report"):
+        return spark.createDataFrame([], REPORT)
+    return spark.read.schema(REPORT).parquet(f"{out_dir}/report")
+
+
 def sync_handler(old: DataFrame | Callable[[], DataFrame], new: DataFrame | Callable[[], DataFrame],
                  state: DataFrame, out_dir: str, run_ts: str | None = None,
                  buckets: int = 64) -> Callable[[DataFrame, int], None]:

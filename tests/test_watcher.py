@@ -201,3 +201,17 @@ def test_bucket_table_versions(spark):
     assert rows() == [("a", 9)] and t.versions() == [4]
     with pytest.raises(ValueError):
         BucketTable(spark, path, df([]).schema, buckets=8).read()
+
+
+def test_sync_stream_without_a_closed_batch(spark):
+    """A project that is never quiet: no batch closes, so there is no report
+    and the state is the one before."""
+    from fleetlens.plans import inputs as I
+    from fleetlens.plans.catalog import QUERIES
+    d = folder()
+    spark.range(40).selectExpr("id AS doc_id", "'en' AS lang", "'web' AS source", "concat('text ', id) AS text").write.parquet(f"{d}/documents.parquet")
+    spark.range(400).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id * 60) AS ts").write.parquet(f"{d}/events.parquet")
+    got = QUERIES["sync_stream"](spark, d).collect()
+    want = I.module_state(I.old_files(spark, d), I.T_OLD).collect()
+    assert {(r.kind, r.project, r.key, r.value, r.n_changes) for r in got} == {("state", r.project, r.key, r.last_hash, None) for r in want}
+    assert len(got) == len(want) > 0

@@ -239,3 +239,44 @@ def test_ring_of_2000_in_few_jobs(spark):
     text = {r.project: r for r in G.witness_cycles(comps, e).collect()}
     assert text["ring"].length == n and text["ring"].path.startswith("0 → 1 → 2") and text["ring"].path.endswith("999 → … → 0")
     assert text["eight"].path == "0 → 1 → 2 → 0"
+
+
+def test_small_graphs_give_what_large_ones_give(spark, monkeypatch):
+    """Graphs of few edges take no part in the rounds; both ways agree."""
+    rnd = random.Random(31)
+    rows = [(f"p{p}", f"m{rnd.randrange(9)}", f"m{rnd.randrange(9)}") for p in range(40) for _ in range(12)]
+    rows += [(None, "a", "b"), (None, "b", "a"), ("n", None, "b"), ("n", "b", None)]
+    e = spark.createDataFrame(rows + rows[:50], "project string, source string, target string")
+
+    def both(edges):
+        c = G._ckpt(G.cyclic_components(edges))
+        return sorted(map(tuple, c.collect())), sorted(map(tuple, G.cycle_modules(c, edges).collect()))
+    steps = G._Steps()
+    G.cycle_modules(G._ckpt(G.cyclic_components(e, steps)), e, steps)
+    assert steps.n <= 4, steps.n
+    small = both(e)
+    assert len(small[0]) > 40 and len(small[1]) > 40
+    monkeypatch.setattr(G, "SMALL", 10)
+    assert both(e) == small  # some of each
+    monkeypatch.setattr(G, "SMALL", 0)
+    assert both(e) == small
+
+
+def test_handoffs_and_modules_as_of_a_day(spark, tmp_path):
+    from fleetlens.plans import inputs as I
+    rnd = random.Random(3)
+    d = lambda k: f"20{k % 3:02d}-06-0{1 + k % 9}"
+    spark.createDataFrame([(o, o % 4, d(o) if o % 5 else None) for o in range(30)], "o_orderkey long, o_custkey long, d string").selectExpr(
+        "o_orderkey", "o_custkey", "timestamp(d) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(rnd.randrange(30), rnd.randrange(4), rnd.randrange(5), rnd.randrange(4), d(k), float(rnd.randrange(3)), 1.0)
+                           for k in range(150)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate string, "
+                          "l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"s{k}", 0) for k in range(4)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "N")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    day, at = "2001-01-01", str(tmp_path)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    e, m = I.dated_edges(spark, at, day), I.dated_modules(spark, at, day)
+    assert rows(e.drop("early")) == rows(I.handoff_edges(spark, at))
+    assert rows(e.where("early").drop("early")) == rows(I.handoff_edges(spark, at, day)) != rows(e.drop("early"))
+    assert rows(m.drop("n_before", "early")) == rows(I.supplier_modules(spark, at))
+    assert rows(m.where("early").select("project", "name", "path", "n_before")) == rows(I.supplier_modules(spark, at, day))

@@ -23,6 +23,7 @@ from ..operators import conform as C
 from ..operators import inventory as INV
 from ..operators import quality as Q
 from ..operators import snapshot as snap
+from ..session import written
 from . import inputs as I
 from .catalog import BEFORE, query
 
@@ -144,9 +145,18 @@ checks AS (
 """
 
 
+def _names(spark, sf):
+    """(project, name) of the modules now, and of those before the day: from
+    one pass over the lines, in partitions whose size does not grow."""
+    n = I.pieces(spark, sf, "lineitem", "orders")
+    now = written(I.dated_names(spark, sf, BEFORE), "names")
+    return [m.select("project", "name").repartition(n, "project", "name") for m in (now, now.where("early"))]
+
+
 def _checks(spark, sf):
-    modules = I.supplier_modules(spark, sf).select("project", F.col("name").alias("key"))
-    stale = snap.stale_entries(modules, I.supplier_modules(spark, sf, BEFORE), present_key="name")
+    modules, noted = _names(spark, sf)
+    modules = modules.withColumnRenamed("name", "key")
+    stale = snap.stale_entries(modules, noted, present_key="name")
     files = _files(spark, sf).groupBy("project").agg(
         F.nullif(F.count(F.when(F.col("path").startswith("lib/"), 1)), F.lit(0)).alias("n_specs"),
         F.nullif(F.count(F.when(F.col("path").startswith("app/"), 1)), F.lit(0)).alias("n_notes"),
@@ -214,7 +224,7 @@ SELECT n.project, n.name AS subject, 'module_without_spec' AS rule, 'INFO' AS se
 WHERE NOT EXISTS (SELECT 1 FROM noted k WHERE k.project = n.project AND k.name = n.name)""")
 def modules_without_note(spark: SparkSession, sf: str) -> DataFrame:
     """Modules that came after the last notes were written."""
-    return C.modules_without_note(I.supplier_modules(spark, sf), I.supplier_modules(spark, sf, BEFORE))
+    return C.modules_without_note(*_names(spark, sf))
 
 
 # --------------------------------------------------------------------------- C6 C8 C9

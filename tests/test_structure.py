@@ -280,3 +280,20 @@ def test_handoffs_and_modules_as_of_a_day(spark, tmp_path):
     assert rows(e.where("early").drop("early")) == rows(I.handoff_edges(spark, at, day)) != rows(e.drop("early"))
     assert rows(m.drop("n_before", "early")) == rows(I.supplier_modules(spark, at))
     assert rows(m.where("early").select("project", "name", "path", "n_before")) == rows(I.supplier_modules(spark, at, day))
+
+
+def test_partitions_of_lines_follow_the_input(spark, tmp_path, monkeypatch):
+    from fleetlens.plans import catalog_projects as CP
+    from fleetlens.plans import inputs as I
+    spark.range(200).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "timestamp(if(id % 3 = 0, '1999-01-01', '2001-01-01')) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(900).selectExpr("id % 200 AS l_orderkey", "id % 31 AS l_partkey", "id % 11 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(11).selectExpr("id AS s_suppkey", "'s' AS s_name", "0 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "N")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    at = str(tmp_path)
+    few = I.pieces(spark, at, "lineitem", "orders")
+    monkeypatch.setattr(I, "PIECE", 500)
+    n = I.pieces(spark, at, "lineitem", "orders")
+    now, noted = CP._names(spark, at)
+    assert n > few and now.rdd.getNumPartitions() == noted.rdd.getNumPartitions() == n
+    rows = lambda df: sorted(map(tuple, df.select("project", "name").collect()))
+    assert rows(now) == rows(I.supplier_modules(spark, at)) and rows(noted) == rows(I.supplier_modules(spark, at, CP.BEFORE))

@@ -88,11 +88,14 @@ def _hashed(docs: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
 
 
-def _rank_alike(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` with ``_nth``, their rank in (``_cell``, ``_part``). Rows that
-    are alike are one row with their number until they are ranked."""
+def _rank_alike(rows: DataFrame, columns: list[str], counted: DataFrame) -> DataFrame:
+    """``rows`` with their line of ``counted`` and ``_nth``, their rank in
+    (``_cell``, ``_part``). Rows that are alike are one row with their number
+    until they are ranked."""
     keys = [*columns, "_place", "_cell", "_part"]
     alike = rows.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.count("*").alias("_alike"))
+    # joined by the keys of the window, so one shuffle serves both
+    alike = alike.join(counted, (F.col("_cell") == F.col("_c_cell")) & (F.col("_part") == F.col("_c_part")))
     order = Window.partitionBy("_cell", "_part").orderBy("_place", F.xxhash64(*_hashed(rows)))
     alike = alike.withColumn("_end", F.sum("_alike").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     alike = alike.withColumn("_start", F.col("_end") - F.col("_alike"))
@@ -142,12 +145,14 @@ def shard_documents(docs: DataFrame, shards: int, *, load: float = 1.0, virtual_
     pieces = settle([per_arc.get(a, 0) for a in range(len(arcs))], [owners[a] for a in range(len(arcs))], shards, load)
     plan = spark.createDataFrame(pieces, "_p_arc int, _first long, _end long, _shard int, _slot long")
 
+    # joined first and by the cell alone, the key of the window: the rows, texts and all, are shuffled once for both
     rank = Window.partitionBy("_cell").orderBy("_place", F.col(id_col), F.crc32(text_bytes(text_col)))
-    ranked = dealt.where("_part = 0").withColumn("_nth", F.row_number().over(rank) - 1)
+    counted = counted.drop("n")
+    ranked = (dealt.where("_part = 0").join(counted.where("_c_part = 0"), F.col("_cell") == F.col("_c_cell"))
+              .withColumn("_nth", F.row_number().over(rank) - 1))
     if hot.count():
-        ranked = ranked.unionByName(_rank_alike(dealt.where("_part > 0"), docs.columns))
-    ranked = (ranked.join(counted.drop("n"), (F.col("_cell") == F.col("_c_cell")) & (F.col("_part") == F.col("_c_part")))
-              .withColumn("_rank", F.col("_before") + F.col("_nth")))
+        ranked = ranked.unionByName(_rank_alike(dealt.where("_part > 0"), docs.columns, counted.where("_c_part > 0")))
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_nth"))
     # the plan has a few rows per arc, whatever the corpus
     placed = ranked.join(F.broadcast(plan), (F.col("_arc") == F.col("_p_arc"))
                          & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))

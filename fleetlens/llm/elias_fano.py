@@ -19,6 +19,7 @@ import numpy as np
 
 U64 = np.uint64
 BLOCK_WORDS = 8  # words of the bit vector per directory entry
+MANY = 16  # bits of the vector per query, from which on it is searched query by query
 STEPS_PER_BIT = 1600  # codes per factor 2 of a probability
 TOP_CODE = 65535
 
@@ -92,8 +93,19 @@ class EliasFano:
         zeros = np.arange(len(ones)) * (64 * BLOCK_WORDS) - ones
         return cls(n, bits, {"low": low, "high": high, "ones": ones, "zeros": zeros})
 
+    def _many(self, x: np.ndarray) -> bool:
+        """Whether so much is asked for that the bit vector is read as a whole."""
+        return len(x) * MANY >= len(self.high) * 64
+
+    def _positions(self, ones: bool) -> np.ndarray:
+        """Positions of all set or unset bits."""
+        flags = np.unpackbits(self.high.view(np.uint8), bitorder="little")
+        return np.flatnonzero(flags if ones else flags == 0)
+
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Position of the k-th set or unset bit."""
+        if self._many(k):
+            return self._positions(ones)[k]
         directory = self.ones if ones else self.zeros
         block = np.searchsorted(directory, k, side="right") - 1
         k, word = k - directory[block], block * BLOCK_WORDS
@@ -142,9 +154,14 @@ class EliasFano:
         top = (x >> U64(self.bits)).astype(np.int64)
         last = int(self.zeros[-1]) - 1
         # values with this high part lie between two consecutive zeros of the unary code
-        zero = self._select(np.minimum(top, last), False)
-        b = zero - np.minimum(top, last)
-        a = np.where(top > last, b, b - self._ones_before(zero))
+        if self._many(x):
+            below = np.concatenate(([0], self._positions(False) - np.arange(last + 1)))  # values below each high part
+            b = below[np.minimum(top, last) + 1]
+            a = below[np.minimum(top, last + 1)]
+        else:
+            zero = self._select(np.minimum(top, last), False)
+            b = zero - np.minimum(top, last)
+            a = np.where(top > last, b, b - self._ones_before(zero))
         a, b = np.clip(a, first, end), np.clip(b, first, end)
         want, stop = x & U64((1 << self.bits) - 1), b.copy()
         open_ = np.flatnonzero(a < b)

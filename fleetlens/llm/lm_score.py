@@ -20,7 +20,10 @@ are packed arrays, one row per (chunk, shard). A frequent n-gram is one entry
 per chunk, whatever its count. The n-grams of a context stand together, which
 makes requests short and the search in the trie relative to one context after
 another; a frequent context is split over shards by its last word, so no word,
-pair or passage makes a shard hot. Chunks and shards are of bounded
+pair or passage makes a shard hot. A shard also tells which n-grams only one
+chunk has asked for: what follows such a context stands in that chunk alone,
+so the chunk keeps those n-grams in a trie of its own and sends none of them.
+Chunks and shards are of bounded
 size; their numbers grow with the input.
 
 Defined cases: null and empty texts consist of the end token; rows without an
@@ -32,6 +35,7 @@ table gives an empty table.
 from __future__ import annotations
 
 import tempfile
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,6 +143,29 @@ def row_order(grams: np.ndarray, bound: int) -> np.ndarray:
     return np.argsort(key, kind="stable")  # the rows are a few runs, each in order
 
 
+def distinct(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them; keys
+    are below ``bound``. Key and position are sorted as one number."""
+    bits = len(keys).bit_length()
+    if bound << bits >= 1 << 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort((keys << bits) | np.arange(len(keys)))
+    at = both & ((1 << bits) - 1)
+    both >>= bits
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    inverse = np.empty(len(both), np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return both[new], inverse
+
+
+def numbered() -> defaultdict:
+    """A dict that numbers its keys in the order in which they are asked for."""
+    numbers = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
 def encode(docs: DataFrame, *, id_col: str, text_col: str, learn_col: str) -> DataFrame:
     """The table of chunks."""
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,11 +174,12 @@ def encode(docs: DataFrame, *, id_col: str, text_col: str, learn_col: str) -> Da
 
         def chunk():
             nonlocal number, held, size
-            vocab, tokens, sizes = {END: 0}, [], []
+            vocab, tokens, sizes = numbered(), [], []
+            vocab[END]  # 0
             for _, _, _, body in held:
                 words = body.lower().split()  # bytes: A-Z and ASCII blanks only
                 sizes.append(len(words) + 1)
-                tokens.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.uint32, len(words)))
+                tokens.append(np.fromiter(map(vocab.__getitem__, words), np.uint32, len(words)))
                 tokens.append(np.zeros(1, np.uint32))
             ids, nameless, learn, _ = zip(*held)
             row = (number, np.array(ids, np.int64).tobytes(), np.array(nameless, bool).tobytes(),
@@ -189,7 +217,7 @@ class Chunk:
 
 
 def _word_shard(words: list[bytes], shards: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.int64, len(words))
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(shards)).astype(np.int64)
 
 
 def _gram_shard(grams: np.ndarray, count: np.ndarray, shards: int, split: int) -> np.ndarray:
@@ -224,7 +252,7 @@ def _word_requests(chunks: DataFrame, shards: int) -> DataFrame:
             for r in f.itertuples():
                 c, words = Chunk(r), zstandard.decompress(r.words).split(b" ")
                 counts = np.bincount(c.tokens[c.learned], minlength=len(words))
-                out = [(s, r.chunk, zstandard.compress(b" ".join(words[k] for k in part), 1), pack(narrow(counts[part])),
+                out = [(s, r.chunk, zstandard.compress(b" ".join(map(words.__getitem__, part.tolist())), 1), pack(narrow(counts[part])),
                         pack(narrow(np.diff(part, prepend=0)))) for s, part in _by_shard(_word_shard(words, shards))]
                 yield pd.DataFrame(out, columns=["shard", "chunk", "a", "b", "c"])
 
@@ -232,18 +260,20 @@ def _word_requests(chunks: DataFrame, shards: int) -> DataFrame:
 
 
 def _word_answers(requests: DataFrame, shards: int) -> DataFrame:
-    """Place in its chunk, number and training count of every requested word;
-    word numbers start at 1, 0 is the start mark."""
+    """Place in its chunk, number and training count of every requested word
+    (the count doubled, and one more if no other chunk has the word); word numbers start at 1, 0 is the start mark."""
     def answer(f: pd.DataFrame) -> pd.DataFrame:
-        numbers: dict[bytes, int] = {}
+        numbers = numbered()
         asked, shard = [], int(f["shard"].iloc[0])
         for words in f["a"]:
-            asked.append(np.array([numbers.setdefault(w, len(numbers)) for w in zstandard.decompress(words).split(b" ")]))
-        total = np.zeros(len(numbers), np.int64)
+            words = zstandard.decompress(words).split(b" ")
+            asked.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        total, times = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         for own, counts in zip(asked, f["b"]):
             total[own] += unpack(counts).astype(np.int64)  # words are distinct within a request
+            times[own] += 1
         out = [(chunk, 1, shard, _framed(places) + _framed(pack(narrow(own * shards + shard + 1))),
-                pack(narrow(total[own])), 0, 0, 0) for chunk, places, own in zip(f["chunk"], f["c"], asked)]
+                pack(narrow(total[own] * 2 + (times[own] == 1))), 0, 0, 0) for chunk, places, own in zip(f["chunk"], f["c"], asked)]
         # a shard's sums, for the corpus' totals
         out.append((-1, 1, shard, b"", b"", int(total.sum()), int((total > 0).sum()), len(numbers)))
         return pd.DataFrame(out, columns=_columns(_ANSWER))
@@ -253,20 +283,34 @@ def _word_answers(requests: DataFrame, shards: int) -> DataFrame:
 
 # ------------------------------------------------------------------ all orders, seen from a chunk
 
+def look_up(grams: np.ndarray, count: np.ndarray, above: np.ndarray, order: int, words: int) -> np.ndarray:
+    """Codes of distinct n-grams in order, by their training counts and those
+    of their contexts: the ones that were learned are stored as a trie, which
+    is opened memory-mapped and searched for all."""
+    seen = np.flatnonzero(count > 0)
+    share = count[seen] / (above[seen] + prior_weight(above[seen], order))
+    with tempfile.TemporaryDirectory() as folder:
+        Trie.build(grams[seen], quantise(share), words).save(folder)
+        return Trie.open(folder).find(grams)
+
+
 class Levels:
     """The n-grams of a chunk, order by order, with the answers up to an
     order. A node is a distinct n-gram of the chunk; ``node`` gives the one
     that ends at each token, -1 if there is none."""
 
-    def __init__(self, chunk: Chunk, answers: pd.DataFrame, upto: int, gram_shards: int, split: int, min_context: int):
+    def __init__(self, chunk: Chunk, answers: pd.DataFrame, upto: int, gram_shards: int, split: int, min_context: int,
+                 words: int):
         self.chunk, self.gram_shards, self.split, self.min_context = chunk, gram_shards, split, min_context
+        self.words = words
         n = int(chunk.tokens.max()) + 1
-        number, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        number, count, alone = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         for r in answers[answers["level"] == 1].itertuples():
             steps, numbers = map(unpack, _frames(r.a))
             places = np.cumsum(steps.astype(np.int64))
             number[places] = numbers.astype(np.int64)
-            count[places] = unpack(r.b).astype(np.int64)
+            told = unpack(r.b).astype(np.int64)
+            count[places], alone[places] = told >> 1, (told & 1).astype(bool)
         self.first = np.zeros(len(chunk.tokens), bool)
         self.first[chunk.starts] = True
         # words in the order of their numbers, so that n-grams come out in order; node 0 is the start mark, which
@@ -279,15 +323,20 @@ class Levels:
         self.token = place[chunk.tokens]
         self.order, self.node = 1, self.token
         self.paths, self.count = self.number[:, None], self.word_count
+        self.alone = np.append(False, alone[order])  # no other chunk has it
         self.terms: list[tuple[np.ndarray, np.ndarray]] = []  # per order: code and context count of each token
         for level in range(2, upto + 1):
             self.extend()
-            codes, counts = np.zeros(len(self.grams), np.uint16), np.zeros(len(self.grams), np.int64)
+            codes, told = np.zeros(len(self.grams), np.uint16), np.zeros(len(self.grams), np.int64)
             parts = dict(_by_shard(self.shard()))
             for r in answers[answers["level"] == level].itertuples():
                 codes[self.asked[parts[r.shard]]] = unpack(r.a)
-                counts[self.asked[parts[r.shard]]] = unpack(r.b).astype(np.int64)
-            self.answered(codes, counts)
+                if r.b:  # the last order has nothing to follow
+                    told[self.asked[parts[r.shard]]] = unpack(r.b).astype(np.int64)
+            k = self.kept
+            codes[k] = look_up(self.grams[k], self.own[k], self.context[k], level, self.words)
+            told[k] = self.own[k] * 2 + 1
+            self.answered(codes, told >> 1, (told & 1).astype(bool))
 
     def extend(self) -> None:
         """Form the n-grams of the next order: the context that ends before a
@@ -298,31 +347,32 @@ class Levels:
         before[self.first] = 0 if self.order == 2 else -1
         self.has = np.flatnonzero(before >= 0)
         words = len(self.number)
-        keys, self.inverse = np.unique(before[self.has] * words + self.token[self.has], return_inverse=True)
+        keys, self.inverse = distinct(before[self.has] * words + self.token[self.has], len(self.count) * words)
         context = keys // words
         self.grams = np.concatenate((self.paths[context], self.number[keys % words][:, None]), axis=1)
         self.context = self.count[context]
         rare = self.context < (self.min_context if self.order > 2 else 0)
         self.context[rare] = 0
-        self.asked = np.flatnonzero(~rare)
+        self.own = np.bincount(self.inverse[self.chunk.learned[self.has]], minlength=len(self.grams))
+        alone = self.alone[context]
+        self.asked, self.kept = np.flatnonzero(~rare & ~alone), np.flatnonzero(~rare & alone)
 
     def shard(self) -> np.ndarray:
         return _gram_shard(self.grams[self.asked], self.context[self.asked], self.gram_shards, self.split)
 
     def requests(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """(shard, n-grams, own training counts, context counts)."""
-        counts = np.bincount(self.inverse[self.chunk.learned[self.has]], minlength=len(self.grams))
         for s, part in _by_shard(self.shard()):
             rows = self.asked[part]
-            yield s, pack_grams(self.grams[rows]), pack(narrow(counts[rows])), pack(narrow(self.context[rows]))
+            yield s, pack_grams(self.grams[rows]), pack(narrow(self.own[rows])), pack(narrow(self.context[rows]))
 
-    def answered(self, codes: np.ndarray, counts: np.ndarray) -> None:
+    def answered(self, codes: np.ndarray, counts: np.ndarray, alone: np.ndarray) -> None:
         code, seen = np.zeros(len(self.node), np.uint16), np.zeros(len(self.node), np.int64)
         code[self.has], seen[self.has] = codes[self.inverse], self.context[self.inverse]
         self.terms.append((code, seen))
         self.node = np.full(len(self.node), -1)
         self.node[self.has] = self.inverse
-        self.paths, self.count = self.grams, counts
+        self.paths, self.count, self.alone = self.grams, counts, alone
 
 
 def _columns(ddl: str) -> list[str]:
@@ -341,9 +391,10 @@ def _gram_requests(chunks: DataFrame, answers: DataFrame, upto: int, shape: tupl
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(rows, _REQUEST)
 
 
-def _gram_answers(requests: DataFrame, order: int, words: int) -> DataFrame:
+def _gram_answers(requests: DataFrame, order: int, words: int, last: bool) -> DataFrame:
     """Add up a shard's n-grams, store them as a trie, and look up what each
-    chunk asked for."""
+    chunk asked for. Counts are told doubled, and one more if no other chunk
+    has asked; not for the last order, which is no context."""
     def answer(f: pd.DataFrame) -> pd.DataFrame:
         shard = int(f["shard"].iloc[0])
         asked = [unpack_grams(a) for a in f["a"]]
@@ -357,18 +408,13 @@ def _gram_answers(requests: DataFrame, order: int, words: int) -> DataFrame:
         count = np.add.reduceat(own[order_], first)
         back = np.empty(len(grams), np.int64)
         back[order_] = np.cumsum(new) - 1
-        seen = np.flatnonzero(count > 0)
-        above = context[order_][first][seen]
-        share = count[seen] / (above + prior_weight(above, order))
-        with tempfile.TemporaryDirectory() as folder:
-            trie = Trie.build(ordered[first[seen]], quantise(share), words)
-            trie.save(folder)
-            codes = Trie.open(folder).find(ordered[first])
+        codes = look_up(ordered[first], count, context[order_[first]], order, words)
+        told = count * 2 + (np.diff(first, append=len(grams)) == 1)  # n-grams are distinct within a request
         out, at = [], 0
         for chunk, rows in zip(f["chunk"], asked):
             mine = back[at:at + len(rows)]
             at += len(rows)
-            out.append((chunk, order, shard, pack(codes[mine]), pack(narrow(count[mine])), 0, 0, 0))
+            out.append((chunk, order, shard, pack(codes[mine]), b"" if last else pack(narrow(told[mine])), 0, 0, 0))
         return pd.DataFrame(out, columns=_columns(_ANSWER))
 
     return requests.groupBy("shard").applyInPandas(answer, _ANSWER)
@@ -386,11 +432,12 @@ def score_texts(docs: DataFrame, *, learn_col: str, id_col: str = "doc_id", text
     sums = answers.where("chunk = -1").agg(F.sum("tokens"), F.sum("words"), F.max("numbers")).first()
     tokens, known, numbers = (x or 0 for x in sums)
     answers = answers.where("chunk >= 0").select("chunk", "level", "shard", "a", "b")
-    shape = (gram_shards, max(1, tokens // (SPLITS * gram_shards)), min_context)
+    words = numbers * word_shards + 1
+    shape = (gram_shards, max(1, tokens // (SPLITS * gram_shards)), min_context, words)
     chunks = chunks.drop("words")
     for level in range(2, order + 1):
-        found = stage(_gram_answers(_gram_requests(chunks, answers, level - 1, shape), level,
-                                    numbers * word_shards + 1), f"order-{level}")
+        found = stage(_gram_answers(_gram_requests(chunks, answers, level - 1, shape), level, words,
+                                    level == order), f"order-{level}")
         answers = answers.unionByName(found.select("chunk", "level", "shard", "a", "b"))
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -238,7 +238,7 @@ def _gram_shard(grams: np.ndarray, count: np.ndarray, shards: int, split: int) -
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, rows in order) for each shard that has rows."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(narrow(shard), kind="stable")  # small types are sorted by their digits
     cuts = np.flatnonzero(np.diff(shard[order])) + 1
     for part in np.split(order, cuts) if len(order) else ():
         yield int(shard[part[0]]), part

@@ -94,16 +94,18 @@ def _rank_alike(rows: DataFrame, columns: list[str], counted: DataFrame) -> Data
     until they are ranked."""
     keys = [*columns, "_place", "_cell", "_part"]
     alike = rows.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.count("*").alias("_alike"))
+    # taken before the join, so that the join exchanges no column that only the order needs
+    alike = alike.withColumn("_order", F.xxhash64(*_hashed(rows)))
     # joined by the keys of the window, so one shuffle serves both
     alike = alike.join(counted, (F.col("_cell") == F.col("_c_cell")) & (F.col("_part") == F.col("_c_part")))
-    order = Window.partitionBy("_cell", "_part").orderBy("_place", F.xxhash64(*_hashed(rows)))
+    order = Window.partitionBy("_cell", "_part").orderBy("_place", "_order")
     alike = alike.withColumn("_end", F.sum("_alike").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     alike = alike.withColumn("_start", F.col("_end") - F.col("_alike"))
     # pieces of a long run are restored by different tasks
     pieces = alike.withColumn("_from", F.explode(F.sequence("_start", F.col("_end") - 1, F.lit(ROWS_PER_CELL).cast("long"))))
     pieces = pieces.repartition("_cell", "_part", "_from")
     stop = F.least(F.col("_end"), F.col("_from") + ROWS_PER_CELL) - 1
-    return pieces.withColumn("_nth", F.explode(F.sequence("_from", stop))).drop("_alike", "_end", "_start", "_from")
+    return pieces.withColumn("_nth", F.explode(F.sequence("_from", stop))).drop("_alike", "_order", "_end", "_start", "_from")
 
 
 @keeps_names
@@ -112,7 +114,8 @@ def shard_documents(docs: DataFrame, shards: int, *, load: float = 1.0, virtual_
     """``docs`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in each
     shard)."""
     spark = docs.sparkSession
-    place = F.xxhash64(F.col(id_col), F.crc32(text_bytes(text_col)))
+    crc = F.crc32(text_bytes(text_col))
+    place = F.xxhash64(F.col(id_col), crc)
 
     total = docs.count()
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, total / ROWS_PER_CELL)))))
@@ -126,7 +129,9 @@ def shard_documents(docs: DataFrame, shards: int, *, load: float = 1.0, virtual_
     hot = stage(hot, "hot-places")
     part = F.when(F.col("_hot_place").isNotNull(), 1 + F.pmod(
         F.xxhash64(F.lit("part"), *_hashed(docs)), F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")
-    dealt = docs.withColumn("_place", place)
+    # the order in a cell needs the checksum alone: taken before any shuffle, which then carries texts only where the
+    # caller keeps them
+    dealt = docs.withColumns({"_place": place, "_crc": crc})
     dealt = (dealt.join(F.broadcast(hot), F.col("_place") == F.col("_hot_place"), "left")
              .withColumns({"_cell": cell(F.col("_place")), "_part": part}).drop("_hot_place"))
 
@@ -146,12 +151,13 @@ def shard_documents(docs: DataFrame, shards: int, *, load: float = 1.0, virtual_
     plan = spark.createDataFrame(pieces, "_p_arc int, _first long, _end long, _shard int, _slot long")
 
     # joined first and by the cell alone, the key of the window: the rows, texts and all, are shuffled once for both
-    rank = Window.partitionBy("_cell").orderBy("_place", F.col(id_col), F.crc32(text_bytes(text_col)))
+    rank = Window.partitionBy("_cell").orderBy("_place", F.col(id_col), "_crc")
     counted = counted.drop("n")
     ranked = (dealt.where("_part = 0").join(counted.where("_c_part = 0"), F.col("_cell") == F.col("_c_cell"))
-              .withColumn("_nth", F.row_number().over(rank) - 1))
+              .withColumn("_nth", F.row_number().over(rank) - 1)).drop("_crc")
     if hot.count():
-        ranked = ranked.unionByName(_rank_alike(dealt.where("_part > 0"), docs.columns, counted.where("_c_part > 0")))
+        ranked = ranked.unionByName(_rank_alike(dealt.drop("_crc").where("_part > 0"), docs.columns,
+                                                counted.where("_c_part > 0")))
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_nth"))
     # the plan has a few rows per arc, whatever the corpus
     placed = ranked.join(F.broadcast(plan), (F.col("_arc") == F.col("_p_arc"))

@@ -42,6 +42,25 @@ def test_sharding_exchanges_texts_once(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_sharding_exchanges_no_texts_that_are_dropped(spark, monkeypatch):
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"),
+                                   F.lit("a").alias("source"))
+    hot = rows.unionByName(spark.range(200).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one").alias("text"),
+                                                   F.col("id").cast("string").alias("source")))
+    monkeypatch.setattr(sharding, "ROWS_PER_CELL", 50)
+    key = lambda out: sorted(map(tuple, out.select("doc_id", "source", "shard", "slot").collect()))
+    whole = [key(shard_documents(df, 7)) for df in (rows, hot)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with counts too large to broadcast
+    try:
+        out = shard_documents(rows, 7).drop("text")
+        assert exchanges_of(out, "text") == 0 and key(out) == whole[0]
+        # places of many rows: the text tells which of them are alike
+        out = shard_documents(hot, 7).drop("text")
+        assert exchanges_of(out, "text") == 1 and key(out) == whole[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_ngrams_of_one_chunk_are_not_exchanged(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", 100)  # a chunk per text
     tables, stage = {}, lm_score.stage

@@ -297,3 +297,26 @@ def test_partitions_of_lines_follow_the_input(spark, tmp_path, monkeypatch):
     assert n > few and now.rdd.getNumPartitions() == noted.rdd.getNumPartitions() == n
     rows = lambda df: sorted(map(tuple, df.select("project", "name").collect()))
     assert rows(now) == rows(I.supplier_modules(spark, at)) and rows(noted) == rows(I.supplier_modules(spark, at, CP.BEFORE))
+
+
+def _ring_tables(spark, at, n):
+    """Tables in which the orders of one customer lead once through ``n``
+    suppliers in mixed order; the ring, from its smallest supplier."""
+    ring = list(range(n))
+    random.Random(17).shuffle(ring)
+    ring = [int(x) for x in ring[ring.index(0):] + ring[:ring.index(0)]]
+    lines = [(k // 7, ring[(k + d) % n], k % 7 + d) for k in range(n) for d in ((0, 1) if k % 7 == 6 or k == n - 1 else (0,))]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int").selectExpr(
+        "*", "l_suppkey AS l_partkey", "1.0D AS l_quantity", "'N' AS l_returnflag", "'O' AS l_linestatus").write.parquet(f"{at}/lineitem.parquet")
+    spark.range(n // 7 + 1).selectExpr("id AS o_orderkey", "5L AS o_custkey", "timestamp('2001-01-01') AS o_orderdate").write.parquet(f"{at}/orders.parquet")
+    spark.range(n).selectExpr("id AS s_suppkey", "'s' AS s_name", "0 AS s_nationkey").write.parquet(f"{at}/supplier.parquet")
+    spark.createDataFrame([(0, "N")], "n_nationkey int, n_name string").write.parquet(f"{at}/nation.parquet")
+    return ring
+
+
+def test_severity_findings_name_every_module_of_a_cycle(spark, tmp_path):
+    from fleetlens.plans.catalog import QUERIES
+    ring = _ring_tables(spark, tmp_path, 1100)
+    got = QUERIES["severity_findings"](spark, str(tmp_path)).where("rule = 'cycle'").collect()
+    assert [(r.project, r.subject, r.severity) for r in got] == [("customer-5", "0", "BLOCK")]
+    assert got[0].issue == "circular dependency: " + " → ".join(map(str, [*ring, 0]))

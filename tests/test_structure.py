@@ -320,3 +320,27 @@ def test_severity_findings_name_every_module_of_a_cycle(spark, tmp_path):
     got = QUERIES["severity_findings"](spark, str(tmp_path)).where("rule = 'cycle'").collect()
     assert [(r.project, r.subject, r.severity) for r in got] == [("customer-5", "0", "BLOCK")]
     assert got[0].issue == "circular dependency: " + " → ".join(map(str, [*ring, 0]))
+
+
+def test_witness_cycles_query_names_every_module(spark, tmp_path):
+    from fleetlens.plans.catalog import QUERIES
+    ring = _ring_tables(spark, tmp_path, 1100)
+    r, = QUERIES["witness_cycles"](spark, str(tmp_path)).collect()
+    assert (r.project, r.component, r.component_size, r.length) == ("customer-5", 0, 1100, 1100)
+    assert r.path == " → ".join(map(str, [*ring, 0]))
+
+
+def test_cycle_text_is_joined_from_pieces(spark, monkeypatch):
+    """Cycles of less than a piece, of one or more whole pieces, and beyond;
+    whole and in the short form."""
+    rows, want = [], {}
+    for n in (2, 3, 4, 5, 6, 7, 13):
+        rows += [(f"p{n}", k, (k + 1) % n) for k in range(n)]
+        want[f"p{n}"] = [str(k) for k in range(n)]
+    e = spark.createDataFrame(rows, "project string, source long, target long")
+    comps = G._ckpt(G.cyclic_components(e))
+    monkeypatch.setattr(G, "PIECE", 3)
+    for most in (None, 4, 6):
+        got = {r.project: (r.path, r.length, r.component_size) for r in G.witness_cycles(comps, e, most=most).collect()}
+        short = {p: m if most is None or len(m) <= most else [*m[:most], "…"] for p, m in want.items()}
+        assert got == {p: (" → ".join([*short[p], "0"]), len(m), len(m)) for p, m in want.items()}
